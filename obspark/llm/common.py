@@ -112,3 +112,33 @@ def batches(frames: Iterator, *columns: str) -> Iterator:
     """Tuples of the named columns as lists, batch by batch (Arrow record batches)."""
     for b in frames:
         yield tuple(b.column(c).to_pylist() for c in columns)
+
+
+def range_buckets(rows: DataFrame, rows_per_bucket: int = 1000, most: int = 4096, wrap: bool = False) -> DataFrame:
+    """Deals rows (with non-null columns _key and _tie) to buckets that are ranges of _key, with the neighbours' edge rows.
+
+    Adds _bucket and _side: 0 for a bucket's own rows, -1 for the last row of
+    the bucket before it and 1 for the first row of the next one (after the
+    last, with ``wrap``, of the first). Sorted by (_bucket, _side, _key, _tie),
+    a bucket shows each row beside both its neighbours, wherever the bounds lie;
+    so results don't depend on them. Bounds come from a hash-drawn sample of
+    bounded size; the driver sees that and two keys of each bucket.
+    """
+    spark = rows.sparkSession
+    keys = rows.select("_key", "_tie")
+    n = min(most, max(1, keys.count() // rows_per_bucket))
+    drawn = sorted(r[0] for r in keys.select("_key").orderBy(F.xxhash64("_key", "_tie")).limit(8 * n).collect())
+    bounds = sorted(set(drawn[8::8]))
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    edges = keys.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.min(F.struct("_key", "_tie")).alias("a"), F.max(F.struct("_key", "_tie")).alias("z")).orderBy("_bucket").collect()
+    lent: dict[tuple, list[tuple[int, int]]] = {}
+    for x, y in zip(edges, edges[1:], strict=False):
+        lent.setdefault(tuple(y["a"]), []).append((x["_bucket"], 1))
+        lent.setdefault(tuple(x["z"]), []).append((y["_bucket"], -1))
+    if wrap and edges:
+        lent.setdefault(tuple(edges[0]["a"]), []).append((edges[-1]["_bucket"], 1))
+    types = dict(rows.dtypes)
+    small = spark.createDataFrame([(*k, v) for k, v in lent.items()], f"_key {types['_key']}, _tie {types['_tie']}, _lent array<struct<_bucket:int,_side:int>>")
+    own = F.array(F.struct(bucket.alias("_bucket"), F.lit(0).alias("_side")))
+    both = rows.join(F.broadcast(small), ["_key", "_tie"], "left").withColumn("_at", F.explode(F.when(F.col("_lent").isNull(), own).otherwise(F.concat(own, F.col("_lent")))))
+    return both.withColumns({"_bucket": F.col("_at._bucket"), "_side": F.col("_at._side")}).drop("_at", "_lent").repartition("_bucket").sortWithinPartitions("_bucket", "_side", "_key", "_tie")
