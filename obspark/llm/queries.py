@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from obspark.llm.audio import op8_mpeg_audio
 from obspark.llm.bpe import op6_bpe
 from obspark.llm.convnet import op1_quality, op3_language
+from obspark.llm.fingerprints import op5_fingerprints
+from obspark.llm.html import op10_html
+from obspark.llm.jaccard import op2_jaccard_join
 from obspark.llm.packing import op4_packing
 from obspark.llm.sharding import op7_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
