@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,3 +143,15 @@ def range_buckets(rows: DataFrame, rows_per_bucket: int = 1000, most: int = 4096
     own = F.array(F.struct(bucket.alias("_bucket"), F.lit(0).alias("_side")))
     both = rows.join(F.broadcast(small), ["_key", "_tie"], "left").withColumn("_at", F.explode(F.when(F.col("_lent").isNull(), own).otherwise(F.concat(own, F.col("_lent")))))
     return both.withColumns({"_bucket": F.col("_at._bucket"), "_side": F.col("_at._side")}).drop("_at", "_lent").repartition("_bucket").sortWithinPartitions("_bucket", "_side", "_key", "_tie")
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts ``decide`` (list of texts to booleans) keeps; no shuffle."""
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            if b.num_rows:
+                yield b.filter(pa.array(decide(b.column("text").to_pylist()), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(task, docs.schema)

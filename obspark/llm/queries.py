@@ -14,6 +14,7 @@ from obspark.llm.html import op10_html
 from obspark.llm.jaccard import op2_jaccard_join
 from obspark.llm.packing import op4_packing
 from obspark.llm.sharding import op7_sharding
+from obspark.llm.suffixes import op9_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_repeats": op9_repeats,
     "op10_html": op10_html,
 }
 
