@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from obspark.plans import search_queries
+
+QUERIES = {**search_queries.QUERIES}
+ORACLE_SQL = {**search_queries.ORACLE_SQL}
