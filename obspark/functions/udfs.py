@@ -10,6 +10,7 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 
 def embed_text(text: str | None, dimension: int = 64) -> list[float]:
@@ -25,7 +26,7 @@ def embed_text(text: str | None, dimension: int = 64) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(embed_text)
 
@@ -36,7 +37,7 @@ def sign(payload: str, secret: str) -> str:
 
 
 def playback_token(secret: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def token(payloads: pd.Series) -> pd.Series:
         return payloads.map(lambda p: None if p is None else f"{p}.{sign(p, secret)}")
 
@@ -49,6 +50,6 @@ def motion_scores(frames: list[bytes]) -> list[float]:
     return [0.0, *[float(np.abs(b - a).mean() / 255) for a, b in zip(arrays, arrays[1:], strict=False)]] if arrays else []
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def frame_motion(frames: pd.Series) -> pd.Series:
     return frames.map(lambda fs: motion_scores([bytes(f) for f in fs]) if fs is not None else None)
