@@ -210,8 +210,8 @@ class Language:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and its probability; ``und`` with probability 0 for null texts and those without a letter."""
-        if not texts:
-            return [], np.zeros(0)
+        if not texts or not self.values:
+            return ["und"] * len(texts), np.zeros(len(texts))
         x, owner, weight = windows(texts)
         logs = np.concatenate([self.log_softmax(self.responses(x[a : a + 64]).max(axis=1)) for a in range(0, len(x), 64)]).astype(np.float64)
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -219,7 +219,7 @@ class Language:
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        known = [bool(t and LETTER.search(t)) and len(self.values) > 0 for t in texts]
+        known = [bool(t and LETTER.search(t)) for t in texts]
         return [self.values[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p[np.arange(len(p)), best], 0.0)
 
     def fit(self, texts: list[str | None], labels: list[str], epochs: int = 4, batch: int = 64, rate: float = 0.01) -> Language:

@@ -29,4 +29,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of documents by shared shingles, then what links reach.
+JACCARD_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END) AS g FROM t),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+ ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ c(id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ends.b, c.m FROM c JOIN ends ON c.id = ends.a),
+ r AS (SELECT id, min(m) AS component_id FROM c GROUP BY id)
+SELECT r.id AS doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM r LEFT JOIN n ON r.id = n.doc_id
+"""
+
+#: The article element of the tables' pages, block by block, with the character references that they use.
+HTML_SQL = r"""
+WITH b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
+  for x in string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>')] AS l FROM pages),
+ t AS (SELECT page_id, url, array_to_string([x for x in l if x <> ''], chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": JACCARD_SQL, "op10_html": HTML_SQL}
