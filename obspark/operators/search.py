@@ -74,27 +74,38 @@ def ranked(df: DataFrame, score: Column | str, name: str, key: str = "record_id"
     return df.withColumn(name, F.when(s.isNotNull(), F.row_number().over(Window.orderBy(F.desc_nulls_last(s), key))))
 
 
-def bm25(df: DataFrame, column: str, query: str, corpus: DataFrame | None = None) -> DataFrame:
+def text_statistics(corpus: DataFrame, columns: Sequence[str], terms: Sequence[str]) -> dict[str, tuple[int, float, dict[str, int]]]:
+    """rows, mean length and document frequencies of the terms, for each channel, in one pass over the corpus."""
+    distinct = list(dict.fromkeys(terms))
+    arrays = corpus.select(*[tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
+    sums = [F.count("*").alias("n")]
+    for k in range(len(columns)):
+        sums.append(F.sum(F.size(f"t{k}")).alias(f"length{k}"))
+        sums += [F.sum(F.array_contains(f"t{k}", t).cast("int")).alias(f"d{k}_{i}") for i, t in enumerate(distinct)]
+    r = arrays.agg(*sums).first()
+    n = r["n"] or 0
+    return {c: (n, (r[f"length{k}"] or 0) / max(1, n), {t: r[f"d{k}_{i}"] or 0 for i, t in enumerate(distinct)}) for k, c in enumerate(columns)}
+
+
+def bm25(df: DataFrame, column: str, query: str, corpus: DataFrame | None = None, statistics: dict | None = None) -> DataFrame:
     """rows of ``df`` with ``bm25`` of the channel ``column`` (null: no term occurs).
 
-    Statistics are of the whole ``corpus`` (``df`` by default), in one pass over
-    it; a term that the query repeats counts again.
+    Statistics are of the whole ``corpus`` (``df`` by default); a term that the
+    query repeats counts again.
     """
     terms = query_terms(query)
     if not terms:
         return df.withColumn("bm25", F.lit(None).cast("double"))
-    distinct = list(dict.fromkeys(terms))
-    stats = (corpus or df).select(tokens(column).alias("t")).agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("length"), *[F.sum(F.array_contains("t", t).cast("int")).alias(f"d{i}") for i, t in enumerate(distinct)]).first()
-    n, mean = stats["n"] or 0, (stats["length"] or 0) / max(1, stats["n"] or 0)
+    n, mean, frequency = (statistics or text_statistics(corpus or df, [column], terms))[column]
     size = F.size("_t")
     total = F.lit(0.0)
     for t in terms:
-        d = F.lit(float(stats[f"d{distinct.index(t)}"] or 0))
+        d = F.lit(float(frequency[t]))
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(n)) - d + 0.5) / (d + 0.5)))
         tf = F.size(F.filter("_t", _equal(t)))
         total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean or 1))))
     scored = df.withColumn("_t", F.coalesce(tokens(column), F.array().cast("array<string>")))
-    return scored.withColumn("bm25", F.when(F.arrays_overlap("_t", F.array(*map(F.lit, distinct))), total)).drop("_t")
+    return scored.withColumn("bm25", F.when(F.arrays_overlap("_t", F.array(*map(F.lit, dict.fromkeys(terms)))), total)).drop("_t")
 
 
 def keyword(df: DataFrame, column: str, query: str) -> DataFrame:
@@ -138,13 +149,14 @@ def rank(pool: DataFrame, request: Request, corpus: DataFrame | None = None, vec
         out = out.withColumn("final_score", F.lit(1.0) / (F.col("rank_static") + RANK_K))
         return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "record_id")))
     channels = {"static_attribute": ("static",), "dynamic_event": ("dynamic",)}.get(request.mode, ("static", "dynamic"))
+    statistics = text_statistics(corpus or pool, [f"{c}_text" for c in channels], query_terms(request.query)) if request.text == "bm25" else None
     out = pool
     for c in ("static", "dynamic"):
         if c not in channels:
             out = out.withColumn(f"rank_{c}", F.lit(None).cast("int"))
             continue
         text = f"{c}_text"
-        out = keyword(bm25(out, text, request.query, corpus) if request.text == "bm25" else out.withColumn("bm25", F.lit(None).cast("double")), text, request.query)
+        out = keyword(bm25(out, text, request.query, corpus, statistics) if request.text == "bm25" else out.withColumn("bm25", F.lit(None).cast("double")), text, request.query)
         found = F.max(F.col("bm25").isNotNull()).over(Window.partitionBy())
         out = out.withColumn("_s", F.when(found, F.col("bm25")).otherwise(F.col("keyword").cast("double"))).drop("bm25", "keyword")
         out = ranked(out, "_s", f"rank_{c}").drop("_s")
