@@ -47,6 +47,28 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows (of some 16 bytes) up to which a list of sought keys is broadcast; beyond it, the sought rows are shuffled.
+FEW = 1 << 20
+
+
+def sought(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame] | None:
+    """The rows whose key is listed (distinct keys) and the others, without a shuffle; None if the list is too long for that."""
+    if keys.count() > FEW:
+        return None
+    listed = F.broadcast(keys.select(key))
+    return rows.join(listed, key, "left_semi"), rows.join(listed, key, "left_anti")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 over an array of 64-bit words."""
     x = x ^ (x >> np.uint64(30))
@@ -87,26 +109,31 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return h
 
 
-def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """Smallest id reachable by links: (id, component) of each node.
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """Components of the nodes that ``edges`` (a, b: long) link: (id, component), each named by one of its nodes.
 
-    ``nodes`` has a column id, ``edges`` columns a and b (both long, a != b).
-    Each round a node takes the smallest label in its neighbourhood and then
-    its label's label (pointer jumping), so long chains need few rounds. Rounds
-    are written to the shared folder. Only linked nodes take part.
+    Each round every node hooks to the neighbour of the least hash, if that is
+    less than its own (another hash each round, so chains shrink by a share,
+    too); hooked nodes become one and their edges are drawn together, equal
+    ones once. Work shrinks with the edges; rounds are written to the shared
+    folder.
     """
-    both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-links")
-    now = stash(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")), f"{label}-labels")
-    while True:
-        seen = both.join(now.select(F.col("id").alias("b"), F.col("c").alias("nc")), "b").groupBy(F.col("a").alias("id")).agg(F.min("nc").alias("nc"))
-        step = now.join(seen, "id").select("id", F.col("c").alias("old"), F.least("c", "nc").alias("c"))
-        # a label is the id of a linked node, so its own label is a shortcut
-        jump = step.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        nxt = stash(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("c")), f"{label}-labels")
-        if nxt.filter(F.col("old") != F.col("c")).limit(1).count() == 0:
-            break
-        now = nxt.select("id", "c")
-    return nodes.join(nxt.select("id", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("component"))
+    edges = stash(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
+    names = stash(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), f"{label}-names")
+    number = 0
+    while edges.limit(1).count():
+        h = lambda c: F.xxhash64(F.lit(number), F.col(c))  # noqa: B023, E731  used within the round
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.struct(h("b").alias("h"), F.col("b").alias("id"))).alias("m"))
+        hooks = stash(least.filter(F.col("m.h") < h("a")).select("a", F.col("m.id").alias("to")), f"{label}-hooks")
+        moved = names.join(hooks.withColumnRenamed("a", "component"), "component", "left")
+        fresh = stash(moved.select("id", F.coalesce("to", "component").alias("component")), f"{label}-names")
+        e = edges.join(hooks.withColumnRenamed("to", "x"), "a", "left").join(hooks.select(F.col("a").alias("b"), F.col("to").alias("y")), "b", "left")
+        e = e.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a <> b")
+        drawn = stash(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{label}-edges")
+        discard(edges, names, hooks)
+        edges, names, number = drawn, fresh, number + 1
+    return names
 
 
 def batches(frames: Iterator, *columns: str) -> Iterator:

@@ -14,7 +14,7 @@ order, by a count sketch over all rows, so they seldom stand in a prefix.
 
 Equal sets are one point. Lists of up to LEAF points are a single leaf, all its
 pairs are candidates. In longer lists each point is first paired with the
-list's least point and with the next one; components of what verifies follow,
+list's least point and one other; components of what verifies follow,
 and only pairs between different components are then searched in the tree: a
 group of n copies gives about n candidates a token instead of n squared. Lists
 beyond SPLIT points are searched block against block in different tasks.
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from obspark.llm import common
 
-GROUPS = 64
-LEAF, FAN = 8, 32
+GROUPS = 256
+LEAF, FAN, CHAIN = 8, 32, 64
 SPLIT = 4096
 #: Counters of the sketch, and of one of its rows.
 SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
-CEILING = 65535
+CEILING = 255
 
 
 def token_set(text: str | None, words: int) -> np.ndarray:
@@ -46,7 +46,7 @@ def token_set(text: str | None, words: int) -> np.ndarray:
 
 def vector(s: np.ndarray) -> np.ndarray:
     """Group counts of a set; a count at the ceiling stands for any larger one."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), CEILING).astype("<u2")
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS), CEILING).astype(np.uint8)
 
 
 def set_ids(s: np.ndarray) -> int:
@@ -60,11 +60,15 @@ def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
+def minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima; where both counts are at the ceiling, the sum is without bound."""
+    low = np.minimum(x, y)
+    return np.where((low == CEILING).any(axis=1), np.int64(1 << 40), low.sum(axis=1, dtype=np.int64))
+
+
 def bound_holds(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the summed coordinate minima of points allow the overlap that a link needs."""
-    low = np.minimum(x, y).astype(np.int64)
-    low[low >= CEILING] = 1 << 40
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (low.sum(axis=1) >= needed(a, b, percent))
+    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (minima(x, y) >= needed(a, b, percent))
 
 
 class RTree:
@@ -90,14 +94,12 @@ class RTree:
             for level in range(len(self.levels) - 1, -1, -1):
                 box, low, high = self.levels[level]
                 keep = []
-                for a in range(0, len(qs), 16384):
-                    x, n = qs[a : a + 16384], ns[a : a + 16384]
+                for a in range(0, len(qs), 8192):
+                    x, n = qs[a : a + 8192], ns[a : a + 8192]
                     nearest = np.clip(sizes[x], low[n], high[n])  # the size in the box that needs least of the bound on sizes
                     fits = 100 * np.minimum(sizes[x], nearest) >= percent * np.maximum(sizes[x], nearest)
                     least = np.maximum(low[n], -(-percent * sizes[x] // 100))
-                    s = np.minimum(points[x], box[n]).astype(np.int64)
-                    s[s >= CEILING] = 1 << 40
-                    keep.append(fits & (s.sum(axis=1) >= needed(sizes[x], least, percent)))
+                    keep.append(fits & (minima(points[x], box[n]) >= needed(sizes[x], least, percent)))
                 keep = np.concatenate(keep) if keep else np.zeros(0, bool)
                 qs, ns = qs[keep], ns[keep]
                 if level:
@@ -152,30 +154,31 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
     empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).alias("doc_id"), "text")
+    # rows are found again by a hash of id and text: ids may be null or repeat
+    texts = docs.select(F.col(key).alias("doc_id"), "text", F.xxhash64(key, "text").alias("row"))
 
     # 1. sizes, ids and points of the sets, and the sketch of token counts
     def describe(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-        names = ["doc_id", "n", "node", "data", "part"]
-        for ids, ts in common.batches(frames, "doc_id", "text"):
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+        names = ["doc_id", "row", "n", "node", "data", "part"]
+        for ids, hashes, ts in common.batches(frames, "doc_id", "row", "text"):
             rows = []
-            for i, t in zip(ids, ts, strict=True):
+            for i, h, t in zip(ids, hashes, ts, strict=True):
                 s = token_set(t, words)
                 if len(s):
                     sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH else 0
                     if len(s) <= SKETCH:
                         np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                rows.append((i, len(s), set_ids(s) if len(s) else None, vector(s).tobytes() if len(s) else None, None))
+                rows.append((i, h, len(s), set_ids(s) if len(s) else None, vector(s).tobytes() if len(s) else None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        parts = [(None, 0, None, zlib.compress(sketch[a : a + SKETCH_ROW].astype("<i8").tobytes(), 1), a // SKETCH_ROW) for a in range(0, SKETCH, SKETCH_ROW) if sketch[a : a + SKETCH_ROW].any()]
+        parts = [(None, None, 0, None, zlib.compress(sketch[a : a + SKETCH_ROW].astype("<i8").tobytes(), 1), a // SKETCH_ROW) for a in range(0, SKETCH, SKETCH_ROW) if sketch[a : a + SKETCH_ROW].any()]
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
 
     common.small_batches(spark)
-    described = common.stash(texts.mapInArrow(describe, "doc_id long, n long, node long, data binary, part int"), "sets")
+    described = common.stash(texts.mapInArrow(describe, "doc_id long, row long, n long, node long, data binary, part int"), "sets")
     sets = described.filter("part is null").select("doc_id", "n", "node")
 
     def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +233,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
             if m <= LEAF:
                 i, j = np.triu_indices(m, 1)
             else:
-                i, j = np.concatenate((np.zeros(m - 1, np.int64), np.arange(m - 1))), np.concatenate((np.arange(1, m), np.arange(1, m)))
+                rest = np.arange(1, m)
+                # in long lists the two least points are the centres, in shorter ones each point also meets the next
+                i, j = np.concatenate((np.zeros(m - 1, np.int64), rest[:-1] if m <= CHAIN else np.ones(m - 2, np.int64))), np.concatenate((rest, rest[1:]))
                 out.append((np.full(m, key_[0]), node, np.full(m, -1), n, np.zeros(m, np.int64)))
                 n_out += m
             fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
@@ -249,80 +254,101 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
 
     common.small_batches(spark, 256)
     found = common.stash(lists.mapInArrow(candidates, "key long, a long, kind long, n long, b long"), "candidates")
-    points = described.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("data").alias("point"))
+    points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("data").alias("point"))
     points = common.stash(points, "points")
 
     def bounded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("x", "y"))
             ok = bound_holds(x, y, *(b.column(c).to_numpy() for c in ("na", "nb")), percent)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        """Of distinct pairs of nodes, those that link: the bound of the points first, then the sets of the texts."""
+    def near(pairs: DataFrame, label: str) -> DataFrame:
+        """Of distinct pairs of nodes, those that the bound of the points lets through."""
         left = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("x"))
         right = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y"))
-        near = common.stash(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bounded, "a long, b long"), f"{label}-near")
-        ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(points.select("node", "rep"), "node")
-        bodies = texts.join(ends.select(F.col("rep").alias("doc_id"), "node"), "doc_id").select("node", "text").dropDuplicates(["node"])
-        if near.limit(1).count() == 0:
-            return near
-        bodies = common.stash(bodies, f"{label}-texts")
-        both = near.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-
-        def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, s = None, None
-            for a, b, x, y in common.batches(frames, "a", "b", "x", "y"):
-                out = []
-                for i, j, t, u in zip(a, b, x, y, strict=True):
-                    if i != last:
-                        last, s = i, token_set(t, words)
-                    v = token_set(u, words)
-                    both_ = len(np.intersect1d(s, v, True))
-                    if 100 * both_ >= percent * (len(s) + len(v) - both_):
-                        out.append((i, j))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        return common.stash(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{label}-links")
-
-    first = verified(found.filter("kind = 1").select("a", "b").distinct(), "first")
-    nodes = points.select(F.col("node").alias("id"))
+        return common.stash(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bounded, "a long, b long"), f"{label}-near")
+
+    def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, s = None, None
+        for a, b, x, y in common.batches(frames, "a", "b", "x", "y"):
+            out = []
+            for i, j, t, u in zip(a, b, x, y, strict=True):
+                if i != last:
+                    last, s = i, token_set(t, words)
+                v = token_set(u, words)
+                both = len(np.intersect1d(s, v, True))
+                if 100 * both >= percent * (len(s) + len(v) - both):
+                    out.append((i, j))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def gathered(named: DataFrame, label: str) -> DataFrame:
+        """One text of each set that pairs name; few of them are sought by a broadcast, more by a shuffle of the texts."""
+        ends = named.select(F.col("a").alias("node")).unionByName(named.select(F.col("b").alias("node"))).distinct()
+        ends = common.stash(ends.join(points.select("node", "row"), "node"), f"{label}-ends")
+        sought = F.broadcast(ends) if ends.count() <= common.FEW else ends
+        return common.stash(texts.select("row", "text").join(sought, "row").select("node", "text").dropDuplicates(["node"]), f"{label}-texts")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """Of pairs of nodes, those whose sets link."""
+        bodies = gathered(pairs, label)
+        both = pairs.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(bodies.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        links = common.stash(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), f"{label}-links")
+        common.discard(bodies)
+        return links
+
     long = found.filter("kind = -1").select("key", F.col("a").alias("node"), "n")
-    label = common.components(nodes, first, "first")
+    pairs = near(found.filter("kind = 1").select("a", "b").distinct(), "first")
+    first = verified(pairs, "first")
+    label = common.components(first, "first")
+    named = lambda df, c: df.join(label.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn("_c", F.coalesce("_c", c))
 
     # 4. pairs between components within long lists, by the trees
-    tagged = long.join(label.select(F.col("id").alias("node"), "component"), "node")
+    tagged = named(long, "node").withColumnRenamed("_c", "component")
     mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
     blocks = F.ceil(F.col("m") / SPLIT).cast("int")
-    open_ = tagged.join(mixed, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = tagged.join(mixed, "key")
+    # a pair is told by the least list that both are in, so each row brings its point's lesser lists
+    lists_of = held.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    open_ = held.join(lists_of, "node").withColumn("lesser", F.filter("keys", lambda k: k < F.col("key"))).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a list of several blocks is searched as pairs of blocks, each pair on its own
     spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "component", (F.col("mine") <= F.col("other")).cast("long").alias("lower"), (F.col("mine") >= F.col("other")).cast("long").alias("upper")
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "component", "lesser", (F.col("mine") <= F.col("other")).cast("long").alias("lower"), (F.col("mine") >= F.col("other")).cast("long").alias("upper")
     )
     spread = spread.join(points.select("node", "point"), "node")
 
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, n, comp, lower, upper, point in _runs(frames, ["cell", "node", "n", "component", "lower", "upper", "point"]):
-            x = np.frombuffer(b"".join(point), "<u2").reshape(-1, GROUPS)
+        for _, node, n, comp, lower, upper, point, lesser in _runs(frames, ["cell", "node", "n", "component", "lower", "upper", "point", "lesser"]):
+            x = np.frombuffer(b"".join(point), np.uint8).reshape(-1, GROUPS)
             p, q = np.flatnonzero(lower == 1), np.flatnonzero(upper == 1)
             if not len(p) or not len(q):
                 continue
             i, j = RTree(x[p], n[p].astype(np.int64)).search(x[q], n[q].astype(np.int64), percent)
             i, j = q[i], p[j]
             ok = comp[i] != comp[j]
+            if lower.all() and upper.all():  # one block with itself: each pair comes twice
+                ok &= node[i] < node[j]
+            i, j = i[ok], j[ok]
+            lists = {r: frozenset(lesser[r].tolist()) for r in np.unique(np.concatenate((i, j))).tolist()}
+            ok = np.fromiter((lists[u].isdisjoint(lists[v]) for u, v in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
             a, b = node[i[ok]], node[j[ok]]
             yield _emit([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
 
-    cross = common.stash(spread.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "n", "component", "lower", "upper", "point").mapInArrow(search, "a long, b long").distinct(), "cross")
+    cross = common.stash(spread.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "n", "component", "lower", "upper", "point", "lesser").mapInArrow(search, "a long, b long").distinct(), "cross")
     if cross.limit(1).count():
-        second = verified(cross.join(found.filter("kind = 1").select("a", "b").distinct(), ["a", "b"], "left_anti"), "second")
-        if second.limit(1).count():
-            label = common.components(nodes, first.unionByName(second), "all")
+        second = verified(near(cross.join(pairs, ["a", "b"], "left_anti"), "second"), "second")
+        drawn = named(named(second, "a").withColumnRenamed("_c", "x"), "b").select(F.col("x").alias("a"), F.col("_c").alias("b"))
+        more = common.components(drawn, "second")
+        joined = label.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        # nodes that only the second round links
+        label = joined.unionByName(more.join(label, "id", "left_anti").select("id", "component"))
+
+    common.discard(found, pairs, points, cross)
 
     # 5. the smallest document of each component
-    member = sets.join(label.select(F.col("id").alias("node"), "component"), "node", "left")
+    member = sets.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return member.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -241,7 +241,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     variety = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("weight").alias("w")).filter("kinds > 1 and w = 1").select("anchor", "kinds")
     unlike = groups.join(variety, "anchor").select("anchor", "weight", "kinds", "at.*")
     wanted = unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "weight", "kinds", "first", "last")).alias("cuts"))
-    held = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
+    wanted = common.stash(wanted, "wanted")
+    texts = rows.select("row", "text")
+    held = ((common.sought(texts, wanted, "row") or (texts,))[0]).join(wanted, "row").dropDuplicates(["row"])
 
     def fetch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Bytes of the segments; of anchors with many kinds, a row for each window with its hash."""
@@ -302,7 +304,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     places = fetched.filter("bytes is null").select("anchor", "window", "weight", "row", "first")
     often = places.groupBy("anchor", "window").agg(F.sum("weight").alias("w")).filter("w > 1").select("anchor", "window")
     counted = places.join(often, ["anchor", "window"], "left_semi").select("row", "first", F.col("first").alias("last"))
-    return common.stash(local.unionByName(whole).unionByName(compared).unionByName(counted), "spans")
+    spans = common.stash(local.unionByName(whole).unionByName(compared).unionByName(counted), "spans")
+    common.discard(found, alike, groups, wanted, fetched)
+    return spans
 
 
 def with_stretches(docs: DataFrame, length: int, many: int) -> DataFrame:
@@ -310,8 +314,12 @@ def with_stretches(docs: DataFrame, length: int, many: int) -> DataFrame:
     # rows with equal id and text are told apart by nothing and share their stretches, which count for each
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text", F.length("text")))
     found = repeated_spans(rows.select(F.col("_row").alias("row"), "text"), length, many)
-    gathered = found.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "last")).alias("_stretches"))
-    return rows.join(gathered, "_row", "left").drop("_row")
+    gathered = common.stash(found.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "last")).alias("_stretches")), "stretches")
+    parts = common.sought(rows, gathered, "_row")
+    if parts is None:
+        return rows.join(gathered, "_row", "left").drop("_row")
+    hit, rest = parts
+    return hit.join(gathered, "_row").unionByName(rest.withColumn("_stretches", F.lit(None).cast(gathered.schema["_stretches"].dataType))).drop("_row")
 
 
 def cut_text(text: str | None, stretches: list[dict] | None, length: int) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:

@@ -136,6 +136,24 @@ def test_jaccard_repeated_and_missing_ids(spark):
     assert got == [(3, 1), (57, 1), (58, 1), (59, 1)]
 
 
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
+    parent = {}
+
+    def top(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            parent[top(a)] = top(b)
+    got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert set(got) == set(parent)
+    assert len({(top(i), c) for i, c in got.items()}) == len({top(i) for i in parent}) == len(set(got.values()))
+
+
 def test_tree_loses_nothing():
     rng = np.random.default_rng(0)
     points = rng.poisson(3, (700, jaccard.GROUPS)).astype(np.uint8)
