@@ -36,6 +36,15 @@ def sign(payload: str, secret: str) -> str:
     return base64.urlsafe_b64encode(hmac.new(secret.encode(), payload.encode(), hashlib.sha256).digest()).decode().rstrip("=")
 
 
+def verified_payload(token: str | None, secret: str, now: float) -> str | None:
+    """the payload of a token ``subject:expiry.signature`` that is genuine and has not lapsed, else None."""
+    payload, _, signature = (token or "").rpartition(".")
+    if not payload or not hmac.compare_digest(signature, sign(payload, secret)):
+        return None
+    expiry = payload.rpartition(":")[2]
+    return payload if expiry.isdigit() and int(expiry) > now else None
+
+
 def playback_token(secret: str):
     @F.pandas_udf(StringType())
     def token(payloads: pd.Series) -> pd.Series:

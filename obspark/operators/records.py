@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from obspark.functions.udfs import hash_embedding
 from obspark.operators import search
 from obspark.operators.scope import Scope, authorized
 
@@ -43,6 +44,18 @@ def vectors_of(vectors: DataFrame, ids: DataFrame, vector_type: str | None = Non
     return vectors.join(ids.select("record_id"), "record_id", "left_semi")
 
 
+def reindex(records: DataFrame, vectors: DataFrame, channel: str, model_id: str, force: bool = False) -> DataFrame:
+    """The vectors of a channel after records that the model has not embedded yet (with ``force``, all) are embedded.
+
+    Resumable: what is there by the model is left alone, so a second run adds nothing.
+    """
+    mine = vectors.filter((F.col("vector_type") == channel) & (F.col("model_id") == model_id)).select("record_id")
+    todo = records if force else records.join(mine, "record_id", "left_anti")
+    new = todo.select("record_id", F.lit(channel).alias("vector_type"), hash_embedding(f"{channel}_text").alias("embedding"), F.lit(model_id).alias("model_id"))
+    kept = vectors.join(new.select("record_id", "vector_type"), ["record_id", "vector_type"], "left_anti")
+    return kept.select("record_id", "vector_type", "embedding", "model_id").unionByName(new)
+
+
 def parsed_scores(df: DataFrame, body: str, documents: str) -> DataFrame:
     """A response's scores aligned to its documents by index; a missing index scores 0."""
     results = F.from_json(body, "struct<results: array<struct<index: int, score: double>>>")["results"]

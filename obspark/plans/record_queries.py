@@ -91,6 +91,7 @@ QUERIES = {
     "timeline_scan": lambda s, d: records.timeline_scan(views.timeline(s, d), F.lit("2024-01-03").cast("timestamp_ntz"), F.lit("2024-01-09").cast("timestamp_ntz"), 500).select("event_id", "occurred_at", "event_phase"),
     "audit_scan": lambda s, d: records.equality_scan(_t(s, d, "events"), ["ts", "event_id"], 100, user_id=7, event_type=None).select("event_id", "event_type"),
     "vector_fetch": lambda s, d: records.vectors_of(views.vectors(s, d), search.candidate_pool(_obs(s, d), SCOPE), "static").select("record_id", F.size("embedding").alias("dimension")),
+    "reindex_run": lambda s, d: records.reindex(_obs(s, d), views.vectors(s, d).withColumn("model_id", F.when(F.col("doc_id") % 2 == 0, "mock").otherwise("old")), "static", "mock").groupBy("vector_type", "model_id").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dimension")),
     "rerank_parse": _scores,
     "detector_parse": _detections,
     "sanitized_export": lambda s, d: records.sanitized(_obs(s, d).withColumn("source_uri", F.lit("secret")), SCOPE).select("record_id", "camera_id", "security_level"),
@@ -127,6 +128,7 @@ ORACLE_SQL = {
     "timeline_scan": f"WITH {views.TIMELINE_SQL} SELECT event_id, occurred_at, event_phase FROM tl WHERE occurred_at >= TIMESTAMP '2024-01-03' AND occurred_at <= TIMESTAMP '2024-01-09' ORDER BY occurred_at, event_id LIMIT 500",
     "audit_scan": "SELECT event_id, event_type FROM events WHERE user_id = 7 ORDER BY ts, event_id LIMIT 100",
     "vector_fetch": f"WITH {POOL} SELECT record_id, len(embedding) AS dimension FROM embeddings JOIN pool ON vec_id = doc_id WHERE label % 2 = 0",
+    "reindex_run": "WITH v AS (SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'static' ELSE 'dynamic' END AS c, CASE WHEN vec_id % 2 = 0 THEN 'mock' ELSE 'old' END AS m FROM embeddings), n AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM v WHERE c = 'static' AND m = 'mock')), a AS (SELECT c, m FROM v WHERE NOT (c = 'static' AND vec_id IN (SELECT doc_id FROM n)) UNION ALL SELECT 'static', 'mock' FROM n) SELECT c AS vector_type, m AS model_id, count(*) AS n, 64 AS dimension FROM a GROUP BY ALL",
     "rerank_parse": "SELECT p_partkey AS id, position, CASE position WHEN 0 THEN 0.25 WHEN 1 THEN CAST(p_partkey % 100 AS DOUBLE) / 128 ELSE 0 END AS score FROM part, (SELECT unnest([0, 1, 2]) AS position)",
     "detector_parse": "SELECT p_partkey AS id, 0 AS image, 'person' AS label, CAST(0.5 AS DOUBLE) AS confidence, CAST(least(1, p_partkey % 7) AS DOUBLE) AS x0, CAST(greatest(3, p_partkey % 7) AS DOUBLE) AS x1, CAST(2 AS DOUBLE) AS y0, CAST(4 AS DOUBLE) AS y1 FROM part UNION ALL SELECT p_partkey, 1, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 2 = 0",
     "sanitized_export": f"WITH {SCOPED} SELECT record_id, camera_id, security_level FROM scoped",

@@ -185,3 +185,23 @@ def test_motion_scores_and_embedding():
 def test_permits(spark):
     df = spark.createDataFrame([(["ann"], [], [], ["ann"]), ([], ["guard"], [], []), ([], [], [], [])], "denied_principals array<string>, allowed_roles array<string>, allowed_groups array<string>, allowed_principals array<string>")
     assert [r[0] for r in df.select(scope.permits_principal("ann", ["guard"], [])).collect()] == [False, True, False]
+
+
+def test_tokens_expire():
+    token = f"rec:200.{udfs.sign('rec:200', 'k')}"
+    assert udfs.verified_payload(token, "k", 100) == "rec:200"
+    assert udfs.verified_payload(token, "k", 300) is None and udfs.verified_payload(token, "other", 100) is None and udfs.verified_payload(None, "k", 1) is None
+
+
+def test_backup_and_revisions(spark, tmp_path):
+    from obspark.operators import records
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    records.backup({"t": df}, f"file://{tmp_path}/b")
+    assert records.restore(spark, f"file://{tmp_path}/b")["t"].count() == 2
+    df.limit(1).write.mode("overwrite").parquet(f"file://{tmp_path}/b/t")
+    with pytest.raises(ValueError):
+        records.restore(spark, f"file://{tmp_path}/b")
+    records.write_revision(df, f"file://{tmp_path}/r", "1")
+    with pytest.raises(Exception, match="exists"):
+        records.write_revision(df, f"file://{tmp_path}/r", "1")
