@@ -314,6 +314,41 @@ def test_sharding_hot_group(spark):
     assert sum(sorted(hot.values())[-2:]) >= 150
 
 
+def test_sharding_hot_third(spark):
+    """A third of all rows over 24 shards, which eight shards hold; the groups beside it stay whole."""
+    rows = [(i, "hot" if i % 3 == 0 else f"p{i // 6}.{i % 3}" if i % 3 == 1 else None) for i in range(9600)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "id long, hub string"), 24).collect()
+    check_shards(out, 9600, 24)
+    groups = collections.defaultdict(set)
+    for r in out:
+        groups[r["hub"]].add(r["shard"])
+    assert len(groups.pop("hot")) == 8
+    groups.pop(None)
+    assert len(groups) == 1600 and all(len(g) == 1 for g in groups.values())
+
+
+@pytest.mark.parametrize("members, linked", [(2, 0.99), (2, 1), (10, 0.9), (10, 1), (7, 1)])
+def test_sharding_nearly_all_copies(spark, members, linked):
+    """With hardly a row that could fill up, groups stay whole; without one, as many as exact counts allow."""
+    n = 24_000
+    rows = [(i * 7919, f"g{i // members}" if i < n * linked else None) for i in range(n)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "id long, hub string"), 24).collect()
+    check_shards(out, n, 24)
+    groups = collections.defaultdict(set)
+    for r in out:
+        groups[r["hub"]].add(r["shard"])
+    groups.pop(None, None)
+    assert sum(len(g) > 1 for g in groups.values()) <= (0 if linked < 1 or n // 24 % members == 0 else 23)
+
+
+def test_sharding_empty_texts_stay_together(spark, tmp_path):
+    rows = [(i, ("", None, f"text {i}", f"other {i}")[i % 4]) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op7_sharding(spark, str(tmp_path)).collect()
+    check_shards(out, 400, 24)
+    assert len({r["shard"] for r in out if r["size"] == 8}) == 12  # 200 rows, shards of 16 or 17
+
+
 def test_sharding_edge_cases(spark, edge):
     nodes = edge.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hub"), "score")
     check_shards(sharding.shard_rows(nodes, 4).collect(), len(EDGE), 4)
