@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from obspark.llm import common
 
 PERMUTATIONS, WORDS, BANDS = 128, 5, 32
+#: Members of a band that meet in one cell, about.
+BLOCK = 500
 _RNG = np.random.default_rng(20)
 A = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 B = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64)
@@ -107,10 +109,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS)
     """Links (a, b, jaccard) between near-duplicate rows of ``docs`` (doc_id, text), a < b.
 
     Copies of a text link to its smallest id. Of the different texts, those
-    that share a signature band link to the band's smallest id, if the Jaccard
-    similarity of their shingle sets, counted exactly, reaches the threshold;
-    so a group of n gives at most n - 1 links a band. Rows without words link
-    with nothing; equal ids do not link.
+    every two that share a signature band link, if the Jaccard similarity of
+    their shingle sets, counted exactly, reaches the threshold; so the pairs to
+    verify grow with the square of a family of different texts. Rows without
+    words link with nothing; equal ids do not link.
     """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +136,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS)
     copies = texts.select("sha", F.col("doc_id").alias("b")).join(first, "sha").filter("a < b and a <> b").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()
     reps = texts.join(first.select("sha", F.col("a").alias("doc_id")), ["sha", "doc_id"]).dropDuplicates(["sha"]).select("doc_id", "text")
     keyed = reps.mapInArrow(task, "doc_id long, bands array<string>").select("doc_id", F.explode("bands").alias("band"))
-    low = keyed.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    pairs = keyed.withColumnRenamed("doc_id", "b").join(low, "band").filter("a < b").select("a", "b").distinct()
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_blocks", F.ceil(F.col("n") / BLOCK))
+    # a block meets every block of its band in a cell of its own, so no task holds a large band
+    dealt = keyed.join(sizes, "band").withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.col("_blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cells = dealt.select("band", F.least("_s", "_o").alias("_lo"), F.greatest("_s", "_o").alias("_hi"), "_s", "doc_id")
+    others = cells.select("band", "_lo", "_hi", F.col("_s").alias("_t"), F.col("doc_id").alias("b"))
+    met = cells.withColumnRenamed("doc_id", "a").join(others, ["band", "_lo", "_hi"]).filter("a < b and (_lo = _hi or _s <> _t)")
+    pairs = met.select("a", "b").distinct()
     full = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     near = full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
     words = copies.join(texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")

@@ -261,6 +261,24 @@ def test_band_join(docs, pandas_docs):
     assert min(got.values()) >= 0.8
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_band_join_family(spark, monkeypatch, block):
+    """Texts around a common passage: every pair that shares a band is linked or refuted, whatever the least id is."""
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    passage = [f"p{i}" for i in range(200)]
+    own = lambda k, n: [f"o{k}x{i}" for i in range(n)]
+    texts = {k: " ".join(passage + own(k, 40)) for k in range(40)}
+    texts |= {100 + k: " ".join(passage + own(100 + k, 20)) for k in range(20)}
+    sets = {k: set(common.shingles(t, 5).tolist()) for k, t in texts.items()}
+    keys = {k: {(j, fingerprints.signature(t)[j * 4 : j * 4 + 4].tobytes()) for j in range(32)} for k, t in texts.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b) for a in texts for b in texts if a < b and keys[a] & keys[b] and like(a, b) >= 0.8}
+    assert len(want) > 100 and min(a for a, _ in want) >= 100  # no link to the lower ids, which hold the bands' least
+    got = fingerprints.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    assert all(abs(r["jaccard"] - like(r["a"], r["b"])) < 1e-12 for r in got)
+
+
 # 6
 
 
