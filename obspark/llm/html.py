@@ -1,8 +1,8 @@
 """Operator 10: main text of web pages by differencing pages of near URLs.
 
-Pages are ordered by host and URL path; a page's partner is, of its two
-neighbours of the same host, the one whose path shares the longer beginning
-with its own. The text lines of both are aligned by longest common subsequence
+Pages are ordered by host and URL path, those of equal lines as one; a page's
+partner is, of the nearest pages before and after it on its host that differ
+from it, the one whose path shares the longer beginning with its own. The text lines of both are aligned by longest common subsequence
 and the lines that they share are deleted: what the template puts on every page.
 
 Markup decides first: lines in elements that are never article text (menus,
@@ -11,13 +11,15 @@ where a page marks its article, its lines are kept even if another page has
 them too (two pages may carry the same article) and what lies outside goes.
 So differencing decides on the pages that mark no article.
 
-Rows are dealt to ranges of (host, path) with the neighbours' edge rows, so a
-large host spreads over many tasks, and a page is shuffled once.
+Only the hosts of such pages are shuffled: their contents are dealt to ranges
+of (host, path) with the neighbours' edge rows, so a large host spreads over
+many tasks; the few whose partner lies beyond are looked up on the whole host.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import os.path
 import re
@@ -146,57 +148,146 @@ def main_text(lines: list[tuple[str, bool]], partner: list[tuple[str, bool]] | N
     return "\n\n".join(line for i, (line, _) in enumerate(lines) if i not in drop)
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+def comparable(a: list[str], b: list[str]) -> bool:
+    """Whether all lines of one page are among the other's, in order: differencing would delete a whole page."""
+    return len(shared(a, b)) == min(len(a), len(b))
+
+
+def partner_of(now: dict, before: dict | None, after: dict | None) -> dict | None:
+    """Of two candidates, the one whose path shares the longer beginning; the one before in a tie."""
+    return max((p for p in (before, after) if p), key=lambda p: len(os.path.commonprefix((p["path"], now["path"]))), default=None)
+
+
+def differenced(lines: list[str], partner: dict | None) -> str:
+    return main_text([(x, False) for x in lines], partner and [(x, False) for x in partner["lines"]])
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, url, host, path, lines, digest, text): text is null where differencing has to decide."""
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, urls, pages, hosts, paths in common.batches(frames, "page_id", "url", "html", "host", "path"):
+            told = [lines_of(x) for x in pages]
+            lines = [[x for x, _ in page] for page in told]
+            texts = ["\n\n".join(x for x, marked in page if marked) if any(m for _, m in page) else None if page else "" for page in told]
+            digests = [hashlib.md5("\n".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in lines]
+            cols = (ids, pa.int64()), (urls, pa.string()), (hosts, pa.string()), (paths, pa.string()), (lines, pa.list_(pa.string())), (digests, pa.string()), (texts, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["page_id", "url", "host", "path", "lines", "digest", "text"])
+
+    url = F.coalesce("url", F.lit(""))
+    ready = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"))
+    return ready.mapInArrow(task, "page_id long, url string, host string, path string, lines array<string>, digest string, text string")
+
+
+def settle(contents: DataFrame) -> DataFrame:
+    """Adds ``text`` to the plain rows of ``contents`` (host, digest, path, lines, plain); null where the partner lies beyond the bucket."""
+    names = ["host", "digest", "path", "lines", "plain", "_key", "_tie"]
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(run):
+            for i, now in enumerate(run):
+                if now["_side"] or not now["plain"]:
+                    continue
+                sides = run[i - 1 :: -1] if i else [], run[i + 1 :]
+                near = [next((p for p in side if not comparable(now["lines"], p["lines"])), None) for side in sides]
+                # the host goes on beyond the bucket, and all on this side is comparable
+                if any(p is None and side and side[-1]["_side"] for p, side in zip(near, sides, strict=True)):
+                    text = None
+                else:
+                    if near == [None, None]:
+                        near = [next((p for p in side if len(p["lines"]) < len(now["lines"])), None) for side in sides]
+                    text = differenced(now["lines"], partner_of(now, *near))
+                yield now["host"], now["digest"], now["path"], now["lines"] if text is None else None, now["_key"], now["_tie"], text
+
+        def batch(rows):
+            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.string()]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "digest", "path", "lines", "_key", "_tie", "text"])
+
+        run: list[dict] = []
+        keys = ("_bucket", "_side", *names)
+        for part in common.batches(frames, *keys):
+            for row in zip(*part, strict=True):
+                now = dict(zip(keys, row, strict=True))
+                if run and (run[0]["_bucket"], run[0]["host"]) != (now["_bucket"], now["host"]):
+                    yield batch(list(found(run)))
+                    run = []
+                run.append(now)
+        yield batch(list(found(run)))
+
+    keyed = contents.withColumn("_key", F.concat_ws(" ", "host", "path", "digest")).withColumn("_tie", F.xxhash64("digest"))
+    return common.range_buckets(keyed).select("_bucket", "_side", *names).mapInArrow(task, "host string, digest string, path string, lines array<string>, _key string, _tie long, text string")
+
+
+def settle_rest(contents: DataFrame, rest: list) -> list[tuple]:
+    """Texts (host, digest, text) of the rows that a bucket left open, by one look at all contents of their hosts.
+
+    Open rows of a bucket and side are comparable with each other and differ,
+    so they are at most as many as a page has lines.
+    """
+    by_host = defaultdict(list)
+    for i, r in enumerate(rest):
+        by_host[r["host"]].append((i, r["digest"], (r["_key"].encode(), r["_tie"]), r["lines"]))
+    sought = dict(by_host)
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple] = {}
+        for part in common.batches(frames, "host", "digest", "path", "lines", "_key", "_tie"):
+            for host, digest, path, lines, key, tie in zip(*part, strict=True):
+                for i, own, place, mine in sought.get(host, ()):
+                    level = 0 if not comparable(mine, lines) else 1 if len(lines) < len(mine) else None
+                    if digest == own or level is None:
+                        continue
+                    at = (key.encode(), tie)
+                    slot = (i, level, at > place)
+                    if slot not in best or (at < best[slot][0] if at > place else at > best[slot][0]):
+                        best[slot] = (at, path, lines)
+        rows = [(i, level, after, at[0].decode(), at[1], path, lines) for (i, level, after), (at, path, lines) in best.items()]
+        types = [pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["i", "level", "after", "_key", "_tie", "path", "lines"])
+
+    keyed = contents.withColumn("_key", F.concat_ws(" ", "host", "path", "digest")).withColumn("_tie", F.xxhash64("digest"))
+    seen = keyed.select("host", "digest", "path", "lines", "_key", "_tie").mapInArrow(task, "i int, level int, after boolean, _key string, _tie long, path string, lines array<string>")
+    place = F.struct("_key", "_tie")
+    near = seen.groupBy("i", "level", "after").agg(F.min_by(F.struct("path", "lines"), place).alias("first"), F.max_by(F.struct("path", "lines"), place).alias("last")).collect()
+    slots = {(r["i"], r["level"], r["after"]): (r["first"] if r["after"] else r["last"]).asDict() for r in near}
+    out = []
+    for i, r in enumerate(rest):
+        level = 0 if (i, 0, False) in slots or (i, 0, True) in slots else 1
+        partner = partner_of(r, slots.get((i, level, False)), slots.get((i, level, True)))
+        out.append((r["host"], r["digest"], differenced(r["lines"], partner)))
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of each row of ``pages`` (page_id, url, html; others are ignored).
 
     A null html counts as empty and gives an empty text; a null url is a host
-    of its own name. Copies of a page have each other as neighbours: then lines
-    of pages without a marked article are all shared, so a partner with the
-    same html is not used. An empty table gives no rows.
+    of its own name. Pages of a host with equal lines are one content, which is
+    differenced once, at its first path, so they get one text. Its partner is
+    the next content on either side that neither holds all its lines nor has
+    all of its own in it; where the host has none, the next one that leaves
+    lines over; with none at all the lines stay. An empty table gives no rows.
     """
-
-    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-
-        def emit(before, now, after):
-            if now is None or now["side"]:
-                return
-            near = [p for p in (before, after) if p and p["bucket"] == now["bucket"] and p["host"] == now["host"] and p["html"] != now["html"]]
-            partner = max(near, key=lambda p: len(os.path.commonprefix((p["path"], now["path"]))), default=None)
-            text = main_text(now["lines"], partner and partner["lines"])
-            done.append((now["page_id"], now["url"], text, len(text)))
-
-        def flush():
-            nonlocal done
-            cols, done = list(zip(*done, strict=True)) or [()] * 4, []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
-
-        before = now = None
-        # a bucket's rows come as: the one before (side -1), its own, the one after (side 1)
-        for part in common.batches(frames, "_bucket", "_side", "page_id", "url", "html", "_host", "_path"):
-            for row in zip(*part, strict=True):
-                nxt = dict(zip(("bucket", "side", "page_id", "url", "html", "host", "path"), row, strict=True))
-                nxt["lines"] = lines_of(nxt["html"])
-                emit(before, now, nxt)
-                before, now = now, nxt
-            if done:
-                yield flush()
-        emit(before, now, None)
-        yield flush()
-
-    common.small_batches(pages.sparkSession)
-    url = F.coalesce("url", F.lit(""))
-    ready = (
-        pages.select("page_id", "url", "html")
-        .withColumn("_host", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
-        .withColumn("_path", F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1))
-        .withColumn("_key", F.concat_ws(" ", "_host", "_path"))
-        .withColumn("_tie", F.xxhash64("page_id", "url", "html"))
-    )
-    return common.range_buckets(ready).select("_bucket", "_side", "page_id", "url", "html", "_host", "_path").mapInArrow(task, SCHEMA)
+    spark = pages.sparkSession
+    common.small_batches(spark)
+    parsed = common.stash(parsed_pages(pages), "pages")
+    done, plain = parsed.filter("text is not null"), parsed.filter("text is null")
+    out = done.select("page_id", "url", "text")
+    if plain.limit(1).count():
+        near = common.sought(parsed.filter(F.size("lines") > 0), plain.select("host").distinct(), "host")
+        beside = near[0] if near else parsed.filter(F.size("lines") > 0)
+        contents = beside.groupBy("host", "digest").agg(F.min(F.struct("path", "lines")).alias("_at"), F.max(F.col("text").isNull()).alias("plain"))
+        contents = common.stash(contents.select("host", "digest", "_at.path", "_at.lines", "plain"), "contents")
+        settled = common.stash(settle(contents), "settled")
+        texts = settled.filter("text is not null").select("host", "digest", "text")
+        rest = settled.filter("text is null").collect()
+        if rest:
+            texts = texts.unionByName(spark.createDataFrame(settle_rest(contents, rest), texts.schema))
+        common.discard(contents)
+        out = out.unionByName(plain.drop("text").join(texts, ["host", "digest"]).select("page_id", "url", "text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

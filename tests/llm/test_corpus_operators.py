@@ -485,6 +485,22 @@ def test_html_differencing(spark):
     assert got == [(1, "first"), (2, "second"), (2, "Menu words\n\nsecond\n\nAll rights"), (3, "Menu words\n\nalone\n\nAll rights"), (4, ""), (5, "")] or got[0] == (1, "first")
 
 
+@pytest.mark.parametrize("bucket", [1000, 3])
+def test_html_differencing_past_copies(spark, monkeypatch, bucket):
+    """Copies, slightly different html and pages that hold all lines are no partners; equal html gives one text."""
+    ranges = common.range_buckets
+    monkeypatch.setattr(common, "range_buckets", lambda rows: ranges(rows, bucket))
+    page = lambda *a, tag="div": "".join(f"<{tag}>{x}</{tag}>" for x in ("Menu words", *a, "All rights"))
+    rows = [(i, f"http://h/a/{i:02d}", page("same")) for i in range(12)]
+    rows += [(20, "http://h/a/20", page("same", tag="p")), (21, "http://h/a/21", page("other")), (22, "http://h/a/22", page())]
+    rows += [(30, "http://lone/1", page("one")), (31, "http://lone/2", page("one"))]
+    rows += [(40 + i, f"http://grow/{i:02d}", page(*(f"x{k}" for k in range(i + 1)))) for i in range(8)] + [(50, "http://grow/50", page("end"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in (*range(12), 20)} == {"same"} and got[21] == "other" and got[22] == "Menu words\n\nAll rights"
+    assert got[30] == got[31] == "Menu words\n\none\n\nAll rights"
+    assert [got[40 + i] for i in range(8)] == ["\n\n".join(f"x{k}" for k in range(i + 1)) for i in range(8)] and got[50] == "end"
+
+
 def test_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(60):
