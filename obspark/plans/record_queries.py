@@ -111,7 +111,7 @@ QUERIES = {
     "error_classes": lambda s, d: _t(s, d, "part").select("p_partkey", text.error_class(F.element_at(F.array(*map(F.lit, ("Read timed out", "HTTP 429", "HTTP 503", "bad json", "boom"))), (F.col("p_partkey") % 5).cast("int") + 1)).alias("error_class")),
     "strip_forbidden": lambda s, d: _t(s, d, "part").select("p_partkey", F.array_join(F.sort_array(F.map_keys(records.stripped(F.create_map(F.lit("name"), "p_name", F.lit("clip_uri"), "p_brand", F.lit("size"), F.col("p_size").cast("string")), records.FORBIDDEN))), ",").alias("fields")),
     "idempotency_keys": lambda s, d: _obs(s, d).select("record_id", F.concat_ws(":", "video_id", "analysis_scale", F.col("segment_start_ms").cast("string"), F.col("segment_end_ms").cast("string")).alias("idempotency_key")),
-    "table_manifest": lambda s, d: records.manifest({n: _t(s, d, n).select(*c) for n, c in (("nation", ("n_name",)), ("region", ("r_name",)))}),
+    "table_manifest": lambda s, d: records.manifest({n: _t(s, d, n) for n in views.TABLES}),
 }
 
 

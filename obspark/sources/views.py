@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed step between the segments of a video, and their length, in ms.
 STEP_MS, SEGMENT_MS = 9000, 12000
+#: All tables of a scale-factor folder.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

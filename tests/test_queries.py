@@ -6,7 +6,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from obspark.operators import records
 from obspark.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,6 +46,15 @@ def test_query(spark, duck, sf, name):
     assert got == bag([d[0] for d in x.description], x.fetchall())
 
 
+def test_manifest_of_all_tables(spark, duck, sf):
+    """Each table with its rows, and a checksum over all its columns."""
+    got = {r["table_name"]: r for r in catalogue.QUERIES["table_manifest"](spark, sf).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {t: duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in TABLES}
+    one = records.manifest({"nation": spark.read.parquet(f"{sf}/nation.parquet").withColumn("n_regionkey", F.lit(-1))}).first()
+    assert one["checksum"] != got["nation"]["checksum"]
+    assert got["nation"]["checksum"] == records.manifest({"nation": spark.read.parquet(f"{sf}/nation.parquet")}).first()["checksum"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
