@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
+import json
+import re
 import struct
 
 import numpy as np
@@ -12,6 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from obspark.functions.text import HIDDEN_KEYS, HIDDEN_PATH, MOST_SHOWN
+
 
 def embed_text(text: str | None, dimension: int = 64) -> list[float]:
     """deterministic unit vector from SHA-256 blocks of a text, 16 bits a coordinate."""
@@ -53,6 +57,76 @@ def playback_token(secret: str):
     return token
 
 
+def playback_subject(secret: str, now: float):
+    """The subject of a genuine token ``subject:expiry.signature`` that has not lapsed, else null."""
+
+    @F.pandas_udf(StringType())
+    def subject(tokens: pd.Series) -> pd.Series:
+        held = tokens.map(lambda t: verified_payload(t, secret, now))
+        return held.map(lambda p: None if p is None else p.rpartition(":")[0])
+
+    return subject
+
+
+def hide(value, key: str = ""):
+    """a JSON value as an export shows it, at any depth."""
+    if re.search(HIDDEN_KEYS, key):
+        return "[redacted]"
+    if isinstance(value, dict):
+        return {k: hide(v, k) for k, v in value.items()}
+    if isinstance(value, list):
+        return [hide(v, key) for v in value]
+    if isinstance(value, str):
+        if value.startswith("data:") or re.match(HIDDEN_PATH, value):
+            return "[redacted]"
+        return "[redacted-long-string]" if len(value) > MOST_SHOWN else value
+    return value
+
+
+@F.pandas_udf(StringType())
+def redacted_json(payloads: pd.Series) -> pd.Series:
+    """JSON texts as an export shows them; null for what is no JSON."""
+
+    def one(p):
+        try:
+            return None if p is None else json.dumps(hide(json.loads(p)), separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return payloads.map(one)
+
+
+def frame_statistics(frame: bytes, width: int) -> tuple[float, float, list[float]]:
+    """Brightness, sharpness (variance of the Laplacian) and histogram (32 bins, shares) of a gray frame."""
+    x = np.frombuffer(frame, np.uint8).reshape(-1, width).astype(np.float64)
+    p = np.pad(x, 1, mode="reflect") if min(x.shape) > 1 else np.pad(x, 1, mode="edge")
+    laplacian = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x
+    return float(x.mean()), float(laplacian.var()), (np.bincount(x.astype(int).ravel() // 8, minlength=32) / x.size).tolist()
+
+
+def frame_features(width: int):
+    """Brightness, sharpness and the change of scene (1 less the correlation of histograms with the frame before) of each frame of a list."""
+
+    @F.pandas_udf("array<struct<brightness:double,sharpness:double,scene:double>>")
+    def features(frames: pd.Series) -> pd.Series:
+        def one(fs):
+            if fs is None:
+                return None
+            out, before = [], None
+            for f in fs:
+                light, sharp, bins = frame_statistics(bytes(f), width)
+                a = np.array(bins) - np.mean(bins)
+                norm = float(np.sqrt((a * a).sum() * (before * before).sum())) if before is not None else 0.0
+                scene = 0.0 if before is None else 1.0 - (float((a * before).sum()) / norm if norm else 1.0)
+                out.append({"brightness": light, "sharpness": sharp, "scene": max(0.0, scene)})
+                before = a
+            return out
+
+        return frames.map(one)
+
+    return features
+
+
 def motion_scores(frames: list[bytes]) -> list[float]:
     """Mean absolute difference of each gray frame from the one before, over 255 (the first: 0)."""
     arrays = [np.frombuffer(f, np.uint8).astype(np.int16) for f in frames]

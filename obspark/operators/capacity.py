@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obspark.functions import ranks
+
 
 def group_count(df: DataFrame, column: str) -> DataFrame:
     """A2: counts by a column, nulls left out; an empty result if the table has no such column."""
@@ -28,9 +33,10 @@ def retry_estimate(calls: DataFrame) -> DataFrame:
     return calls.groupBy("unit_id").agg(F.max("attempt_count").alias("m")).agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.col("m") - 1)), F.lit(0)).alias("retries"))
 
 
-def nearest_rank(column: str, q: float) -> Column:
-    """A4: nearest-rank percentile."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """A4: nearest-rank percentiles of each group, as columns, and n."""
+    place = lambda q: F.least(F.greatest(F.ceil(F.lit(q) * F.col("n")) - 1, F.lit(0)), F.col("n") - 1)
+    return ranks.at_positions(df, by, value, {k: place(q) for k, q in quantiles.items()})
 
 
 def video_hours(videos: DataFrame) -> DataFrame:
@@ -45,13 +51,55 @@ def job_wall(jobs: DataFrame, start: str, finish: str) -> DataFrame:
     return jobs.filter(both).agg(F.when(seconds.isNotNull(), F.greatest(F.lit(0), seconds)).alias("wall_seconds"))
 
 
-def estimate(metrics: DataFrame) -> DataFrame:
-    """derived capacity of one-row metrics (requests, hours, wall_seconds, p50_s, retries); a missing or zero divisor gives null."""
-    rate = F.try_divide(F.col("requests").cast("double"), "hours")
-    return metrics.select(
-        "*",
-        F.round(rate, 6).alias("requests_per_hour"),
-        F.round(F.try_divide(F.col("hours") * 3600, F.col("wall_seconds").cast("double")), 6).alias("realtime_factor"),
-        F.round(rate * F.col("p50_s") / 3600, 6).alias("concurrency_needed"),
-        F.round(F.try_divide(F.col("retries").cast("double"), F.col("requests").cast("double")), 6).alias("retry_rate"),
-    )
+@dataclass(frozen=True)
+class Plan:
+    """What capacity is planned for, and what is known of a group of accelerators (None: not known)."""
+
+    cameras: int
+    window_hours: float = 1.0
+    headroom: float = 0.7
+    measured_rate: float | None = None
+    effective_rate: float | None = None
+    safety: float = 0.7
+    accelerators: int | None = None
+    memory_gb: float | None = None
+
+
+def estimate(metrics: DataFrame, plan: Plan) -> DataFrame:
+    """the twelve derived metrics of one-row metrics (requests, hours, wall_seconds); what lacks an input, or divides by none, is null."""
+    known = lambda v: F.lit(v).cast("double")
+    positive = lambda c: F.when(c > 0, c)
+    hourly = F.try_divide(F.col("requests").cast("double"), positive(F.col("hours")))
+    production = hourly * plan.cameras
+    realtime = production / 3600
+    needed = F.try_divide(realtime, positive(known(plan.headroom)))
+    measured = F.coalesce(known(plan.measured_rate), F.try_divide(F.col("requests").cast("double"), positive(F.col("wall_seconds").cast("double"))))
+    effective = F.coalesce(known(plan.effective_rate), measured * plan.safety)
+    groups = F.try_divide(needed, positive(effective))
+    memory = known(plan.accelerators) * known(plan.memory_gb)
+    derived = {
+        "requests_per_camera_hour": hourly,
+        "production_requests_per_hour": production,
+        "production_requests": production * plan.window_hours,
+        "required_realtime_rate": realtime,
+        "required_rate_with_headroom": needed,
+        "measured_rate": measured,
+        "effective_rate": effective,
+        "processing_hours": F.try_divide(production * plan.window_hours, positive(effective)) / 3600,
+        "needed_groups": groups,
+        "needed_accelerators": groups * known(plan.accelerators),
+        "group_memory_gb": memory,
+        "needed_memory_gb": groups * memory,
+    }
+    return metrics.select("*", *[F.round(c, 6).alias(k) for k, c in derived.items()])
+
+
+def report(calls: DataFrame, jobs: DataFrame, videos: DataFrame, plan: Plan) -> DataFrame:
+    """Q11: one row of requests, outcomes, retries, latencies, hours, wall time and the derived metrics."""
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    m = one(calls.agg(F.count("*").alias("requests"), n("succeeded").alias("succeeded"), n("failed").alias("failed")))
+    latency = nearest_rank(calls, [], "duration_ms", {"p50": 0.5, "p95": 0.95}).select((F.col("p50") / 1000).alias("p50_s"), (F.col("p95") / 1000).alias("p95_s"))
+    for df in (video_hours(videos), job_wall(jobs, "started_at", "finished_at"), retry_estimate(calls), latency):
+        m = m.join(one(df), "_one", "left")
+    return estimate(m.drop("_one"), plan)

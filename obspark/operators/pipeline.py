@@ -18,24 +18,76 @@ def positive_ratio(frames: DataFrame, label: str, min_confidence: float) -> Data
 
 
 def gate_decision(df: DataFrame, min_ratio: float) -> DataFrame:
-    """A force reason sends a unit to the model, then a matched rule, else it is suppressed (columns force_reason, ratio)."""
+    """G8 with one rule: a force reason sends a unit to the model, then a matched rule, else it is suppressed (columns force_reason, ratio)."""
     forced = F.coalesce(F.col("force_reason"), F.lit("")) != ""
     matched = F.coalesce(F.col("ratio"), F.lit(0.0)) >= min_ratio
     return df.withColumn("triggered", forced | matched).withColumn("reason", F.when(forced, F.concat(F.lit("forced:"), "force_reason")).when(matched, "rule_matched").otherwise("suppressed"))
 
 
+def gate_rules(units: DataFrame, signals: DataFrame, rules: DataFrame, force_reasons: Sequence[str], enabled: bool = True) -> DataFrame:
+    """Decision on each unit (unit_id, trigger_reason) by all rules.
+
+    ``signals`` has unit_id, signal_type, frame_count, failed and frames (an
+    array of frames, each an array of label and confidence), ``rules`` rule_id,
+    signal_type, label, min_confidence, min_ratio, action. A rule's ratio is its
+    positive frames over the declared frames of all signals of its type; frames
+    of a failed signal tell nothing. With the profile off, every unit goes.
+    """
+    rules = F.broadcast(rules)
+    live = signals.filter("NOT failed").join(rules, "signal_type")
+    hits = F.size(F.filter("frames", lambda frame: F.exists(frame, lambda d: (d["label"] == F.col("label")) & (d["confidence"] >= F.col("min_confidence")))))
+    per = live.withColumn("hits", hits).groupBy("unit_id", "rule_id").agg(F.sum("hits").alias("hits"), F.sum("frame_count").alias("frames"), F.first("min_ratio").alias("min_ratio"), F.first("action").alias("action"))
+    met = (F.col("action") == "call_vlm") & (F.coalesce(F.try_divide("hits", "frames"), F.lit(0.0)) >= F.col("min_ratio"))
+    matched = per.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.when(met, F.col("rule_id")))).alias("matched_rules"))
+    out = units.join(matched, "unit_id", "left").withColumn("matched_rules", F.coalesce("matched_rules", F.array().cast("array<string>")))
+    # a unit without a signal meets the rules that ask for nothing
+    free = rules.filter("action = 'call_vlm' AND min_ratio <= 0").agg(F.sort_array(F.collect_list("rule_id")).alias("free"))
+    seen = signals.filter("NOT failed").select("unit_id").distinct().withColumn("seen", F.lit(True))
+    out = out.join(seen, "unit_id", "left").join(F.broadcast(free)).withColumn("matched_rules", F.when(F.col("seen"), F.col("matched_rules")).otherwise(F.col("free")))
+    forced = F.col("trigger_reason").isin(*force_reasons) if force_reasons else F.lit(False)
+    forced = F.coalesce(forced, F.lit(False)) & (F.coalesce("trigger_reason", F.lit("")) != "")
+    action = F.when(F.lit(not enabled), "gate_disabled").when(forced, "force_vlm").when(F.size("matched_rules") > 0, "call_vlm").otherwise("suppress_vlm")
+    return out.withColumn("action", action).withColumn("triggered", F.col("action") != "suppress_vlm").select("unit_id", "triggered", "action", "matched_rules")
+
+
+#: States in which a unit or scale still works.
+OPEN = ("pending", "queued", "running")
+
+
 def scale_status(units: DataFrame, keys: Sequence[str] = ("job_id", "analysis_scale")) -> DataFrame:
-    """Tallies and status of each scale of a job; skipped units do no harm."""
-    n = lambda s: F.count(F.when(F.col("status") == s, 1))
-    t = units.groupBy(*keys).agg(n("succeeded").alias("succeeded"), n("failed").alias("failed"), n("skipped").alias("skipped"))
-    return t.withColumn("scale_status", F.when((F.col("failed") > 0) & (F.col("succeeded") > 0), "partial_failed").when(F.col("failed") > 0, "failed").otherwise("succeeded"))
+    """Tallies and status of each scale of a job; skipped units do no harm, one that is still open leaves it running."""
+    n = lambda *s: F.count(F.when(F.col("status").isin(*s), 1))
+    t = units.groupBy(*keys).agg(n("succeeded").alias("succeeded"), n("failed").alias("failed"), n("skipped").alias("skipped"), n(*OPEN).alias("open"))
+    done = F.when((F.col("failed") > 0) & (F.col("succeeded") > 0), "partial_failed").when(F.col("failed") > 0, "failed").otherwise("succeeded")
+    return t.withColumn("scale_status", F.when(F.col("open") > 0, "running").otherwise(done))
 
 
 def job_status(scales: DataFrame, required: str) -> DataFrame:
-    """A required scale with units and no success fails the job, a failure elsewhere fails it in part."""
-    none = F.bool_or((F.col("analysis_scale") == required) & (F.col("succeeded") == 0) & (F.col("failed") + F.col("skipped") > 0) & (F.col("failed") > 0))
+    """A job with a running scale runs; a required scale with units and no success fails it, a failure elsewhere fails it in part."""
+    units = F.col("succeeded") + F.col("failed") + F.col("skipped") + F.col("open")
+    open_ = F.bool_or(F.col("scale_status") == "running")
+    none = F.bool_or((F.col("analysis_scale") == required) & (F.col("succeeded") == 0) & (units > 0))
     some = F.bool_or(F.col("scale_status").isin("failed", "partial_failed"))
-    return scales.groupBy("job_id").agg(F.when(none, "failed").when(some, "partial_failed").otherwise("succeeded").alias("job_status"))
+    return scales.groupBy("job_id").agg(F.when(open_, "running").when(none, "failed").when(some, "partial_failed").otherwise("succeeded").alias("job_status"))
+
+
+def reconcile_residual(units: DataFrame, job_id: Column) -> DataFrame:
+    """Units of a job that still run when it ends have failed."""
+    lost = (F.col("job_id") == job_id) & (F.col("status") == "running")
+    return units.withColumn("error_code", F.when(lost, "analysis_unit_failed").otherwise(F.col("error_code"))).withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
+
+
+def sweep_orphans(units: DataFrame, cutoff: Column, limit: int) -> DataFrame:
+    """Units after the oldest ``limit`` of those that run since before the cutoff have failed; ``swept`` tells them."""
+    stale = stale_running(units, cutoff, limit).select("unit_id", F.lit(True).alias("swept"))
+    out = units.join(F.broadcast(stale), "unit_id", "left").withColumn("swept", F.coalesce("swept", F.lit(False)))
+    return out.withColumn("error_code", F.when(F.col("swept"), "orphan_timeout").otherwise(F.col("error_code"))).withColumn("status", F.when(F.col("swept"), "failed").otherwise(F.col("status")))
+
+
+def swept_jobs(units: DataFrame, required: str) -> DataFrame:
+    """Status of the jobs that lost a unit in the sweep, from all of their units."""
+    parents = units.filter("swept").select("job_id").distinct()
+    return job_status(scale_status(units.join(parents, "job_id", "left_semi")), required)
 
 
 def claim_order(tasks: DataFrame, now: Column, limit: int) -> DataFrame:
@@ -55,6 +107,77 @@ def illegal_transitions(changes: DataFrame) -> DataFrame:
     return changes.filter("from_status <> to_status").join(F.broadcast(legal), ["from_status", "to_status"], "left_anti")
 
 
+def transitioned(states: DataFrame, changes: DataFrame) -> DataFrame:
+    """States (id, status, started_at, finished_at) after each one's change (id, to_status, at); those that no rule allows are told in ``refused``.
+
+    Entering ``running`` stamps the start, once; leaving it for an end stamps
+    the finish. A change to the same status is none.
+    """
+    legal = states.sparkSession.createDataFrame(list(TRANSITIONS), "status string, to_status string").withColumn("legal", F.lit(True))
+    both = states.join(changes, "id", "left").join(F.broadcast(legal), ["status", "to_status"], "left")
+    moves = F.coalesce(F.col("legal"), F.lit(False))
+    ends = F.col("to_status").isin("succeeded", "failed", "partial_failed", "cancelled")
+    return both.select(
+        "id",
+        F.when(moves, F.col("to_status")).otherwise(F.col("status")).alias("status"),
+        F.when(moves & (F.col("to_status") == "running"), F.coalesce("started_at", "at")).otherwise(F.col("started_at")).alias("started_at"),
+        F.when(moves & ends, F.col("at")).otherwise(F.col("finished_at")).alias("finished_at"),
+        (F.col("to_status").isNotNull() & (F.col("to_status") != F.col("status")) & ~moves).alias("refused"),
+    )
+
+
+def append_summary(jobs: DataFrame, published: DataFrame) -> DataFrame:
+    """Jobs (job_id, created, updated, archived: arrays of ids) with the ids of a publication behind their own, repeats kept."""
+    kinds = ("created", "updated", "archived")
+    new = published.select("job_id", *[F.col(k).alias(f"_{k}") for k in kinds])
+    none = F.array().cast("array<string>")
+    return jobs.join(new, "job_id", "left").select("job_id", *[F.concat(F.coalesce(k, none), F.coalesce(f"_{k}", none)).alias(k) for k in kinds])
+
+
+def probed(videos: DataFrame, probes: DataFrame) -> DataFrame:
+    """Videos (video_id, video_start, duration_ms, video_end, source_status) after a probe (video_id, probed_ms, error)."""
+    both = videos.join(probes, "video_id", "left")
+    ok = F.col("probed_ms").isNotNull() & F.col("error").isNull()
+    end = F.timestamp_add("MILLISECOND", "probed_ms", "video_start")
+    return both.select("video_id", "video_start", F.when(ok, F.col("probed_ms")).otherwise(F.col("duration_ms")).alias("duration_ms"), F.when(ok, end).otherwise(F.col("video_end")).alias("video_end"), F.when(F.col("error").isNotNull(), "failed").when(ok, "ready").otherwise(F.col("source_status")).alias("source_status"))
+
+
+# The location of cameras that nobody registered.
+AUTO_LOCATION, AUTO_LEVEL = "loc_auto_unregistered", "internal"
+
+
+def provisioned(cameras: DataFrame, seen: DataFrame) -> DataFrame:
+    """The cameras (camera_id, camera_name, location_id, status) with a row for each of ``seen`` (camera_id) that nobody registered."""
+    new = seen.select("camera_id").filter("camera_id IS NOT NULL").distinct().join(cameras.select("camera_id"), "camera_id", "left_anti")
+    return cameras.unionByName(new.select("camera_id", F.col("camera_id").alias("camera_name"), F.lit(AUTO_LOCATION).alias("location_id"), F.lit("active").alias("status")))
+
+
+def assembled(outputs: DataFrame, videos: DataFrame) -> DataFrame:
+    """observation records from model outputs and what the system knows of their videos; a unit that the gate held back has empty texts and tags.
+
+    ``outputs`` has video_id, analysis_scale, segment_start_ms, segment_end_ms,
+    static, dynamic, tags, quality, alert and gate (null: the model answered);
+    ``videos`` video_id, tenant_id, camera_id, location_id, video_start,
+    access_policy_id, security_level.
+    """
+    held = F.col("gate").isNotNull()
+    text = lambda c: F.when(held, "").otherwise(F.coalesce(c, F.lit("")))
+    told = F.to_json(F.struct("quality", "alert"), {"ignoreNullFields": "false"})
+    at = lambda c: F.timestamp_add("MILLISECOND", c, "video_start")
+    return outputs.join(videos, "video_id").select(
+        "tenant_id", "video_id", "analysis_scale", "segment_start_ms", "segment_end_ms", at("segment_start_ms").alias("observed_start"), at("segment_end_ms").alias("observed_end"), "camera_id", "location_id",
+        text("static").alias("static_text"), text("dynamic").alias("dynamic_text"), F.when(held, F.array().cast("array<string>")).otherwise(F.col("tags")).alias("tags"),
+        F.when(held, F.to_json(F.struct(F.col("gate").alias("detector_gate")))).otherwise(told).alias("attributes"), "access_policy_id", "security_level",
+    )
+
+
+def media_manifest(media: DataFrame) -> DataFrame:
+    """a short hash of each unit's media in their order (unit_id, index, content, timestamp_ms), by their contents' hashes."""
+    entry = F.struct("index", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), "timestamp_ms")
+    listed = media.groupBy("unit_id").agg(F.to_json(F.sort_array(F.collect_list(entry)), {"ignoreNullFields": "false"}).alias("entries"), F.count("*").alias("media"))
+    return listed.select("unit_id", "media", F.substring(F.sha2("entries", 256), 1, 16).alias("ordered_media_hash"))
+
+
 def latest(log: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The last state of each key from its log."""
     return log.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")).select(*key, "_last.*")

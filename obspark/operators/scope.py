@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from obspark.functions.numeric import LEVELS, level_rank
 
 
+# What each type of principal may do.
+USER_CAPABILITIES = ("observation.search", "observation.read_detail", "observation.read_locator", "video.playback")
+SERVICE_CAPABILITIES = ("analysis.submit", "analysis.rerun")
+ADMIN_CAPABILITIES = (*USER_CAPABILITIES, *SERVICE_CAPABILITIES, "analysis.publish", "camera.manage", "policy.manage", "user.manage", "audit.read", "runtime.manage")
+
+
+def capabilities(principal_type: Column) -> Column:
+    """capabilities by the type of a principal; unknown types are users."""
+    listed = lambda values: F.array(*map(F.lit, values))
+    return F.when(principal_type == "admin", listed(ADMIN_CAPABILITIES)).when(principal_type == "service_account", listed(USER_CAPABILITIES + SERVICE_CAPABILITIES)).otherwise(listed(USER_CAPABILITIES))
+
+
 @dataclass(frozen=True)
 class Scope:
     """What a principal may see; an empty list allows nothing."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obspark.functions import ranks
+
 
 def default_segments(df: DataFrame, width_ms: int, overlap_ms: int) -> DataFrame:
     """G1: windows of each row's ``duration_ms``: starts a step apart, the last one clamped and none after it; window_index from 0."""
@@ -40,8 +42,9 @@ def median_step(samples: DataFrame) -> DataFrame:
     """Upper median of the distances of a series' samples, at least 1 (1 if there are fewer than two)."""
     w = Window.partitionBy("series").orderBy("ts_ms", "event_id")
     gaps = samples.select("series", (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("gap"))
-    sorted_ = F.sort_array(F.collect_list("gap"))
-    return gaps.groupBy("series").agg(F.greatest(F.lit(1), F.coalesce(F.try_element_at(sorted_, F.floor(F.size(sorted_) / 2).cast("int") + 1), F.lit(1))).alias("step_ms"))
+    middle = ranks.at_positions(gaps, ["series"], "gap", {"middle": F.floor(F.col("n") / 2)})
+    every = gaps.select("series").distinct().join(middle, "series", "left")
+    return every.select("series", F.greatest(F.lit(1), F.coalesce("middle", F.lit(1))).alias("step_ms"))
 
 
 def motion_triggers(samples: DataFrame, threshold: float, min_ms: int, merge_gap_ms: int, duration_ms: int | None = None) -> DataFrame:

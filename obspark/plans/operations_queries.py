@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from obspark.functions import numeric, text, udfs
 from obspark.operators import capacity, evaluate, pipeline, temporal, timeline
+from obspark.plans.timeline_queries import lerp_sql
 from obspark.sources import views
 from obspark.streaming import streams
 
@@ -59,13 +60,21 @@ FRAMES_SQL = f"""{views.TIMELINE_SQL}, f0 AS (SELECT unit_id % 40 AS series, eve
 
 
 def _units(s, d):
-    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "succeeded").otherwise("skipped")
-    return _t(s, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("analysis_scale"), status.alias("status"), F.col("o_orderkey").alias("unit_id"))
+    status = F.when(F.col("o_orderkey") % 97 == 0, "running").when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), "failed").when(F.col("o_orderstatus") == "O", "succeeded").otherwise("skipped")
+    return _t(s, d, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("analysis_scale"), status.alias("status"), F.col("o_orderkey").alias("unit_id"), F.col("o_orderdate").alias("started_at"), F.lit(None).cast("string").alias("error_code"))
 
 
-UNITS_SQL = """u AS (SELECT o_custkey AS job_id, o_orderpriority AS analysis_scale, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'succeeded' ELSE 'skipped' END AS status, o_orderkey AS unit_id FROM orders),
- sc AS (SELECT job_id, analysis_scale, count(*) FILTER (WHERE status = 'succeeded') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM u GROUP BY ALL),
- ss AS (SELECT *, CASE WHEN failed > 0 AND succeeded > 0 THEN 'partial_failed' WHEN failed > 0 THEN 'failed' ELSE 'succeeded' END AS scale_status FROM sc)"""
+SWEPT = "1996-01-01 00:00:00"
+SWEPT_SQL = f"""st AS (SELECT unit_id FROM u WHERE status = 'running' AND started_at IS NOT NULL AND started_at < TIMESTAMP '{SWEPT}' ORDER BY started_at, unit_id LIMIT 40),
+ sw AS (SELECT * REPLACE (CASE WHEN unit_id IN (SELECT unit_id FROM st) THEN 'failed' ELSE status END AS status), CASE WHEN unit_id IN (SELECT unit_id FROM st) THEN 'orphan_timeout' END AS error_code FROM u ORDER BY unit_id)"""
+ROLLUP_SQL = """sc AS (SELECT job_id, analysis_scale, count(*) FILTER (WHERE status = 'succeeded') AS succeeded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status IN ('running', 'queued', 'pending')) AS open FROM u GROUP BY ALL),
+ ss AS (SELECT *, CASE WHEN open > 0 THEN 'running' WHEN failed > 0 AND succeeded > 0 THEN 'partial_failed' WHEN failed > 0 THEN 'failed' ELSE 'succeeded' END AS scale_status FROM sc),
+ js AS (SELECT job_id, CASE WHEN bool_or(scale_status = 'running') THEN 'running' WHEN bool_or(analysis_scale = '1-URGENT' AND succeeded = 0) THEN 'failed' WHEN bool_or(scale_status IN ('failed', 'partial_failed')) THEN 'partial_failed' ELSE 'succeeded' END AS job_status FROM ss GROUP BY job_id)"""
+UNITS_SQL = """u AS (SELECT o_custkey AS job_id, o_orderpriority AS analysis_scale, CASE WHEN o_orderkey % 97 = 0 THEN 'running' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderstatus = 'O' THEN 'succeeded' ELSE 'skipped' END AS status, o_orderkey AS unit_id, o_orderdate AS started_at FROM orders)"""
+
+
+def _swept(s, d):
+    return pipeline.sweep_orphans(_units(s, d), F.lit(SWEPT).cast("timestamp_ntz"), 40)
 
 
 def _tasks(s, d):
@@ -152,18 +161,40 @@ BREAKDOWN_SQL = f"""{STAGE_SQL}, la AS (SELECT unit_id, event_type AS stage, dur
  bk AS (SELECT *, coalesce(purchase, 0) + coalesce(error, 0) AS total_ms, CASE WHEN purchase IS NOT NULL AND purchase >= coalesce(error, -1) THEN 'purchase' ELSE 'error' END AS slowest_stage, greatest(coalesce(purchase, -1), coalesce(error, -1)) AS slowest_ms FROM bd)"""
 
 
+#: Capacity is planned for as many cameras, within so many hours, on groups of eight accelerators.
+PLAN = capacity.Plan(cameras=16, window_hours=2.0, accelerators=8, memory_gb=80.0)
+
+
 def _capacity(s, d):
-    calls, videos, jobs = views.model_calls(s, d), views.videos(s, d), views.jobs(s, d)
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    m = one(calls.agg(F.count("*").alias("requests"), (capacity.nearest_rank("duration_ms", 0.5) / 1000).alias("p50_s")))
-    for df in (capacity.video_hours(videos), capacity.job_wall(jobs, "created_at", "created_at"), capacity.retry_estimate(calls)):
-        m = m.join(one(df), "_one")
-    return capacity.estimate(m.drop("_one"))
+    calls = views.model_calls(s, d).withColumn("status", F.when(F.col("status") == "O", "succeeded").otherwise("failed"))
+    jobs = views.jobs(s, d).select(F.col("created_at").alias("started_at"), F.col("created_at").alias("finished_at"))
+    return capacity.report(calls, jobs, views.videos(s, d), PLAN)
+
+
+def _capacity_unknown(s, d):
+    """The derived metrics where inputs are missing: no hours, no wall time, rates told."""
+    plans = (PLAN, capacity.Plan(4), capacity.Plan(4, headroom=0.0, measured_rate=0.25), capacity.Plan(4, effective_rate=0.5, accelerators=2), capacity.Plan(4, measured_rate=0.5, memory_gb=24.0))
+    given = s.createDataFrame([(0, 1200, 8.0, 3600), (1, 1200, None, 3600), (2, 1200, 8.0, None), (3, 0, 8.0, 0)], "case_id int, requests long, hours double, wall_seconds long")
+    out = None
+    for i, plan in enumerate(plans):
+        one = capacity.estimate(given, plan).withColumn("plan_id", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-CAPACITY_SQL = f"""{views.CALLS_SQL}, m AS (SELECT (SELECT count(*) FROM calls) AS requests, (SELECT quantile_disc(duration_ms, 0.5) / 1000 FROM calls) AS p50_s, (SELECT round(sum(CAST(trunc(c_acctbal * 1000) AS BIGINT)) FILTER (WHERE CAST(trunc(c_acctbal * 1000) AS BIGINT) > 0) / 3.6e6, 6) FROM customer) AS hours,
- (SELECT CAST(epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS BIGINT) FROM orders) AS wall_seconds, (SELECT sum(greatest(0, m - 1)) FROM (SELECT max(attempt_count) AS m FROM calls GROUP BY unit_id)) AS retries)
- SELECT *, round(requests / hours, 6) AS requests_per_hour, round(hours * 3600 / wall_seconds, 6) AS realtime_factor, round(requests / hours * p50_s / 3600, 6) AS concurrency_needed, round(CAST(retries AS DOUBLE) / requests, 6) AS retry_rate FROM m"""
+CAPACITY_DERIVED = """d0 AS (SELECT *, CASE WHEN hours > 0 THEN CAST(requests AS DOUBLE) / hours END AS hourly, coalesce(p_measured, CASE WHEN wall_seconds > 0 THEN CAST(requests AS DOUBLE) / wall_seconds END) AS measured FROM m),
+ d1 AS (SELECT *, hourly * cameras / 3600 AS realtime, coalesce(p_effective, measured * 0.7) AS effective, accelerators * memory AS group_memory FROM d0),
+ d2 AS (SELECT *, CASE WHEN headroom > 0 THEN realtime / headroom END AS needed FROM d1), d3 AS (SELECT *, CASE WHEN effective > 0 THEN needed / effective END AS groups FROM d2)"""
+CAPACITY_COLUMNS = """round(hourly, 6) AS requests_per_camera_hour, round(hourly * cameras, 6) AS production_requests_per_hour, round(hourly * cameras * window_hours, 6) AS production_requests, round(realtime, 6) AS required_realtime_rate, round(needed, 6) AS required_rate_with_headroom,
+ round(measured, 6) AS measured_rate, round(effective, 6) AS effective_rate, round(CASE WHEN effective > 0 THEN hourly * cameras * window_hours / effective / 3600 END, 6) AS processing_hours, round(groups, 6) AS needed_groups, round(groups * accelerators, 6) AS needed_accelerators, round(group_memory, 6) AS group_memory_gb, round(groups * group_memory, 6) AS needed_memory_gb"""
+_plan_sql = lambda c, w, h, me, ef, a, g: f"{c} AS cameras, CAST({w} AS DOUBLE) AS window_hours, CAST({h} AS DOUBLE) AS headroom, CAST({me} AS DOUBLE) AS p_measured, CAST({ef} AS DOUBLE) AS p_effective, CAST({a} AS DOUBLE) AS accelerators, CAST({g} AS DOUBLE) AS memory"
+CAPACITY_SQL = f"""{views.CALLS_SQL}, m AS (SELECT (SELECT count(*) FROM calls) AS requests, (SELECT count(*) FROM calls WHERE status = 'O') AS succeeded, (SELECT count(*) FROM calls WHERE status <> 'O') AS failed, (SELECT quantile_disc(duration_ms, 0.5) / 1000 FROM calls) AS p50_s, (SELECT quantile_disc(duration_ms, 0.95) / 1000 FROM calls) AS p95_s,
+ (SELECT round(sum(CAST(trunc(c_acctbal * 1000) AS BIGINT)) FILTER (WHERE CAST(trunc(c_acctbal * 1000) AS BIGINT) > 0) / 3.6e6, 6) FROM customer) AS hours,
+ (SELECT CAST(epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS BIGINT) FROM orders) AS wall_seconds, (SELECT CAST(sum(greatest(0, m - 1)) AS BIGINT) FROM (SELECT max(attempt_count) AS m FROM calls GROUP BY unit_id)) AS retries, {_plan_sql(16, 2.0, 0.7, "NULL", "NULL", 8, 80.0)}), {CAPACITY_DERIVED}
+ SELECT requests, succeeded, failed, hours, wall_seconds, retries, p50_s, p95_s, {CAPACITY_COLUMNS} FROM d3"""
+UNKNOWN_SQL = f"""WITH c AS (SELECT * FROM (VALUES (0, 1200, CAST(8 AS DOUBLE), 3600), (1, 1200, NULL, 3600), (2, 1200, 8, NULL), (3, 0, 8, 0)) AS t(case_id, requests, hours, wall_seconds)),
+ pl AS (SELECT 0 AS plan_id, {_plan_sql(16, 2.0, 0.7, "NULL", "NULL", 8, 80.0)} UNION ALL SELECT 1, {_plan_sql(4, 1, 0.7, "NULL", "NULL", "NULL", "NULL")} UNION ALL SELECT 2, {_plan_sql(4, 1, 0, 0.25, "NULL", "NULL", "NULL")} UNION ALL SELECT 3, {_plan_sql(4, 1, 0.7, "NULL", 0.5, 2, "NULL")} UNION ALL SELECT 4, {_plan_sql(4, 1, 0.7, 0.5, "NULL", "NULL", 24.0)}),
+ m AS (SELECT * FROM c, pl), {CAPACITY_DERIVED} SELECT case_id, plan_id, requests, hours, wall_seconds, {CAPACITY_COLUMNS} FROM d3"""
 
 
 def _gate(s, d):
@@ -261,6 +292,9 @@ QUERIES = {
     "stale_running": lambda s, d: pipeline.stale_running(_tasks(s, d), _now(), 100).select("unit_id", "started_at"),
     "scale_rollup": lambda s, d: pipeline.scale_status(_units(s, d)),
     "job_rollup": lambda s, d: pipeline.job_status(pipeline.scale_status(_units(s, d)), "1-URGENT"),
+    "orphan_sweep": lambda s, d: _swept(s, d).filter("error_code IS NOT NULL").select("unit_id", "status", "error_code"),
+    "swept_jobs": lambda s, d: pipeline.swept_jobs(_swept(s, d), "1-URGENT"),
+    "residual_reconcile": lambda s, d: pipeline.reconcile_residual(_units(s, d), F.lit(4)).select("unit_id", "status", "error_code"),
     "publish_upsert": lambda s, d: _publish(s, d, "now"),
     "history_snapshot": lambda s, d: _publish(s, d, "history"),
     "dimension_upsert": _upsert,
@@ -277,18 +311,18 @@ QUERIES = {
     "latency_interpolated_by_stage": _latencies,
     "unit_stage_pivot": _breakdown,
     "top_slow_units": lambda s, d: _breakdown(s, d).orderBy(F.desc("slowest_ms"), "unit_id").limit(10),
-    "group_summary_gsets": lambda s, d: timeline.group_summary(views.timeline(s, d), "event_type", "event_phase"),
-    "event_category": lambda s, d: _t(s, d, "events").groupBy(text.event_category(F.col("event_type")).alias("category")).agg(F.count("*").alias("n")),
-    "bottleneck_hints": lambda s, d: timeline.bottlenecks(timeline.peak_active(views.timeline(s, d).withColumn("shard", F.col("unit_id") % 8), "unit_id", ["shard"]), [("peak", 3, "many_active"), ("peak", 5, "very_many_active")], "none").select("shard", F.array_join("hints", ",").alias("hints")),
+    "group_summary_gsets": lambda s, d: timeline.count_groupings(views.timeline(s, d), "event_type", "event_phase"),
+    "bottleneck_hints": lambda s, d: timeline.exceeded(timeline.peak_active(views.timeline(s, d).withColumn("shard", F.col("unit_id") % 8), "unit_id", ["shard"]), [("peak", 3, "many_active"), ("peak", 5, "very_many_active")], "none").select("shard", F.array_join("hints", ",").alias("hints")),
     "requests_by_scale": lambda s, d: capacity.group_count(views.model_calls(s, d), "analysis_scale"),
     "status_counts": lambda s, d: capacity.group_count(views.model_calls(s, d), "status"),
     "requests_by_video": lambda s, d: capacity.requests_by_video(views.model_calls(s, d), views.jobs(s, d)),
     "requests_by_camera": lambda s, d: capacity.requests_by_camera(views.model_calls(s, d), views.jobs(s, d), views.videos(s, d)),
     "retry_estimate": lambda s, d: capacity.retry_estimate(views.model_calls(s, d)),
-    "latency_nearest_rank": lambda s, d: views.model_calls(s, d).groupBy("analysis_scale").agg(capacity.nearest_rank("duration_ms", 0.5).alias("p50"), capacity.nearest_rank("duration_ms", 0.95).alias("p95")),
+    "latency_nearest_rank": lambda s, d: capacity.nearest_rank(views.model_calls(s, d), ["analysis_scale"], "duration_ms", {"p50": 0.5, "p95": 0.95}).select("analysis_scale", "p50", "p95"),
     "video_hours": lambda s, d: capacity.video_hours(views.videos(s, d)),
     "job_wall": lambda s, d: capacity.job_wall(views.jobs(s, d), "created_at", "created_at"),
     "capacity_estimate": _capacity,
+    "capacity_unknowns": _capacity_unknown,
     "distinct_counts": lambda s, d: views.model_calls(s, d).agg(F.countDistinct("job_id").alias("jobs"), F.countDistinct("unit_id", "attempt_count").alias("calls")),
     "precision_recall_mrr": lambda s, d: _metrics(s, d).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")]),
     "mean_metrics": lambda s, d: evaluate.mean_metrics(_metrics(s, d)),
@@ -316,13 +350,6 @@ def _counts(s, d):
     return out
 
 
-def _lerp_sql(q: float) -> str:
-    """Linear interpolation between the neighbours of position (n - 1) q of the sorted list ``l``, rounded half to even."""
-    pos = f"((n - 1) * CAST({q} AS DOUBLE))"
-    lo, hi = f"CAST(floor({pos}) AS BIGINT)", f"CAST(ceil({pos}) AS BIGINT)"
-    return f"CAST(round_even(CASE WHEN {lo} = {hi} THEN CAST(l[{lo} + 1] AS DOUBLE) ELSE ({hi} - {pos}) * l[{lo} + 1] + ({pos} - {lo}) * l[{hi} + 1] END, 0) AS BIGINT)"
-
-
 _PICK = "SELECT series, frame_index, timestamp_ms FROM"
 PEAKS_SQL = f"""{views.TIMELINE_SQL}, mk AS (SELECT *, unit_id % 8 AS shard, CASE event_phase WHEN 'start' THEN 1 WHEN 'instant' THEN NULL ELSE 0 END AS mark FROM tl WHERE event_phase <> 'instant'),
  dl AS (SELECT *, mark - coalesce(lag(mark) OVER (PARTITION BY unit_id ORDER BY at_ms, event_id), 0) AS delta FROM mk),
@@ -344,8 +371,11 @@ ORACLE_SQL = {
     "dispatch_order": "WITH o AS (SELECT o_custkey AS job_id, o_orderkey AS unit_id, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hi FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY job_id, hi ORDER BY unit_id) - 1 AS i FROM o) SELECT job_id, unit_id, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN hi THEN i // 2 ELSE i END, CASE WHEN hi THEN 0 ELSE 1 END, i) AS position FROM n",
     "claim_order": f"WITH {TASKS_SQL} SELECT task_id, priority, next_run_at FROM ta WHERE next_run_at <= TIMESTAMP '{NOW}' AND (status = 'queued' OR (status = 'running' AND lease_expires_at < TIMESTAMP '{NOW}')) ORDER BY priority DESC, next_run_at, task_id LIMIT 200",
     "stale_running": f"WITH {TASKS_SQL} SELECT task_id AS unit_id, started_at FROM ta WHERE status = 'running' AND started_at IS NOT NULL AND started_at < TIMESTAMP '{NOW}' ORDER BY started_at, task_id LIMIT 100",
-    "scale_rollup": f"WITH {UNITS_SQL} SELECT * FROM ss",
-    "job_rollup": f"WITH {UNITS_SQL} SELECT job_id, CASE WHEN bool_or(analysis_scale = '1-URGENT' AND succeeded = 0 AND failed > 0) THEN 'failed' WHEN bool_or(scale_status IN ('failed', 'partial_failed')) THEN 'partial_failed' ELSE 'succeeded' END AS job_status FROM ss GROUP BY job_id",
+    "scale_rollup": f"WITH {UNITS_SQL}, {ROLLUP_SQL} SELECT * FROM ss",
+    "job_rollup": f"WITH {UNITS_SQL}, {ROLLUP_SQL} SELECT * FROM js",
+    "orphan_sweep": f"WITH {UNITS_SQL}, {SWEPT_SQL} SELECT unit_id, status, error_code FROM sw WHERE error_code IS NOT NULL",
+    "swept_jobs": f"WITH {UNITS_SQL.replace('u AS', 'u0 AS', 1)}, {SWEPT_SQL.replace('FROM u ', 'FROM u0 ')}, u AS (SELECT * FROM sw WHERE job_id IN (SELECT job_id FROM sw WHERE error_code IS NOT NULL)), {ROLLUP_SQL} SELECT * FROM js",
+    "residual_reconcile": f"WITH {UNITS_SQL} SELECT unit_id, CASE WHEN status = 'running' AND job_id = 4 THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' AND job_id = 4 THEN 'analysis_unit_failed' END AS error_code FROM u",
     "publish_upsert": f"WITH {INCOMING_SQL} SELECT record_id, video_id, segment_start_ms, segment_end_ms, analysis_scale, security_level FROM nx WHERE nxt IS NULL",
     "history_snapshot": f"WITH {INCOMING_SQL} SELECT record_id AS old_record_id, nxt AS replaced_by_record_id, 'job_1' AS archived_by FROM nx WHERE nxt IS NOT NULL",
     "dimension_upsert": "WITH n AS (SELECT id, segment FROM (SELECT o_custkey * 2 % 2000 AS id, o_orderpriority AS segment, row_number() OVER (PARTITION BY o_custkey * 2 % 2000 ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r = 1) SELECT coalesce(c_custkey, n.id) AS id, coalesce(n.segment, c_mktsegment) AS segment, coalesce(c_nationkey, -1) AS created FROM customer FULL JOIN n ON c_custkey = n.id",
@@ -360,11 +390,10 @@ ORACLE_SQL = {
     "peak_concurrency": f"WITH {PEAKS_SQL} SELECT shard, CAST(max(active) AS BIGINT) AS peak FROM ac GROUP BY shard",
     "bottleneck_hints": f"WITH {PEAKS_SQL}, pk AS (SELECT shard, max(active) AS peak FROM ac GROUP BY shard) SELECT shard, CASE WHEN peak > 5 THEN 'many_active,very_many_active' WHEN peak > 3 THEN 'many_active' ELSE 'none' END AS hints FROM pk",
     "stage_duration_asof": f"WITH {STAGE_SQL} SELECT event_id, unit_id, started_ms, duration_ms FROM st",
-    "latency_interpolated_by_stage": f"WITH {STAGE_SQL}, z AS (SELECT unnest(['signup', 'purchase', 'error']) AS event_type), a AS (SELECT event_type, count(*) AS n, list_sort(list(duration_ms)) AS l, max(duration_ms) AS most FROM st WHERE duration_ms IS NOT NULL GROUP BY 1) SELECT z.event_type, coalesce(n, 0) AS n, {_lerp_sql(0.5)} AS p50, {_lerp_sql(0.9)} AS p90, {_lerp_sql(0.99)} AS p99, most FROM z LEFT JOIN a ON z.event_type = a.event_type",
+    "latency_interpolated_by_stage": f"WITH {STAGE_SQL}, z AS (SELECT unnest(['signup', 'purchase', 'error']) AS event_type), a AS (SELECT event_type, count(*) AS n, list_sort(list(duration_ms)) AS l, max(duration_ms) AS most FROM st WHERE duration_ms IS NOT NULL GROUP BY 1) SELECT z.event_type, coalesce(n, 0) AS n, {lerp_sql(0.5)} AS p50, {lerp_sql(0.9)} AS p90, {lerp_sql(0.99)} AS p99, most FROM z LEFT JOIN a ON z.event_type = a.event_type",
     "unit_stage_pivot": f"WITH {BREAKDOWN_SQL} SELECT * FROM bk",
     "top_slow_units": f"WITH {BREAKDOWN_SQL} SELECT * FROM bk ORDER BY slowest_ms DESC, unit_id LIMIT 10",
     "group_summary_gsets": f"WITH {views.TIMELINE_SQL} SELECT 'event_type' AS grouping, event_type AS value, count(*) AS events, count(DISTINCT unit_id) AS units, count(*) FILTER (WHERE event_phase = 'fail') AS failures FROM tl GROUP BY event_type UNION ALL SELECT 'event_phase', event_phase, count(*), count(DISTINCT unit_id), count(*) FILTER (WHERE event_phase = 'fail') FROM tl GROUP BY event_phase",
-    "event_category": "SELECT CASE event_type WHEN 'signup' THEN 'intake' WHEN 'purchase' THEN 'publication' WHEN 'error' THEN 'failure' ELSE 'interaction' END AS category, count(*) AS n FROM events GROUP BY 1",
     "requests_by_scale": f"WITH {views.CALLS_SQL} SELECT analysis_scale AS value, count(*) AS n FROM calls WHERE analysis_scale IS NOT NULL GROUP BY 1",
     "status_counts": f"WITH {views.CALLS_SQL} SELECT status AS value, count(*) AS n FROM calls WHERE status IS NOT NULL GROUP BY 1",
     "requests_by_video": "SELECT o_custkey AS video_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
@@ -374,11 +403,12 @@ ORACLE_SQL = {
     "video_hours": "SELECT round(sum(CAST(trunc(c_acctbal * 1000) AS BIGINT)) / 3.6e6, 6) AS hours FROM customer WHERE CAST(trunc(c_acctbal * 1000) AS BIGINT) > 0",
     "job_wall": "SELECT CAST(epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS BIGINT) AS wall_seconds FROM orders",
     "capacity_estimate": f"WITH {CAPACITY_SQL}",
+    "capacity_unknowns": UNKNOWN_SQL,
     "distinct_counts": "SELECT count(DISTINCT l_orderkey) AS jobs, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS calls FROM lineitem",
     "precision_recall_mrr": f"SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank FROM {_metrics_sql('o_totalprice DESC')}",
     "mean_metrics": f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS reciprocal_rank, count(*) AS queries FROM {_metrics_sql('o_totalprice DESC')}",
     "arm_experiment": f"WITH a AS (SELECT 'price' AS arm, 0 AS p, round(avg(reciprocal_rank), 6) AS m FROM {_metrics_sql('o_totalprice DESC')} UNION ALL SELECT 'newest', 1, round(avg(reciprocal_rank), 6) FROM {_metrics_sql('o_orderdate DESC')} UNION ALL SELECT 'oldest', 2, round(avg(reciprocal_rank), 6) FROM {_metrics_sql('o_orderdate')}) SELECT arm AS best_arm FROM a ORDER BY m DESC, p LIMIT 1",
-    "redact_metadata": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '[redacted]' WHEN 1 THEN '[redacted path]' WHEN 2 THEN '[redacted data]' ELSE p_name END AS shown FROM part",
+    "redact_metadata": "SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 1, 2) THEN '[redacted]' ELSE p_name END AS shown FROM part",
     "parse_model_json": "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'no_json' ELSE 'ok' END AS status, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS name FROM part",
     "retry_backoff": "SELECT DISTINCT l_linenumber AS attempt, least(0.5 * pow(2.0, l_linenumber - 1), CAST(8.0 AS DOUBLE)) AS delay_s FROM lineitem",
     "polygon_box": "WITH e AS (SELECT vec_id, [round(CAST(x AS DOUBLE), 4) for x in embedding] AS v FROM embeddings) SELECT vec_id, list_min(v[1:8]) AS x0, list_min(v[9:16]) AS y0, list_max(v[1:8]) AS x1, list_max(v[9:16]) AS y1 FROM e",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed step between the segments of a video, and their length, in ms.
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def after(ms) -> Column:
+    """So many ms (a bigint) after the first of January 2024."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (ms / 1000).cast("decimal(18,6)"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observation records: documents with their labels; the first line is the static text, the rest the dynamic."""
     labels = table(spark, sf_dir, "labels")
@@ -30,8 +35,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, "default_segment").otherwise("high_freq_event").alias("analysis_scale"),
         start.alias("segment_start_ms"),
         (start + SEGMENT_MS).alias("segment_end_ms"),
-        F.expr(f"timestampadd(MILLISECOND, CAST(floor(doc_id / 50) * {STEP_MS} AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("observed_start"),
-        F.expr(f"timestampadd(MILLISECOND, CAST(floor(doc_id / 50) * {STEP_MS} + {SEGMENT_MS} AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("observed_end"),
+        after(start).alias("observed_start"),
+        after(start + SEGMENT_MS).alias("observed_end"),
         F.col("source").alias("camera_id"),
         F.col("lang").alias("location_id"),
         static.alias("static_text"),
@@ -70,6 +75,43 @@ TIMELINE_SQL = """tl AS (SELECT event_id, user_id AS unit_id, ts AS occurred_at,
  event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
 
 
+#: Names of the events of an analysis, by the last digit of the id.
+EVENT_NAMES = ("unit_running", "unit_finished", "frame_select", "media_refs_built", "detector_gate", "vlm_scheduler_wait", "vlm_provider_call", "publication_finished", "job_started", "heartbeat")
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of an analysis: names by the id, phases by the id (instant where units and publications are told), ids of units, spans and calls that are empty now and then."""
+    e = table(spark, sf_dir, "events")
+    part = lambda c, n, k, prefix: F.when(F.col("event_id") % n != k, F.concat(F.lit(prefix), c.cast("string"))).otherwise("")
+    name = F.get(F.array(*map(F.lit, EVENT_NAMES)), (F.col("event_id") % 10).cast("int"))
+    turn = F.floor(F.col("event_id") / 10) % 5
+    phase = F.when((F.col("event_id") % 10).isin(2, 3, 4, 5, 6), F.when(turn < 3, "start").when(turn == 3, "finish").otherwise("fail")).when(F.col("event_id") % 10 == 8, "start").otherwise("instant")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return e.select(
+        "event_id",
+        F.col("ts").alias("occurred_at"),
+        F.expr("unix_millis(CAST(ts AS TIMESTAMP))").alias("at_ms"),
+        name.alias("event_name"),
+        phase.alias("event_phase"),
+        part(F.col("user_id") % 20, 1, 1, "j").alias("job_id"),
+        part(F.col("user_id"), 23, 0, "u").alias("unit_id"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string"))).alias("span_id"),
+        part(F.col("user_id") % 70, 4, 0, "c").alias("model_call_id"),
+        F.when(k % 3 == 0, "default_segment").when(k % 3 == 1, "high_freq_event").alias("analysis_scale"),
+        F.when(k % 2 == 0, "segment").alias("unit_kind"),
+        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "").otherwise("ok").alias("status"),
+        F.when(F.col("event_id") % 7 == 0, F.floor("value").cast("bigint")).alias("duration_ms"),
+    )
+
+
+ANALYSIS_SQL = f"""an0 AS (SELECT *, event_id // 10 % 5 AS turn, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+ an AS (SELECT event_id, ts AS occurred_at, epoch_us(ts) // 1000 AS at_ms, {list(EVENT_NAMES)}[event_id % 10 + 1] AS event_name,
+ CASE WHEN event_id % 10 BETWEEN 2 AND 6 THEN CASE WHEN turn < 3 THEN 'start' WHEN turn = 3 THEN 'finish' ELSE 'fail' END WHEN event_id % 10 = 8 THEN 'start' ELSE 'instant' END AS event_phase,
+ 'j' || user_id % 20 AS job_id, CASE WHEN event_id % 23 <> 0 THEN 'u' || user_id ELSE '' END AS unit_id, CASE WHEN event_id % 3 = 0 THEN 's' || user_id % 50 END AS span_id, CASE WHEN event_id % 4 <> 0 THEN 'c' || user_id % 70 ELSE '' END AS model_call_id,
+ CASE k % 3 WHEN 0 THEN 'default_segment' WHEN 1 THEN 'high_freq_event' ELSE 'unknown' END AS scale, CASE WHEN k % 2 = 0 THEN 'segment' ELSE 'unknown' END AS kind, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'unknown' ELSE 'ok' END AS outcome,
+ CASE WHEN event_id % 7 = 0 THEN CAST(floor(value) AS BIGINT) END AS duration_ms FROM an0)"""
+
+
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motion samples: a series for each user, scores from the events' values."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), F.expr("unix_millis(CAST(ts AS TIMESTAMP))").alias("ts_ms"), F.least(F.lit(1.0), F.col("value") / 200).alias("score"), "event_id")

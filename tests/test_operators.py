@@ -138,14 +138,14 @@ def test_stage_durations(spark):
 def test_capacity(spark):
     calls = spark.createDataFrame([("j", "u1", 1, 4000.0), ("j", "u2", 1, 6000.0), ("k", "u3", 2, 8000.0)], "job_id string, unit_id string, attempt_count int, duration_ms double")
     assert capacity.retry_estimate(calls).first()["retries"] == 1
-    assert calls.agg(capacity.nearest_rank("duration_ms", 0.5).alias("p")).first()["p"] == 6000
+    assert capacity.nearest_rank(calls, [], "duration_ms", {"p": 0.5}).first()["p"] == 6000
     assert capacity.group_count(calls, "missing").count() == 0
     assert capacity.video_hours(spark.createDataFrame([(3600000,), (1800000,), (None,)], "duration_ms long")).first()["hours"] == 1.5
 
 
 def test_rollups(spark):
     u = spark.createDataFrame([(1, "d", "succeeded"), (1, "d", "failed"), (2, "d", "failed"), (3, "h", "failed"), (3, "d", "succeeded"), (4, "d", "skipped")], "job_id int, analysis_scale string, status string")
-    assert rows(pipeline.job_status(pipeline.scale_status(u), "d")) == [(1, "partial_failed"), (2, "failed"), (3, "partial_failed"), (4, "succeeded")]
+    assert rows(pipeline.job_status(pipeline.scale_status(u), "d")) == [(1, "partial_failed"), (2, "failed"), (3, "partial_failed"), (4, "failed")]
 
 
 def test_publish_chains(spark):
@@ -205,3 +205,120 @@ def test_backup_and_revisions(spark, tmp_path):
     records.write_revision(df, f"file://{tmp_path}/r", "1")
     with pytest.raises(Exception, match="exists"):
         records.write_revision(df, f"file://{tmp_path}/r", "1")
+
+
+def test_job_and_scale_rules(spark):
+    """A running scale leaves its job alone; a required scale of which all was skipped fails it."""
+    units = [(1, "d", "skipped"), (1, "h", "succeeded"), (2, "d", "succeeded"), (2, "h", "failed"), (3, "d", "failed"), (3, "h", "running"), (4, "h", "failed"), (4, "h", "succeeded"), (5, "d", "succeeded"), (5, "h", "skipped"), (6, "d", "failed")]
+    df = spark.createDataFrame([(j, s, st, i) for i, (j, s, st) in enumerate(units)], "job_id int, analysis_scale string, status string, unit_id int")
+    scales = pipeline.scale_status(df)
+    assert rows(scales, "job_id", "analysis_scale", "scale_status") == sorted([(1, "d", "succeeded"), (1, "h", "succeeded"), (2, "d", "succeeded"), (2, "h", "failed"), (3, "d", "failed"), (3, "h", "running"), (4, "h", "partial_failed"), (5, "d", "succeeded"), (5, "h", "succeeded"), (6, "d", "failed")])
+    assert rows(pipeline.job_status(scales, "d")) == [(1, "failed"), (2, "partial_failed"), (3, "running"), (4, "partial_failed"), (5, "succeeded"), (6, "failed")]
+
+
+def test_error_rules(spark):
+    cases = [(["VlmProviderError"], None), (["MyProviderError", "VlmProviderError"], "x"), (["CustomProviderFault"], ""), (["X", "VlmSchemaValidationError"], ""), (["ValueError"], "separate rate 500"), (["OperationalError"], ""), (["IntegrityError", "OperationalError"], "busy"), (["RuntimeError"], "Database is LOCKED"), ([], None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, classes array<string>, message string")
+    got = rows(df, "i", text.model_failure(F.col("classes")), text.model_retries(F.col("classes")), text.storage_retries(F.col("classes"), F.col("message")))
+    bad, schema = "analysis_unit_failed", "vlm_schema_validation_failed"
+    assert got == [(0, "vlm_provider_error", True, False), (1, "vlm_provider_error", True, False), (2, "vlm_provider_error", False, False), (3, schema, False, False), (4, bad, False, False), (5, bad, False, True), (6, bad, False, False), (7, bad, False, True), (8, bad, False, False)]
+
+
+def test_redaction_rules(spark):
+    import json
+
+    df = spark.createDataFrame([("see /srv/media/a.mp4). and /x/y, end",), ("data:image/png;base64,AAAA= x",), ("A" * 130 + "==",), ("/a/b/",), ("plain / text",), ("zz " * 600,)], "t string")
+    got = [r[0] for r in df.select(text.recorded(F.col("t"))).collect()]
+    assert got == ["see <path:a.mp4> and <path:y> end", "<redacted-data-url> x", "<redacted-base64>", "<path:redacted>", "plain / text", ("zz " * 600)[:500] + "...<truncated>"]
+    m = df.limit(1).select(text.recorded_fields(F.create_map(F.lit("API-Key"), F.lit("k"), F.lit("note"), F.lit("/q/w/e"))).alias("m")).first()["m"]
+    assert m == {"API-Key": "<redacted>", "note": "<path:e>"}
+    nested = {"a": {"api_key": 1, "list": ["/abs", "ok", {"note": "data:x"}]}, "image_bytes": [1], "long": "y" * 3000, "n": 2.5}
+    shown = spark.createDataFrame([(json.dumps(nested),), ("no json",), (None,)], "t string").select(udfs.redacted_json("t")).collect()
+    assert json.loads(shown[0][0]) == {"a": {"api_key": "[redacted]", "list": ["[redacted]", "ok", {"note": "[redacted]"}]}, "image_bytes": "[redacted]", "long": "[redacted-long-string]", "n": 2.5}
+    assert shown[1][0] is None and shown[2][0] is None
+
+
+def test_shown_numbers(spark):
+    values = [3.0, 0.1234567, 1234567.891, 12.5, None, 1e-7, -2.0000000001, 1.5e-6]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(text.shown_number(F.col("v"))).collect()]
+    assert got == ["n/a" if v is None else str(round(v)) if abs(v - round(v)) < 1e-9 else f"{v:.6g}" for v in values]
+
+
+def test_positions_and_totals(spark):
+    import random
+
+    from obspark.functions import ranks
+
+    rng = random.Random(3)
+    data = [(g, rng.choice([1.5, 2.5, rng.random() * 1e6])) for g in "abc" for _ in range(rng.choice([1, 7, 300]))] + [("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r["g"]: tuple(r) for r in ranks.at_positions(df, ["g"], "v", {"first": F.lit(0), "middle": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).collect()}
+    for g in "abc":
+        x = sorted(v for k, v in data if k == g)
+        assert got[g] == (g, x[0], x[len(x) // 2], x[-1], len(x))
+    assert set(got) == set("abc")
+    deltas = [(rng.randrange(40_000_000), i, rng.choice([1, -1])) for i in range(400)]
+    totals = ranks.running_total(spark.createDataFrame(deltas, "at_ms long, event_id long, delta int"), [], "total").collect()
+    total, want = 0, {}
+    for at, i, x in sorted(deltas):
+        total += x
+        want[i] = total
+    assert {r["event_id"]: r["total"] for r in totals} == want
+
+
+def test_state_changes(spark):
+    states = spark.createDataFrame([(1, "queued", None, None), (2, "running", 5, None), (3, "succeeded", 1, 2), (4, "running", 1, None)], "id int, status string, started_at int, finished_at int")
+    changes = spark.createDataFrame([(1, "running", 9), (2, "failed", 9), (3, "running", 9), (4, "running", 9)], "id int, to_status string, at int")
+    assert rows(pipeline.transitioned(states, changes)) == [(1, "running", 9, None, False), (2, "failed", 5, 9, False), (3, "succeeded", 1, 2, True), (4, "running", 1, None, False)]
+
+
+def test_gate_with_several_rules(spark):
+    rules = spark.createDataFrame([("r1", "det", "person", 0.5, 0.5, "call_vlm"), ("r2", "det", "car", 0.5, 0.25, "call_vlm"), ("r3", "other", "x", 0.1, 0.1, "call_vlm"), ("r4", "det", "person", 0.1, 0.1, "log")], "rule_id string, signal_type string, label string, min_confidence double, min_ratio double, action string")
+    d = lambda *x: [[{"label": a, "confidence": c} for a, c in f] for f in x]
+    signals = [("a", "det", 4, False, d([("person", 0.9), ("person", 0.8)], [("person", 0.6)], [("car", 0.9)])), ("b", "det", 4, False, d([("person", 0.4)])), ("c", "det", 1, True, d([("person", 0.9)])), ("e", "det", 0, False, d([("person", 0.9)]))]
+    s = spark.createDataFrame(signals, "unit_id string, signal_type string, frame_count int, failed boolean, frames array<array<struct<label:string,confidence:double>>>")
+    units = spark.createDataFrame([("a", ""), ("b", "motion"), ("c", None), ("d", "manual"), ("e", "")], "unit_id string, trigger_reason string")
+    assert rows(pipeline.gate_rules(units, s, rules, ["manual"])) == [("a", True, "call_vlm", ["r1", "r2"]), ("b", False, "suppress_vlm", []), ("c", False, "suppress_vlm", []), ("d", True, "force_vlm", []), ("e", False, "suppress_vlm", [])]
+    assert {r["action"] for r in pipeline.gate_rules(units, s, rules, [], enabled=False).collect()} == {"gate_disabled"}
+
+
+def test_frame_features(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    frames = [rng.integers(0, 256, (9, 16)).astype(np.uint8) for _ in range(3)]
+    frames.append(frames[-1])
+    got = spark.createDataFrame([([f.tobytes() for f in frames],)], "f array<binary>").select(udfs.frame_features(16)("f").alias("x")).first()["x"]
+    assert [round(r["brightness"], 6) for r in got] == [round(float(f.mean()), 6) for f in frames] and got[0]["scene"] == 0 and abs(got[3]["scene"]) < 1e-9 and got[1]["scene"] > 0
+    flat = spark.createDataFrame([([bytes(144)],)], "f array<binary>").select(udfs.frame_features(16)("f").alias("x")).first()["x"][0]
+    assert (flat["brightness"], flat["sharpness"]) == (0.0, 0.0)
+
+
+def test_records_of_model_outputs(spark):
+    import datetime
+
+    at = datetime.datetime(2026, 1, 1)
+    videos = spark.createDataFrame([("v", "t", "c", "l", at, "p", "internal")], "video_id string, tenant_id string, camera_id string, location_id string, video_start timestamp_ntz, access_policy_id string, security_level string")
+    outputs = spark.createDataFrame([("v", "d", 1000, 3000, "s", None, ["x"], "good", True, None), ("v", "d", 3000, 5000, "s", "dyn", ["x"], None, None, "suppressed")], "video_id string, analysis_scale string, segment_start_ms long, segment_end_ms long, static string, dynamic string, tags array<string>, quality string, alert boolean, gate string")
+    a, b = pipeline.assembled(outputs, videos).orderBy("segment_start_ms").collect()
+    assert (a["observed_start"], a["static_text"], a["dynamic_text"], a["tags"], a["attributes"]) == (at + datetime.timedelta(seconds=1), "s", "", ["x"], '{"quality":"good","alert":true}')
+    assert (b["observed_end"], b["static_text"], b["tags"], b["attributes"]) == (at + datetime.timedelta(seconds=5), "", [], '{"detector_gate":"suppressed"}')
+
+
+def test_provisioning_and_appends(spark):
+    cameras = spark.createDataFrame([("c1", "one", "l1", "active")], "camera_id string, camera_name string, location_id string, status string")
+    seen = spark.createDataFrame([("c1",), ("c2",), ("c2",), (None,)], "camera_id string")
+    assert rows(pipeline.provisioned(cameras, seen)) == [("c1", "one", "l1", "active"), ("c2", "c2", "loc_auto_unregistered", "active")]
+    none = "job_id int, created array<string>, updated array<string>, archived array<string>"
+    jobs, new = spark.createDataFrame([(1, ["a"], [], None), (2, [], [], [])], none), spark.createDataFrame([(1, ["a"], ["b"], ["c"])], none)
+    assert rows(pipeline.append_summary(jobs, new)) == [(1, ["a", "a"], ["b"], ["c"]), (2, [], [], [])]
+    assert scope.Scope("t").capabilities == ("observation_search",)
+    kinds = spark.createDataFrame([("admin",), ("service_account",), ("user",)], "t string").select("t", F.size(scope.capabilities(F.col("t"))).alias("n"))
+    assert rows(kinds) == [("admin", 12), ("service_account", 6), ("user", 4)]
+
+
+def test_late_dates(spark):
+    from obspark.sources import views
+
+    got = spark.range(1).select(views.after(F.lit(12_000_000 // 50 * 9000 * 1000))).first()[0]
+    assert got.year > 2060
