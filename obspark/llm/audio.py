@@ -249,7 +249,6 @@ def read_audio(frame: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
 
-    common.small_batches(frame.sparkSession)
     return frame.select("doc_id", "media").mapInArrow(task, READ)
 
 
@@ -264,7 +263,6 @@ def store_texts(docs: DataFrame) -> DataFrame:
             done = [(n, store(p)) for p, n in map(padded, texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([n for n, _ in done], pa.int64()), pa.array([m for _, m in done], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, STORED)
 
 
@@ -285,7 +283,6 @@ def digests(media: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
-    common.small_batches(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(task, DIGEST)
 
 

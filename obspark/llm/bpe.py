@@ -151,7 +151,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             n, a, b = zip(*done, strict=True) if done else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -22,20 +22,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the Arrow batches that Python workers get: texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
-        place = spark.conf.get("obspark.shared.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='obspark-')}"
-        spark.conf.set("obspark.shared.dir", place)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return place.rstrip("/")
 
 
@@ -59,6 +58,24 @@ def sought(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataF
     return rows.join(listed, key, "left_semi"), rows.join(listed, key, "left_anti")
 
 
+#: Rows of a key beyond which it meets a broadcast list.
+HOT = 1000
+
+
+def listed(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows whose key is listed in ``keys`` (distinct keys ``on``, and the number n of their rows), with left_anti the others, with inner or left joined to them.
+
+    Keys of many rows meet a broadcast list, so that none of them gathers in a
+    task; the others are shuffled.
+    """
+    wanted = keys if how in ("inner", "left") else keys.select(*on)
+    hot = keys.filter(F.col("n") > HOT).select(*wanted.columns)
+    if not 0 < hot.count() <= FEW:
+        return rows.join(wanted, on, how)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.filter(F.col("n") <= HOT).select(*wanted.columns), on, how)
+    return rest if how == "left_anti" else rest.unionByName(rows.join(F.broadcast(hot), on, "inner" if how == "left" else how))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stashed tables that nothing reads any more."""
     for df in tables:
@@ -136,28 +153,47 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return names
 
 
-def batches(frames: Iterator, *columns: str) -> Iterator:
-    """Tuples of the named columns as lists, batch by batch (Arrow record batches)."""
+def sliced(frames: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of the same rows: texts may be long."""
     for b in frames:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def batches(frames: Iterator[pa.RecordBatch], *columns: str) -> Iterator:
+    """Tuples of the named columns as lists, of few rows at a time."""
+    for b in sliced(frames):
         yield tuple(b.column(c).to_pylist() for c in columns)
 
 
-def range_buckets(rows: DataFrame, rows_per_bucket: int = 1000, most: int = 4096, wrap: bool = False) -> DataFrame:
-    """Deals rows (with non-null columns _key and _tie) to buckets that are ranges of _key, with the neighbours' edge rows.
+#: Bounds of ranges that lie in one list, when a row's range is looked up.
+STEP = 256
+
+
+def range_buckets(rows: DataFrame, rows_per_bucket: int = 1000, most: int = STEP * STEP, wrap: bool = False) -> DataFrame:
+    """Deals rows (with non-null columns _key and _tie) to buckets that are ranges of (_key, _tie), with the neighbours' edge rows.
 
     Adds _bucket and _side: 0 for a bucket's own rows, -1 for the last row of
     the bucket before it and 1 for the first row of the next one (after the
     last, with ``wrap``, of the first). Sorted by (_bucket, _side, _key, _tie),
     a bucket shows each row beside both its neighbours, wherever the bounds lie;
     so results don't depend on them. Bounds come from a hash-drawn sample of
-    bounded size; the driver sees that and two keys of each bucket.
+    bounded size; the driver sees that and two keys of each bucket. A row finds
+    its bucket by lists of STEP bounds and, before them, the list of their
+    first ones.
     """
     spark = rows.sparkSession
     keys = rows.select("_key", "_tie")
+    types = dict(rows.dtypes)
     n = min(most, max(1, keys.count() // rows_per_bucket))
-    drawn = sorted(r[0] for r in keys.select("_key").orderBy(F.xxhash64("_key", "_tie")).limit(8 * n).collect())
+    drawn = sorted(tuple(r) for r in keys.orderBy(F.xxhash64("_key", "_tie")).limit(8 * n).collect())
     bounds = sorted(set(drawn[8::8]))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    lists = [[{"k": k, "t": t} for k, t in bounds[a : a + STEP]] for a in range(0, len(bounds), STEP)]
+    at = f"struct<k:{types['_key']},t:{types['_tie']}>"
+    fixed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    below = lambda c: F.size(F.filter(c, lambda b: b <= F.struct(F.col("_key").alias("k"), F.col("_tie").alias("t"))))
+    coarse = below(fixed([x[0] for x in lists], f"array<{at}>"))
+    bucket = F.when(coarse == 0, 0).otherwise((coarse - 1) * STEP + below(F.element_at(fixed(lists, f"array<array<{at}>>"), coarse))) if bounds else F.lit(0)
     edges = keys.withColumn("_bucket", bucket).groupBy("_bucket").agg(F.min(F.struct("_key", "_tie")).alias("a"), F.max(F.struct("_key", "_tie")).alias("z")).orderBy("_bucket").collect()
     lent: dict[tuple, list[tuple[int, int]]] = {}
     for x, y in zip(edges, edges[1:], strict=False):
@@ -165,7 +201,6 @@ def range_buckets(rows: DataFrame, rows_per_bucket: int = 1000, most: int = 4096
         lent.setdefault(tuple(x["z"]), []).append((y["_bucket"], -1))
     if wrap and edges:
         lent.setdefault(tuple(edges[0]["a"]), []).append((edges[-1]["_bucket"], 1))
-    types = dict(rows.dtypes)
     small = spark.createDataFrame([(*k, v) for k, v in lent.items()], f"_key {types['_key']}, _tie {types['_tie']}, _lent array<struct<_bucket:int,_side:int>>")
     own = F.array(F.struct(bucket.alias("_bucket"), F.lit(0).alias("_side")))
     both = rows.join(F.broadcast(small), ["_key", "_tie"], "left").withColumn("_at", F.explode(F.when(F.col("_lent").isNull(), own).otherwise(F.concat(own, F.col("_lent")))))
@@ -176,9 +211,7 @@ def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts ``decide`` (list of texts to booleans) keeps; no shuffle."""
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            if b.num_rows:
-                yield b.filter(pa.array(decide(b.column("text").to_pylist()), pa.bool_()))
+        for b in sliced(frames):
+            yield b.filter(pa.array(decide(b.column("text").to_pylist()), pa.bool_()))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(task, docs.schema)

@@ -290,7 +290,6 @@ def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
         for ids, texts in common.batches(frames, "doc_id", "text"):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.scores(texts), pa.float64())], names=["doc_id", "score"])
 
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score double")
 
 
@@ -302,7 +301,6 @@ def predict_language(docs: DataFrame, model: Language) -> DataFrame:
             lang, score = model.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, lang_pred string, score double")
 
 

@@ -99,7 +99,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             if rows:
                 yield flush()
 
-    common.small_batches(docs.sparkSession)
     ready = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), F.xxhash64("text").alias("_tie"))
     dealt = common.range_buckets(ready, wrap=True)
     return dealt.select("_bucket", "_side", "doc_id", "text").mapInArrow(task, SCHEMA)
@@ -130,7 +129,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS)
                 out.append(both / max(1, len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
-    common.small_batches(docs.sparkSession)
     texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text").withColumn("sha", F.sha2("text", 256))
     first = texts.groupBy("sha").agg(F.min("doc_id").alias("a"))
     copies = texts.select("sha", F.col("doc_id").alias("b")).join(first, "sha").filter("a < b and a <> b").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()

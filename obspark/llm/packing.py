@@ -200,7 +200,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: i
         settle()
         yield flush()
 
-    common.small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
 
 

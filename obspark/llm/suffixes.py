@@ -15,9 +15,15 @@ interleave of the shards, at first by shard, is refined by one symbol a round
 neighbours that a round makes is their longest common prefix. Neighbours that
 have none after DEPTH rounds are a repeated interval.
 
-Anchors with very many different segments are not gathered: their windows'
-hashes are counted by Spark instead. Texts are shuffled by row only, twice: to
-cut out segments and to remove what repeats.
+A group of segments is merged in one task, so groups of many bytes are first
+dealt out: windows that hold their anchor at relative positions lo to hi share
+the bytes around it, and equal windows hold it at the same position, so a
+segment is cut into cells of positions and each cell joins the others that
+share these bytes. Cells of a group that are equal as a whole are repeated and
+one of them goes on; those that nothing shares drop out; what is still large
+is cut again, down to single windows. So a row becomes a few in each step and
+only while others share its bytes. Texts are shuffled by row only, twice: to cut
+out segments and to remove what repeats.
 """
 
 from __future__ import annotations
@@ -27,16 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obspark.llm import common
 
-LENGTH, DEPTH, GRAM = 400, 10, 32
+LENGTH, DEPTH, GRAM = 400, 10, 64
 #: Windows of a text that are looked at together, bytes of segments that are merged together, strings of a shard.
 PIECE, CHUNK, SHARD = 1 << 19, 48_000, 32
-#: Different segments of an anchor beyond which its windows are counted by hash.
-MANY = 1000
+#: Bytes of a group of segments that one task merges; larger groups are dealt out first.
+MERGED = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 LOW = np.uint64((1 << 20) - 1)
 PLACE, SIZE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -75,21 +82,27 @@ def window_minima(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], front[width - 1 : width - 1 + n])
 
 
+def anchor_size(length: int) -> int:
+    """Bytes of an anchor: GRAM, or a quarter of a shorter window."""
+    return min(GRAM, max(1, length // 4))
+
+
 def segments(x: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Segments of a text: anchor hash, content hash, first and last window."""
+    """Segments of a text: anchor hash, content hash, first and last window, place of the anchor."""
+    gram = anchor_size(length)
     out: list[tuple[np.ndarray, ...]] = []
     for off in range(0, len(x) - length + 1, PIECE):
         y = x[off : off + PIECE + length - 1]
         s = sums(y)
-        at = np.arange(len(y) - GRAM + 1)
-        h = stretch(s, at, at + GRAM)
-        m = window_minima((h & ~LOW) | at.astype(np.uint64), length - GRAM + 1)
+        at = np.arange(len(y) - gram + 1)
+        h = stretch(s, at, at + gram)
+        m = window_minima((h & ~LOW) | at.astype(np.uint64), length - gram + 1)
         first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
         last = np.append(first[1:], len(m)) - 1
         p = (m[first] & LOW).astype(np.int64)
         content = common.mix(stretch(s, first, last + length) + (p - first).astype(np.uint64) * PLACE + (last - first).astype(np.uint64) * SIZE)
-        out.append((h[p].view(np.int64), content.view(np.int64), first + off, last + off))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+        out.append((h[p].view(np.int64), content.view(np.int64), first + off, last + off, p + off))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
 def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,19 +219,38 @@ def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
 
 # Spark
 
-FOUND = "anchor long, content long, row long, first long, last long, weight long"
+FOUND = "anchor long, content long, row long, first long, last long, at long, weight long"
+PIECES = "key long, content long, row long, first long, last long, at long, settled boolean, bytes binary"
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def cells(row: int, first: int, last: int, at: int, settled: bool, data: bytes, shift: int, length: int) -> Iterator[tuple]:
+    """A piece cut into cells of 2^shift places of its anchor: rows of PIECES, keyed by the bytes that all windows of the cell hold."""
+    span = length - anchor_size(length) + 1
+    for c in range((at - last) >> shift, ((at - first) >> shift) + 1):
+        lo, hi = c << shift, min((c + 1) << shift, span) - 1
+        a, z = max(first, at - hi), min(last, at - lo)
+        inner = data[at - lo - first : at - hi - first + length]
+        part = data[a - first : z - first + length]
+        key, content = xxhash.xxh64_intdigest(inner, shift << 16 | c), xxhash.xxh64_intdigest(part, at - a)
+        yield key - (1 << 63), content - (1 << 63), row, a, z, at, settled, part
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Stretches (row, first, last: windows) of ``rows`` (row, text) that repeat; ``row`` tells rows apart by their contents."""
-    spark = rows.sparkSession
     names = [c.split()[0] for c in FOUND.split(", ")]
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.batches(frames, "row", "text"):
             out: list[list[np.ndarray]] = []
             for row, text in zip(ids, texts, strict=True):
-                anchor, content, first, last = segments(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), length)
+                anchor, content, first, last, place = segments(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), length)
                 if not len(anchor):
                     continue
                 _, at, inverse, n = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
@@ -226,100 +258,122 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
                     twice = n[inverse] > 1
                     b, e = merged_spans(first[twice], last[twice] + 1)
                     zero = np.zeros(len(b), np.int64)
-                    out.append([zero, zero, np.full(len(b), row), b, e - 1, zero])
-                out.append([anchor[at], content[at], np.full(len(at), row), first[at], last[at], n])
+                    out.append([zero, zero, np.full(len(b), row), b, e - 1, zero, zero])
+                out.append([anchor[at], content[at], np.full(len(at), row), first[at], last[at], place[at], n])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=names)
 
-    common.small_batches(spark)
-    found = common.stash(rows.select("row", "text").mapInArrow(cut, FOUND), "segments")
-    local = found.filter("weight = 0").select("row", "first", "last")
-    shared = found.filter("weight > 0").groupBy("anchor").agg(F.sum("weight").alias("w")).filter("w > 1").select("anchor")
-    alike = common.stash(found.filter("weight > 0").join(shared, "anchor", "left_semi"), "shared")
-    groups = common.stash(alike.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("row", "first", "last")).alias("at")), "contents")
-    whole = alike.join(groups.filter("weight > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("row", "first", "last")
-    variety = groups.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("weight").alias("w")).filter("kinds > 1 and w = 1").select("anchor", "kinds")
-    unlike = groups.join(variety, "anchor").select("anchor", "weight", "kinds", "at.*")
-    wanted = unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "weight", "kinds", "first", "last")).alias("cuts"))
-    wanted = common.stash(wanted, "wanted")
-    texts = rows.select("row", "text")
-    held = ((common.sought(texts, wanted, "row") or (texts,))[0]).join(wanted, "row").dropDuplicates(["row"])
-
     def fetch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bytes of the segments; of anchors with many kinds, a row for each window with its hash."""
-        fields = ["anchor", "weight", "row", "first", "window", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=fields)
-
+        """The bytes of the segments."""
         for ids, texts, cuts in common.batches(frames, "row", "text", "cuts"):
             out: list[tuple] = []
             for row, text, mine in zip(ids, texts, cuts, strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                for c in mine:
-                    part = raw[c["first"] : c["last"] + length]
-                    if c["kinds"] <= many:
-                        out.append((c["anchor"], c["weight"], row, c["first"], None, part))
-                    else:
-                        x = np.frombuffer(part, np.uint8)
-                        for k in range(0, len(x) - length + 1, PIECE):
-                            y = x[k : k + PIECE + length - 1]
-                            at = np.arange(len(y) - length + 1)
-                            h = stretch(sums(y), at, at + length).view(np.int64)
-                            out += [(c["anchor"], c["weight"], row, c["first"] + k + i, w, None) for i, w in enumerate(h.tolist())]
-                    if len(out) > 20_000:
-                        yield batch(out)
-                        out = []
-            if out:
-                yield batch(out)
-
-    fetched = common.stash(held.select("row", "text", "cuts").mapInArrow(fetch, "anchor long, weight long, row long, first long, window long, bytes binary"), "fetched")
+                out += [(c["anchor"], 0, row, c["first"], c["last"], c["at"], c["settled"], raw[c["first"] : c["last"] + length]) for c in mine]
+                if len(out) > 20_000:
+                    yield _table(out, PIECES)
+                    out = []
+            yield _table(out, PIECES)
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[int, int, int, bytes]] = []  # of whole anchors
-        size = 0
-
-        def settle(some: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        waiting: list[tuple[int, int, bytes]] = []  # of whole groups
+        group: list[tuple[int, int, bytes]] = []
+        key, open_, size = None, False, 0
+
+        def close() -> None:
+            nonlocal group, open_, size
+            if len(group) > 1 and open_:
+                waiting.extend(group)
+                size += sum(len(g[2]) for g in group)
+            group, open_ = [], False
+
+        def settle() -> pa.RecordBatch:
+            nonlocal waiting, size
             spans: list[np.ndarray] = []
-            for (_, row, first, _), hit in zip(some, repeated_windows([w[3] for w in some], length), strict=True):
+            for (row, first, _), hit in zip(waiting, repeated_windows([w[2] for w in waiting], length), strict=True) if waiting else ():
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                 spans.append(np.stack([np.full(len(edge) // 2, row), edge[::2] + first, edge[1::2] - 1 + first]))
             cols = np.concatenate(spans, axis=1) if spans else np.zeros((3, 0), np.int64)
+            waiting, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols.astype(np.int64)], names=["row", "first", "last"])
 
-        for part in common.batches(frames, "anchor", "row", "first", "bytes"):
-            for anchor, row, first, data in zip(*part, strict=True):
-                if size >= CHUNK and waiting[-1][0] != anchor:
-                    yield settle(waiting)
-                    waiting, size = [], 0
-                waiting.append((anchor, row, first, data))
-                size += len(data)
-        if waiting:
-            yield settle(waiting)
-
-    pieces = fetched.filter("bytes is not null").select("anchor", "row", "first", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    common.small_batches(spark)
-    compared = pieces.mapInArrow(compare, "row long, first long, last long")
-    places = fetched.filter("bytes is null").select("anchor", "window", "weight", "row", "first")
-    often = places.groupBy("anchor", "window").agg(F.sum("weight").alias("w")).filter("w > 1").select("anchor", "window")
-    counted = places.join(often, ["anchor", "window"], "left_semi").select("row", "first", F.col("first").alias("last"))
-    spans = common.stash(local.unionByName(whole).unionByName(compared).unionByName(counted), "spans")
-    common.discard(found, alike, groups, wanted, fetched)
-    return spans
-
-
-def with_stretches(docs: DataFrame, length: int, many: int) -> DataFrame:
-    """Rows of ``docs``, all columns, with the windows that repeat as _stretches (null: none)."""
+        for part in common.batches(frames, "key", "row", "first", "settled", "bytes"):
+            for k, row, first, settled, data in zip(*part, strict=True):
+                if k != key:
+                    close()
+                    key = k
+                    if size >= CHUNK:
+                        yield settle()
+                group.append((row, first, data))
+                open_ |= not settled
+        close()
+        yield settle()
+
+    def merged(pieces: DataFrame) -> DataFrame:
+        dealt = pieces.select("key", "row", "first", "settled", "bytes").repartition("key").sortWithinPartitions("key")
+        return dealt.mapInArrow(compare, "row long, first long, last long")
+
+    def divided(pieces: DataFrame, shift: int) -> DataFrame:
+        def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in common.batches(frames, "row", "first", "last", "at", "settled", "bytes"):
+                yield _table([x for p in zip(*part, strict=True) for x in cells(*p, shift, length)], PIECES)
+
+        return pieces.select("row", "first", "last", "at", "settled", "bytes").mapInArrow(task, PIECES)
+
+    # 1. segments, and those that occur whole at several places
+    found = common.stash(rows.select("row", "text").mapInArrow(cut, FOUND), "segments")
+    spans = [found.filter("weight = 0").select("row", "first", "last")]
+    shared = common.stash(found.filter("weight > 0").groupBy("anchor").agg(F.sum("weight").alias("n")).filter("n > 1"), "anchors")
+    alike = common.stash(common.listed(found.filter("weight > 0"), shared, ["anchor"]), "shared")
+    at = F.struct("row", "first", "last", "at")
+    groups = common.stash(alike.groupBy("anchor", "content").agg(F.sum("weight").alias("n"), F.min(at).alias("place")), "contents")
+    spans.append(common.listed(alike, groups.filter("n > 1").select("anchor", "content", "n"), ["anchor", "content"]).select("row", "first", "last"))
+
+    # 2. the bytes of one segment of each content, of anchors with several contents
+    variety = groups.groupBy("anchor").agg(F.count("*").alias("n"), F.min("n").alias("least")).filter("n > 1 and least = 1").select("anchor", "n")
+    unlike = common.listed(groups, common.stash(variety, "variety"), ["anchor"]).select("anchor", (F.col("n") > 1).alias("settled"), "place.*")
+    wanted = common.stash(unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "at", "settled")).alias("cuts")), "wanted")
+    texts = rows.select("row", "text")
+    held = ((common.sought(texts, wanted, "row") or (texts,))[0]).join(wanted, "row").dropDuplicates(["row"])
+    pieces = common.stash(held.select("row", "text", "cuts").mapInArrow(fetch, PIECES), "pieces")
+
+    # 3. small groups are merged, large ones dealt out by what their windows share
+    shift, stale = (length - anchor_size(length) + 1).bit_length(), [found, shared, alike, groups, wanted, pieces]
+    while True:
+        large = pieces.groupBy("key").agg(F.sum(F.length("bytes")).alias("size")).filter(F.col("size") > MERGED).select("key")
+        large = common.stash(large, "large")
+        stale.append(large)
+        if not large.limit(1).count():
+            spans.append(merged(pieces))
+            break
+        dealt = common.sought(pieces, large, "key") or (pieces.join(large, "key", "left_semi"), pieces.join(large, "key", "left_anti"))
+        spans.append(merged(dealt[1]))
+        shift = max(0, shift - 2)
+        parts = common.stash(divided(dealt[0], shift), "cells")
+        each = parts.groupBy("key", "content").agg(F.count("*").alias("n"), F.max("settled").alias("settled"), F.min(at).alias("place"), F.first("bytes").alias("bytes"))
+        each = common.stash(each, "kinds")
+        spans.append(common.listed(parts.filter("not settled").select("key", "content", "row", "first", "last"), each.filter("n > 1").select("key", "content", "n"), ["key", "content"]).select("row", "first", "last"))
+        open_ = each.groupBy("key").agg(F.count("*").alias("n"), F.max((F.col("n") == 1) & ~F.col("settled")).alias("open")).filter("n > 1 and open").select("key", "n")
+        left = common.listed(each, common.stash(open_, "open"), ["key"])
+        pieces = common.stash(left.select("key", F.lit(0).cast("long").alias("content"), "place.*", (F.col("settled") | (F.col("n") > 1)).alias("settled"), "bytes"), "pieces")
+        stale += [parts, each, pieces]
+    out = common.stash(functools.reduce(DataFrame.unionByName, spans), "spans")
+    common.discard(*stale)
+    return out
+
+
+def with_stretches(docs: DataFrame, length: int, name: str) -> DataFrame:
+    """Rows of ``docs``, all columns, with the windows that repeat as the column ``name`` (null: none)."""
     # rows with equal id and text are told apart by nothing and share their stretches, which count for each
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text", F.length("text")))
-    found = repeated_spans(rows.select(F.col("_row").alias("row"), "text"), length, many)
-    gathered = common.stash(found.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "last")).alias("_stretches")), "stretches")
-    parts = common.sought(rows, gathered, "_row")
+    row = common.unused(docs, "row")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text", F.length("text")))
+    found = repeated_spans(rows.select(F.col(row).alias("row"), "text"), length)
+    gathered = common.stash(found.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("first", "last")).alias(name)), "stretches")
+    parts = common.sought(rows, gathered, row)
     if parts is None:
-        return rows.join(gathered, "_row", "left").drop("_row")
+        return rows.join(gathered, row, "left").drop(row)
     hit, rest = parts
-    return hit.join(gathered, "_row").unionByName(rest.withColumn("_stretches", F.lit(None).cast(gathered.schema["_stretches"].dataType))).drop("_row")
+    return hit.join(gathered, row).unionByName(rest.withColumn(name, F.lit(None).cast(gathered.schema[name].dataType))).drop(row)
 
 
 def cut_text(text: str | None, stretches: list[dict] | None, length: int) -> tuple[bytes, np.ndarray, np.ndarray, bytes]:
@@ -331,7 +385,7 @@ def cut_text(text: str | None, stretches: list[dict] | None, length: int) -> tup
     return raw, b, e, b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Removes each byte that a string of ``length`` bytes covers which starts at another place, too.
 
     ``docs`` has doc_id and text, others are ignored; returns doc_id, n_bytes,
@@ -341,11 +395,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     nothing; repeated rows are each other's copies. An empty table gives no
     rows.
     """
-    both = with_stretches(docs.select("doc_id", "text"), length, many)
+    both = with_stretches(docs.select("doc_id", "text"), length, "stretches")
 
     def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        for ids, texts, stretches in common.batches(frames, "doc_id", "text", "_stretches"):
+        for ids, texts, stretches in common.batches(frames, "doc_id", "text", "stretches"):
             out = []
             for i, text, mine in zip(ids, texts, stretches, strict=True):
                 raw, b, e, kept = cut_text(text, mine, length)
@@ -353,35 +407,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> D
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), span, pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "spans", "n_removed", "kept"])
 
-    common.small_batches(docs.sparkSession)
-    return both.select("doc_id", "text", "_stretches").mapInArrow(keep, "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, n_removed long, kept binary")
+    return both.select("doc_id", "text", "stretches").mapInArrow(keep, "doc_id long, n_bytes long, spans array<struct<first:long, end:long>>, n_removed long, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int, many: int = MANY) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int) -> DataFrame:
     """``docs`` with all columns and the shortened texts, n_chars (if any) counted anew.
 
     Bytes of a character that a cut has split go with it. A row whose text is
-    repeats alone goes; one that was empty or null stays as it is.
+    repeats alone goes; one that was empty or null stays as it is. Repeated
+    rows are each other's copies, whatever their other columns hold, which may
+    have any names. An empty table gives an empty one.
     """
     columns, schema = docs.columns, docs.schema
-    both = with_stretches(docs, length, many).select(*columns, "_stretches")
+    name = common.unused(docs, "stretches")
+    both = with_stretches(docs, length, name).select(*columns, name)
 
     def rewrite(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            texts = [cut_text(t, m, length)[3].decode("utf-8", "ignore") if m else t for t, m in zip(b.column("text").to_pylist(), b.column("_stretches").to_pylist(), strict=True)]
+        for b in common.sliced(frames):
+            texts = [cut_text(t, m, length)[3].decode("utf-8", "ignore") if m else t for t, m in zip(b.column("text").to_pylist(), b.column(name).to_pylist(), strict=True)]
             cols = [b.column(c) for c in columns]
             cols[columns.index("text")] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 k = columns.index("n_chars")
-                cols[k] = pa.array([o if not m else len(t) for t, m, o in zip(texts, b.column("_stretches").to_pylist(), cols[k].to_pylist(), strict=True)], cols[k].type)
-            stays = [not m or bool(t.strip()) for t, m in zip(texts, b.column("_stretches").to_pylist(), strict=True)]
+                cols[k] = pa.array([o if not m else len(t) for t, m, o in zip(texts, b.column(name).to_pylist(), cols[k].to_pylist(), strict=True)], cols[k].type)
+            stays = [not m or bool(t.strip()) for t, m in zip(texts, b.column(name).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(stays, pa.bool_()))
 
-    common.small_batches(docs.sparkSession)
     return both.mapInArrow(rewrite, schema)
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the strings of 400 bytes that occur again."""
+    """All documents without the strings of 400 bytes that occur again; ``text`` is what is left, a character that a cut splits as U+FFFD."""
     out = remove_repeats(common.documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), left)

@@ -104,8 +104,10 @@ def test_jaccard_components(docs, pandas_docs, words, percent):
     assert got == expected
 
 
-def test_jaccard_large_group(spark):
-    """Near copies that share every list: more than a leaf, in several components."""
+@pytest.mark.parametrize("split", [jaccard.SPLIT, 20])
+def test_jaccard_large_group(spark, monkeypatch, split):
+    """Near copies that share every list, in several components, in one tree and dealt to several."""
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     rng = random.Random(4)
     base = [f"t{i}" for i in range(60)]
     pairs = []
@@ -136,6 +138,17 @@ def test_jaccard_repeated_and_missing_ids(spark):
     assert got == [(3, 1), (57, 1), (58, 1), (59, 1)]
 
 
+def test_one_of_each(spark, edge, nothing):
+    """One row of each group, with all columns, whatever these are called; repeated rows are one, rows without words stay."""
+    near = " ".join(f"a{i}" for i in range(60))
+    rows = [(3, near, "x", 1, 2, [1]), (1, near + " z", "y", 1, 2, None), (1, near + " z", "w", 1, 2, None), (1, "quite another text with some words", "x", 1, 2, [2]), (None, near + " z y", "x", 1, 2, []), (None, "no id at all in this row", "v", 0, 0, []), (8, None, "x", 1, 2, []), (8, None, "x", 1, 2, []), (9, "", "x", 1, 2, [])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, row int, component int, whole array<int>")
+    out = jaccard.one_of_each(table).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(1, near + " z"), (1, "quite another text with some words"), (0, "no id at all in this row"), (8, ""), (9, "")])
+    assert jaccard.one_of_each(table).columns == table.columns and {r["lang"] for r in out if r["doc_id"] == 1} <= {"x", "y", "w"}
+    assert jaccard.one_of_each(table.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
@@ -159,10 +172,10 @@ def test_tree_loses_nothing():
     points = rng.poisson(3, (700, jaccard.GROUPS)).astype(np.uint8)
     points[100:200] = points[0] + rng.integers(0, 2, (100, jaccard.GROUPS)).astype(np.uint8)
     sizes = points.sum(1).astype(np.int64)
-    q, p = jaccard.RTree(points, sizes).search(points, sizes, 85)
-    got = set(zip(q.tolist(), p.tolist(), strict=True))
+    got = {(i, j) for q, p, _ in jaccard.RTree(points, sizes).search(points, sizes, 85) for i, j in zip(q.tolist(), p.tolist(), strict=True)}
     a, b = (x.ravel() for x in np.meshgrid(np.arange(700), np.arange(700), indexing="ij"))
-    ok = jaccard.bound_holds(points[a], points[b], sizes[a], sizes[b], 85)
+    near = 100 * np.minimum(sizes[a], sizes[b]) >= 85 * np.maximum(sizes[a], sizes[b])
+    ok = near & (np.minimum(points[a], points[b]).sum(axis=1) >= jaccard.needed(sizes[a], sizes[b], 85))
     assert set(zip(a[ok].tolist(), b[ok].tolist(), strict=True)) <= got
 
 
@@ -429,17 +442,41 @@ def brute_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("many", [1000, 1])
-def test_suffix_dedup(docs, pandas_docs, many):
-    some = docs.filter("doc_id < 80")
-    got = {r["doc_id"]: (r["n_removed"], len(r["spans"]), sha(bytes(r["kept"]))) for r in suffixes.remove_repeats(some, 400, many).collect()}
+def removed(table, length):
+    return collections.Counter((r["doc_id"], r["n_removed"], len(r["spans"]), sha(bytes(r["kept"]))) for r in suffixes.remove_repeats(table, length).collect())
+
+
+@pytest.mark.parametrize("merged", [suffixes.MERGED, 1])
+def test_suffix_dedup(docs, pandas_docs, monkeypatch, merged):
+    monkeypatch.setattr(suffixes, "MERGED", merged)
     few = pandas_docs[pandas_docs.doc_id < 80]
-    assert got == dict(zip(few.doc_id, brute_removal(few.text, 400), strict=True))
+    assert removed(docs.filter("doc_id < 80"), 400) == collections.Counter((i, *b) for i, b in zip(few.doc_id, brute_removal(few.text, 400), strict=True))
+
+
+@pytest.mark.parametrize(("length", "merged"), [(400, suffixes.MERGED), (200, 1 << 14), (200, 1), (20, 1000)])
+def test_suffix_dedup_common_passage(spark, monkeypatch, length, merged):
+    """A passage that over a thousand texts hold in different surroundings, some of which are alike on one side."""
+    monkeypatch.setattr(suffixes, "MERGED", merged)
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, sides = some(110), [some(6) for _ in range(5)]
+    texts = [f"{some(20)} {rng.choice(sides)} {passage[: rng.choice([300, 450, 700])]} {rng.choice(sides)} {some(20)}" for _ in range(1200)] + [passage * 2, "", None]
+    rows = list(enumerate(texts))
+    assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length) == collections.Counter((i, *b) for i, b in zip(range(len(texts)), brute_removal(texts, length), strict=True))
+
+
+def test_suffix_dedup_clashing_names(spark):
+    text = "the cat sat on the mat and the dog ran away " * 20
+    rows = [(1, text, 7, "s", 2, 13), (2, text, 8, None, 3, 13), (3, "alone", 9, "t", 4, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _row int, stretches string, row int, n_chars int")
+    out = suffixes.without_repeats(table, 100).collect()
+    assert [tuple(r) for r in out] == [rows[2]] and suffixes.without_repeats(table, 100).columns == table.columns
+    assert suffixes.without_repeats(table.limit(0), 100).count() == 0
 
 
 def test_suffix_dedup_edge_cases(edge, nothing):
-    got = collections.Counter((r["doc_id"], r["n_removed"], len(r["spans"]), sha(bytes(r["kept"]))) for r in suffixes.remove_repeats(edge, 40).collect())
-    assert got == collections.Counter((i, *b) for (i, _), b in zip(EDGE, brute_removal([t for _, t in EDGE], 40), strict=True))
+    assert removed(edge, 40) == collections.Counter((i, *b) for (i, _), b in zip(EDGE, brute_removal([t for _, t in EDGE], 40), strict=True))
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
@@ -459,30 +496,54 @@ def test_merged_transforms(length):
 # 10
 
 
+def article_of(page):
+    """The text of the article element of the tables' pages."""
+    import html as library
+    import re
+
+    body = page.split("<article>")[1].split("</article>")[0]
+    blocks = [" ".join(library.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+    return "\n\n".join(b for b in blocks if b)
+
+
 def test_html_extraction(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in html.extract(pages).collect()}
     for p in pages.collect():
-        body = p["html"].split("<article>")[1].split("</article>")[0]
-        import html as library
-        import re
+        assert got[p["page_id"]]["text"] == article_of(p["html"]) and got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
+
 
-        blocks = [" ".join(library.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
-        assert got[p["page_id"]]["text"] == "\n\n".join(b for b in blocks if b) and got[p["page_id"]]["n_chars"] == len(got[p["page_id"]]["text"])
+def test_html_templates_go_by_differencing(spark, sf):
+    """The tables' pages without their marks, in a template that no markup tells from an article: only alignment can find it."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    host = lambda u: u.split("/")[2]
+    frame = lambda u, body: f"<body><p>Start {host(u)}</p><p>All sections</p>{body}<p>Rights of {host(u)}</p><p>Imprint</p></body>"
+    bare = lambda h: "<div>" + h.split("<article>")[1].split("</article>")[0] + "</div>"
+    sites = collections.Counter(host(u) for _, u, _ in rows)
+    table = spark.createDataFrame([(i, u, frame(u, bare(h))) for i, u, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(table).collect()}
+    among = [(got[i], article_of(h)) for i, u, h in rows if sites[host(u)] > 1]
+    assert len(among) > 20 and sum(a == b for a, b in among) >= 0.9 * len(among)
+    alone = [(got[i], article_of(h)) for i, u, h in rows if sites[host(u)] == 1]
+    assert all(a != b and b in a for a, b in alone)
 
 
 def test_html_markup():
     page = '<body><header>Site</header><div class="cookie-notice">We use</div><main><header><h1>T</h1></header><p>a&nbsp; b<br>c &lt;d&gt; &#x27;<p>open<script>x("</p>")</script><div class=share>s</div><section id="comments"><article>hi</article></section></main><aside>r</aside><form><p>f</form>'
-    assert html.lines_of(page) == [("T", True), ("a b c <d> '", True), ("open", True)]
-    assert html.lines_of(None) == [] and html.lines_of("a < b") == [("a < b", False)]
-    assert html.lines_of('<div class="ad">never closed<article><p>text</article>') == [("text", True)]
+    told = lambda p, kinds: [x for x, k in html.lines_of(p) if k in kinds]
+    assert told(page, [html.MARKED]) == ["T", "a b c <d> '", "open"] and told(page, [html.OUT]) == ["Site", "We use", "s", "hi", "r", "f"] and told(page, [html.PLAIN]) == []
+    assert html.lines_of(None) == [] and html.lines_of("a < b") == [("a < b", html.PLAIN)]
+    assert html.lines_of('<div class="ad">never closed<article><p>text</article>') == [("never closed", html.OUT), ("text", html.MARKED)]
 
 
 def test_html_differencing(spark):
     page = lambda a: f"<div>Menu words</div><div>{a}</div><div>All rights</div>"
+    both = "<article><p>the same story</p><p>{}</p></article>"
     rows = [(1, "http://h/a/1", page("first")), (2, "http://h/a/2", page("second")), (3, "http://other/x", page("alone")), (4, None, None), (5, "", ""), (2, "http://h/a/2", page("second"))]
+    rows += [(6, "http://twice/1", page(both.format("one"))), (7, "http://twice/2", page(both.format("two"))), (8, "http://mixed/1", "<article><p>Menu words</p><p>story</p></article>"), (9, "http://mixed/2", page("plain"))]
     got = sorted((r["page_id"], r["text"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect())
-    assert got == [(1, "first"), (2, "second"), (2, "Menu words\n\nsecond\n\nAll rights"), (3, "Menu words\n\nalone\n\nAll rights"), (4, ""), (5, "")] or got[0] == (1, "first")
+    assert got == [(1, "first"), (2, "second"), (2, "second"), (3, "Menu words\n\nalone\n\nAll rights"), (4, ""), (5, ""), (6, "the same story\n\none"), (7, "the same story\n\ntwo"), (8, "story"), (9, "plain\n\nAll rights")]
+    assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("bucket", [1000, 3])
@@ -509,4 +570,5 @@ def test_longest_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        assert len(html.shared(a, b)) == t[-1][-1]
+        got = html.matches(a, b)
+        assert len(got) == t[-1][-1] and all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
