@@ -11,13 +11,15 @@ similarity reaches the threshold share a token of their prefixes (of n tokens,
 the first n - ceil(threshold n) + 1), so the sets of one token's list are the
 points of one tree, and no link is lost. Frequent tokens come last in the
 order, by a count sketch over all rows, so they seldom stand in a prefix.
-
-Equal sets are one point. Lists of up to LEAF points are a single leaf, all its
-pairs are candidates. In longer lists each point is first paired with the
-list's least point and one other; components of what verifies follow,
-and only pairs between different components are then searched in the tree: a
-group of n copies gives about n candidates a token instead of n squared. Lists
-beyond SPLIT points are searched block against block in different tasks.
+Equal sets are one point.
+
+All candidates come from the trees, in two rounds. First each point is sought
+in the tree of one of its lists, the same for most near copies, and gets the
+least and the nearest of the points that the bound allows; components of what
+verifies follow. Then the trees of all lists tell every pair that the bound
+allows between different components: a group of n near copies gives about n
+candidates instead of n squared. A list of more than SPLIT points is dealt to
+several trees before anything gathers it.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from obspark.llm import common
 
 GROUPS = 256
-LEAF, FAN, CHAIN = 8, 32, 64
-SPLIT = 4096
+#: Children of a box, and points of a tree.
+FAN, SPLIT = 32, 4096
 #: Counters of the sketch, and of one of its rows.
 SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
 CEILING = 255
@@ -66,11 +68,6 @@ def minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((low == CEILING).any(axis=1), np.int64(1 << 40), low.sum(axis=1, dtype=np.int64))
 
 
-def bound_holds(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the summed coordinate minima of points allow the overlap that a link needs."""
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (minima(x, y) >= needed(a, b, percent))
-
-
 class RTree:
     """Points packed by size and by the coordinate that varies most, in boxes of coordinate maxima and least and largest sizes."""
 
@@ -84,9 +81,8 @@ class RTree:
             at = np.arange(0, len(low), FAN)
             self.levels.append((np.maximum.reduceat(p, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, indexed point) that the bound lets through."""
-        out_q, out_p = [], []
+    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (query, indexed point) that the bound lets through, and the bound; by blocks of queries."""
         for begin in range(0, len(sizes), 256):
             q = np.arange(begin, min(begin + 256, len(sizes)))
             top = len(self.levels[-1][1])
@@ -98,8 +94,10 @@ class RTree:
                     x, n = qs[a : a + 8192], ns[a : a + 8192]
                     nearest = np.clip(sizes[x], low[n], high[n])  # the size in the box that needs least of the bound on sizes
                     fits = 100 * np.minimum(sizes[x], nearest) >= percent * np.maximum(sizes[x], nearest)
+                    x, n = x[fits], n[fits]
                     least = np.maximum(low[n], -(-percent * sizes[x] // 100))
-                    keep.append(fits & (minima(points[x], box[n]) >= needed(sizes[x], least, percent)))
+                    fits[fits] = minima(points[x], box[n]) >= needed(sizes[x], least, percent)
+                    keep.append(fits)
                 keep = np.concatenate(keep) if keep else np.zeros(0, bool)
                 qs, ns = qs[keep], ns[keep]
                 if level:
@@ -107,9 +105,7 @@ class RTree:
                     qs = np.repeat(qs, FAN)
                     ns = (ns[:, None] * FAN + np.arange(FAN)).ravel()
                     qs, ns = qs[ns < size], ns[ns < size]
-            out_q.append(qs)
-            out_p.append(self.order[ns])
-        return (np.concatenate(out_q), np.concatenate(out_p)) if out_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield qs, self.order[ns], minima(points[qs], self.levels[0][0][ns])
 
 
 def _runs(frames: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -142,20 +138,15 @@ def _emit(rows: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text; others are ignored).
+def row_hash(key: str = "doc_id"):
+    """Rows are found again by a hash of id and text: ids may be null or repeat."""
+    return F.xxhash64(key, "text", F.length("text"))
 
-    Two rows link when 100 times the overlap of their sets of word shingles is
-    at least ``percent`` times the size of the union; component_id is the
-    smallest doc_id that links reach. Rows without words (null, empty, white
-    space) have no tokens and link with nothing: their component is themselves.
-    Texts shorter than a shingle are one token. Rows with equal ids and texts
-    are equal sets. Sets are told apart by 64-bit hashes of their tokens. An
-    empty table gives no rows.
-    """
+
+def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id") -> DataFrame:
+    """doc_id, row (see ``row_hash``), n, component (a long that names it; null without words) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    # rows are found again by a hash of id and text: ids may be null or repeat
-    texts = docs.select(F.col(key).alias("doc_id"), "text", F.xxhash64(key, "text").alias("row"))
+    texts = docs.select(F.col(key).alias("doc_id"), "text", row_hash(key).alias("row"))
 
     # 1. sizes, ids and points of the sets, and the sketch of token counts
     def describe(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +168,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
 
-    common.small_batches(spark)
     described = common.stash(texts.mapInArrow(describe, "doc_id long, row long, n long, node long, data binary, part int"), "sets")
-    sets = described.filter("part is null").select("doc_id", "n", "node")
+    sets = described.filter("part is null").select("doc_id", "row", "n", "node")
 
     def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -200,9 +190,15 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
     # 2. prefix tokens of every set
     def prefixes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
-        for (ts,) in common.batches(frames, "text"):
+        told: set[int] = set()  # rows whose copies need not be told again by this task
+        for hashes, ts in common.batches(frames, "row", "text"):
             keys, nodes, sizes = [], [], []
-            for t in ts:
+            for h, t in zip(hashes, ts, strict=True):
+                if h in told:
+                    continue
+                told.add(h)
+                if len(told) > 100_000:
+                    told.clear()
                 s = token_set(t, words)
                 if not len(s):
                     continue
@@ -215,62 +211,16 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["key", "node", "n"])
 
-    listed = texts.select("text").mapInArrow(prefixes, "key long, node long, n int")
-    w = Window.partitionBy("key")
-    lists = listed.withColumn("least", F.min("node").over(w)).withColumn("most", F.max("node").over(w)).filter("least <> most").select("key", "node", "n")
-
-    # 3. candidates: all pairs of short lists, a star and a chain of long ones; the rows of long lists are kept (b null)
-    def candidates(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # of this task; another task's repeats fall to distinct()
-        out: list[tuple] = []
-        n_out = 0
-        for key_, node, n in _runs(frames, ["key", "node", "n"]):
-            node, first = np.unique(node, return_index=True)
-            n = n[first].astype(np.int64)
-            m = len(node)
-            if m < 2:
-                continue
-            if m <= LEAF:
-                i, j = np.triu_indices(m, 1)
-            else:
-                rest = np.arange(1, m)
-                # in long lists the two least points are the centres, in shorter ones each point also meets the next
-                i, j = np.concatenate((np.zeros(m - 1, np.int64), rest[:-1] if m <= CHAIN else np.ones(m - 2, np.int64))), np.concatenate((rest, rest[1:]))
-                out.append((np.full(m, key_[0]), node, np.full(m, -1), n, np.zeros(m, np.int64)))
-                n_out += m
-            fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            new = [(a, b) for a, b in zip(node[i[fits]].tolist(), node[j[fits]].tolist(), strict=True) if (a, b) not in seen]
-            if new:
-                seen.update(new)
-                if len(seen) > 500_000:
-                    seen.clear()
-                ab = np.array(new, np.int64)
-                out.append((np.zeros(len(ab), np.int64), ab[:, 0], np.ones(len(ab), np.int64), np.zeros(len(ab), np.int64), ab[:, 1]))
-                n_out += len(ab)
-            if n_out > 50_000:
-                yield _emit(out, ["key", "a", "kind", "n", "b"])
-                out, n_out = [], 0
-        yield _emit(out, ["key", "a", "kind", "n", "b"])
-
-    common.small_batches(spark, 256)
-    found = common.stash(lists.mapInArrow(candidates, "key long, a long, kind long, n long, b long"), "candidates")
-    points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("data").alias("point"))
+    copies = texts.select(F.xxhash64("text", F.length("text")).alias("row"), "text")
+    listed = common.stash(copies.mapInArrow(prefixes, "key long, node long, n int"), "prefixes")
+    lists = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    lists = common.stash(lists.select("key", "n"), "lists")
+    few = common.sought(listed, lists, "key")
+    several = few[0] if few else common.listed(listed, lists, ["key"])
+    members = common.stash(several.groupBy("key", "node").agg(F.first("n").cast("long").alias("n")), "members")
+    points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("data").alias("point"))
     points = common.stash(points, "points")
 
-    def bounded(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("x", "y"))
-            ok = bound_holds(x, y, *(b.column(c).to_numpy() for c in ("na", "nb")), percent)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
-
-    def near(pairs: DataFrame, label: str) -> DataFrame:
-        """Of distinct pairs of nodes, those that the bound of the points lets through."""
-        left = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("x"))
-        right = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y"))
-        return common.stash(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(bounded, "a long, b long"), f"{label}-near")
-
     def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, s = None, None
         for a, b, x, y in common.batches(frames, "a", "b", "x", "y"):
@@ -299,58 +249,123 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key:
         common.discard(bodies)
         return links
 
-    long = found.filter("kind = -1").select("key", F.col("a").alias("node"), "n")
-    pairs = near(found.filter("kind = 1").select("a", "b").distinct(), "first")
+    def trees(rows: DataFrame, columns: list[str], tell) -> DataFrame:
+        """What ``tell`` (the columns of a cell's rows, their points and sizes) gives of each cell of ``rows`` (cell, node, n, and others)."""
+
+        def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cols in _runs(frames, ["cell", *columns, "point"]):
+                of = dict(zip(columns, cols[1:-1], strict=True))
+                for a, b in tell(of, np.frombuffer(b"".join(cols[-1]), np.uint8).reshape(-1, GROUPS)):
+                    yield _emit([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
+
+        held = rows.join(points.select("node", "point"), "node").repartition("cell").sortWithinPartitions("cell")
+        return held.select("cell", *columns, "point").mapInArrow(task, "a long, b long").distinct()
+
+    def nearest(of: dict, x: np.ndarray):
+        """For each point, the least one and the nearest one of those before it that the bound allows."""
+        node, n = of["node"], of["n"]
+        for q, p, bound in RTree(x, n).search(x, n, percent):
+            ok = node[p] < node[q]
+            q, p, bound = q[ok], p[ok], bound[ok]
+            for order in (np.lexsort((node[p], q)), np.lexsort((node[p], -bound, q))):
+                i = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+                yield node[q[i]], node[p[i]]
+
+    def between(of: dict, x: np.ndarray):
+        """All pairs of points of different components that the bound allows, which no lesser list tells."""
+        node, n, comp, lesser = of["node"], of["n"], of["component"], of["lesser"]
+        u, v = np.flatnonzero(of["lower"] == 1), np.flatnonzero(of["upper"] == 1)
+        if not len(u) or not len(v):
+            return
+        same = len(u) == len(v) == len(node)  # one block with itself: each pair comes twice
+        for q, p, _ in RTree(x[u], n[u]).search(x[v], n[v], percent):
+            i, j = v[q], u[p]
+            ok = (comp[i] != comp[j]) & ((node[i] < node[j]) | (not same))
+            i, j = i[ok], j[ok]
+            keys = {r: frozenset(lesser[r].tolist()) for r in np.unique(np.concatenate((i, j))).tolist()}
+            ok = np.fromiter((keys[g].isdisjoint(keys[h]) for g, h in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            yield node[i[ok]], node[j[ok]]
+
+    def sized(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of lists of several points, with the number of trees of their list and their own."""
+        sizes = common.stash(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), name)
+        dealt = common.listed(rows.withColumnRenamed("n", "size"), sizes, ["key"], "inner").withColumn("blocks", F.ceil(F.col("n") / SPLIT))
+        return dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("n").withColumnRenamed("size", "n")
+
+    # 3. each point beside its like in one of its lists
+    one = members.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    alike = sized(one, "first-lists").select(F.xxhash64("key", "mine").alias("cell"), "node", "n")
+    pairs = common.stash(trees(alike, ["node", "n"], nearest), "first")
     first = verified(pairs, "first")
     label = common.components(first, "first")
     named = lambda df, c: df.join(label.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn("_c", F.coalesce("_c", c))
 
-    # 4. pairs between components within long lists, by the trees
-    tagged = named(long, "node").withColumnRenamed("_c", "component")
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("key", "m")
-    blocks = F.ceil(F.col("m") / SPLIT).cast("int")
-    held = tagged.join(mixed, "key")
+    # 4. pairs between components, in all lists
+    tagged = common.stash(named(members, "node").withColumnRenamed("_c", "component"), "tagged")
+    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    held = common.stash(common.listed(tagged, common.stash(mixed.select("key", "n"), "mixed"), ["key"]), "held")
     # a pair is told by the least list that both are in, so each row brings its point's lesser lists
     lists_of = held.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    open_ = held.join(lists_of, "node").withColumn("lesser", F.filter("keys", lambda k: k < F.col("key"))).withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    open_ = sized(held, "second-lists").join(lists_of, "node").withColumn("lesser", F.filter("keys", lambda k: k < F.col("key")))
     # a list of several blocks is searched as pairs of blocks, each pair on its own
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "component", "lesser", (F.col("mine") <= F.col("other")).cast("long").alias("lower"), (F.col("mine") >= F.col("other")).cast("long").alias("upper")
     )
-    spread = spread.join(points.select("node", "point"), "node")
-
-    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, n, comp, lower, upper, point, lesser in _runs(frames, ["cell", "node", "n", "component", "lower", "upper", "point", "lesser"]):
-            x = np.frombuffer(b"".join(point), np.uint8).reshape(-1, GROUPS)
-            p, q = np.flatnonzero(lower == 1), np.flatnonzero(upper == 1)
-            if not len(p) or not len(q):
-                continue
-            i, j = RTree(x[p], n[p].astype(np.int64)).search(x[q], n[q].astype(np.int64), percent)
-            i, j = q[i], p[j]
-            ok = comp[i] != comp[j]
-            if lower.all() and upper.all():  # one block with itself: each pair comes twice
-                ok &= node[i] < node[j]
-            i, j = i[ok], j[ok]
-            lists = {r: frozenset(lesser[r].tolist()) for r in np.unique(np.concatenate((i, j))).tolist()}
-            ok = np.fromiter((lists[u].isdisjoint(lists[v]) for u, v in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-            a, b = node[i[ok]], node[j[ok]]
-            yield _emit([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
-
-    cross = common.stash(spread.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "n", "component", "lower", "upper", "point", "lesser").mapInArrow(search, "a long, b long").distinct(), "cross")
+    cross = common.stash(trees(spread, ["node", "n", "component", "lesser", "lower", "upper"], between), "cross")
     if cross.limit(1).count():
-        second = verified(near(cross.join(pairs, ["a", "b"], "left_anti"), "second"), "second")
+        second = verified(cross.join(pairs, ["a", "b"], "left_anti"), "second")
         drawn = named(named(second, "a").withColumnRenamed("_c", "x"), "b").select(F.col("x").alias("a"), F.col("_c").alias("b"))
         more = common.components(drawn, "second")
         joined = label.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         # nodes that only the second round links
         label = joined.unionByName(more.join(label, "id", "left_anti").select("id", "component"))
 
-    common.discard(found, pairs, points, cross)
+    common.discard(listed, lists, members, pairs, points, tagged, held, cross)
+    return sets.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text; others are ignored).
+
+    Two rows link when 100 times the overlap of their sets of word shingles is
+    at least ``percent`` times the size of the union; component_id is the
+    smallest doc_id that links reach. Rows without words (null, empty, white
+    space) have no tokens and link with nothing: their component is themselves.
+    Texts shorter than a shingle are one token. Rows with equal ids and texts
+    are equal sets. Sets are told apart by 64-bit hashes of their tokens. An
+    empty table gives no rows.
+    """
+    member = linked_rows(docs, words, percent, key)
+    least = member.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    several = common.listed(member.withColumnRenamed("n", "n_shingles"), common.stash(least.filter("n > 1"), "least"), ["component"], "left")
+    return several.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
-    # 5. the smallest document of each component
-    member = sets.join(label.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = member.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return member.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, any others), all columns: of each component of links (see ``jaccard_components``) one row.
+
+    The smallest doc_id stays, of several rows with it (or without an id, where
+    no row has one) the one of the least hash of id and text. Rows equal in both
+    are one, whatever their other columns hold; of these the row of the least
+    hash of all columns stays. Rows without words link with nothing, so they
+    stay. An empty table gives an empty one.
+    """
+    columns, name, full = docs.columns, common.unused(docs, "row"), common.unused(docs, "whole")
+    member = linked_rows(docs, words, percent).select("doc_id", "row", "component").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("component").alias("component"), F.count("*").alias("times"))
+    member = common.stash(member, "members")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = member.filter("component is not null").groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    others = common.listed(member, common.stash(first, "first-rows"), ["component"], "inner").filter(F.col("row") != F.col("first.row"))
+    told = others.select("row", F.lit(False).alias("again")).unionByName(member.filter("times > 1").select("row", F.lit(True).alias("again")))
+    told = common.stash(told.groupBy(F.col("row").alias(name)).agg(F.min("again").alias("again")), "told")
+    rows = docs.withColumn(name, row_hash())
+    parts = common.sought(rows, told, name)
+    rest = parts[1] if parts else rows.join(told, name, "left_anti")
+    again = told.filter("again").select(name)
+    twice = rows.join(F.broadcast(again) if again.count() <= common.FEW else again, name, "left_semi")
+    hashes = [c for c, t in docs.dtypes if not t.startswith("map")]
+    one = twice.withColumn(full, F.xxhash64(*hashes)).groupBy(name).agg(F.min_by(F.struct(*columns), full).alias(full)).select(*[F.col(f"{full}.{c}").alias(c) for c in columns])
+    return rest.select(*columns).unionByName(one)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
