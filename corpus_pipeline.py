@@ -23,7 +23,12 @@ PASSAGE = 200
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects rows in which no language is told: null texts, texts without letters, and undecided ones."""
+    """Rejects rows in which no language is told: null and empty texts, texts without letters, and undecided ones.
+
+    Long texts are read whole; repeated rows share their fate; other columns may
+    have any names. Without a labelled row nothing is told, so all rows go; an
+    empty table gives an empty one.
+    """
     model = convnet.fit_language(docs)
 
     def decide(texts: list) -> list[bool]:
@@ -34,29 +39,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects rows that the quality network, fitted on the labelled rows among ``docs``, scores below a half."""
+    """Rejects rows that the quality network, fitted on the labelled rows among ``docs``, scores below a half.
+
+    Null texts count as empty ones, which have the score of the base rate; long
+    texts are read whole; repeated rows share their fate; other columns may have
+    any names. Without a labelled row the network stays as drawn; an empty table
+    gives an empty one.
+    """
     model = convnet.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return common.keep_rows(docs, lambda texts: (model.scores(texts) >= QUALITY_LEAST).tolist())
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that near-duplicate links connect, the document with the smallest id stays.
-
-    Rows with equal id and text count as one; rows without an id stay.
-    """
-    groups = jaccard.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each group that near-duplicate links connect, one document stays, the one of the smallest id (see ``jaccard.one_of_each``)."""
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that occur again from all texts; rows that are nothing else go."""
+    """Removes passages that occur again from all texts; rows that are nothing else go, null and empty texts stay (see ``suffixes.without_repeats``)."""
     return suffixes.without_repeats(docs, PASSAGE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of tokens."""
+    """Packs what is left into sequences of tokens: a row for each piece; a null or empty text is its closing id alone (see ``packing.pack``)."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
