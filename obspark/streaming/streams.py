@@ -7,7 +7,6 @@ the last update of a key counts. State is bounded by watermarks.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from obspark.sources import places
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that spark.checkpoint.dir names (unset, as in tests: a temporary one)."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='obspark-')}"
-    return f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{places.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
