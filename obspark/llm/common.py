@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obspark.sources import places
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SHINGLE_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -30,18 +32,10 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return place.rstrip("/")
-
-
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes the rows as a table to the shared folder and reads them back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{places.shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
