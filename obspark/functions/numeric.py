@@ -32,9 +32,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def backoff(attempt: Column, base: float, cap: float) -> Column:
-    """exponential delay before an attempt, without jitter."""
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(cap))
+def backoff(attempt: Column, base: float, cap: float, jitter: float = 0.0, noise: Column | None = None) -> Column:
+    """exponential delay before an attempt, up to a share ``jitter`` longer or shorter, by ``noise`` (0 to 1; random, if not given)."""
+    delay = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(cap))
+    return delay if not jitter else delay * (1 + jitter * (2 * (F.rand() if noise is None else noise) - 1))
 
 
 def vector_fault(c: Column, dimension: int) -> Column:

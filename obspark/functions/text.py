@@ -50,8 +50,9 @@ TRANSIENT_STORAGE_MARKS = ("operationalerror", "database is locked", "database t
 
 def tokens(c: Column | str) -> Column:
     """folded tokens, runs of letters and digits."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    low = F.lower(F.col(c) if isinstance(c, str) else c)
+    folded = F.when(F.octet_length(low) > F.length(low), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
+    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def query_terms(query: str) -> list[str]:

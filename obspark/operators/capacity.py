@@ -18,6 +18,23 @@ def group_count(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def metric_source(tables: Mapping[str, DataFrame], name: str, columns: Sequence[str]) -> DataFrame | None:
+    """The columns of a table, null where it lacks one; None if there is no such table."""
+    df = tables.get(name)
+    return None if df is None else df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+
+
+def distinct_counts(calls: DataFrame) -> DataFrame:
+    """Jobs and calls."""
+    return calls.agg(F.countDistinct("job_id").alias("jobs"), F.countDistinct("unit_id", "attempt_count").alias("calls"))
+
+
+def gate_kpis(decisions: DataFrame) -> DataFrame:
+    """Units, those sent to the model, those held back, and the share of the sent ones to 6 digits."""
+    n = lambda c: F.count(F.when(c, 1))
+    return decisions.agg(F.count("*").alias("total"), n(F.col("triggered")).alias("n_triggered"), n(~F.col("triggered")).alias("detector_only"), F.round(F.avg(F.col("triggered").cast("int")), 6).alias("positive_rate"))
+
+
 def requests_by_video(calls: DataFrame, jobs: DataFrame) -> DataFrame:
     """Calls of each video; calls are counted by job before they meet the jobs."""
     return calls.groupBy("job_id").agg(F.count("*").alias("c")).join(jobs.select("job_id", "video_id"), "job_id").groupBy("video_id").agg(F.sum("c").alias("n"))

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 
 def golden(df: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """for each term the records that have it as a tag or in the static text; terms without records go."""
+    """a row (query_id, record_id) for each term and record that has it as a tag or in the static text; terms without records have none."""
     low = F.transform("tags", lambda t: F.lower(t))
     hits = [F.when(F.array_contains(low, t) | F.contains(F.lower("static_text"), F.lit(t)), F.lit(t)) for t in terms]
-    each = df.select("record_id", F.explode(F.array_compact(F.array(*hits))).alias("term"))
-    return each.groupBy("term").agg(F.array_join(F.sort_array(F.collect_list("record_id")), ",").alias("relevant"), F.count("*").alias("n"))
+    return df.select(F.explode(F.array_compact(F.array(*hits))).alias("query_id"), "record_id")
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obspark.functions.udfs import hash_embedding
+from obspark.functions.udfs import hash_embedding, playback_subject, playback_token
 from obspark.operators import search
-from obspark.operators.scope import Scope, authorized
+from obspark.operators.scope import Scope, authorized, authorized_videos
 
 # Fields that an export never shows, and the longest lists of revisions and lives of sessions.
 FORBIDDEN = ("source_uri", "clip_uri", "thumbnail_uri")
@@ -18,15 +18,16 @@ MOST_REVISIONS = 8
 MOCK_TEXTS = ("empty scene", "one person walking", "two people talking", "vehicle passing", "person with bag")
 
 
-def timeline_scan(events: DataFrame, since: Column | None = None, until: Column | None = None, limit: int = 100_000) -> DataFrame:
-    """Events of a time window (both ends count) in their total order; a limit of 0 or less gives none."""
+def timeline_scan(events: DataFrame, since: Column | None = None, until: Column | None = None, limit: int = 100_000, **equal) -> DataFrame:
+    """Events of a time window (both ends count), and of a job or trace (column=value), in their total order; a limit of 0 or less gives none."""
     if limit <= 0:
         return events.limit(0)
     if since is not None:
         events = events.filter(F.col("occurred_at") >= since)
     if until is not None:
         events = events.filter(F.col("occurred_at") <= until)
-    return events.orderBy("occurred_at", "event_id").limit(limit)
+    order = [c for c in ("occurred_at", "created_at", "event_id") if c in events.columns]
+    return equality_scan(events, order, limit, **equal)
 
 
 def equality_scan(df: DataFrame, order: Sequence[str], limit: int, **filters) -> DataFrame:
@@ -37,6 +38,27 @@ def equality_scan(df: DataFrame, order: Sequence[str], limit: int, **filters) ->
     return df.orderBy(*order).limit(limit)
 
 
+#: Order of the scans of dimensions and logs.
+DIMENSIONS = {
+    "locations": ("location_id",),
+    "cameras": ("camera_id",),
+    "videos": ("video_id",),
+    "jobs": ("created_at", "job_id"),
+    "scale_tasks": ("job_id", "analysis_scale"),
+    "triggers": ("video_id", "trigger_start_ms"),
+    "units": ("unit_id",),
+    "call_logs": ("started_at", "unit_id", "attempt_count"),
+    "gate_logs": ("unit_id",),
+    "policies": ("policy_id",),
+    "pending_tasks": ("next_run_at", "task_id"),
+}
+
+
+def dimension_scan(df: DataFrame, dimension: str, limit: int, **filters) -> DataFrame:
+    """A page of a dimension in its order."""
+    return equality_scan(df, DIMENSIONS[dimension], limit, **filters)
+
+
 def vectors_of(vectors: DataFrame, ids: DataFrame, vector_type: str | None = None) -> DataFrame:
     """Vectors of the records of ``ids``, of one channel or all."""
     if vector_type is not None:
@@ -64,6 +86,20 @@ def parsed_scores(df: DataFrame, body: str, documents: str) -> DataFrame:
     return pairs.join(scores, ["id", "position"], "left").select("id", "position", "document", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def parsed_vectors(df: DataFrame, body: str, expected: str) -> DataFrame:
+    """A response's vectors in the order of their index, and why it can't be used (null: it can): its count must be the expected one, its indexes 0 and up."""
+    data = F.from_json(body, "struct<data: array<struct<index: int, embedding: array<double>>>>")["data"]
+    sorted_ = F.array_sort(data)
+    whole = F.transform(sorted_, lambda x: x["index"]) == F.transform(sorted_, lambda x, i: i)
+    fault = F.when(data.isNull(), "no_data").when(F.size(data) != F.col(expected), "count").when(~whole, "index")
+    return df.select("id", fault.alias("fault"), F.when(fault.isNull(), F.transform(sorted_, lambda x: x["embedding"])).alias("vectors"))
+
+
+def call_error(status: Column) -> Column:
+    """How an HTTP status of a detector counts (null: no error); too many requests and server errors may be tried again."""
+    return F.when((status == 429) | (status >= 500), "retryable").when(status >= 400, "permanent")
+
+
 def detections(df: DataFrame, body: str) -> DataFrame:
     """A detector's answer flattened: image by position, label, confidence and box of each annotation."""
     schema = "struct<responses: array<struct<annotations: array<struct<label: string, confidence: double, xs: array<double>, ys: array<double>>>>>>"
@@ -77,9 +113,15 @@ def sanitized(df: DataFrame, scope: Scope, forbidden: Sequence[str] = FORBIDDEN)
     return authorized(df, scope).drop(*forbidden)
 
 
-def exported_videos(records: DataFrame, videos: DataFrame) -> DataFrame:
-    """Videos that the exported records name."""
-    return videos.join(records.select("video_id").distinct(), "video_id", "left_semi")
+def exported_videos(records: DataFrame, videos: DataFrame, scope: Scope) -> DataFrame:
+    """Videos that exported records name and that the scope permits as well."""
+    return authorized_videos(videos, scope).join(records.select("video_id").distinct(), "video_id", "left_semi")
+
+
+def migration_export(records: DataFrame, videos: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
+    """Permitted records without what an export never shows, and the videos that they name, authorized anew."""
+    kept = sanitized(records, scope)
+    return kept, exported_videos(kept, videos, scope).drop(*FORBIDDEN)
 
 
 def stripped(c: Column, forbidden: Sequence[str]) -> Column:
@@ -87,11 +129,24 @@ def stripped(c: Column, forbidden: Sequence[str]) -> Column:
     return F.map_filter(c, lambda k, _: ~k.isin(*forbidden))
 
 
+def removed(c: Column, forbidden: Sequence[str]) -> Column:
+    """The keys that ``stripped`` takes out, sorted."""
+    return F.sort_array(F.array_except(F.map_keys(c), F.map_keys(stripped(c, forbidden))))
+
+
 def failures(units: DataFrame) -> DataFrame:
     """Failed and skipped units, and those with an error code."""
     return units.filter(F.col("status").isin("failed", "skipped") | (F.coalesce("error_code", F.lit("")) != ""))
 
 
+def diagnostics(jobs: DataFrame, scales: DataFrame, units: DataFrame, job_id) -> DataFrame:
+    """Failed and skipped scales and units of a job, and those with an error code, with the job's status."""
+    job = jobs.filter(F.col("job_id") == job_id).select("job_id", "job_status")
+    s = failures(scales.withColumnRenamed("scale_status", "status")).select("job_id", "analysis_scale", F.lit(None).cast("long").alias("unit_id"), "status", "error_code")
+    u = failures(units).select("job_id", "analysis_scale", F.col("unit_id").cast("long").alias("unit_id"), "status", "error_code")
+    return s.unionByName(u).join(F.broadcast(job), "job_id")
+
+
 def lapsed(contexts: DataFrame, now: Column) -> DataFrame:
     """Q15: contexts whose time is up turn expired."""
     return contexts.withColumn("status", F.when((F.col("status") == "active") & (F.col("expires_at") < now), "expired").otherwise(F.col("status")))
@@ -106,7 +161,7 @@ def usable(contexts: DataFrame, now: Column, idle_seconds: int, scope_hash: str)
     )
 
 
-def refine(pool: DataFrame, revision: DataFrame, operation: str, request: search.Request, corpus: DataFrame, vectors: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+def refine(pool: DataFrame, revision: DataFrame, operation: str, request: search.Request, corpus: DataFrame, vectors: DataFrame | None = None, vector: Sequence[float] | None = None, head: int = 50) -> DataFrame:
     """Re-ranks a revision's records (record_id) that the current pool still permits."""
     held = pool.join(revision.select("record_id"), "record_id", "left_semi")
     if operation == "narrow_by_tags":
@@ -114,7 +169,7 @@ def refine(pool: DataFrame, revision: DataFrame, operation: str, request: search
     if operation == "filter_by_analysis_scale":
         return search.rank(search.filter_by_scale(held, request.preferred_scales), request, corpus)
     if operation == "rerank_current_candidates":
-        return search.rerank_head(search.rank(held, request, corpus, vectors, vector), request.query, 50)
+        return search.rerank_head(search.rank(held, request, corpus, vectors, vector), request.query, head)
     modes = {"search_static_text": "static_attribute", "search_dynamic_text": "dynamic_event", "hybrid_search_text": "hybrid", "apply_rrf_fusion": "hybrid"}
     if operation not in modes:
         raise ValueError(f"no operation {operation}")
@@ -153,6 +208,23 @@ def details(df: DataFrame, scope: Scope, ids: Sequence[str]) -> DataFrame:
     return out.withColumn("locator", F.when(F.col("may_locate"), F.concat_ws(":", "video_id", F.col("segment_start_ms").cast("string"), F.col("segment_end_ms").cast("string")))).drop("may_locate")
 
 
+def locators(found: DataFrame, df: DataFrame, scope: Scope, principal: str, secret: str, now: Column, ttl_s: int = 300) -> DataFrame:
+    """Locators of records (record_id): where and when, a signed token and its expiry; only of those that the scope permits now."""
+    scope.require("observation_read_locator")
+    live = authorized(df, scope).join(F.broadcast(found.select("record_id")), "record_id", "left_semi")
+    expiry = F.unix_seconds(now.cast("timestamp")) + ttl_s
+    subject = F.concat_ws(":", F.lit(principal), "record_id", expiry.cast("string"))
+    return live.select("record_id", "video_id", "camera_id", "segment_start_ms", "segment_end_ms", F.col("observed_start").alias("absolute_start"), F.col("observed_end").alias("absolute_end"), playback_token(secret)(subject).alias("token"), expiry.alias("expires_s"))
+
+
+def verified_playback(tokens: DataFrame, df: DataFrame, scope: Scope, principal: str, secret: str, now_s: float) -> DataFrame:
+    """What may be played: genuine tokens that have not lapsed, of this principal, whose record the scope permits now."""
+    scope.require("video_playback")
+    told = tokens.select(playback_subject(secret, now_s)("token").alias("subject"))
+    mine = told.filter(F.substring_index("subject", ":", 1) == principal).select(F.substring_index("subject", ":", -1).alias("record_id")).distinct()
+    return authorized(df, scope).join(mine, "record_id", "left_semi").select("record_id", "video_id", "camera_id", "segment_start_ms", "segment_end_ms")
+
+
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and an order-free checksum of each table."""
     out = None
@@ -164,10 +236,12 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def backup(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Writes the tables and their manifest."""
-    m = manifest(tables)
+    """Writes the tables, and the manifest of what was written."""
+    spark = None
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        spark = df.sparkSession
+    m = manifest({name: spark.read.parquet(f"{path}/{name}") for name in tables})
     m.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
     return m
 

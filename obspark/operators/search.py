@@ -7,6 +7,7 @@ the single-partition ranks see, whatever the table's size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -74,20 +75,31 @@ def ranked(df: DataFrame, score: Column | str, name: str, key: str = "record_id"
     return df.withColumn(name, F.when(s.isNotNull(), F.row_number().over(Window.orderBy(F.desc_nulls_last(s), key))))
 
 
-def text_statistics(corpus: DataFrame, columns: Sequence[str], terms: Sequence[str]) -> dict[str, tuple[int, float, dict[str, int]]]:
-    """rows, mean length and document frequencies of the terms, for each channel, in one pass over the corpus."""
+def text_statistics(corpus: DataFrame, columns: Sequence[str], terms: Sequence[str]) -> Column:
+    """a struct of the rows (n) and, for each channel, its tokens (length_) and the rows that have each term (d_): one pass over the corpus.
+
+    It is a scalar subquery: nothing runs before the search that it is part of.
+    """
     distinct = list(dict.fromkeys(terms))
-    arrays = corpus.select(*[tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
+    arrays = corpus.select(*[tokens(c).alias(c) for c in columns])
     sums = [F.count("*").alias("n")]
-    for k in range(len(columns)):
-        sums.append(F.sum(F.size(f"t{k}")).alias(f"length{k}"))
-        sums += [F.sum(F.array_contains(f"t{k}", t).cast("int")).alias(f"d{k}_{i}") for i, t in enumerate(distinct)]
-    r = arrays.agg(*sums).first()
-    n = r["n"] or 0
-    return {c: (n, (r[f"length{k}"] or 0) / max(1, n), {t: r[f"d{k}_{i}"] or 0 for i, t in enumerate(distinct)}) for k, c in enumerate(columns)}
+    for c in columns:
+        sums.append(F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(f"length_{c}"))
+        sums += [F.coalesce(F.sum(F.array_contains(c, t).cast("int")), F.lit(0)).alias(f"d_{c}_{i}") for i, t in enumerate(distinct)]
+    return arrays.agg(*sums).select(F.struct("*").alias("s")).scalar()
+
+
+def inverse_frequency(n: Column, d: Column) -> Column:
+    """weight of a term that d of n rows have."""
+    return F.greatest(F.lit(LEAST_IDF), F.log((n - d + 0.5) / (d + 0.5)))
 
 
-def bm25(df: DataFrame, column: str, query: str, corpus: DataFrame | None = None, statistics: dict | None = None) -> DataFrame:
+def saturated(tf: Column, size: Column, mean: Column) -> Column:
+    """a term's frequency in a text of ``size`` tokens."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def bm25(df: DataFrame, column: str, query: str, corpus: DataFrame | None = None, statistics: Column | None = None) -> DataFrame:
     """rows of ``df`` with ``bm25`` of the channel ``column`` (null: no term occurs).
 
     Statistics are of the whole ``corpus`` (``df`` by default); a term that the
@@ -96,16 +108,16 @@ def bm25(df: DataFrame, column: str, query: str, corpus: DataFrame | None = None
     terms = query_terms(query)
     if not terms:
         return df.withColumn("bm25", F.lit(None).cast("double"))
-    n, mean, frequency = (statistics or text_statistics(corpus or df, [column], terms))[column]
-    size = F.size("_t")
+    statistics = statistics if statistics is not None else text_statistics(df if corpus is None else corpus, [column], terms)
+    of = lambda name: F.col(f"_st.{name}").cast("double")
+    mean = F.coalesce(F.nullif(of(f"length_{column}") / F.greatest(F.lit(1.0), of("n")), F.lit(0.0)), F.lit(1.0))
+    distinct = list(dict.fromkeys(terms))
     total = F.lit(0.0)
     for t in terms:
-        d = F.lit(float(frequency[t]))
-        idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(float(n)) - d + 0.5) / (d + 0.5)))
         tf = F.size(F.filter("_t", _equal(t)))
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(float(mean or 1))))
-    scored = df.withColumn("_t", F.coalesce(tokens(column), F.array().cast("array<string>")))
-    return scored.withColumn("bm25", F.when(F.arrays_overlap("_t", F.array(*map(F.lit, dict.fromkeys(terms)))), total)).drop("_t")
+        total = total + inverse_frequency(of("n"), of(f"d_{column}_{distinct.index(t)}")) * saturated(tf, F.size("_t"), mean)
+    scored = df.withColumn("_t", F.coalesce(tokens(column), F.array().cast("array<string>"))).withColumn("_st", statistics)
+    return scored.withColumn("bm25", F.when(F.arrays_overlap("_t", F.array(*map(F.lit, distinct))), total)).drop("_t", "_st")
 
 
 def keyword(df: DataFrame, column: str, query: str) -> DataFrame:
@@ -146,10 +158,10 @@ def rank(pool: DataFrame, request: Request, corpus: DataFrame | None = None, vec
     if not query_terms(request.query):
         w = Window.orderBy("observed_start", "record_id")
         out = pool.withColumn("rank_static", F.row_number().over(w)).withColumn("rank_dynamic", F.lit(None).cast("int")).withColumn("rank_vector", F.lit(None).cast("int"))
-        out = out.withColumn("final_score", F.lit(1.0) / (F.col("rank_static") + RANK_K))
+        out = out.withColumns({"tag_boost": F.lit(0.0), "scale_boost": F.lit(0.0), "final_score": F.lit(1.0) / (F.col("rank_static") + RANK_K)})
         return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "record_id")))
     channels = {"static_attribute": ("static",), "dynamic_event": ("dynamic",)}.get(request.mode, ("static", "dynamic"))
-    statistics = text_statistics(corpus or pool, [f"{c}_text" for c in channels], query_terms(request.query)) if request.text == "bm25" else None
+    statistics = text_statistics(pool if corpus is None else corpus, [f"{c}_text" for c in channels], query_terms(request.query)) if request.text == "bm25" else None
     out = pool
     for c in ("static", "dynamic"):
         if c not in channels:
@@ -170,20 +182,33 @@ def rank(pool: DataFrame, request: Request, corpus: DataFrame | None = None, vec
 
 
 def fused(df: DataFrame, request: Request) -> DataFrame:
-    """Reciprocal ranks of the channels, capped boosts, and the final rank."""
+    """Reciprocal ranks of the channels, capped boosts (tag_boost, scale_boost), and the final rank."""
     part = lambda c: F.coalesce(F.lit(1.0) / (F.col(c) + RANK_K), F.lit(0.0))
     low = F.transform("tags", lambda t: F.lower(t))
     tag = sum((F.array_contains(low, t.lower()).cast("int") for t in request.tags), F.lit(0)) * TAG_BOOST
     scale = F.when(F.col("analysis_scale").isin(*request.preferred_scales), SCALE_BOOST).otherwise(0.0) if request.preferred_scales else F.lit(0.0)
-    out = df.withColumn("final_score", part("rank_static") + part("rank_dynamic") + part("rank_vector") + F.least(F.lit(BOOST_CAP), tag) + F.least(F.lit(BOOST_CAP), scale))
+    out = df.withColumn("tag_boost", F.least(F.lit(BOOST_CAP), tag)).withColumn("scale_boost", F.least(F.lit(BOOST_CAP), scale))
+    out = out.withColumn("final_score", part("rank_static") + part("rank_dynamic") + part("rank_vector") + F.col("tag_boost") + F.col("scale_boost"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "record_id")))
 
 
+def checked(top_k: int, most: int = 100) -> int:
+    """How many results are wanted, if that is allowed."""
+    if not 1 <= top_k <= most:
+        raise ValueError(f"limit_exceeded: top_k must be from 1 to {most}")
+    return top_k
+
+
 def results(ranked_: DataFrame, top_k: int) -> DataFrame:
     """The first ``top_k`` with a preview of 200 characters."""
-    if not 1 <= top_k <= 100:
-        raise ValueError("limit_exceeded: top_k must be from 1 to 100")
-    return ranked_.filter(F.col("rank") <= top_k).select("rank", "record_id", F.round("final_score", 6).alias("score"), F.substring("static_text", 1, 200).alias("preview"))
+    return ranked_.filter(F.col("rank") <= checked(top_k)).select("rank", "record_id", F.round("final_score", 6).alias("score"), F.substring("static_text", 1, 200).alias("preview"))
+
+
+def detailed(ranked_: DataFrame, top_k: int) -> DataFrame:
+    """The first ``top_k`` with scale, times, preview, and what each channel and boost adds to the score, to 6 digits."""
+    part = lambda c: F.round(F.lit(1.0) / (F.col(c) + RANK_K), 6)
+    detail = F.struct(*[part(f"rank_{c}").alias(c) for c in ("static", "dynamic", "vector")], F.round("tag_boost", 6).alias("tag_boost"), F.round("scale_boost", 6).alias("scale_boost"))
+    return ranked_.filter(F.col("rank") <= checked(top_k)).select("rank", "record_id", F.round("final_score", 6).alias("score"), detail.alias("detail"), F.substring("static_text", 1, 200).alias("preview"), "analysis_scale", "observed_start", "observed_end")
 
 
 def search(df: DataFrame, scope: Scope, request: Request, vectors: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
@@ -192,6 +217,56 @@ def search(df: DataFrame, scope: Scope, request: Request, vectors: DataFrame | N
     return results(rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector), request.top_k)
 
 
+@dataclass(frozen=True)
+class Started:
+    """A search that has started: its results, the candidates of its first revision, their facets, and what the audit log gets."""
+
+    results: DataFrame
+    candidates: DataFrame
+    facets: DataFrame
+    audit: DataFrame
+
+
+def start(df: DataFrame, scope: Scope, request: Request, context_id: str, vectors: DataFrame | None = None, vector: Sequence[float] | None = None, most: int = 500) -> Started:
+    """Q1, Q4, K8: a search with its first revision (at most ``most`` candidates in rank order), facets of it and an audit row."""
+    scope.require("observation_search")
+    checked(request.top_k)
+    ordered = rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector).filter(F.col("rank") <= most)
+    candidates = detailed_candidates(ordered, context_id)
+    audit = candidates.agg(F.count("*").alias("candidates")).select(F.lit("search").alias("event_type"), F.lit(scope.digest()).alias("resource_scope_hash"), F.lit(context_id).alias("context_id"), "candidates")
+    return Started(detailed(ordered, request.top_k), candidates, revision_facets(df, scope, candidates), audit)
+
+
+def detailed_candidates(ordered: DataFrame, context_id: str, revision: int = 0) -> DataFrame:
+    """K8: candidates of a revision."""
+    return ordered.select(F.lit(f"{context_id}:{revision}").alias("revision_id"), "record_id", "rank", F.round("final_score", 6).alias("score"))
+
+
+def revision_facets(df: DataFrame, scope: Scope, candidates: DataFrame) -> DataFrame:
+    """Facets (facet, value, n) of the candidates that the scope still permits: all cameras, locations, scales and hours, and the most frequent tags."""
+    held = authorized(df, scope).join(F.broadcast(candidates.select("record_id")), "record_id", "left_semi")
+    columns = (("camera", "camera_id"), ("location", "location_id"), ("scale", "analysis_scale"))
+    each = F.array(*[F.struct(F.lit(k).alias("facet"), F.col(c).alias("value")) for k, c in columns], F.struct(F.lit("hour").alias("facet"), F.date_format("observed_start", "yyyy-MM-dd HH:00").alias("value")))
+    counted = held.select(F.inline(each)).groupBy("facet", "value").agg(F.count("*").alias("n"))
+    return counted.unionByName(facet_tags(held).select(F.lit("tag").alias("facet"), F.col("tag").alias("value"), "n"))
+
+
+def of_video(df: DataFrame, scope: Scope, video_id: str, limit: int = 50, after: tuple[int, str] | None = None) -> DataFrame:
+    """Permitted records of a video by their start, a page of ``limit`` after the last row (start, id) of the page before."""
+    rows = authorized(df, scope).filter(F.col("video_id") == video_id)
+    if after is not None:
+        rows = rows.filter((F.col("segment_start_ms") > after[0]) | ((F.col("segment_start_ms") == after[0]) & (F.col("record_id") > after[1])))
+    return rows.orderBy("segment_start_ms", "record_id").limit(limit)
+
+
+def mentioning(df: DataFrame, scope: Scope, query: str, limit: int = 100) -> DataFrame:
+    """Permitted records whose texts or tags have a term of the query as a substring, the earliest first."""
+    terms = query_terms(query)
+    tagged = F.exists("tags", lambda t: functools.reduce(lambda x, y: x | y, [F.contains(F.lower(t), F.lit(q)) for q in terms], F.lit(False)))
+    hit = (keyword_score("static_text", terms) + keyword_score("dynamic_text", terms) > 0) | tagged
+    return authorized(df, scope).filter(hit).orderBy("observed_start", "record_id").limit(limit)
+
+
 def narrow_by_tags(df: DataFrame, tags: Sequence[str]) -> DataFrame:
     """Rows that have all tags, exactly."""
     return df.filter(F.size(F.array_except(F.array(*map(F.lit, tags)), "tags")) == 0)
@@ -241,6 +316,12 @@ def overlapping(df: DataFrame, scope: Scope, record_id: str, pad_ms: int = 0, li
     return hit.orderBy("segment_start_ms", "record_id").limit(limit)
 
 
+def overlap_results(df: DataFrame, scope: Scope, record_id: str, pad_ms: int = 0, limit: int = 50) -> DataFrame:
+    """Q8: what overlaps a record, as results: the position is the rank, the score is 0."""
+    w = Window.orderBy("segment_start_ms", "record_id")
+    return overlapping(df, scope, record_id, pad_ms, limit).select(F.row_number().over(w).alias("rank"), "record_id", F.lit(0.0).alias("score"), F.substring("static_text", 1, 200).alias("preview"), "analysis_scale", "observed_start", "observed_end")
+
+
 def overlap_pairs(df: DataFrame, cell_ms: int, pad_ms: int = 0) -> DataFrame:
     """J3 as a self join of a whole table: pairs (a, b), a < b, of a video that overlap.
 

@@ -68,6 +68,12 @@ def motion_triggers(samples: DataFrame, threshold: float, min_ms: int, merge_gap
     return out.select("series", "trigger_start_ms", "trigger_end_ms", "peak")
 
 
+def trigger_rows(triggers: DataFrame, video: str = "series", reason: str = "motion") -> DataFrame:
+    """Triggers as stored: the peak to 4 digits, and a key that is the same whenever the scan is repeated."""
+    key = F.concat_ws(":", F.col(video).cast("string"), F.lit(reason), F.col("trigger_start_ms").cast("string"), F.col("trigger_end_ms").cast("string"))
+    return triggers.select(key.alias("idempotency_key"), video, "trigger_start_ms", "trigger_end_ms", F.lit(reason).alias("reason"), (F.rint(F.col("peak") * 10000) / 10000).alias("peak"))
+
+
 def trigger_windows(triggers: DataFrame, window_ms: int, overlap_ratio: float, min_ms: int) -> DataFrame:
     """High-frequency units of triggers, numbered trigger * 1000 + window; a window planned twice counts once."""
     t = triggers.withColumn("trigger_index", F.row_number().over(Window.partitionBy("series").orderBy("trigger_start_ms")) - 1)

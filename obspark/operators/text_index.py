@@ -1,0 +1,58 @@
+"""A text index as tables: postings by term, lengths by record; upserts, deletes, candidate-bounded relevance."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from obspark.functions.text import query_terms, tokens
+from obspark.operators.search import inverse_frequency, saturated
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings (record_id, channel, term, tf) and lengths (record_id, channel, tokens)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def build(records: DataFrame, channels: Sequence[str]) -> Index:
+    """K2: the index of all records; stored partitioned by nothing and sorted by term, a query's terms prune it."""
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.coalesce(tokens(c), F.array().cast("array<string>")).alias("t")) for c in channels])
+    long = records.select("record_id", F.inline(each))
+    postings = long.select("record_id", "channel", F.explode("t").alias("term")).groupBy("record_id", "channel", "term").agg(F.count("*").alias("tf"))
+    return Index(postings, long.select("record_id", "channel", F.size("t").cast("long").alias("tokens")))
+
+
+def without(index: Index, ids: DataFrame) -> Index:
+    """K2: the index after records (record_id) are taken out."""
+    gone = ids.select("record_id").distinct()
+    return Index(index.postings.join(gone, "record_id", "left_anti"), index.lengths.join(gone, "record_id", "left_anti"))
+
+
+def upserted(index: Index, records: DataFrame, channels: Sequence[str]) -> Index:
+    """K2: the index after records are indexed, again or for the first time."""
+    old, new = without(index, records), build(records, channels)
+    return Index(old.postings.unionByName(new.postings), old.lengths.unionByName(new.lengths))
+
+
+def relevance(index: Index, channel: str, query: str, candidates: DataFrame) -> DataFrame:
+    """BM25 of the candidates (record_id) that have a term of the query, by the statistics of the whole index.
+
+    Only postings of the query's terms are read; of these, document frequencies
+    are counted, and only candidates are scored.
+    """
+    terms = query_terms(query)
+    spark = index.postings.sparkSession
+    asked = spark.createDataFrame([(t, terms.count(t)) for t in dict.fromkeys(terms)], "term string, times int")
+    mine = index.postings.filter((F.col("channel") == channel) & F.col("term").isin(*terms)) if terms else index.postings.limit(0)
+    lengths = index.lengths.filter(F.col("channel") == channel)
+    total = lengths.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.nullif(F.avg("tokens"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
+    weights = mine.groupBy("term").agg(F.count("*").cast("double").alias("d")).join(F.broadcast(asked), "term").join(F.broadcast(total))
+    hits = mine.join(candidates.select("record_id"), "record_id", "left_semi").join(F.broadcast(weights), "term").join(lengths.select("record_id", "tokens"), "record_id")
+    score = inverse_frequency(F.col("n"), F.col("d")) * saturated(F.col("tf"), F.col("tokens"), F.col("mean")) * F.col("times")
+    return hits.groupBy("record_id").agg(F.sum(score).alias("bm25"))

@@ -264,11 +264,6 @@ def _illegal(s, d):
     return pipeline.illegal_transitions(c).select("o_orderkey", "from_status", "to_status")
 
 
-def _hash_embedding(s, d):
-    b = _t(s, d, "benchmark").withColumn("e", udfs.hash_embedding("text"))
-    return b.select("item_id", F.round(numeric.dot(F.col("e"), F.col("e")), 6).alias("norm"), F.size("e").alias("dimension"))
-
-
 def _tokens(s, d):
     return _t(s, d, "benchmark").select("item_id", udfs.playback_token("test-only")(F.col("item_id").cast("string")).alias("token"))
 
@@ -303,7 +298,7 @@ QUERIES = {
     "latest_status": _latest_status,
     "gate_ratio": lambda s, d: pipeline.positive_ratio(_gate(s, d), "person", 0.5),
     "gate_decision": _decisions,
-    "gate_kpis": lambda s, d: _decisions(s, d).agg(F.count("*").alias("total"), F.count(F.when(F.col("triggered"), 1)).alias("n_triggered"), F.count(F.when(~F.col("triggered"), 1)).alias("detector_only"), F.round(F.avg(F.col("triggered").cast("int")), 6).alias("positive_rate")),
+    "gate_kpis": lambda s, d: capacity.gate_kpis(_decisions(s, d)),
     "event_rate_per_sec": lambda s, d: timeline.event_rate(views.timeline(s, d)),
     "active_series": lambda s, d: timeline.active_series(views.timeline(s, d).withColumn("shard", F.col("unit_id") % 8), "unit_id", ["shard"]),
     "peak_concurrency": lambda s, d: timeline.peak_active(views.timeline(s, d).withColumn("shard", F.col("unit_id") % 8), "unit_id", ["shard"]),
@@ -323,7 +318,7 @@ QUERIES = {
     "job_wall": lambda s, d: capacity.job_wall(views.jobs(s, d), "created_at", "created_at"),
     "capacity_estimate": _capacity,
     "capacity_unknowns": _capacity_unknown,
-    "distinct_counts": lambda s, d: views.model_calls(s, d).agg(F.countDistinct("job_id").alias("jobs"), F.countDistinct("unit_id", "attempt_count").alias("calls")),
+    "distinct_counts": lambda s, d: capacity.distinct_counts(views.model_calls(s, d)),
     "precision_recall_mrr": lambda s, d: _metrics(s, d).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")]),
     "mean_metrics": lambda s, d: evaluate.mean_metrics(_metrics(s, d)),
     "arm_experiment": _arms,
@@ -332,7 +327,6 @@ QUERIES = {
     "retry_backoff": lambda s, d: _t(s, d, "lineitem").select(F.col("l_linenumber").alias("attempt")).distinct().select("attempt", numeric.backoff(F.col("attempt"), 0.5, 8.0).alias("delay_s")),
     "polygon_box": lambda s, d: _t(s, d, "embeddings").select("vec_id", numeric.bounding_box(F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double"), 4)), F.transform(F.slice("embedding", 9, 8), lambda x: F.round(x.cast("double"), 4))).alias("b")).select("vec_id", "b.*"),
     "table_counts": lambda s, d: _counts(s, d),
-    "hash_embedding": _hash_embedding,
     "playback_tokens": _tokens,
     "streaming_event_rate": streams.event_rate,
     "streaming_hopping": streams.hopping_counts,
@@ -344,7 +338,7 @@ QUERIES = {
 def _counts(s, d):
     """Rows of each table."""
     out = None
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
+    for name in views.TABLES:
         n = _t(s, d, name).agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))
         out = n if out is None else out.unionByName(n)
     return out
@@ -412,8 +406,7 @@ ORACLE_SQL = {
     "parse_model_json": "SELECT p_partkey, CASE p_partkey % 4 WHEN 1 THEN 'empty' WHEN 2 THEN 'no_json' ELSE 'ok' END AS status, CASE WHEN p_partkey % 4 = 0 THEN p_brand END AS name FROM part",
     "retry_backoff": "SELECT DISTINCT l_linenumber AS attempt, least(0.5 * pow(2.0, l_linenumber - 1), CAST(8.0 AS DOUBLE)) AS delay_s FROM lineitem",
     "polygon_box": "WITH e AS (SELECT vec_id, [round(CAST(x AS DOUBLE), 4) for x in embedding] AS v FROM embeddings) SELECT vec_id, list_min(v[1:8]) AS x0, list_min(v[9:16]) AS y0, list_max(v[1:8]) AS x1, list_max(v[9:16]) AS y1 FROM e",
-    "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")),
-    "hash_embedding": "SELECT item_id, CAST(1.0 AS DOUBLE) AS norm, 64 AS dimension FROM benchmark",
+    "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in views.TABLES),
     "streaming_event_rate": "SELECT epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1",
     "streaming_hopping": "WITH w AS (SELECT (epoch_us(ts) // 1000000 // 32400 - i) * 32400 AS start_s, epoch_us(ts) AS t FROM events, (SELECT unnest([0, 1]) AS i)) SELECT start_s, count(*) AS n FROM w WHERE t < (start_s + 43200) * 1000000 GROUP BY 1",
     "streaming_dedup": "SELECT event_id, event_type FROM events",

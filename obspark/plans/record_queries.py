@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from obspark.functions import text
-from obspark.operators import evaluate, records, search
-from obspark.plans.search_queries import BOTH, FUSED, HIT, JOINED, POOL, QUERY, SCOPE, SCOPED, VECTOR
+from obspark.operators import evaluate, records, scope, search
+from obspark.plans.search_queries import BOTH, FUSED, HIT, JOINED, POOL, QUERY, SCOPE, SCOPED, VECTOR, VECTORS
 from obspark.sources import views
 
 GOLDEN = ("onre", "mit", "whou")
@@ -83,8 +82,7 @@ def _benchmark(s, d):
     for term in GOLDEN:
         one = search.rank(pool, search.Request(query=term, mode="static_attribute", text="keyword"), obs).filter("rank <= 10").select(F.lit(term).alias("query_id"), "record_id", "rank")
         ranked = one if ranked is None else ranked.unionByName(one)
-    relevant = evaluate.golden(obs, GOLDEN).select(F.col("term").alias("query_id"), F.explode(F.split("relevant", ",")).alias("record_id"))
-    return evaluate.metrics(ranked, relevant, 5).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
+    return evaluate.metrics(ranked, evaluate.golden(obs, GOLDEN), 5).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank")])
 
 
 QUERIES = {
@@ -95,7 +93,7 @@ QUERIES = {
     "rerank_parse": _scores,
     "detector_parse": _detections,
     "sanitized_export": lambda s, d: records.sanitized(_obs(s, d).withColumn("source_uri", F.lit("secret")), SCOPE).select("record_id", "camera_id", "security_level"),
-    "exported_videos": lambda s, d: records.exported_videos(search.candidate_pool(_obs(s, d), SCOPE, limit=30), _obs(s, d).select("video_id").distinct()),
+    "exported_videos": lambda s, d: records.exported_videos(scope.authorized(_obs(s, d), SCOPE), _obs(s, d).select("video_id", "tenant_id", "camera_id", "access_policy_id").distinct(), SCOPE).select("video_id").distinct(),
     "failure_details": _failures,
     "context_sweep": lambda s, d: records.lapsed(_contexts(s, d), _now()).select("context_id", "status"),
     "context_lifecycle": lambda s, d: records.usable(_contexts(s, d), _now(), 86400 * 20, "now").select("context_id", F.coalesce("refusal", F.lit("ok")).alias("refusal")),
@@ -108,8 +106,6 @@ QUERIES = {
     "mock_detections": lambda s, d: records.mock_detections(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("image_id")).distinct(), 0.5),
     "trigram_similarity": lambda s, d: _t(s, d, "part").select("p_partkey", F.round(records.trigram_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity")),
     "record_details": lambda s, d: records.details(_obs(s, d), SCOPE, ["doc_00000003", "doc_00000012", "doc_00000063"]).select("record_id", "locator"),
-    "error_classes": lambda s, d: _t(s, d, "part").select("p_partkey", text.error_class(F.element_at(F.array(*map(F.lit, ("Read timed out", "HTTP 429", "HTTP 503", "bad json", "boom"))), (F.col("p_partkey") % 5).cast("int") + 1)).alias("error_class")),
-    "strip_forbidden": lambda s, d: _t(s, d, "part").select("p_partkey", F.array_join(F.sort_array(F.map_keys(records.stripped(F.create_map(F.lit("name"), "p_name", F.lit("clip_uri"), "p_brand", F.lit("size"), F.col("p_size").cast("string")), records.FORBIDDEN))), ",").alias("fields")),
     "idempotency_keys": lambda s, d: _obs(s, d).select("record_id", F.concat_ws(":", "video_id", "analysis_scale", F.col("segment_start_ms").cast("string"), F.col("segment_end_ms").cast("string")).alias("idempotency_key")),
     "table_manifest": lambda s, d: records.manifest({n: _t(s, d, n) for n in views.TABLES}),
 }
@@ -132,12 +128,15 @@ ORACLE_SQL = {
     "rerank_parse": "SELECT p_partkey AS id, position, CASE position WHEN 0 THEN 0.25 WHEN 1 THEN CAST(p_partkey % 100 AS DOUBLE) / 128 ELSE 0 END AS score FROM part, (SELECT unnest([0, 1, 2]) AS position)",
     "detector_parse": "SELECT p_partkey AS id, 0 AS image, 'person' AS label, CAST(0.5 AS DOUBLE) AS confidence, CAST(least(1, p_partkey % 7) AS DOUBLE) AS x0, CAST(greatest(3, p_partkey % 7) AS DOUBLE) AS x1, CAST(2 AS DOUBLE) AS y0, CAST(4 AS DOUBLE) AS y1 FROM part UNION ALL SELECT p_partkey, 1, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 2 = 0",
     "sanitized_export": f"WITH {SCOPED} SELECT record_id, camera_id, security_level FROM scoped",
-    "exported_videos": f"WITH {SCOPED} SELECT DISTINCT video_id FROM (SELECT * FROM scoped ORDER BY observed_start, record_id LIMIT 30)",
+    "exported_videos": f"WITH {SCOPED} SELECT DISTINCT video_id FROM scoped",
     "failure_details": "SELECT * FROM (SELECT o_orderkey AS unit_id, o_custkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'skipped' ELSE 'succeeded' END AS status, CASE WHEN o_orderkey % 13 = 0 THEN 'E13' ELSE '' END AS error_code FROM orders) WHERE status IN ('failed', 'skipped') OR error_code <> ''",
     "context_sweep": f"WITH {CONTEXTS_SQL} SELECT context_id, CASE WHEN status = 'active' AND expires_at < TIMESTAMP '{NOW}' THEN 'expired' ELSE status END AS status FROM cx",
     "context_lifecycle": f"WITH {CONTEXTS_SQL} SELECT context_id, CASE WHEN scope_hash <> 'now' THEN 'scope_changed' WHEN status <> 'active' THEN 'not_active' WHEN expires_at < TIMESTAMP '{NOW}' THEN 'expired' WHEN epoch(TIMESTAMP '{NOW}') - epoch(last_accessed_at) > {86400 * 20} THEN 'idle' WHEN revisions >= 8 THEN 'too_many_revisions' ELSE 'ok' END AS refusal FROM cx",
     "refine_static": f"WITH {REVISION}, {_again} {STATIC2}",
     "refine_hybrid": f"WITH {REVISION}, {_again} {HYBRID2}",
+    "refine_rerank": f"""WITH {REVISION}, {_again}, {VECTORS}, sv AS (SELECT record_id, max(s) AS s FROM sim WHERE s > 0 AND record_id IN (SELECT record_id FROM pool) GROUP BY 1), rv AS (SELECT record_id, row_number() OVER (ORDER BY s DESC, record_id) AS r FROM sv),
+ f2 AS (SELECT p.record_id, p.static_text, {FUSED2} + coalesce(1.0 / (rv.r + 60), 0) AS s {FROM2} LEFT JOIN rv USING (record_id) WHERE rs2.r IS NOT NULL OR rd2.r IS NOT NULL OR rv.r IS NOT NULL),
+ g2 AS (SELECT *, row_number() OVER (ORDER BY s DESC, record_id) AS rank FROM f2) SELECT rank, record_id, round(s, 6) AS score, substr(static_text, 1, 200) AS preview FROM g2 WHERE rank <= 20""",
     "refine_batch": f"""WITH {REVISION}, {_again} SELECT 0 AS step, rank, record_id, score FROM ({STATIC2}) UNION ALL SELECT 1, rank, record_id, score FROM ({STATIC2.replace('rs2', 'rd2')})
  UNION ALL SELECT 2, rank, record_id, round(1.0 / (rank + 60), 6) FROM (SELECT record_id, row_number() OVER (ORDER BY observed_start, record_id) AS rank FROM pool WHERE list_contains(tags, 'en')) WHERE rank <= 20""",
     "benchmark_run": f"""WITH {POOL}, q AS (SELECT unnest(['onre', 'mit', 'whou']) AS query_id), hit AS (SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY record_id) AS rank FROM q JOIN pool ON contains(lower(static_text), query_id)),
@@ -147,7 +146,5 @@ ORACLE_SQL = {
     "mock_detections": "WITH i AS (SELECT DISTINCT l_orderkey AS unit_id, l_linenumber * 1000000 + l_partkey AS image_id FROM lineitem) SELECT unit_id, image_id, row_number() OVER (PARTITION BY unit_id ORDER BY image_id) <= round_even(count(*) OVER (PARTITION BY unit_id) * 0.5, 0) AS positive FROM i",
     "record_details": f"WITH {SCOPED} SELECT record_id, video_id || ':' || CAST(segment_start_ms AS VARCHAR) || ':' || CAST(segment_end_ms AS VARCHAR) AS locator FROM scoped WHERE record_id IN ('doc_00000003', 'doc_00000012', 'doc_00000063')",
     "trigram_similarity": "WITH t AS (SELECT p_partkey, '  ' || lower(p_name) || ' ' AS a, '  ' || lower(p_type) || ' ' AS b FROM part), g AS (SELECT p_partkey, list_distinct([a[i:i + 2] for i in range(1, length(a) - 1)]) AS x, list_distinct([b[i:i + 2] for i in range(1, length(b) - 1)]) AS y FROM t) SELECT p_partkey, round(CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM g",
-    "error_classes": "SELECT p_partkey, ['timeout', 'rate_limited', 'server_error', 'schema_error', 'unknown'][p_partkey % 5 + 1] AS error_class FROM part",
-    "strip_forbidden": "SELECT p_partkey, 'name,size' AS fields FROM part",
     "idempotency_keys": f"WITH {views.OBSERVATIONS_SQL} SELECT record_id, video_id || ':' || analysis_scale || ':' || CAST(segment_start_ms AS VARCHAR) || ':' || CAST(segment_end_ms AS VARCHAR) AS idempotency_key FROM obs",
 }

@@ -24,14 +24,14 @@ def keyword_sql(column: str) -> str:
     return "(" + " + ".join(f"CAST(contains(lower({column}), '{t}') AS INT)" for t in TERMS) + ")"
 
 
-def bm25_sql(name: str, column: str) -> str:
+def bm25_sql(name: str, column: str, terms: tuple[str, ...] = TERMS) -> str:
     """CTEs ``name``: record_id and bm25 of the rows of the pool where a term occurs, statistics of all observations."""
     tok = f"regexp_extract_all(strip_accents(lower({column})), '[\\p{{L}}\\p{{N}}]+')"
-    stats = ", ".join(f"sum(CAST(list_contains(t, '{w}') AS INT)) AS d{i}" for i, w in enumerate(TERMS))
+    stats = ", ".join(f"sum(CAST(list_contains(t, '{w}') AS INT)) AS d{i}" for i, w in enumerate(terms))
     score = " + ".join(
-        f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * len([x for x in t if x = '{w}']) * 2.2 / (len([x for x in t if x = '{w}']) + 1.2 * (1 - 0.75 + 0.75 * len(t) / mean))" for i, w in enumerate(TERMS)
+        f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * len([x for x in t if x = '{w}']) * 2.2 / (len([x for x in t if x = '{w}']) + 1.2 * (1 - 0.75 + 0.75 * len(t) / mean))" for i, w in enumerate(terms)
     )
-    some = " OR ".join(f"list_contains(t, '{w}')" for w in TERMS)
+    some = " OR ".join(f"list_contains(t, '{w}')" for w in terms)
     return f"""{name}_t AS (SELECT record_id, {tok} AS t FROM obs), {name}_s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(len(t)) / CAST(count(*) AS DOUBLE) AS mean, {stats} FROM {name}_t),
  {name} AS (SELECT record_id, {score} AS bm25 FROM {name}_t, {name}_s WHERE ({some}) AND record_id IN (SELECT record_id FROM pool))"""
 
@@ -150,7 +150,7 @@ QUERIES = {
     "empty_scope_denies": lambda s, d: scope.authorized(_obs(s, d), scope.Scope("tenant_default", (), ("en",), ("pol_a",), "restricted")).agg(F.count("*").alias("n")),
     "video_scope": lambda s, d: scope.authorized_videos(_obs(s, d), SCOPE).groupBy("video_id").agg(F.count("*").alias("n")),
     "lookup_by_ids": lambda s, d: search.by_ids(_obs(s, d), ["doc_00000003", "doc_00000012", "doc_00000077", "doc_99999999"], SCOPE).select("record_id", "camera_id", "security_level"),
-    "list_by_video": lambda s, d: scope.authorized(_obs(s, d), SCOPE).filter("video_id = 'vid_7'").orderBy("segment_start_ms", "record_id").limit(50).select("record_id", "segment_start_ms"),
+    "list_by_video": lambda s, d: search.of_video(_obs(s, d), SCOPE, "vid_7").select("record_id", "segment_start_ms"),
     "candidate_pool_topn": lambda s, d: search.candidate_pool(_obs(s, d), SCOPE, FILTERS, 200).select("record_id", "observed_start", "camera_id"),
     "keyword_candidates": lambda s, d: scope.authorized(_obs(s, d), SCOPE).filter((keyword_score("static_text", ["onre"]) + keyword_score("dynamic_text", ["onre"])) > 0).orderBy("observed_start", "record_id").limit(100).select("record_id"),
     "keyword_rank": lambda s, d: search.results(search.rank(_pool(s, d), _request(mode="static_attribute", text="keyword")), 20),
@@ -223,5 +223,5 @@ ORACLE_SQL = {
     "stricter_level": f"WITH {views.OBSERVATIONS_SQL} SELECT record_id, greatest(CASE security_level WHEN 'public' THEN 0 WHEN 'internal' THEN 1 WHEN 'confidential' THEN 2 ELSE 3 END, CASE WHEN access_policy_id = 'pol_a' THEN 1 ELSE 0 END) AS effective_level FROM obs",
     "validate_vectors": "SELECT vec_id AS doc_id, CASE WHEN vec_id % 7 = 0 THEN 'dimension' WHEN vec_id % 11 = 0 THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimension' ELSE 'ok' END AS fault FROM embeddings",
     "reindex_pending": f"WITH {views.OBSERVATIONS_SQL} SELECT record_id FROM obs WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)",
-    "golden_queries": f"WITH {views.OBSERVATIONS_SQL}, t AS (SELECT unnest(['onre', 'mit', 'src3', 'whou']) AS term) SELECT term, string_agg(record_id, ',' ORDER BY record_id) AS relevant, count(*) AS n FROM t JOIN obs ON list_contains([lower(x) for x in tags], term) OR contains(lower(static_text), term) GROUP BY term",
+    "golden_queries": f"WITH {views.OBSERVATIONS_SQL}, t AS (SELECT unnest(['onre', 'mit', 'src3', 'whou']) AS term) SELECT term AS query_id, record_id FROM t JOIN obs ON list_contains([lower(x) for x in tags], term) OR contains(lower(static_text), term)",
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from obspark.functions import numeric, text, udfs
-from obspark.operators import capacity, evaluate, pipeline, scope, search, temporal, timeline
+from obspark.operators import capacity, evaluate, pipeline, records, scope, search, temporal, timeline
 
 
 def rows(df, *columns):
@@ -322,3 +322,28 @@ def test_late_dates(spark):
 
     got = spark.range(1).select(views.after(F.lit(12_000_000 // 50 * 9000 * 1000))).first()[0]
     assert got.year > 2060
+
+
+def test_logs_revisions_and_reports(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    records.append_log(df, f"{tmp_path}/log")
+    records.append_log(df, f"{tmp_path}/log")
+    assert rows(spark.read.parquet(f"{tmp_path}/log")) == [(1, "a"), (1, "a"), (2, "b"), (2, "b")]
+    records.write_revision(df, f"{tmp_path}/revisions", "c:0")
+    with pytest.raises(AnalysisException):
+        records.write_revision(df, f"{tmp_path}/revisions", "c:0")
+    records.export_report(df, f"{tmp_path}/report")
+    assert rows(spark.read.json(f"{tmp_path}/report")) == [(1, "a"), (2, "b")]
+    records.backup({"t": df}, f"{tmp_path}/backup")
+    assert rows(records.restore(spark, f"{tmp_path}/backup")["t"]) == [(1, "a"), (2, "b")]
+    df.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/backup/t")
+    with pytest.raises(ValueError, match="does not match"):
+        records.restore(spark, f"{tmp_path}/backup")
+
+
+def test_shared_folder(spark):
+    from obspark.sources import places
+
+    assert places.shared_dir(spark).startswith("file:")
