@@ -25,22 +25,22 @@ def running_total(deltas: DataFrame, by: Sequence[str], name: str, bucket_ms: in
 def at_positions(df: DataFrame, by: Sequence[str], value: str, positions: Mapping[str, Column]) -> DataFrame:
     """For each group, n and the values at ``positions`` (from 0, of the sorted non-null values, as functions of the column n), as columns.
 
-    Values are counted by distinct value; the counts of ranges of values tell
-    in which range a position lies, and only those ranges are numbered.
+    The counts of ranges of values, aggregated where the rows are, tell in which
+    range a position lies; only the rows of those ranges are shuffled, counted
+    by distinct value, and numbered.
     """
     by = list(by) or ["_all"]
     rows = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    groups = counts.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    values = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    groups = values.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     share = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double"))
-    ranged = counts.join(groups, by).withColumn("_r", F.least(F.lit(RANGES - 1), F.floor(F.coalesce(share, F.lit(0.0)) * RANGES)))
-    sums = ranged.groupBy(*by, "_r").agg(F.sum("_c").alias("_s"), F.first("n").alias("n"))
+    ranged = values.join(groups, by).withColumn("_r", F.least(F.lit(RANGES - 1), F.floor(F.coalesce(share, F.lit(0.0)) * RANGES)))
+    sums = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_s"), F.first("n").alias("n"))
     after = F.sum("_s").over(Window.partitionBy(*by).orderBy("_r"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("_name"), p.cast("bigint").alias("_p")) for k, p in positions.items()]))
-    sought = sums.withColumn("_after", after).withColumn("_before", F.col("_after") - F.col("_s")).select("*", wanted).select(*by, "_r", "_before", "_after", F.col("col._name").alias("_name"), F.col("col._p").alias("_p"))
-    sought = sought.filter("_p >= _before AND _p < _after").select(*by, "_r", "_before", "_name", "_p")
-    inner = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v"))
-    numbered = ranged.join(sought.select(*by, "_r").distinct(), [*by, "_r"], "left_semi").withColumn("_k", inner)
-    hit = numbered.join(sought, [*by, "_r"]).filter("_p - _before < _k AND _p - _before >= _k - _c")
-    out = hit.groupBy(*by).pivot("_name", list(positions)).agg(F.first("_v")).join(groups.select(*by, "n"), by)
-    return out.drop("_all")
+    wanted = F.inline(F.array(*[F.struct(F.lit(k).alias("_name"), p.cast("bigint").alias("_p")) for k, p in positions.items()]))
+    sought = sums.withColumn("_after", after).withColumn("_before", F.col("_after") - F.col("_s")).select("*", wanted)
+    sought = sought.filter("_p >= _before AND _p < _after").groupBy(*by, "_r", "_before").agg(F.collect_list(F.struct("_name", "_p")).alias("_at"))
+    counts = ranged.join(sought, [*by, "_r"]).groupBy(*by, "_r", "_v").agg(F.count("*").alias("_c"), F.first("n").alias("n"), F.first("_before").alias("_before"), F.first("_at").alias("_at"))
+    numbered = counts.withColumn("_k", F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy("_v")))
+    hit = numbered.select(*by, "n", "_v", "_k", "_c", F.inline("_at")).filter("_p < _k AND _p >= _k - _c")
+    return hit.groupBy(*by, "n").agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in positions]).select(*by, *positions, "n").drop("_all")
