@@ -1,8 +1,8 @@
 """Operators 1 and 3: byte-level convolutional networks in numpy.
 
 Quality (1): filters over overlapping chunks that cover the whole document,
-each max-pooled over the document, combined into one probability. A byte's
-input code also says whether its word repeats the word before.
+each max-pooled over the document, combined into one probability. Its inputs
+are the bytes and nothing else.
 
 Language (3): filters of several widths over fixed-length windows that cover
 the whole text, max-pooled per window, softmax per window; windows are averaged
@@ -30,9 +30,8 @@ from obspark.llm import common
 SAMPLE = 3000
 QUALITY_FILTERS, CHUNK, STRIDE = 16, 16, 8
 LANGUAGE_WIDTHS, LANGUAGE_FILTERS, WINDOW = (2, 3, 4, 5), 8, 256
-CODES, PAD = 513, 512
+CODES, PAD = 257, 256
 LETTER = re.compile(r"[^\W\d_]")
-POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Adam:
@@ -58,30 +57,6 @@ def utf8(text: str | None) -> np.ndarray:
 # Quality
 
 
-def repeats(x: np.ndarray) -> np.ndarray:
-    """Whether each byte is of a word that equals the word before it."""
-    if not len(x):
-        return np.zeros(0, bool)
-    blank = x <= 32
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    if len(begin) < 2:
-        return np.zeros(len(x), bool)
-    sums = np.zeros(len(begin), np.uint64)
-    length = end - begin
-    at, live = 0, np.arange(len(begin))
-    while len(live) and at < 24:  # longer words count as equal if their ends and lengths are
-        sums[live] = sums[live] * POWER + x[begin[live] + at]
-        at += 1
-        live = live[length[live] > at]
-    sums = sums * POWER + length.astype(np.uint64) * np.uint64(257) + x[end - 1]
-    same = np.concatenate(([False], sums[1:] == sums[:-1]))
-    out = np.zeros(len(x) + 1, np.int8)
-    out[begin[same]] += 1
-    out[end[same]] -= 1
-    return np.cumsum(out[:-1]).astype(bool)
-
-
 def chunk_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Input codes in rows of STRIDE bytes, every text padded to whole rows plus one, and the first row of each text."""
     parts, starts, at = [], [], 0
@@ -89,7 +64,7 @@ def chunk_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         x = utf8(t)
         rows = -(-len(x) // STRIDE) + 1
         c = np.full(rows * STRIDE, PAD, np.uint16)
-        c[: len(x)] = x + np.uint16(256) * repeats(x)
+        c[: len(x)] = x
         parts.append(c)
         starts.append(at)
         at += rows
@@ -284,7 +259,12 @@ def fit_language(docs: DataFrame, bound: int = SAMPLE) -> Language:
 
 
 def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
-    """doc_id and score of each row of ``docs``; null counts as empty, whose score is the network's base rate."""
+    """doc_id and score of each row of ``docs`` (doc_id, text; others are ignored).
+
+    A null text counts as empty, whose score is the network's base rate; texts
+    of any length are read whole; rows with equal texts have equal scores, and
+    repeated rows are scored each. An empty table gives no rows.
+    """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.batches(frames, "doc_id", "text"):
@@ -294,7 +274,12 @@ def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
 
 
 def predict_language(docs: DataFrame, model: Language) -> DataFrame:
-    """doc_id, lang_pred and score of each row of ``docs``; ``und`` and 0 for null texts and those without a letter."""
+    """doc_id, lang_pred and score of each row of ``docs`` (doc_id, text; others are ignored).
+
+    ``und`` and 0 for null texts and those without a letter; of languages with
+    equal probability the first by name; texts of any length are read whole;
+    repeated rows are told each. An empty table gives no rows.
+    """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.batches(frames, "doc_id", "text"):
@@ -305,20 +290,24 @@ def predict_language(docs: DataFrame, model: Language) -> DataFrame:
 
 
 def remainder(modulus: int):
-    """crc32 of the id as text, modulo ``modulus``: what rows a model may learn from."""
+    """crc32 of the id as text, modulo ``modulus``: what rows a model may learn from (null without an id: those are neither learnt from nor held out)."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def held_out(modulus: int, value: int):
+    return F.coalesce(remainder(modulus) == value, F.lit(False)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents; rows of remainder 1 modulo 3 are held out."""
     docs, labels = common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels.filter(remainder(3) != 1))
     scored = score_quality(docs, model)
-    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents; rows of remainder 0 modulo 5 are held out."""
     docs = common.documents(spark, sf_dir)
     model = fit_language(docs.filter(remainder(5) != 0))
-    return predict_language(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+    return predict_language(docs, model).select("doc_id", held_out(5, 0), "lang_pred", "score")
