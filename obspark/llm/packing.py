@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from obspark.llm import common
 
@@ -92,6 +93,7 @@ def place(demand: np.ndarray, limits: np.ndarray, bins: list[Open], cut: bool) -
     first token in it, tokens, bin) and the bins that still have room.
     """
     left = demand.astype(np.float64).copy()
+    bears = left[:, 2] > 0
     begun = np.zeros(len(left), np.int64)
     alive = np.ones(len(left), bool)
     out: list[tuple[int, int, int, Open]] = []
@@ -111,16 +113,17 @@ def place(demand: np.ndarray, limits: np.ndarray, bins: list[Open], cut: bool) -
                 used = left[i].copy()
                 alive[i] = False
             else:
-                n = int(min(box.room[0], box.room[2] + 1))
-                if not cut or n < 1 or box.room[1] < 1:
+                if not cut or box.room[0] < 1 or box.room[1] < 1:
                     break
-                i = int(np.where(alive, left[:, 0], -1).argmax())
-                n = int(min(n, left[i, 0] - 1))
+                # the largest example of those of which the most fits: what bears no loss is held back by tokens alone
+                whole = np.where(alive, np.minimum(np.where(bears, np.minimum(box.room[0], box.room[2] + 1), box.room[0]), left[:, 0] - 1), 0)
+                i = int((whole * 1e7 + left[:, 0] * alive).argmax())
+                n = int(whole[i])
                 if n < 1:
                     break
-                used = np.array([n, 1, n - 1], np.float64)
+                used = np.array([n, 1, n - 1 if bears[i] else 0], np.float64)
                 left[i, 0] -= n
-                left[i, 2] = left[i, 0] - 1
+                left[i, 2] = left[i, 0] - 1 if bears[i] else 0
             out.append((i, int(begun[i]), n, box))
             begun[i] += n
             box.room = box.room - used
@@ -134,12 +137,16 @@ def place(demand: np.ndarray, limits: np.ndarray, bins: list[Open], cut: bool) -
     return out, short
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, end_id: int = 0) -> DataFrame:
-    """Packs all rows of ``docs`` (doc_id, text; others are ignored) into sequences.
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, end_id: int = 0, bears: str | None = None) -> DataFrame:
+    """Packs all rows of ``docs`` (doc_id, text; others are ignored) into sequences of at most ``length`` tokens, ``segments`` pieces and ``loss`` loss-bearing tokens.
+
+    A piece bears loss on every token but its first; with ``bears``, a boolean
+    column, only pieces of rows where it is true do (an answer, not a prompt).
+    Without ``loss`` that limit is the length and cannot bind.
 
     One row per piece: doc_id, start (ids of its document before it), length,
     ids_crc32, doc_tokens (with the closing ``end_id``), sequence_id, offset,
-    loss_tokens (every token but a piece's first). A null or empty text is the
+    loss_tokens. A null or empty text is the
     closing id alone; equal doc_ids are separate documents; an empty table gives
     no rows.
     """
@@ -151,25 +158,26 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: i
         rows: list[tuple] = []
         state: dict[int, list] = {}  # open sequence: id, filled
         bins: list[Open] = []
-        waiting: list[tuple[int, int, bytes, int]] = []
+        waiting: list[tuple[int, int, bytes, int, bool]] = []
 
-        def put(doc, start, ids, total, seq, at):
+        def put(doc, start, ids, total, seq, at, bearing):
             n = len(ids) // 4
-            rows.append((doc, start, n, zlib.crc32(ids), total, seq, at, n - 1))
+            rows.append((doc, start, n, zlib.crc32(ids), total, seq, at, n - 1 if bearing else 0))
 
         def settle():
             nonlocal bins, serial, waiting
             if not waiting:
                 return
             sizes = np.array([len(w[2]) // 4 for w in waiting], np.float64)
-            placed, bins = place(np.stack([sizes, np.ones_like(sizes), sizes - 1], 1), limits, bins, True)
+            bearing = np.array([w[4] for w in waiting])
+            placed, bins = place(np.stack([sizes, np.ones_like(sizes), np.where(bearing, sizes - 1, 0)], 1), limits, bins, True)
             for i, first, n, box in placed:
                 if id(box) not in state:
                     state[id(box)] = [serial, 0, box]
                     serial += 1
                 known = state[id(box)]
-                doc, start, ids, total = waiting[i]
-                put(doc, start + first, ids[4 * first : 4 * (first + n)], total, known[0], known[1])
+                doc, start, ids, total, bearing_ = waiting[i]
+                put(doc, start + first, ids[4 * first : 4 * (first + n)], total, known[0], known[1], bearing_)
                 known[1] += n
             live = {id(b) for b in bins}
             for k in [k for k in state if k not in live]:
@@ -182,17 +190,21 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: i
             rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        most = int(min(limits[0], limits[2] + 1))
-        for ids_, texts in common.batches(frames, "doc_id", "text"):
-            for doc, text in zip(ids_, texts, strict=True):
+        for ids_, texts, flags in common.batches(frames, "doc_id", "text", "bears"):
+            for doc, text, bearing in zip(ids_, texts, flags, strict=True):
                 ids = encode(text) + tail
                 total = len(ids) // 4
+                most = int(min(limits[0], limits[2] + 1) if bearing else limits[0])
                 whole = total // most
                 for k in range(whole):
-                    put(doc, k * most, ids[4 * k * most : 4 * (k + 1) * most], total, serial, 0)
+                    part = ids[4 * k * most : 4 * (k + 1) * most]
+                    if most < limits[0]:
+                        waiting.append((doc, k * most, part, total, bearing))
+                        continue
+                    put(doc, k * most, part, total, serial, 0, bearing)
                     serial += 1
                 if total > whole * most:
-                    waiting.append((doc, whole * most, ids[4 * whole * most :], total))
+                    waiting.append((doc, whole * most, ids[4 * whole * most :], total, bearing))
                 if len(waiting) >= BLOCK:
                     settle()
             if len(rows) > 5_000:
@@ -200,7 +212,20 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: i
         settle()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
+    flag = F.coalesce(F.col(bears), F.lit(False)) if bears else F.lit(True)
+    return docs.select("doc_id", "text", flag.alias("bears")).mapInArrow(task, SCHEMA)
+
+
+def pack_turns(conversations: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: int = 8, loss: int = 512) -> DataFrame:
+    """Instruction data: packs the turns of ``conversations`` (conv_id, turn, role, text), of which those of the assistant bear loss.
+
+    As ``pack``, with the columns conv_id, turn and bears for doc_id. A null
+    role bears none.
+    """
+    key = F.xxhash64("conv_id", "turn")
+    turns = conversations.select(key.alias("doc_id"), "conv_id", "turn", "text", F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))
+    names = turns.select("doc_id", "conv_id", "turn", "bears").dropDuplicates(["doc_id"])
+    return pack(turns, tokenizer_path, length, segments, loss, bears="bears").join(names, "doc_id").drop("doc_id")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,3 +233,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations packed under limits on tokens, pieces and loss-bearing tokens."""
+    import public_tokenizers
+
+    return pack_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
