@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,15 +111,52 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS)
     Copies of a text link to its smallest id. Of the different texts, those
     every two that share a signature band link, if the Jaccard similarity of
     their shingle sets, counted exactly, reaches the threshold; so the pairs to
-    verify grow with the square of a family of different texts. Rows without
-    words link with nothing; equal ids do not link.
+    verify grow with the square of a family of different texts (``near_classes``
+    does without them). Rows without words link with nothing; equal ids do not
+    link.
     """
+    reps, copies = representatives(docs)
+    met = in_cells(banded(reps, bands), "doc_id").filter("a < b and (_lo = _hi or _s <> _t)")
+    near = verified(met.select("a", "b").distinct(), reps, threshold)
+    words = copies.join(reps.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").alias("a")), "a", "left_semi")
+    return words.unionByName(near)
+
+
+def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The row of the smallest id of each text (doc_id, text), and the links of its copies to it (a, b, jaccard)."""
+    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text").withColumn("sha", F.sha2("text", 256))
+    first = texts.groupBy("sha").agg(F.min("doc_id").alias("a"))
+    copies = texts.select("sha", F.col("doc_id").alias("b")).join(first, "sha").filter("a < b and a <> b").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()
+    reps = texts.join(first.select("sha", F.col("a").alias("doc_id")), ["sha", "doc_id"]).dropDuplicates(["sha"]).select("doc_id", "text")
+    return reps, copies
+
+
+def banded(reps: DataFrame, bands: int) -> DataFrame:
+    """The band keys of each text with words: rows (doc_id, band)."""
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = PERMUTATIONS // bands
         for ids, texts in common.batches(frames, "doc_id", "text"):
-            keys = [[f"{k}:{hexed(s[k * per : (k + 1) * per])}" for k in range(bands)] if s is not NONE else [] for s in map(signature, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.string()))], names=["doc_id", "bands"])
+            keys = [[xxhash.xxh64_intdigest(s[k * per : (k + 1) * per].tobytes(), k) - (1 << 63) for k in range(bands)] if s is not NONE else [] for s in map(signature, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+
+    return reps.mapInArrow(task, "doc_id long, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
+
+
+def in_cells(keyed: DataFrame, *columns: str) -> DataFrame:
+    """Members of a band (doc_id, band, and ``columns``) beside each other: a and b with their columns; a block of a large band meets every other in a cell of its own."""
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = common.listed(keyed, sizes, ["band"], "inner").withColumn("_blocks", F.ceil(F.col("n") / BLOCK))
+    dealt = dealt.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.col("_blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    cells = dealt.select("band", F.least("_s", "_o").alias("_lo"), F.greatest("_s", "_o").alias("_hi"), "_s", *dict.fromkeys(("doc_id", *columns)))
+    more = [c for c in columns if c != "doc_id"]
+    left = cells.select("band", "_lo", "_hi", "_s", F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in more])
+    right = cells.select("band", "_lo", "_hi", F.col("_s").alias("_t"), F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in more])
+    return left.join(right, ["band", "_lo", "_hi"])
+
+
+def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of texts those whose shingle sets are as alike: a, b, jaccard."""
 
     def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, x, y in common.batches(frames, "a", "b", "x", "y"):
@@ -129,24 +167,50 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS)
                 out.append(both / max(1, len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
-    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text").withColumn("sha", F.sha2("text", 256))
-    first = texts.groupBy("sha").agg(F.min("doc_id").alias("a"))
-    copies = texts.select("sha", F.col("doc_id").alias("b")).join(first, "sha").filter("a < b and a <> b").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()
-    reps = texts.join(first.select("sha", F.col("a").alias("doc_id")), ["sha", "doc_id"]).dropDuplicates(["sha"]).select("doc_id", "text")
-    keyed = reps.mapInArrow(task, "doc_id long, bands array<string>").select("doc_id", F.explode("bands").alias("band"))
-    sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_blocks", F.ceil(F.col("n") / BLOCK))
-    # a block meets every block of its band in a cell of its own, so no task holds a large band
-    dealt = keyed.join(sizes, "band").withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.col("_blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = dealt.select("band", F.least("_s", "_o").alias("_lo"), F.greatest("_s", "_o").alias("_hi"), "_s", "doc_id")
-    others = cells.select("band", "_lo", "_hi", F.col("_s").alias("_t"), F.col("doc_id").alias("b"))
-    met = cells.withColumnRenamed("doc_id", "a").join(others, ["band", "_lo", "_hi"]).filter("a < b and (_lo = _hi or _s <> _t)")
-    pairs = met.select("a", "b").distinct()
     full = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    near = full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
-    words = copies.join(texts.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
-    return words.unionByName(near)
+    return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id that links reach) and links (verified ones of the text) of each row of ``docs`` (doc_id, text).
+
+    Links are those of ``near_duplicates``, but a family of near copies costs
+    about as many pairs as it has members: first each text meets the least one
+    of each of its bands; components of what verifies follow, and only texts of
+    different components that share a band are paired after that. Copies of a
+    text share its class and count one link to it each. Rows with a null id or
+    text, or without words, are classes of their own. Equal ids with different
+    texts share a class. An empty table gives no rows.
+    """
+    reps, copies = representatives(docs)
+    reps = common.stash(reps.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), "texts")
+    keyed = common.stash(banded(reps, bands), "bands")
+    heads = keyed.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    star = common.listed(keyed, common.stash(heads, "heads"), ["band"], "inner").filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    star = common.stash(star, "star")
+    first = common.stash(verified(star, reps, threshold), "first-links")
+    label = common.components(first.select("a", "b"), "first")
+    named = common.stash(keyed.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "named")
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("band", "n")
+    open_ = common.listed(named, common.stash(mixed, "mixed"), ["band"])
+    rest = in_cells(open_, "component").filter("a < b and component_a <> component_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    second = common.stash(verified(rest, reps, threshold), "second-links")
+    links = first.unionByName(second)
+    label = common.components(links.select("a", "b"), "classes")
+    own = copies.select(F.col("b").alias("doc_id"), F.col("a").alias("first"))
+    counted = links.unionByName(copies).select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+    least = label.groupBy("component").agg(F.min("id").alias("class_id"))
+    of = label.join(least, "component").select(F.col("id").alias("first"), "class_id")
+    out = docs.select("doc_id", "text").withColumn("words", F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("text").join(own, "doc_id", "left")
+    out = out.withColumn("first", F.when(F.col("words"), F.coalesce("first", "doc_id"))).join(of, "first", "left").join(counted, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("class_id", "first", "doc_id").alias("class_id"), F.when(F.col("words"), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("links"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of all documents and of their edited texts."""
     return fingerprint_edits(common.documents(spark, sf_dir))
+
+
+def minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents, by the bands of their fingerprints."""
+    return near_classes(common.documents(spark, sf_dir))

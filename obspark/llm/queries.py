@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from obspark.llm.audio import op8_mpeg_audio
 from obspark.llm.bpe import op6_bpe
 from obspark.llm.convnet import op1_quality, op3_language
-from obspark.llm.fingerprints import op5_fingerprints
+from obspark.llm.fingerprints import minhash_classes, op5_fingerprints
 from obspark.llm.html import op10_html
 from obspark.llm.jaccard import op2_jaccard_join
-from obspark.llm.packing import op4_packing
+from obspark.llm.packing import instruction_packing, op4_packing
 from obspark.llm.sharding import op7_sharding
 from obspark.llm.suffixes import op9_repeats
 
@@ -27,6 +27,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
+    "instruction_packing": instruction_packing,
+    "minhash_classes": minhash_classes,
 }
 
 #: All pairs of documents by shared shingles, then what links reach.
