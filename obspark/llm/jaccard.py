@@ -13,17 +13,23 @@ points of one tree, and no link is lost. Frequent tokens come last in the
 order, by a count sketch over all rows, so they seldom stand in a prefix.
 Equal sets are one point.
 
-All candidates come from the trees, in two rounds. First each point is sought
-in the tree of one of its lists, the same for most near copies, and gets the
-least and the nearest of the points that the bound allows; components of what
-verifies follow. Then the trees of all lists tell every pair that the bound
-allows between different components: a group of n near copies gives about n
-candidates instead of n squared. A list of more than SPLIT points is dealt to
-several trees before anything gathers it.
+A list is dealt by size: a set's class is the logarithm of its size to the base
+of the largest ratio of linked sizes, so linked sets are of the same or of
+neighbouring classes. Lists of which no two sets could link fall at once, on
+rows of three numbers; only the rest meets points.
+
+All candidates come from the trees. In the first rounds each point is sought in
+the tree of one of its lists, the same for most near copies, and gets the
+nearest points of other components that the bound allows, few at first, then
+more; components of what verifies follow. Then the trees of all lists tell
+every pair that the bound allows between different components: a group of n
+near copies gives some n candidates instead of n squared. A list of more than
+SPLIT points is dealt to several trees before anything gathers it.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +42,9 @@ from obspark.llm import common
 
 GROUPS = 256
 #: Children of a box, and points of a tree.
-FAN, SPLIT = 32, 4096
+FAN, SPLIT = 32, 1024
+#: So many of its nearest points each point gets in the first rounds.
+NEAREST = (2, 16)
 #: Counters of the sketch, and of one of its rows.
 SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
 CEILING = 255
@@ -186,13 +194,15 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
     #: classes of frequency, relative to the mean counter, come before the hash in the order of tokens
     rank = np.clip(np.log2(np.maximum(counted, 1) / max(1.0, counted.mean())) * 2, 0, 63).astype(np.uint64)
     shared = spark.sparkContext.broadcast(rank.astype(np.uint8))
+    #: counters so far above the mean that one token may stand for most of them
+    often = spark.sparkContext.broadcast(counted > 4 * counted.mean() + 1000)
 
     # 2. prefix tokens of every set
     def prefixes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         told: set[int] = set()  # rows whose copies need not be told again by this task
         for hashes, ts in common.batches(frames, "row", "text"):
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, hots = [], [], [], []
             for h, t in zip(hashes, ts, strict=True):
                 if h in told:
                     continue
@@ -204,20 +214,31 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
                     continue
                 n = len(s)
                 p = n - -(-percent * n // 100) + 1
-                order = (classes[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
-                keys.append(s[np.argpartition(order, p - 1)[:p]] if p < n else s)
+                counter = (s & np.uint64(SKETCH - 1)).astype(np.int64)
+                order = (classes[counter].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                first = np.argpartition(order, p - 1)[:p] if p < n else np.arange(n)
+                keys.append(s[first])
+                hots.append(often.value[counter[first]])
                 nodes.append(np.full(p, set_ids(s), np.int64))
                 sizes.append(np.full(p, n, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hots))], names=["key", "node", "n", "hot"])
 
     copies = texts.select(F.xxhash64("text", F.length("text")).alias("row"), "text")
-    listed = common.stash(copies.mapInArrow(prefixes, "key long, node long, n int"), "prefixes")
-    lists = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    listed = common.stash(copies.mapInArrow(prefixes, "key long, node long, n int, hot boolean"), "prefixes")
+    # tokens that may be very frequent are counted before their rows move, those of the others meet by their key
+    w = Window.partitionBy("key")
+    cold = listed.filter("not hot").select("key", "node", "n").withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo <> hi").select("key", "node", "n")
+    lists = listed.filter("hot").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     lists = common.stash(lists.select("key", "n"), "lists")
-    few = common.sought(listed, lists, "key")
-    several = few[0] if few else common.listed(listed, lists, ["key"])
-    members = common.stash(several.groupBy("key", "node").agg(F.first("n").cast("long").alias("n")), "members")
+    hot = common.listed(listed.filter("hot"), lists, ["key"]).select("key", "node", "n")
+    # each set stands in the lists of its class and of the next one: two sets of neighbouring classes meet in the larger one's
+    size = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
+    cells = cold.unionByName(hot).groupBy("key", "node").agg(F.first("n").cast("long").alias("n")).withColumn("size", size)
+    cells = common.stash(cells.select(F.inline(F.array(F.struct(F.xxhash64("key", "size").alias("key"), F.lit(True).alias("own")), F.struct(F.xxhash64("key", F.col("size") + 1).alias("key"), F.lit(False).alias("own")))), "node", "n"), "cells")
+    # a list of two sets is one pair: its sizes tell whether they may link
+    some = cells.groupBy("key").agg(F.count("*").alias("count"), F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or("own").alias("own")).filter(f"count > 1 and own and (count > 2 or 100 * least >= {percent} * most)")
+    members = common.stash(common.listed(cells, common.stash(some.select("key", F.col("count").alias("n")), "open-lists"), ["key"]).select("key", "node", "n"), "members")
     points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("data").alias("point"))
     points = common.stash(points, "points")
 
@@ -261,16 +282,22 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
         held = rows.join(points.select("node", "point"), "node").repartition("cell").sortWithinPartitions("cell")
         return held.select("cell", *columns, "point").mapInArrow(task, "a long, b long").distinct()
 
-    def nearest(of: dict, x: np.ndarray):
-        """For each point, the least one and the nearest one of those before it that the bound allows."""
-        node, n = of["node"], of["n"]
-        for q, p, bound in RTree(x, n).search(x, n, percent):
-            ok = node[p] < node[q]
-            q, p, bound = q[ok], p[ok], bound[ok]
-            for order in (np.lexsort((node[p], q)), np.lexsort((node[p], -bound, q))):
-                i = order[np.flatnonzero(np.diff(q[order], prepend=-1))]
+    def nearest(most: int):
+        """For each point, the nearest ``most`` points of other components that the bound allows, and the least one."""
+
+        def tell(of: dict, x: np.ndarray):
+            node, n, comp = of["node"], of["n"], of["component"]
+            if (comp == comp[0]).all():
+                return
+            for q, p, bound in RTree(x, n).search(x, n, percent):
+                ok = comp[p] != comp[q]
+                q, p, bound = q[ok], p[ok], bound[ok]
+                first = lambda order, k: order[np.arange(len(order)) - np.maximum.accumulate(np.where(np.diff(q[order], prepend=-1) != 0, np.arange(len(order)), 0)) < k]  # noqa: B023, E731
+                i = np.concatenate((first(np.lexsort((node[p], q)), 1), first(np.lexsort((node[p], -bound, q)), most)))
                 yield node[q[i]], node[p[i]]
 
+        return tell
+
     def between(of: dict, x: np.ndarray):
         """All pairs of points of different components that the bound allows, which no lesser list tells."""
         node, n, comp, lesser = of["node"], of["n"], of["component"], of["lesser"]
@@ -292,13 +319,26 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
         dealt = common.listed(rows.withColumnRenamed("n", "size"), sizes, ["key"], "inner").withColumn("blocks", F.ceil(F.col("n") / SPLIT))
         return dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("n").withColumnRenamed("size", "n")
 
+    def named(df: DataFrame, c: str) -> DataFrame:
+        return df.join(label.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn("_c", F.coalesce("_c", c))
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
+        """Components after further links."""
+        drawn = named(named(links, "a").withColumnRenamed("_c", "x"), "b").select(F.col("x").alias("a"), F.col("_c").alias("b"))
+        more = common.components(drawn, name)
+        moved = label.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        # nodes that nothing linked before
+        return common.stash(moved.unionByName(more.join(label, "id", "left_anti").select("id", "component")), f"{name}-labels")
+
     # 3. each point beside its like in one of its lists
-    one = members.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    alike = sized(one, "first-lists").select(F.xxhash64("key", "mine").alias("cell"), "node", "n")
-    pairs = common.stash(trees(alike, ["node", "n"], nearest), "first")
-    first = verified(pairs, "first")
-    label = common.components(first, "first")
-    named = lambda df, c: df.join(label.select(F.col("id").alias(c), F.col("component").alias("_c")), c, "left").withColumn("_c", F.coalesce("_c", c))
+    label = spark.createDataFrame([], "id long, component long")
+    one = common.stash(members.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), "one-list")
+    tried = spark.createDataFrame([], "a long, b long")
+    for round_, most in enumerate(NEAREST):
+        alike = named(sized(one, f"first-lists-{round_}"), "node").select(F.xxhash64("key", "mine").alias("cell"), "node", "n", F.col("_c").alias("component"))
+        pairs = common.stash(trees(alike, ["node", "n", "component"], nearest(most)), "pairs")
+        label = joined(verified(pairs.join(tried, ["a", "b"], "left_anti"), f"round-{round_}"), f"round-{round_}")
+        tried = tried.unionByName(pairs)
 
     # 4. pairs between components, in all lists
     tagged = common.stash(named(members, "node").withColumnRenamed("_c", "component"), "tagged")
@@ -313,14 +353,9 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
     )
     cross = common.stash(trees(spread, ["node", "n", "component", "lesser", "lower", "upper"], between), "cross")
     if cross.limit(1).count():
-        second = verified(cross.join(pairs, ["a", "b"], "left_anti"), "second")
-        drawn = named(named(second, "a").withColumnRenamed("_c", "x"), "b").select(F.col("x").alias("a"), F.col("_c").alias("b"))
-        more = common.components(drawn, "second")
-        joined = label.join(more.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        # nodes that only the second round links
-        label = joined.unionByName(more.join(label, "id", "left_anti").select("id", "component"))
-
-    common.discard(listed, lists, members, pairs, points, tagged, held, cross)
+        label = joined(verified(cross.join(tried, ["a", "b"], "left_anti"), "second"), "second")
+
+    common.discard(listed, lists, cells, members, points, tagged, held, cross)
     return sets.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
 
 
