@@ -68,6 +68,42 @@ def test_networks_edge_cases(edge, nothing, spark):
     assert set(convnet.predict_language(edge, none).toPandas().lang_pred) == {"und"}
 
 
+def test_networks_against_plain_ones():
+    """Both networks against loops over every byte, filter and window."""
+    texts = [t for _, t in EDGE if t is None or len(t) < 2000] + ["x", "ab c"]
+    q = convnet.Quality(3)
+    taps, f = q.w["taps"], convnet.QUALITY_FILTERS
+    for t in texts:
+        x = list((t or "").encode())
+        x += [convnet.PAD] * (-len(x) % convnet.STRIDE + convnet.STRIDE)
+        best = np.zeros(f)
+        for a in range(0, len(x) - convnet.STRIDE, convnet.STRIDE):  # chunks of two strides
+            r = q.w["bias"] + sum(taps[j, x[a + j], :f] for j in range(convnet.STRIDE)) + sum(taps[j, x[a + convnet.STRIDE + j], f:] for j in range(convnet.STRIDE))
+            best = np.maximum(best, r)
+        assert abs(q.scores([t])[0] - 1 / (1 + np.exp(-(best @ q.w["out"] + q.w["base"][0])))) < 1e-5
+    m = convnet.Language(["a", "b", "c"])
+    widths = [w for w in sorted(convnet.LANGUAGE_WIDTHS, reverse=True) for _ in range(convnet.LANGUAGE_FILTERS)]
+    for t in texts:
+        x, total, size = (t or "").encode(), np.zeros(3), 0
+        for a in range(0, max(1, len(x)), convnet.WINDOW):
+            part = list(x[a : a + convnet.WINDOW])
+            weight = max(1, len(part))
+            part += [convnet.PAD] * (convnet.WINDOW - len(part))
+            top = [max(sum(m.w["taps"][j, part[i + j], k] for j in range(w)) for i in range(convnet.WINDOW - max(convnet.LANGUAGE_WIDTHS) + 1)) for k, w in enumerate(widths)]
+            z = np.maximum(np.array(top) + m.w["bias"], 0) @ m.w["out"] + m.w["base"]
+            total += weight * (z - np.log(np.exp(z).sum()))
+            size += weight
+        p = np.exp(total / size)
+        name, score = m.predict([t])
+        known = bool(t and any(c.isalpha() for c in t))
+        assert name == (["abc"[int(p.argmax())]] if known else ["und"]) and abs(score[0] - (p.max() / p.sum() if known else 0)) < 1e-4
+
+
+def test_held_out_rows(edge):
+    got = {r["doc_id"]: r["held_out"] for r in edge.select("doc_id", convnet.held_out(3, 1)).collect()}
+    assert got[None] is False and all(v == (zlib.crc32(str(i).encode()) % 3 == 1) for i, v in got.items() if i is not None)
+
+
 def test_chunks_do_not_depend_on_the_batch():
     texts = [t for _, t in EDGE]
     model = convnet.Quality()
@@ -230,6 +266,27 @@ def test_packing_limits():
     assert sorted(p[0] for p in placed) == list(range(400)) and all((u <= limits).all() for u in used.values())
 
 
+def test_packing_turns(spark, sf):
+    """Instruction data: each of the three limits stops some sequence, and none is passed."""
+    talks = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = packing.pack_turns(talks, BYTE, 1024, 8, 512).collect()
+    by, pieces = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append(r)
+        pieces[r["conv_id"], r["turn"]].append(r)
+        assert r["loss_tokens"] == (r["length"] - 1 if r["bears"] else 0)
+    assert set(pieces) == {(r["conv_id"], r["turn"]) for r in talks.collect()}
+    for p in pieces.values():
+        at = 0
+        for r in sorted(p, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == p[0]["doc_tokens"]
+    full = [(sum(r["length"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in by.values()]
+    assert all(t <= 1024 and n <= 8 and loss <= 512 for t, n, loss in full)
+    assert any(t == 1024 for t, _, _ in full) and any(n == 8 and t < 1024 for t, n, _ in full) and any(loss >= 511 and t < 1024 for t, _, loss in full)
+
+
 # 5
 
 
@@ -292,6 +349,41 @@ def test_band_join_family(spark, monkeypatch, block):
     assert all(abs(r["jaccard"] - like(r["a"], r["b"])) < 1e-12 for r in got)
 
 
+def test_band_classes(spark, docs, pandas_docs, edge, nothing):
+    """Classes are the components of the links, found without all pairs of a family; recall of pairs against brute force."""
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.near_classes(docs).collect()}
+    sets = {r.doc_id: set(common.shingles(r.text, 5).tolist()) for r in pandas_docs.itertuples()}
+    like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    ids = sorted(sets)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and like(a, b) >= 0.8]
+    assert near and sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    links = {(r["a"], r["b"]) for r in fingerprints.near_duplicates(docs).collect()}
+    assert all(like(a, b) >= 0.8 for a, b in links) and all(got[a] == got[b] for a, b in links)
+    parts = collections.defaultdict(set)
+    for a, b in links:
+        parts[a].add(b)
+        parts[b].add(a)
+    for i in ids:  # nothing but links joins a class
+        seen, todo = {i}, [i]
+        while todo:
+            for j in parts[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        assert {j for j in ids if got[j] == got[i]} == seen and got[i] == min(seen)
+    out = fingerprints.near_classes(edge).toPandas()
+    assert len(out) == len(EDGE) and set(out[out.doc_id.isin([1, 5])].class_id) == {1} and set(out[out.doc_id.isin([2, 3, 4])].links) == {0}
+    assert fingerprints.near_classes(nothing).count() == 0
+
+
+def test_band_classes_of_a_family(spark):
+    """Near copies share every band: pairs grow with the members, not with their square, and texts of several components stay apart."""
+    base = [f"t{i}" for i in range(300)]
+    texts = [" ".join(w if k != j else f"n{k}" for j, w in enumerate(base)) for k in range(120)] + [" ".join(base[:200] + [f"z{k}x{i}" for i in range(100)]) for k in range(6)]
+    out = fingerprints.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in out if r["doc_id"] < 120} == {0} and [r["class_id"] for r in sorted(out, key=lambda r: r["doc_id"]) if r["doc_id"] >= 120] == list(range(120, 126))
+    assert sum(r["links"] for r in out) < 120 * 20
+
+
 # 6
 
 
@@ -383,6 +475,10 @@ def test_sharding_empty_texts_stay_together(spark, tmp_path):
 def test_sharding_edge_cases(spark, edge):
     nodes = edge.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hub"), "score")
     check_shards(sharding.shard_rows(nodes, 4).collect(), len(EDGE), 4)
+    clashing = nodes.selectExpr("*", "1 AS row", "'x' AS shard", "2 AS slot", "3 AS n", "4 AS to")
+    out = sharding.shard_rows(clashing, 4)
+    check_shards(out.collect(), len(EDGE), 4)
+    assert {"row", "n", "to"} <= set(out.columns) and out.filter("row = 1 AND n = 3").count() == len(EDGE)
     assert sharding.shard_rows(nodes.limit(0), 4).count() == 0
 
 

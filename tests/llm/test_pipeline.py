@@ -49,5 +49,25 @@ def test_all_is_packed(stages):
     assert (packed.groupby("doc_id").length.sum() == packed.groupby("doc_id").doc_tokens.first()).all()
 
 
+def test_stages_edge_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, extra columns with names that the stages use, and empty tables."""
+    text = "the cat sat on the mat and the dog ran away from home " * 8
+    long = " ".join(f"w{i % 977} of x{i % 31}" for i in range(20_000))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text + "again", None), (3, None, "en"), (4, "", "en"), (5, " \n", None), (6, long, "en"), (7, "12 34 56", "en"), (None, "a text without an id that is quite short", "fr"), (8, "le chat est sur la table et le chien est dans la maison", "fr")]
+    table = spark.createDataFrame([(*r, "s", 1, 2, "z", [1]) for r in rows], "doc_id long, text string, lang string, source string, _row int, row int, stretches string, shard array<int>")
+    spark.createDataFrame([(1, 1), (6, 1), (8, 1), (7, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (table, table.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, columns = docs.count(), docs.columns
+            docs = common.stash(stage(spark, docs, str(tmp_path)), name)
+            assert name == "packing" or (docs.columns == columns and docs.count() <= before)
+    kept = [r for r in common.stash(corpus_pipeline.join_near_duplicates(spark, table, ""), "near").collect()]
+    assert collections.Counter(r["doc_id"] for r in kept) == collections.Counter([1, 3, 4, 5, 6, 7, None, 8])
+    told = corpus_pipeline.identify_language(spark, table, "").collect()
+    assert {r["doc_id"] for r in told} <= {1, 2, 6, None, 8} and {1, 6} <= {r["doc_id"] for r in told}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_passages(spark, table, "").collect()}
+    assert left[3] is None and left[4] == "" and left[8] == rows[9][1] and 1 not in left
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
