@@ -332,6 +332,7 @@ QUERIES = {
     "streaming_hopping": streams.hopping_counts,
     "streaming_dedup": streams.distinct_events,
     "streaming_sessions": lambda s, d: streams.sessions(s, d, 6 * HOUR),
+    "streaming_expiry": lambda s, d: streams.sessions(s, d, 12 * HOUR, 20 * HOUR),
 }
 
 
@@ -410,5 +411,8 @@ ORACLE_SQL = {
     "streaming_event_rate": "SELECT epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1",
     "streaming_hopping": "WITH w AS (SELECT (epoch_us(ts) // 1000000 // 32400 - i) * 32400 AS start_s, epoch_us(ts) AS t FROM events, (SELECT unnest([0, 1]) AS i)) SELECT start_s, count(*) AS n FROM w WHERE t < (start_s + 43200) * 1000000 GROUP BY 1",
     "streaming_dedup": "SELECT event_id, event_type FROM events",
+    "streaming_expiry": f"""WITH RECURSIVE {views.TIMELINE_SQL}, o AS (SELECT unit_id, at_ms, row_number() OVER (PARTITION BY unit_id ORDER BY at_ms, event_id) AS r FROM tl),
+ x(unit_id, r, at_ms, start_ms) AS (SELECT unit_id, r, at_ms, at_ms FROM o WHERE r = 1 UNION ALL SELECT o.unit_id, o.r, o.at_ms, CASE WHEN o.at_ms - x.at_ms <= {12 * HOUR} AND o.at_ms - x.start_ms <= {20 * HOUR} THEN x.start_ms ELSE o.at_ms END FROM x JOIN o ON o.unit_id = x.unit_id AND o.r = x.r + 1)
+ SELECT unit_id AS user_id, start_ms, max(at_ms) AS end_ms, count(*) AS n FROM x GROUP BY 1, 2""",
     "streaming_sessions": f"WITH {views.TIMELINE_SQL}, a AS (SELECT unit_id, at_ms, event_id, CASE WHEN at_ms - lag(at_ms) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS f FROM tl WINDOW w AS (PARTITION BY unit_id ORDER BY at_ms, event_id)), b AS (SELECT *, sum(f) OVER (PARTITION BY unit_id ORDER BY at_ms, event_id) AS g FROM a) SELECT unit_id AS user_id, min(at_ms) AS start_ms, max(at_ms) AS end_ms, count(*) AS n FROM b GROUP BY unit_id, g",
 }

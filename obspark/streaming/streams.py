@@ -64,8 +64,8 @@ def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(twice.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "append", ["event_id"])
 
 
-def sessions(spark: SparkSession, sf_dir: str, gap_ms: int) -> DataFrame:
-    """Sessions of each user: events whose distance is at most ``gap_ms``; one that times out leaves the state."""
+def sessions(spark: SparkSession, sf_dir: str, gap_ms: int, ttl_ms: int | None = None) -> DataFrame:
+    """Sessions of each user: events whose distance is at most ``gap_ms``, and none that is more than ``ttl_ms`` after the first; one that times out leaves the state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -75,7 +75,7 @@ def sessions(spark: SparkSession, sf_dir: str, gap_ms: int) -> DataFrame:
         now = list(state.get) if state.exists else None
         out = []
         for t in rows["at_ms"].tolist():
-            if now is not None and t - now[1] <= gap_ms:
+            if now is not None and t - now[1] <= gap_ms and (ttl_ms is None or t - now[0] <= ttl_ms):
                 now = [now[0], max(now[1], t), now[2] + 1]
             else:
                 if now is not None:
