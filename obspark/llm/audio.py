@@ -240,7 +240,11 @@ READ = "doc_id long, kind string, sampling_hz int, samples long, duration_us lon
 
 
 def read_audio(frame: DataFrame) -> DataFrame:
-    """Durations, checks, tags and seek offsets of the streams of a table (doc_id, media)."""
+    """Durations, checks, tags and seek offsets of the streams of a table (doc_id, media; others are ignored).
+
+    A null or empty stream, and one without a frame, has the kind ``none`` and
+    zeros; repeated rows each give a row; an empty table gives none.
+    """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 6, pa.map_(pa.string(), pa.string()), pa.list_(pa.int64())]
@@ -256,7 +260,12 @@ STORED = "doc_id long, n_bytes long, media binary"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """A media column (doc_id, n_bytes, media) with the padded texts of ``docs``; a null text counts as empty."""
+    """A media column (doc_id, n_bytes, media) with the padded texts of ``docs`` (doc_id, text; others are ignored).
+
+    A null text counts as empty, which is one block of zeros; texts of any
+    length are stored whole; equal texts, and so repeated rows, give equal
+    streams, a row each. An empty table gives no rows.
+    """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in common.batches(frames, "doc_id", "text"):
@@ -270,7 +279,11 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Reads stored streams (doc_id, n_bytes, media) back: payload, checks and features of each."""
+    """Reads stored streams (doc_id, n_bytes, media; others are ignored) back: payload, checks and features of each.
+
+    A null stream has an empty payload; repeated rows each give a row; an empty
+    table gives none.
+    """
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
