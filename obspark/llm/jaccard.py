@@ -41,12 +41,14 @@ from pyspark.sql import functions as F
 from obspark.llm import common
 
 GROUPS = 256
+#: Sets of lists whose class begins at no more than SMALL tokens are compared by fewer groups, each the sum of some.
+FEWER, SMALL = 64, 800
 #: Children of a box, and points of a tree.
 FAN, SPLIT = 32, 1024
 #: So many of its nearest points each point gets in the first rounds.
 NEAREST = (2, 16)
 #: Counters of the sketch, and of one of its rows.
-SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
+SKETCH, SKETCH_ROW = 1 << 21, 1 << 15
 CEILING = 255
 
 
@@ -59,6 +61,20 @@ def vector(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS), CEILING).astype(np.uint8)
 
 
+def folded(v: np.ndarray) -> np.ndarray:
+    """The same counts in FEWER groups; a group that holds one at the ceiling is at the ceiling."""
+    return np.minimum(v.astype(np.int64).reshape(FEWER, -1).sum(axis=1), CEILING).astype(np.uint8)
+
+
+def pairs_within(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of neighbours with equal values in a sorted array."""
+    ends = np.append(np.flatnonzero(np.diff(cells)) + 1, len(cells))
+    end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+    reps = end - np.arange(len(cells)) - 1
+    i = np.repeat(np.arange(len(cells)), reps)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
+
+
 def set_ids(s: np.ndarray) -> int:
     """A 64-bit id of a set, whatever the order of its tokens."""
     x = common.mix(s).sum(dtype=np.uint64) + np.uint64(len(s))
@@ -80,9 +96,11 @@ class RTree:
     """Points packed by size and by the coordinate that varies most, in boxes of coordinate maxima and least and largest sizes."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        slabs = np.array_split(np.argsort(sizes, kind="stable"), max(1, int((len(sizes) / FAN) ** 0.5)))
-        widest = int(points.astype(np.float32).var(axis=0).argmax()) if len(points) else 0
-        self.order = np.concatenate([s[np.argsort(points[s, widest], kind="stable")] for s in slabs])
+        self.order = np.arange(len(sizes))
+        if len(sizes) > FAN:
+            slabs = np.array_split(np.argsort(sizes, kind="stable"), int((len(sizes) / FAN) ** 0.5))
+            widest = int(points.astype(np.float32).var(axis=0).argmax())
+            self.order = np.concatenate([s[np.argsort(points[s, widest], kind="stable")] for s in slabs])
         self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][1]) > FAN:
             p, low, high = self.levels[-1]
@@ -159,24 +177,23 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
     # 1. sizes, ids and points of the sets, and the sketch of token counts
     def describe(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-        names = ["doc_id", "row", "n", "node", "data", "part"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+        names = ["doc_id", "row", "n", "node", "data", "coarse", "part"]
         for ids, hashes, ts in common.batches(frames, "doc_id", "row", "text"):
             rows = []
             for i, h, t in zip(ids, hashes, ts, strict=True):
                 s = token_set(t, words)
                 if len(s):
-                    sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH else 0
-                    if len(s) <= SKETCH:
-                        np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                rows.append((i, h, len(s), set_ids(s) if len(s) else None, vector(s).tobytes() if len(s) else None, None))
+                    np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                v = vector(s) if len(s) else None
+                rows.append((i, h, len(s), set_ids(s) if len(s) else None, v.tobytes() if len(s) else None, folded(v).tobytes() if len(s) else None, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-        parts = [(None, None, 0, None, zlib.compress(sketch[a : a + SKETCH_ROW].astype("<i8").tobytes(), 1), a // SKETCH_ROW) for a in range(0, SKETCH, SKETCH_ROW) if sketch[a : a + SKETCH_ROW].any()]
+        parts = [(None, None, 0, None, zlib.compress(sketch[a : a + SKETCH_ROW].astype("<i8").tobytes(), 1), None, a // SKETCH_ROW) for a in range(0, SKETCH, SKETCH_ROW) if sketch[a : a + SKETCH_ROW].any()]
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names=names)
 
-    described = common.stash(texts.mapInArrow(describe, "doc_id long, row long, n long, node long, data binary, part int"), "sets")
+    described = common.stash(texts.mapInArrow(describe, "doc_id long, row long, n long, node long, data binary, coarse binary, part int"), "sets")
     sets = described.filter("part is null").select("doc_id", "row", "n", "node")
 
     def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,18 +245,22 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
     listed = common.stash(copies.mapInArrow(prefixes, "key long, node long, n int, hot boolean"), "prefixes")
     # tokens that may be very frequent are counted before their rows move, those of the others meet by their key
     w = Window.partitionBy("key")
-    cold = listed.filter("not hot").select("key", "node", "n").withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w)}).filter("lo <> hi").select("key", "node", "n")
+    cold = listed.filter("not hot").select("key", "node", "n").withColumns({"lo": F.min("node").over(w), "hi": F.max("node").over(w), "rows": F.count("*").over(w), "least": F.min("n").over(w), "most": F.max("n").over(w)})
+    # a list of two sets is one pair: its sizes tell whether they may link
+    cold = cold.filter(f"lo <> hi AND (rows > 2 OR 100 * least >= {percent} * most)").select("key", "node", "n")
     lists = listed.filter("hot").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     lists = common.stash(lists.select("key", "n"), "lists")
     hot = common.listed(listed.filter("hot"), lists, ["key"]).select("key", "node", "n")
     # each set stands in the lists of its class and of the next one: two sets of neighbouring classes meet in the larger one's
     size = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9))
     cells = cold.unionByName(hot).groupBy("key", "node").agg(F.first("n").cast("long").alias("n")).withColumn("size", size)
-    cells = common.stash(cells.select(F.inline(F.array(F.struct(F.xxhash64("key", "size").alias("key"), F.lit(True).alias("own")), F.struct(F.xxhash64("key", F.col("size") + 1).alias("key"), F.lit(False).alias("own")))), "node", "n"), "cells")
-    # a list of two sets is one pair: its sizes tell whether they may link
+    fine = math.log(SMALL) / (math.log(100 / percent) + 1e-9)
+    cell = lambda c, own: F.struct(F.xxhash64("key", c).alias("key"), F.col("key").alias("token"), F.lit(own).alias("own"), (c > fine).alias("fine"))
+    cells = common.stash(cells.select(F.inline(F.array(cell(F.col("size"), True), cell(F.col("size") + 1, False))), "node", "n"), "cells")
     some = cells.groupBy("key").agg(F.count("*").alias("count"), F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or("own").alias("own")).filter(f"count > 1 and own and (count > 2 or 100 * least >= {percent} * most)")
-    members = common.stash(common.listed(cells, common.stash(some.select("key", F.col("count").alias("n")), "open-lists"), ["key"]).select("key", "node", "n"), "members")
-    points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("data").alias("point"))
+    members = common.stash(common.listed(cells, common.stash(some.select("key", F.col("count").alias("n")), "open-lists"), ["key"]).select("key", "token", "node", "n", "own", "fine"), "members")
+    common.discard(listed, lists, cells)
+    points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("data").alias("point"), F.first("coarse").alias("coarse"))
     points = common.stash(points, "points")
 
     def check(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,48 +291,84 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
         common.discard(bodies)
         return links
 
-    def trees(rows: DataFrame, columns: list[str], tell) -> DataFrame:
-        """What ``tell`` (the columns of a cell's rows, their points and sizes) gives of each cell of ``rows`` (cell, node, n, and others)."""
+    def trees(rows: DataFrame, columns: list[str], tell, both: bool) -> DataFrame:
+        """Pairs that ``tell`` chooses of those that the bound allows within each cell of ``rows`` (cell, node, n, fine, and others).
+
+        It gets the cells' columns, pairs of positions in them (``both``: each
+        way) and their bounds. Cells of at most FAN points are trees of one
+        leaf: many of them are looked at together.
+        """
+        names = ["cell", *columns, "point"]
+
+        def pair(of: dict, i, j) -> pa.RecordBatch:
+            a, b = of["node"][i], of["node"][j]
+            return _emit([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
+
+        def leaves(some: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            of = dict(zip(names, map(np.concatenate, zip(*some, strict=True)), strict=True))
+            x = np.frombuffer(b"".join(of["point"]), np.uint8).reshape(len(of["cell"]), -1)
+            i, j = pairs_within(of["cell"])
+            n, comp = of["n"], of["component"]
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            bound = np.concatenate([minima(x[i[a : a + 8192]], x[j[a : a + 8192]]) for a in range(0, len(i), 8192)] or [np.zeros(0, np.int64)])
+            ok = bound >= needed(n[i], n[j], percent)
+            i, j, bound = i[ok], j[ok], bound[ok]
+            if both:
+                i, j, bound = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((bound, bound))
+            yield pair(of, *tell(of, i, j, bound))
 
         def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for cols in _runs(frames, ["cell", *columns, "point"]):
-                of = dict(zip(columns, cols[1:-1], strict=True))
-                for a, b in tell(of, np.frombuffer(b"".join(cols[-1]), np.uint8).reshape(-1, GROUPS)):
-                    yield _emit([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
-
-        held = rows.join(points.select("node", "point"), "node").repartition("cell").sortWithinPartitions("cell")
-        return held.select("cell", *columns, "point").mapInArrow(task, "a long, b long").distinct()
+            small: dict[int, list] = {}
+            rows = 0
+            for cols in _runs(frames, names):
+                if len(cols[0]) <= FAN:
+                    small.setdefault(len(cols[-1][0]), []).append(cols)
+                    rows += len(cols[0])
+                    if rows > 20_000:
+                        for some in small.values():
+                            yield from leaves(some)
+                        small, rows = {}, 0
+                    continue
+                of = dict(zip(names, cols, strict=True))
+                x, n, comp = np.frombuffer(b"".join(of["point"]), np.uint8).reshape(len(cols[0]), -1), of["n"], of["component"]
+                if (comp == comp[0]).all():
+                    continue
+                # of a pair of blocks, one is indexed and the other one sought
+                u, v = (np.flatnonzero(of[c] == 1) if c in of else np.arange(len(n)) for c in ("lower", "upper"))
+                for q, p, bound in RTree(x[u], n[u]).search(x[v], n[v], percent) if len(u) and len(v) else ():
+                    i, j = v[q], u[p]
+                    ok = comp[i] != comp[j]
+                    if not both and len(u) == len(v) == len(n):  # one block with itself: each pair comes twice
+                        ok &= i < j
+                    yield pair(of, *tell(of, i[ok], j[ok], bound[ok]))
+            for some in small.values():
+                yield from leaves(some)
+
+        held = rows.join(points.select("node", "point", "coarse"), "node").withColumn("point", F.when(F.col("fine"), F.col("point")).otherwise(F.col("coarse")))
+        held = held.select(*names).repartition("cell").sortWithinPartitions("cell")
+        return held.mapInArrow(task, "a long, b long").distinct()
 
     def nearest(most: int):
         """For each point, the nearest ``most`` points of other components that the bound allows, and the least one."""
 
-        def tell(of: dict, x: np.ndarray):
-            node, n, comp = of["node"], of["n"], of["component"]
-            if (comp == comp[0]).all():
-                return
-            for q, p, bound in RTree(x, n).search(x, n, percent):
-                ok = comp[p] != comp[q]
-                q, p, bound = q[ok], p[ok], bound[ok]
-                first = lambda order, k: order[np.arange(len(order)) - np.maximum.accumulate(np.where(np.diff(q[order], prepend=-1) != 0, np.arange(len(order)), 0)) < k]  # noqa: B023, E731
-                i = np.concatenate((first(np.lexsort((node[p], q)), 1), first(np.lexsort((node[p], -bound, q)), most)))
-                yield node[q[i]], node[p[i]]
+        def tell(of: dict, q: np.ndarray, p: np.ndarray, bound: np.ndarray):
+            node = of["node"]
+            at = np.arange(len(q))
+            first = lambda order, k: order[at - np.maximum.accumulate(np.where(np.diff(q[order], prepend=-1) != 0, at, 0)) < k] if len(order) else order
+            i = np.concatenate((first(np.lexsort((node[p], q)), 1), first(np.lexsort((node[p], -bound, q)), most)))
+            return q[i], p[i]
 
         return tell
 
-    def between(of: dict, x: np.ndarray):
-        """All pairs of points of different components that the bound allows, which no lesser list tells."""
-        node, n, comp, lesser = of["node"], of["n"], of["component"], of["lesser"]
-        u, v = np.flatnonzero(of["lower"] == 1), np.flatnonzero(of["upper"] == 1)
-        if not len(u) or not len(v):
-            return
-        same = len(u) == len(v) == len(node)  # one block with itself: each pair comes twice
-        for q, p, _ in RTree(x[u], n[u]).search(x[v], n[v], percent):
-            i, j = v[q], u[p]
-            ok = (comp[i] != comp[j]) & ((node[i] < node[j]) | (not same))
-            i, j = i[ok], j[ok]
-            keys = {r: frozenset(lesser[r].tolist()) for r in np.unique(np.concatenate((i, j))).tolist()}
-            ok = np.fromiter((keys[g].isdisjoint(keys[h]) for g, h in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
-            yield node[i[ok]], node[j[ok]]
+    def between(of: dict, i: np.ndarray, j: np.ndarray, bound: np.ndarray):
+        """Pairs of one block with the other that no lesser list tells."""
+        lower, upper, own, lesser = of["lower"] == 1, of["upper"] == 1, of["own"] == 1, of["lesser"]
+        ok = ((lower[i] & upper[j]) | (lower[j] & upper[i])) & (own[i] | own[j])
+        i, j = i[ok], j[ok]
+        keys = {r: frozenset(lesser[r].tolist()) for r in np.unique(np.concatenate((i, j))).tolist()}
+        ok = np.fromiter((keys[g].isdisjoint(keys[h]) for g, h in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+        return i[ok], j[ok]
 
     def sized(rows: DataFrame, name: str) -> DataFrame:
         """Rows of lists of several points, with the number of trees of their list and their own."""
@@ -332,11 +389,11 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
 
     # 3. each point beside its like in one of its lists
     label = spark.createDataFrame([], "id long, component long")
-    one = common.stash(members.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), "one-list")
+    one = common.stash(members.groupBy("node").agg(F.min_by(F.struct("key", "n", "fine"), "key").alias("_l")).select("node", "_l.*"), "one-list")
     tried = spark.createDataFrame([], "a long, b long")
     for round_, most in enumerate(NEAREST):
-        alike = named(sized(one, f"first-lists-{round_}"), "node").select(F.xxhash64("key", "mine").alias("cell"), "node", "n", F.col("_c").alias("component"))
-        pairs = common.stash(trees(alike, ["node", "n", "component"], nearest(most)), "pairs")
+        alike = named(sized(one, f"first-lists-{round_}"), "node").select(F.xxhash64("key", "mine").alias("cell"), "node", "n", "fine", F.col("_c").alias("component"))
+        pairs = common.stash(trees(alike, ["node", "n", "component"], nearest(most), True), "pairs")
         label = joined(verified(pairs.join(tried, ["a", "b"], "left_anti"), f"round-{round_}"), f"round-{round_}")
         tried = tried.unionByName(pairs)
 
@@ -344,18 +401,19 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
     tagged = common.stash(named(members, "node").withColumnRenamed("_c", "component"), "tagged")
     mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     held = common.stash(common.listed(tagged, common.stash(mixed.select("key", "n"), "mixed"), ["key"]), "held")
-    # a pair is told by the least list that both are in, so each row brings its point's lesser lists
-    lists_of = held.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    open_ = sized(held, "second-lists").join(lists_of, "node").withColumn("lesser", F.filter("keys", lambda k: k < F.col("key")))
+    common.discard(tagged)
+    # a pair is told by the list of the least token that both share and of the larger one's class, so each row brings its point's lesser tokens
+    tokens_of = held.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    open_ = sized(held, "second-lists").join(tokens_of, "node").withColumn("lesser", F.filter("tokens", lambda k: k < F.col("token")))
     # a list of several blocks is searched as pairs of blocks, each pair on its own
     spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "component", "lesser", (F.col("mine") <= F.col("other")).cast("long").alias("lower"), (F.col("mine") >= F.col("other")).cast("long").alias("upper")
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", "n", "fine", "component", "lesser", F.col("own").cast("long").alias("own"), (F.col("mine") <= F.col("other")).cast("long").alias("lower"), (F.col("mine") >= F.col("other")).cast("long").alias("upper")
     )
-    cross = common.stash(trees(spread, ["node", "n", "component", "lesser", "lower", "upper"], between), "cross")
+    cross = common.stash(trees(spread, ["node", "n", "component", "lesser", "own", "lower", "upper"], between, False), "cross")
     if cross.limit(1).count():
         label = joined(verified(cross.join(tried, ["a", "b"], "left_anti"), "second"), "second")
 
-    common.discard(listed, lists, cells, members, points, tagged, held, cross)
+    common.discard(members, points, held, cross, one)
     return sets.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "row", "n", F.coalesce("component", "node").alias("component"))
 
 
