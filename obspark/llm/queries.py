@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from obspark.llm.audio import op8_mpeg_audio
 from obspark.llm.bpe import op6_bpe
+from obspark.llm.chat import op12_chat_format
 from obspark.llm.convnet import op1_quality, op3_language
 from obspark.llm.fingerprints import minhash_classes, op5_fingerprints
 from obspark.llm.html import op10_html
 from obspark.llm.jaccard import op2_jaccard_join
+from obspark.llm.middles import op13_fill_in_middle
 from obspark.llm.packing import instruction_packing, op4_packing
 from obspark.llm.sharding import op7_sharding
 from obspark.llm.suffixes import op9_repeats
@@ -27,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
+    "op12_chat_format": op12_chat_format,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "instruction_packing": instruction_packing,
     "minhash_classes": minhash_classes,
 }
@@ -52,4 +56,27 @@ WITH b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(repl
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_jaccard_join": JACCARD_SQL, "op10_html": HTML_SQL}
+#: Lengths by the template, hashes by the turns themselves.
+_MARKS = r"'([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|<TURN>>|</TURN>>)', '\1\\\2\3', 'g'"
+CHAT_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)),
+ t AS (SELECT *, length(regexp_replace(text, {_MARKS})) + CASE role WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 WHEN 'system' THEN 18 ELSE 25 + length(regexp_replace(role, {_MARKS})) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+#: Lines by a regular expression, pieces by slices of the list of lines.
+MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+ h AS (SELECT *, len(l) AS n, [CAST('0x' || x[8 * i + 1:8 * i + 8] AS BIGINT) for i in range(4)] AS h FROM d),
+ c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, array_to_string(l[1:a], '') AS pre, array_to_string(l[a + 1:b], '') AS mid, array_to_string(l[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_chat_format": CHAT_SQL, "op13_fill_in_middle": MIDDLE_SQL, "op2_jaccard_join": JACCARD_SQL, "op10_html": HTML_SQL}
