@@ -15,6 +15,7 @@ from obspark.llm.html import op10_html
 from obspark.llm.jaccard import op2_jaccard_join
 from obspark.llm.middles import op13_fill_in_middle
 from obspark.llm.packing import instruction_packing, op4_packing
+from obspark.llm.prefix_trie import op11_prefix_trie
 from obspark.llm.sharding import op7_sharding
 from obspark.llm.suffixes import op9_repeats
 
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_chat_format": op12_chat_format,
     "op13_fill_in_middle": op13_fill_in_middle,
     "instruction_packing": instruction_packing,
@@ -56,6 +58,24 @@ WITH b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(repl
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
 
+#: Prefixes by the hashes of their turns, nodes by grouping, subtrees by the paths of smallest members; CRC-32 bit by bit.
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s, turn FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT c, s, octet_length(encode(text)) AS b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, s) - 1 AS p FROM t),
+ k AS (SELECT c, c - c % 5 AS base, CASE WHEN c % 5 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT for x in string_split(c::VARCHAR, '')]), lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT for i in range(8)]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 9 END AS h FROM (SELECT DISTINCT c FROM t)),
+ r AS (SELECT k.c, 0 AS own, o.p, o.s, o.b FROM k JOIN o ON o.c = k.base AND o.p < k.h UNION ALL SELECT k.c, 1, o.p, o.s, o.b FROM k JOIN o ON o.c = k.c AND o.p >= k.h),
+ l AS (SELECT c, s, b, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d FROM r),
+ x AS (SELECT c, d, b, array_to_string(list(s) OVER (PARTITION BY c ORDER BY d), '') AS path FROM l UNION ALL SELECT c, 0, 0, '' FROM k),
+ m AS (SELECT c, max(d) AS len FROM x GROUP BY c),
+ n AS (SELECT d, path, min(x.c) AS id, count(*) AS members, any_value(b) AS b, string_agg(x.c::VARCHAR, ',' ORDER BY x.c) FILTER (m.len = x.d) AS ends FROM x JOIN m USING (c) GROUP BY d, path),
+ q AS (SELECT n.*, u.id AS parent FROM n LEFT JOIN x ON x.c = n.id AND x.d = n.d - 1 LEFT JOIN n u ON u.d = x.d AND u.path = x.path),
+ w AS (SELECT parent, d - 1 AS d, count(*) AS children FROM q WHERE d > 0 GROUP BY ALL),
+ v AS (SELECT q.*, coalesce(w.children, 0) AS children FROM q LEFT JOIN w ON w.parent = q.id AND w.d = q.d),
+ a AS (SELECT n.id, n.d, sum((v.members - 1) * v.b) AS saved, count(*) FILTER (v.children = 0) AS leaves FROM v JOIN x ON x.c = v.id AND x.d <= v.d JOIN n ON n.d = x.d AND n.path = x.path GROUP BY ALL)
+SELECT v.id AS conv_id, v.d AS depth, v.parent AS parent_conv_id, v.members AS n_convs, v.children AS n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN a ON a.id = v.id AND a.d = v.d
+"""
+
 #: Lengths by the template, hashes by the turns themselves.
 _MARKS = r"'([<\[])(\\*)(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|<TURN>>|</TURN>>)', '\1\\\2\3', 'g'"
 CHAT_SQL = rf"""
@@ -79,4 +99,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_chat_format": CHAT_SQL, "op13_fill_in_middle": MIDDLE_SQL, "op2_jaccard_join": JACCARD_SQL, "op10_html": HTML_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": TRIE_SQL, "op12_chat_format": CHAT_SQL, "op13_fill_in_middle": MIDDLE_SQL, "op2_jaccard_join": JACCARD_SQL, "op10_html": HTML_SQL}
