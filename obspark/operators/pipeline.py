@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from obspark.functions.canonical import json_hash
 
 # Legal transitions of a unit's status.
 TRANSITIONS = (("queued", "running"), ("running", "succeeded"), ("running", "failed"), ("running", "partial_failed"), ("running", "retry_scheduled"), ("retry_scheduled", "queued"), ("queued", "cancelled"), ("running", "cancelled"))
@@ -24,30 +31,53 @@ def gate_decision(df: DataFrame, min_ratio: float) -> DataFrame:
     return df.withColumn("triggered", forced | matched).withColumn("reason", F.when(forced, F.concat(F.lit("forced:"), "force_reason")).when(matched, "rule_matched").otherwise("suppressed"))
 
 
-def gate_rules(units: DataFrame, signals: DataFrame, rules: DataFrame, force_reasons: Sequence[str], enabled: bool = True) -> DataFrame:
-    """Decision on each unit (unit_id, trigger_reason) by all rules.
+@dataclass(frozen=True)
+class Rule:
+    """A gate rule: enough frames of a signal type show the label."""
+
+    label: str
+    rule_id: str | None = None
+    signal_type: str = "object_detection"
+    min_positive_frame_ratio: float = 1.0
+    min_confidence: float = 0.5
+    action: str = "call_vlm"
+
+    @property
+    def name(self) -> str:
+        return f"{self.rule_id or self.label}.positive_frame_ratio>={self.min_positive_frame_ratio}"
+
+
+def gate_rules(units: DataFrame, signals: DataFrame, rules: Sequence[Rule], force_reasons: Sequence[str], enabled: bool = True) -> DataFrame:
+    """Decision on each unit (unit_id, trigger_reason) by all rules: triggered, action, matched_rules, ratios (by label), reason, evidence_hash, rule_config_hash.
 
-    ``signals`` has unit_id, signal_type, frame_count, failed and frames (an
-    array of frames, each an array of label and confidence), ``rules`` rule_id,
-    signal_type, label, min_confidence, min_ratio, action. A rule's ratio is its
-    positive frames over the declared frames of all signals of its type; frames
-    of a failed signal tell nothing. With the profile off, every unit goes.
+    ``signals`` has unit_id, signal_id (their order), signal_type, frame_count
+    and frames, an array of structs whose field detections is an array of label and confidence. A rule's ratio is its
+    positive frames over the declared frames of all signals of its type, whatever their status: a failed image marks its
+    signal, and the other images still tell. Of rules of one label the last ratio is
+    told. The evidence is the frames of all signals. With the profile off, every unit goes.
     """
-    rules = F.broadcast(rules)
-    live = signals.filter("NOT failed").join(rules, "signal_type")
-    hits = F.size(F.filter("frames", lambda frame: F.exists(frame, lambda d: (d["label"] == F.col("label")) & (d["confidence"] >= F.col("min_confidence")))))
-    per = live.withColumn("hits", hits).groupBy("unit_id", "rule_id").agg(F.sum("hits").alias("hits"), F.sum("frame_count").alias("frames"), F.first("min_ratio").alias("min_ratio"), F.first("action").alias("action"))
-    met = (F.col("action") == "call_vlm") & (F.coalesce(F.try_divide("hits", "frames"), F.lit(0.0)) >= F.col("min_ratio"))
-    matched = per.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.when(met, F.col("rule_id")))).alias("matched_rules"))
-    out = units.join(matched, "unit_id", "left").withColumn("matched_rules", F.coalesce("matched_rules", F.array().cast("array<string>")))
-    # a unit without a signal meets the rules that ask for nothing
-    free = rules.filter("action = 'call_vlm' AND min_ratio <= 0").agg(F.sort_array(F.collect_list("rule_id")).alias("free"))
-    seen = signals.filter("NOT failed").select("unit_id").distinct().withColumn("seen", F.lit(True))
-    out = out.join(seen, "unit_id", "left").join(F.broadcast(free)).withColumn("matched_rules", F.when(F.col("seen"), F.col("matched_rules")).otherwise(F.col("free")))
-    forced = F.col("trigger_reason").isin(*force_reasons) if force_reasons else F.lit(False)
-    forced = F.coalesce(forced, F.lit(False)) & (F.coalesce("trigger_reason", F.lit("")) != "")
-    action = F.when(F.lit(not enabled), "gate_disabled").when(forced, "force_vlm").when(F.size("matched_rules") > 0, "call_vlm").otherwise("suppress_vlm")
-    return out.withColumn("action", action).withColumn("triggered", F.col("action") != "suppress_vlm").select("unit_id", "triggered", "action", "matched_rules")
+    rule_hash = "sha256:" + hashlib.sha256(json.dumps([dataclasses.asdict(r) for r in rules], sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    hits = lambda r: F.size(F.filter("frames", lambda f: F.exists(f["detections"], lambda d: (d["label"] == r.label) & (d["confidence"] >= r.min_confidence))))
+    of = lambda r, v: F.sum(F.when(F.col("signal_type") == r.signal_type, v))
+    ratio = [F.coalesce(F.when(of(r, F.col("frame_count")) > 0, of(r, hits(r)) / of(r, F.col("frame_count"))), F.lit(0.0)).alias(f"_r{k}") for k, r in enumerate(rules)]
+    order = F.array_sort(F.collect_list(F.struct("signal_id", "frames")))
+    per = signals.groupBy("unit_id").agg(*ratio, F.flatten(F.transform(order, lambda x: x["frames"])).alias("_evidence"))
+    out = units.join(per, "unit_id", "left").fillna(0.0, [f"_r{k}" for k in range(len(rules))])
+    evidence = F.coalesce("_evidence", F.array().cast(signals.schema["frames"].dataType))
+    met = [F.when(F.col(f"_r{k}") >= r.min_positive_frame_ratio, F.lit(r.name)) for k, r in enumerate(rules) if r.action == "call_vlm"]
+    matched = F.array_compact(F.array(*met)) if met else F.array().cast("array<string>")
+    last = {r.label: k for k, r in enumerate(rules)}
+    ratios = F.map_from_arrays(F.array(*map(F.lit, last)), F.array(*[F.col(f"_r{k}") for k in last.values()])) if rules else F.lit(None)
+    reason = F.coalesce("trigger_reason", F.lit(""))
+    forced = reason.isin(*force_reasons) & (reason != "") if force_reasons else F.lit(False)
+    if not enabled:
+        fixed = {"triggered": F.lit(True), "action": F.lit("disabled"), "matched_rules": F.array().cast("array<string>"), "ratios": F.lit(None).cast("map<string,double>"), "reason": F.lit("pre_vlm_gate disabled"), "evidence_hash": F.lit("sha256:disabled"), "rule_config_hash": F.lit(None).cast("string")}
+        return units.select("unit_id", *[v.alias(k) for k, v in fixed.items()])
+    action = F.when(forced, "force_vlm").when(F.size("matched_rules") > 0, "call_vlm").otherwise("suppress_vlm")
+    why = F.when(forced, F.concat(F.lit("force_vlm_on_trigger_reason:"), reason)).when(F.size("matched_rules") > 0, "matched gate rules").otherwise("no gate rule matched")
+    hashed = F.concat(F.lit("sha256:"), json_hash(evidence, signals.schema["frames"].dataType))
+    out = out.withColumn("matched_rules", matched).withColumn("action", action)
+    return out.select("unit_id", (F.col("action") != "suppress_vlm").alias("triggered"), "action", "matched_rules", ratios.cast("map<string,double>").alias("ratios"), why.alias("reason"), hashed.alias("evidence_hash"), F.lit(rule_hash).alias("rule_config_hash"))
 
 
 #: States in which a unit or scale still works.
@@ -146,6 +176,13 @@ def probed(videos: DataFrame, probes: DataFrame) -> DataFrame:
 AUTO_LOCATION, AUTO_LEVEL = "loc_auto_unregistered", "internal"
 
 
+def auto_location(locations: DataFrame, provisioned_: DataFrame) -> DataFrame:
+    """The locations (location_id, location_name, security_level, access_policy_id, status) with that of unregistered cameras, once a camera needs it."""
+    asked = provisioned_.filter(F.col("location_id") == AUTO_LOCATION).limit(1)
+    new = asked.select(F.lit(AUTO_LOCATION).alias("location_id"), F.lit(AUTO_LOCATION).alias("location_name"), F.lit(AUTO_LEVEL).alias("security_level"), F.lit(None).cast("string").alias("access_policy_id"), F.lit("active").alias("status"))
+    return locations.unionByName(new.join(locations.select("location_id"), "location_id", "left_anti"))
+
+
 def provisioned(cameras: DataFrame, seen: DataFrame) -> DataFrame:
     """The cameras (camera_id, camera_name, location_id, status) with a row for each of ``seen`` (camera_id) that nobody registered."""
     new = seen.select("camera_id").filter("camera_id IS NOT NULL").distinct().join(cameras.select("camera_id"), "camera_id", "left_anti")
@@ -171,11 +208,38 @@ def assembled(outputs: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
+MEDIA = "index int, sha256 string, sha256_error string, size_bytes long, frame_index int, timestamp_ms long, decode_backend string"
+
+
 def media_manifest(media: DataFrame) -> DataFrame:
-    """a short hash of each unit's media in their order (unit_id, index, content, timestamp_ms), by their contents' hashes."""
-    entry = F.struct("index", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), "timestamp_ms")
-    listed = media.groupBy("unit_id").agg(F.to_json(F.sort_array(F.collect_list(entry)), {"ignoreNullFields": "false"}).alias("entries"), F.count("*").alias("media"))
-    return listed.select("unit_id", "media", F.substring(F.sha2("entries", 256), 1, 16).alias("ordered_media_hash"))
+    """media and ordered_media_hash of each unit (unit_id): a short hash of its media in their order.
+
+    ``media`` has index, content (null: it couldn't be read, and sha256_error says why), frame_index, timestamp_ms and decode_backend.
+    """
+    known = {"sha256": F.sha2("content", 256), "sha256_error": F.when(F.col("content").isNull(), F.col("sha256_error")), "size_bytes": F.octet_length("content").cast("long")}
+    kind = T.ArrayType(T.StructType.fromDDL(MEDIA))
+    entry = F.struct(*[known.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields])
+    listed = media.groupBy("unit_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.count("*").alias("media"))
+    return listed.select("unit_id", "media", json_hash(F.col("entries"), kind, 16).alias("ordered_media_hash"))
+
+
+# What an input's fingerprint holds.
+FINGERPRINT = ("analysis_scale", "segment_start_ms", "segment_end_ms", "camera_id", "model_version", "prompt_version", "pipeline_version", "system_prompt_hash", "strict_retry_instruction_hash", "provider_options_hash", "ordered_media_hash")
+
+
+def input_manifest(units: DataFrame, media: DataFrame, prompt: Column, retry_instruction: str) -> DataFrame:
+    """the short hash of what a model is asked about each unit: its segment, versions, and the hashes of the prompt, of the provider's options and of its media.
+
+    ``units`` has unit_id, the first seven columns of FINGERPRINT and provider_options (a map of strings); a unit without media has the hash of an empty list.
+    """
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 16)
+    options = F.coalesce("provider_options", F.create_map().cast("map<string,string>"))
+    none = hashlib.sha256(b"[]").hexdigest()[:16]
+    told = units.join(media_manifest(media).drop("media"), "unit_id", "left").withColumns({
+        "ordered_media_hash": F.coalesce("ordered_media_hash", F.lit(none)), "system_prompt_hash": short(prompt), "strict_retry_instruction_hash": short(F.lit(retry_instruction)), "provider_options_hash": json_hash(options, T.MapType(T.StringType(), T.StringType()), 16),
+    })
+    held = told.select("unit_id", F.struct(*FINGERPRINT).alias("fingerprint"))
+    return held.select("unit_id", json_hash(F.col("fingerprint"), held.schema["fingerprint"].dataType, 16).alias("input_manifest_hash"), "fingerprint")
 
 
 def latest(log: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -152,12 +152,12 @@ def lapsed(contexts: DataFrame, now: Column) -> DataFrame:
     return contexts.withColumn("status", F.when((F.col("status") == "active") & (F.col("expires_at") < now), "expired").otherwise(F.col("status")))
 
 
-def usable(contexts: DataFrame, now: Column, idle_seconds: int, scope_hash: str) -> DataFrame:
-    """Q5: why a context can't be used (null: it can): scope, status, age, idleness, revisions."""
+def usable(contexts: DataFrame, now: Column, idle_seconds: int, scope_hash: str, principal: str) -> DataFrame:
+    """Q5: why a context can't be used (null: it can): another's, scope, status, age, idleness, revisions. Another's context is as if it did not exist."""
     idle = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_accessed_at").cast("timestamp"))
     return contexts.withColumn(
         "refusal",
-        F.when(F.col("scope_hash") != scope_hash, "scope_changed").when(F.col("status") != "active", "not_active").when(F.col("expires_at") < now, "expired").when(idle > idle_seconds, "idle").when(F.col("revisions") >= MOST_REVISIONS, "too_many_revisions"),
+        F.when(~F.col("principal_id").eqNullSafe(F.lit(principal)), "not_found").when(F.col("scope_hash") != scope_hash, "scope_changed").when(F.col("status") != "active", "not_active").when(F.col("expires_at") < now, "expired").when(idle > idle_seconds, "idle").when(F.col("revisions") >= MOST_REVISIONS, "too_many_revisions"),
     )
 
 
@@ -210,7 +210,7 @@ def details(df: DataFrame, scope: Scope, ids: Sequence[str]) -> DataFrame:
 
 def locators(found: DataFrame, df: DataFrame, scope: Scope, principal: str, secret: str, now: Column, ttl_s: int = 300) -> DataFrame:
     """Locators of records (record_id): where and when, a signed token and its expiry; only of those that the scope permits now."""
-    scope.require("observation_read_locator")
+    scope.require("observation.read_locator")
     live = authorized(df, scope).join(F.broadcast(found.select("record_id")), "record_id", "left_semi")
     expiry = F.unix_seconds(now.cast("timestamp")) + ttl_s
     subject = F.concat_ws(":", F.lit(principal), "record_id", expiry.cast("string"))
@@ -219,7 +219,7 @@ def locators(found: DataFrame, df: DataFrame, scope: Scope, principal: str, secr
 
 def verified_playback(tokens: DataFrame, df: DataFrame, scope: Scope, principal: str, secret: str, now_s: float) -> DataFrame:
     """What may be played: genuine tokens that have not lapsed, of this principal, whose record the scope permits now."""
-    scope.require("video_playback")
+    scope.require("video.playback")
     told = tokens.select(playback_subject(secret, now_s)("token").alias("subject"))
     mine = told.filter(F.substring_index("subject", ":", 1) == principal).select(F.substring_index("subject", ":", -1).alias("record_id")).distinct()
     return authorized(df, scope).join(mine, "record_id", "left_semi").select("record_id", "video_id", "camera_id", "segment_start_ms", "segment_end_ms")

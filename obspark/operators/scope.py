@@ -33,12 +33,15 @@ class Scope:
     locations: tuple[str, ...] = ()
     policies: tuple[str, ...] = ()
     level: str = "public"
-    capabilities: tuple[str, ...] = field(default=("observation_search",))
+    capabilities: tuple[str, ...] = field(default=("observation.search",))
+    principal: str = ""
 
     def digest(self) -> str:
-        """32 hex digits of the canonical JSON."""
-        body = {"tenant_id": self.tenant_id, "cameras": sorted(self.cameras), "locations": sorted(self.locations), "policies": sorted(self.policies), "level": self.level, "capabilities": sorted(self.capabilities)}
-        return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
+        """what a search session is bound to, the principal included: a mark and 32 hex digits of the canonical JSON."""
+        body = {
+            "tenant_id": self.tenant_id, "principal_id": self.principal, "allowed_camera_ids": sorted(self.cameras), "allowed_location_ids": sorted(self.locations), "allowed_access_policy_ids": sorted(self.policies), "max_security_level": self.level, "capabilities": sorted(self.capabilities),
+        }
+        return "scope_" + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:32]
 
     def require(self, capability: str) -> None:
         """Raises unless the scope has the capability."""

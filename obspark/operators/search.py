@@ -213,7 +213,7 @@ def detailed(ranked_: DataFrame, top_k: int) -> DataFrame:
 
 def search(df: DataFrame, scope: Scope, request: Request, vectors: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
     """Q1: scope, pool, ranking and top-k; corpus statistics are of all rows, as a text index has them."""
-    scope.require("observation_search")
+    scope.require("observation.search")
     return results(rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector), request.top_k)
 
 
@@ -227,13 +227,16 @@ class Started:
     audit: DataFrame
 
 
-def start(df: DataFrame, scope: Scope, request: Request, context_id: str, vectors: DataFrame | None = None, vector: Sequence[float] | None = None, most: int = 500) -> Started:
-    """Q1, Q4, K8: a search with its first revision (at most ``most`` candidates in rank order), facets of it and an audit row."""
-    scope.require("observation_search")
-    checked(request.top_k)
-    ordered = rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector).filter(F.col("rank") <= most)
+def start(df: DataFrame, scope: Scope, request: Request, context_id: str, vectors: DataFrame | None = None, vector: Sequence[float] | None = None) -> Started:
+    """Q1, Q4, K8: a search with its first revision, facets of it and an audit row.
+
+    The order is cut to ``top_k`` first: the revision, the facets and the audit's record ids are of what the search returns.
+    """
+    scope.require("observation.search")
+    ordered = rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector).filter(F.col("rank") <= checked(request.top_k))
     candidates = detailed_candidates(ordered, context_id)
-    audit = candidates.agg(F.count("*").alias("candidates")).select(F.lit("search").alias("event_type"), F.lit(scope.digest()).alias("resource_scope_hash"), F.lit(context_id).alias("context_id"), "candidates")
+    audit = candidates.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "record_id"))), lambda x: x["record_id"]).alias("record_ids"))
+    audit = audit.select(F.lit("query").alias("event_type"), F.lit(scope.principal).alias("principal_id"), F.lit(scope.digest()).alias("resource_scope_hash"), F.lit(context_id).alias("context_id"), "record_ids", F.size("record_ids").cast("long").alias("candidates"))
     return Started(detailed(ordered, request.top_k), candidates, revision_facets(df, scope, candidates), audit)
 
 

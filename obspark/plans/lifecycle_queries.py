@@ -15,7 +15,7 @@ from obspark.plans.search_queries import BOTH, FUSED, HIT, JOINED, POOL, QUERY,
 from obspark.sources import views
 
 CHANNELS = ("static_text", "dynamic_text")
-READER = scopes.Scope(**{**SCOPE.__dict__, "capabilities": ("observation_search", "observation_read_locator", "video_playback")})
+READER = scopes.Scope(**{**SCOPE.__dict__, "capabilities": ("observation.search", "observation.read_locator", "video.playback")})
 AT, AT_S, SECRET = "2024-02-01 00:00:00", 1706745600, "test-only"
 
 
@@ -32,7 +32,7 @@ def _all(*parts: DataFrame) -> DataFrame:
 
 
 def _started(s, d):
-    return search.start(_obs(s, d), SCOPE, search.Request(query=QUERY, top_k=20, tags=("SRC3",), preferred_scales=("high_freq_event",)), "ctx", most=120)
+    return search.start(_obs(s, d), SCOPE, search.Request(query=QUERY, top_k=20, tags=("SRC3",), preferred_scales=("high_freq_event",)), "ctx")
 
 
 def _detailed(s, d):
@@ -42,7 +42,7 @@ def _detailed(s, d):
 _TAG = "least(0.2, CAST(list_contains([lower(t) for t in tags], 'src3') AS INT) * 0.05)"
 _SCALE = "CASE WHEN analysis_scale = 'high_freq_event' THEN 0.1 ELSE 0.0 END"
 STARTED = f"""{POOL}, {BOTH}, f AS (SELECT p.*, rs.r AS a, rd.r AS b, {_TAG} AS tag_boost, {_SCALE} AS scale_boost, {FUSED} + {_TAG} + {_SCALE} AS s {JOINED} WHERE {HIT}),
- rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, record_id) AS rank FROM f), cand AS (SELECT * FROM rk WHERE rank <= 120)"""
+ rk AS (SELECT *, row_number() OVER (ORDER BY s DESC, record_id) AS rank FROM f), cand AS (SELECT * FROM rk WHERE rank <= 20)"""
 
 # Text index
 
@@ -147,19 +147,25 @@ ERRORS_SQL = f"""WITH e AS (SELECT p_partkey, [{', '.join(_LIST(c) for c, _ in E
  len([x for x in {_LIST(text.TRANSIENT_STORAGE_MARKS)} if contains(lower(c[1] || ': ' || m), x)]) > 0 AND NOT list_has_any(c, {_LIST(text.PERMANENT_STORAGE_ERRORS)}) AS storage_retries FROM e"""
 
 
+GATE_RULES = (pipeline.Rule("person", "people", min_confidence=0.6, min_positive_frame_ratio=0.25), pipeline.Rule("car", "cars", min_confidence=0.8, min_positive_frame_ratio=0.3), pipeline.Rule("car", "seen", min_confidence=0.1, min_positive_frame_ratio=0.1, action="suppress_vlm"))
+
+
 def _gate(s, d):
-    """Gate decisions on orders by three rules, of which signals of some have failed."""
+    """Gate decisions on orders by three rules; orders without lines have no signal."""
     line = _t(s, d, "lineitem")
-    frame = F.array(F.struct(F.lit("person").alias("label"), (F.col("l_tax") * 10).alias("confidence")), F.struct(F.lit("car").alias("label"), (F.col("l_discount") * 10).alias("confidence")))
-    signals = line.select(F.col("l_orderkey").alias("unit_id"), F.lit("detection").alias("signal_type"), F.lit(2).alias("frame_count"), (F.col("l_linenumber") == 7).alias("failed"), F.array(frame).alias("frames"))
-    rules = s.createDataFrame([("people", "detection", "person", 0.6, 0.25, "call_vlm"), ("cars", "detection", "car", 0.8, 0.3, "call_vlm"), ("seen", "detection", "car", 0.1, 0.1, "log")], "rule_id string, signal_type string, label string, min_confidence double, min_ratio double, action string")
+    found = F.array(F.struct(F.lit("person").alias("label"), (F.col("l_tax") * 10).alias("confidence")), F.struct(F.lit("car").alias("label"), (F.col("l_discount") * 10).alias("confidence")))
+    signals = line.select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("signal_id"), F.lit("object_detection").alias("signal_type"), F.lit(2).alias("frame_count"), F.array(F.struct(found.alias("detections"))).alias("frames"))
     units = _t(s, d, "orders").select(F.col("o_orderkey").alias("unit_id"), F.when(F.col("o_orderkey") % 17 == 0, "manual").when(F.col("o_orderkey") % 5 == 0, "motion").otherwise("").alias("trigger_reason"))
-    return pipeline.gate_rules(units, signals, rules, ["manual"]).select("unit_id", "triggered", "action", F.array_join("matched_rules", ",").alias("rules"))
+    out = pipeline.gate_rules(units, signals, GATE_RULES, ["manual"])
+    return out.select("unit_id", "triggered", "action", F.array_join("matched_rules", ",").alias("rules"), *[F.round(F.col("ratios")[k], 6).alias(f"{k}_ratio") for k in ("person", "car")], "reason", "evidence_hash", "rule_config_hash")
 
 
-GATE_SQL = """WITH r AS (SELECT l_orderkey AS unit_id, sum(CASE WHEN l_tax * 10 >= 0.6 THEN 1 ELSE 0 END) / (2 * count(*)) AS p, sum(CASE WHEN l_discount * 10 >= 0.8 THEN 1 ELSE 0 END) / (2 * count(*)) AS c FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1),
- m AS (SELECT o_orderkey AS unit_id, concat_ws(',', CASE WHEN c >= 0.3 THEN 'cars' END, CASE WHEN p >= 0.25 THEN 'people' END) AS rules FROM orders LEFT JOIN r ON o_orderkey = unit_id)
- SELECT unit_id, unit_id % 17 = 0 OR rules <> '' AS triggered, CASE WHEN unit_id % 17 = 0 THEN 'force_vlm' WHEN rules <> '' THEN 'call_vlm' ELSE 'suppress_vlm' END AS action, rules FROM m"""
+_GATE_CONFIG = "[" + ",".join('{"action":"' + r.action + f'","label":"{r.label}","min_confidence":{r.min_confidence},"min_positive_frame_ratio":{r.min_positive_frame_ratio},"rule_id":"{r.rule_id}","signal_type":"object_detection"' + "}" for r in GATE_RULES) + "]"
+GATE_SQL = f"""WITH r AS (SELECT l_orderkey AS unit_id, sum(CASE WHEN l_tax * 10 >= 0.6 THEN 1 ELSE 0 END) / (2 * count(*)) AS p, sum(CASE WHEN l_discount * 10 >= 0.8 THEN 1 ELSE 0 END) / (2 * count(*)) AS c, sum(CASE WHEN l_discount * 10 >= 0.1 THEN 1 ELSE 0 END) / (2 * count(*)) AS n,
+  string_agg('{{"detections":[{{"confidence":' || CAST(l_tax * 10 AS VARCHAR) || ',"label":"person"}},{{"confidence":' || CAST(l_discount * 10 AS VARCHAR) || ',"label":"car"}}]}}', ',' ORDER BY l_linenumber, l_tax * 10, l_discount * 10) AS e FROM lineitem GROUP BY 1),
+ m AS (SELECT o_orderkey AS unit_id, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(e, '') AS e, concat_ws(',', CASE WHEN p >= 0.25 THEN 'people.positive_frame_ratio>=0.25' END, CASE WHEN c >= 0.3 THEN 'cars.positive_frame_ratio>=0.3' END) AS rules FROM orders LEFT JOIN r ON o_orderkey = unit_id)
+ SELECT unit_id, unit_id % 17 = 0 OR rules <> '' AS triggered, CASE WHEN unit_id % 17 = 0 THEN 'force_vlm' WHEN rules <> '' THEN 'call_vlm' ELSE 'suppress_vlm' END AS action, rules, round(p, 6) AS person_ratio, round(n, 6) AS car_ratio,
+ CASE WHEN unit_id % 17 = 0 THEN 'force_vlm_on_trigger_reason:manual' WHEN rules <> '' THEN 'matched gate rules' ELSE 'no gate rule matched' END AS reason, 'sha256:' || sha256('[' || e || ']') AS evidence_hash, 'sha256:' || sha256('{_GATE_CONFIG}') AS rule_config_hash FROM m"""
 
 
 def _assembled(s, d):
@@ -198,6 +204,11 @@ def _provisioned(s, d):
     return pipeline.provisioned(cameras, _t(s, d, "orders").select((F.col("o_custkey") * 3 % 40).cast("string").alias("camera_id")))
 
 
+def _locations_now(s, d):
+    known = _t(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("location_id"), F.col("n_name").alias("location_name"), F.lit("internal").alias("security_level"), F.lit("p").alias("access_policy_id"), F.lit("active").alias("status"))
+    return pipeline.auto_location(known, _provisioned(s, d))
+
+
 def _states(s, d):
     k = F.col("o_orderkey")
     name = F.element_at(F.create_map(*[F.lit(x) for x in ("O", "queued", "F", "running", "P", "succeeded")]), F.col("o_orderstatus"))
@@ -212,13 +223,36 @@ STATES_SQL = """WITH s AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O'
  SELECT id, CASE WHEN ok THEN t ELSE st END AS status, CASE WHEN ok AND t = 'running' THEN d + INTERVAL 1 DAY WHEN st <> 'queued' THEN d END AS started_at, CASE WHEN ok AND t = 'failed' THEN d + INTERVAL 1 DAY WHEN st = 'succeeded' THEN d END AS finished_at, coalesce(t <> st AND NOT ok, false) AS refused FROM m"""
 
 
+def _media_rows(s, d):
+    """Media of orders: a line is a frame; some could not be read, some come from another decoder."""
+    i = F.col("l_linenumber")
+    content = F.when(i % 5 != 0, F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag").cast("binary"))
+    rows = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), i.cast("int").alias("index"), content.alias("content"), F.lit("FileNotFoundError").alias("sha256_error"), F.when(i % 3 != 0, i.cast("int")).alias("frame_index"), (i * 500).cast("long").alias("timestamp_ms"), F.when(i % 2 == 0, "pyav").otherwise("opencv").alias("decode_backend"))
+    return rows.dropDuplicates(["unit_id", "index"])
+
+
 def _media(s, d):
-    return pipeline.media_manifest(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").cast("int").alias("index"), F.concat_ws("/", F.col("l_partkey").cast("string"), "l_returnflag").cast("binary").alias("content"), (F.col("l_linenumber") * 500).cast("long").alias("timestamp_ms")).dropDuplicates(["unit_id", "index"]))
+    return pipeline.media_manifest(_media_rows(s, d))
+
+
+RETRY, PROMPT = "Answer with one JSON object.", "Describe the segment."
+
+
+def _inputs(s, d):
+    k = F.col("o_orderkey")
+    units = _t(s, d, "orders").select(
+        k.alias("unit_id"), F.when(k % 2 == 0, "default_segment").otherwise("high_freq_event").alias("analysis_scale"), (k * 1000).cast("long").alias("segment_start_ms"), (k * 1000 + 12000).cast("long").alias("segment_end_ms"), F.concat(F.lit("cám"), F.col("o_custkey").cast("string")).alias("camera_id"),
+        F.lit("m-1").alias("model_version"), F.lit("p-2").alias("prompt_version"), F.when(k % 3 != 0, "v3").alias("pipeline_version"), F.create_map(F.lit("top_p"), F.lit("0.9"), F.lit("seed"), F.col("o_orderstatus")).alias("provider_options"),
+    )
+    return pipeline.input_manifest(units, _media_rows(s, d), F.concat(F.lit(f"{PROMPT} "), F.col("analysis_scale")), RETRY).select("unit_id", "input_manifest_hash", "fingerprint.ordered_media_hash", "fingerprint.provider_options_hash")
 
 
-MEDIA_SQL = """WITH l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS unit_id, l_linenumber AS i, CAST(l_partkey AS VARCHAR) || '/' || l_returnflag AS c FROM lineitem),
- e AS (SELECT unit_id, count(*) AS media, '[' || string_agg('{"index":' || i || ',"sha256":"' || sha256(c) || '","size_bytes":' || strlen(c) || ',"timestamp_ms":' || i * 500 || '}', ',' ORDER BY i) || ']' AS j FROM l GROUP BY unit_id)
- SELECT unit_id, media, substr(sha256(j), 1, 16) AS ordered_media_hash FROM e"""
+_MEDIA = """l AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS unit_id, l_linenumber AS i, CASE WHEN l_linenumber % 5 <> 0 THEN CAST(l_partkey AS VARCHAR) || '/' || l_returnflag END AS c FROM lineitem),
+ e AS (SELECT unit_id, count(*) AS media, '[' || string_agg('{"decode_backend":"' || CASE WHEN i % 2 = 0 THEN 'pyav' ELSE 'opencv' END || '","frame_index":' || CASE WHEN i % 3 <> 0 THEN CAST(i AS VARCHAR) ELSE 'null' END || ',"index":' || i || ',"sha256":' || coalesce('"' || sha256(c) || '"', 'null') || ',"sha256_error":' || CASE WHEN c IS NULL THEN '"FileNotFoundError"' ELSE 'null' END || ',"size_bytes":' || coalesce(CAST(strlen(c) AS VARCHAR), 'null') || ',"timestamp_ms":' || i * 500 || '}', ',' ORDER BY i) || ']' AS j FROM l GROUP BY unit_id)"""
+MEDIA_SQL = f"WITH {_MEDIA} SELECT unit_id, media, substr(sha256(j), 1, 16) AS ordered_media_hash FROM e"
+INPUTS_SQL = f"""WITH {_MEDIA}, u AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'default_segment' ELSE 'high_freq_event' END AS scale, o_custkey, substr(sha256(coalesce(j, '[]')), 1, 16) AS m, substr(sha256('{{"seed":"' || o_orderstatus || '","top_p":"0.9"}}'), 1, 16) AS p FROM orders LEFT JOIN e ON o_orderkey = unit_id)
+ SELECT k AS unit_id, substr(sha256('{{"analysis_scale":"' || scale || '","camera_id":"c\\u00e1m' || o_custkey || '","model_version":"m-1","ordered_media_hash":"' || m || '","pipeline_version":' || CASE WHEN k % 3 <> 0 THEN '"v3"' ELSE 'null' END || ',"prompt_version":"p-2","provider_options_hash":"' || p || '","segment_end_ms":' || k * 1000 + 12000
+ || ',"segment_start_ms":' || k * 1000 || ',"strict_retry_instruction_hash":"' || substr(sha256('{RETRY}'), 1, 16) || '","system_prompt_hash":"' || substr(sha256('{PROMPT} ' || scale), 1, 16) || '"}}'), 1, 16) AS input_manifest_hash, m AS ordered_media_hash, p AS provider_options_hash FROM u"""
 
 
 def _recorded(s, d):
@@ -254,7 +288,7 @@ QUERIES = {
     "hybrid_search_detailed": _detailed,
     "search_revision": lambda s, d: _started(s, d).candidates,
     "search_facets": lambda s, d: _started(s, d).facets,
-    "search_audit": lambda s, d: _started(s, d).audit,
+    "search_audit": lambda s, d: _started(s, d).audit.withColumn("record_ids", F.array_join("record_ids", ",")),
     "list_by_video_page": lambda s, d: search.of_video(_obs(s, d), SCOPE, "vid_7", 5, (27000, "doc_00000157")).select("record_id", "segment_start_ms"),
     "mentioning": lambda s, d: search.mentioning(_obs(s, d), SCOPE, "onre, src3").select("record_id"),
     "overlap_ranked": lambda s, d: search.overlap_results(_obs(s, d), SCOPE, "doc_00000063", 30000).select("rank", "record_id", "score", "analysis_scale"),
@@ -278,8 +312,10 @@ QUERIES = {
     "publish_summary": _summaries,
     "video_probes": _probed,
     "camera_provisioning": _provisioned,
+    "location_provisioning": _locations_now,
     "state_changes": _states,
     "media_manifest": _media,
+    "input_manifest": _inputs,
     "principal_capabilities": lambda s, d: _t(s, d, "region").select("r_regionkey", F.array_join(scopes.capabilities(F.get(F.array(F.lit("admin"), F.lit("service_account"), F.lit("user"), F.lit("other")), F.col("r_regionkey").cast("int"))), ",").alias("capabilities")),
     "record_redaction": _recorded,
     "redact_json": _redacted_json,
@@ -302,7 +338,7 @@ ORACLE_SQL = {
     "search_facets": f"""WITH {STARTED}, t AS (SELECT record_id, unnest([1, 2, 3]) AS pos, unnest(tags) AS tag FROM cand), c AS (SELECT tag, count(*) AS n, min(record_id || CAST(pos AS VARCHAR)) AS first FROM t GROUP BY tag)
  SELECT 'camera' AS facet, camera_id AS value, count(*) AS n FROM cand GROUP BY 2 UNION ALL SELECT 'location', location_id, count(*) FROM cand GROUP BY 2 UNION ALL SELECT 'scale', analysis_scale, count(*) FROM cand GROUP BY 2
  UNION ALL SELECT 'hour', strftime(observed_start, '%Y-%m-%d %H:00'), count(*) FROM cand GROUP BY 2 UNION ALL SELECT 'tag', tag, n FROM (SELECT tag, n FROM c ORDER BY n DESC, first LIMIT 10)""",
-    "search_audit": f"WITH {STARTED} SELECT 'search' AS event_type, '{SCOPE.digest()}' AS resource_scope_hash, 'ctx' AS context_id, count(*) AS candidates FROM cand",
+    "search_audit": f"WITH {STARTED} SELECT 'query' AS event_type, '{SCOPE.principal}' AS principal_id, '{SCOPE.digest()}' AS resource_scope_hash, 'ctx' AS context_id, string_agg(record_id, ',' ORDER BY rank) AS record_ids, count(*) AS candidates FROM cand",
     "list_by_video_page": f"WITH {SCOPED} SELECT record_id, segment_start_ms FROM scoped WHERE video_id = 'vid_7' AND (segment_start_ms > 27000 OR (segment_start_ms = 27000 AND record_id > 'doc_00000157')) ORDER BY 2, 1 LIMIT 5",
     "mentioning": f"WITH {SCOPED} SELECT record_id FROM scoped WHERE regexp_matches(lower(static_text), 'onre|src3') OR regexp_matches(lower(dynamic_text), 'onre|src3') OR len([t for t in tags if regexp_matches(lower(t), 'onre|src3')]) > 0 ORDER BY observed_start, record_id LIMIT 100",
     "overlap_ranked": f"WITH {SCOPED}, t AS (SELECT * FROM scoped WHERE record_id = 'doc_00000063'), h AS (SELECT c.* FROM scoped c, t WHERE c.video_id = t.video_id AND c.record_id <> t.record_id AND c.segment_start_ms < t.segment_end_ms + 30000 AND c.segment_end_ms > t.segment_start_ms - 30000 ORDER BY c.segment_start_ms, c.record_id LIMIT 50) SELECT row_number() OVER (ORDER BY segment_start_ms, record_id) AS rank, record_id, CAST(0 AS DOUBLE) AS score, analysis_scale FROM h",
@@ -327,9 +363,11 @@ ORACLE_SQL = {
     "record_assembly": ASSEMBLED_SQL,
     "publish_summary": "WITH o AS (SELECT o_custkey AS job_id, string_agg('r' || o_orderkey, ',' ORDER BY 'r' || o_orderkey) FILTER (WHERE o_orderkey % 3 = 0) AS c, string_agg('r' || o_orderkey, ',' ORDER BY 'r' || o_orderkey) FILTER (WHERE o_orderkey % 3 = 1) AS u, string_agg('r' || o_orderkey, ',' ORDER BY 'r' || o_orderkey) FILTER (WHERE o_orderkey % 3 = 2) AS a FROM orders GROUP BY 1) SELECT c_custkey AS job_id, concat_ws(',', 'a' || c_custkey, c) AS created, coalesce(u, '') AS updated, coalesce(a, '') AS archived FROM customer LEFT JOIN o ON c_custkey = job_id",
     "video_probes": "SELECT c_custkey AS video_id, TIMESTAMP '2024-01-01' AS video_start, CASE WHEN c_custkey % 4 > 1 THEN c_custkey * 1001 END AS duration_ms, CASE WHEN c_custkey % 4 > 1 THEN TIMESTAMP '2024-01-01' + to_milliseconds(c_custkey * 1001) END AS video_end, CASE c_custkey % 4 WHEN 0 THEN 'registered' WHEN 1 THEN 'failed' ELSE 'ready' END AS source_status FROM customer",
+    "location_provisioning": "SELECT CAST(n_nationkey AS VARCHAR) AS location_id, n_name AS location_name, 'internal' AS security_level, 'p' AS access_policy_id, 'active' AS status FROM nation UNION ALL SELECT 'loc_auto_unregistered', 'loc_auto_unregistered', 'internal', NULL, 'active' WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey * 3 % 40 NOT IN (SELECT s_suppkey FROM supplier))",
     "camera_provisioning": "SELECT CAST(s_suppkey AS VARCHAR) AS camera_id, s_name AS camera_name, 'l1' AS location_id, 'active' AS status FROM supplier UNION ALL SELECT k, k, 'loc_auto_unregistered', 'active' FROM (SELECT DISTINCT CAST(o_custkey * 3 % 40 AS VARCHAR) AS k FROM orders) WHERE k NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)",
     "state_changes": STATES_SQL,
     "media_manifest": MEDIA_SQL,
+    "input_manifest": INPUTS_SQL,
     "principal_capabilities": f"SELECT r_regionkey, ['{','.join(scopes.ADMIN_CAPABILITIES)}', '{','.join(scopes.USER_CAPABILITIES + scopes.SERVICE_CAPABILITIES)}', '{','.join(scopes.USER_CAPABILITIES)}'][CAST(least(r_regionkey, 2) AS INT) + 1] AS capabilities FROM region",
     "record_redaction": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'saved <path:' || replace(p_name, ' ', '_') || '> done' WHEN 1 THEN 'img <redacted-data-url> end' WHEN 2 THEN substr(repeat('ab ', 200), 1, 500) || '...<truncated>' ELSE p_name END AS note, '<redacted>' AS key FROM part",
     "redact_json": """SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN '{"id":' || p_partkey || ',"inner":{"note":"' || p_name || '","place":"[redacted]","api_key":"[redacted]","list":["[redacted]","' || p_brand || '"]},"long":"' || CASE WHEN p_partkey % 3 = 0 THEN '[redacted-long-string]' ELSE 'yyy' END || '"}' END AS shown FROM part""",

@@ -42,13 +42,13 @@ def _failures(s, d):
 def _contexts(s, d):
     return _t(s, d, "orders").select(
         F.col("o_orderkey").alias("context_id"), F.when(F.col("o_orderstatus") == "P", "closed").otherwise("active").alias("status"), F.expr("o_orderdate + INTERVAL 30 DAY").alias("expires_at"), F.col("o_orderdate").alias("last_accessed_at"),
-        F.when(F.col("o_orderkey") % 10 == 0, "old").otherwise("now").alias("scope_hash"), (F.col("o_orderkey") % 9).alias("revisions"),
+        F.when(F.col("o_orderkey") % 10 == 0, "old").otherwise("now").alias("scope_hash"), F.when(F.col("o_custkey") % 4 != 0, "ann").alias("principal_id"), (F.col("o_orderkey") % 9).alias("revisions"),
     )
 
 
 NOW = "1998-01-01 00:00:00"
 _now = lambda: F.lit(NOW).cast("timestamp_ntz")
-CONTEXTS_SQL = "cx AS (SELECT o_orderkey AS context_id, CASE WHEN o_orderstatus = 'P' THEN 'closed' ELSE 'active' END AS status, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderdate AS last_accessed_at, CASE WHEN o_orderkey % 10 = 0 THEN 'old' ELSE 'now' END AS scope_hash, o_orderkey % 9 AS revisions FROM orders)"
+CONTEXTS_SQL = "cx AS (SELECT o_orderkey AS context_id, CASE WHEN o_orderstatus = 'P' THEN 'closed' ELSE 'active' END AS status, o_orderdate + INTERVAL 30 DAY AS expires_at, o_orderdate AS last_accessed_at, CASE WHEN o_orderkey % 10 = 0 THEN 'old' ELSE 'now' END AS scope_hash, CASE WHEN o_custkey % 4 <> 0 THEN 'ann' END AS principal_id, o_orderkey % 9 AS revisions FROM orders)"
 
 
 def _revision(s, d):
@@ -96,7 +96,7 @@ QUERIES = {
     "exported_videos": lambda s, d: records.exported_videos(scope.authorized(_obs(s, d), SCOPE), _obs(s, d).select("video_id", "tenant_id", "camera_id", "access_policy_id").distinct(), SCOPE).select("video_id").distinct(),
     "failure_details": _failures,
     "context_sweep": lambda s, d: records.lapsed(_contexts(s, d), _now()).select("context_id", "status"),
-    "context_lifecycle": lambda s, d: records.usable(_contexts(s, d), _now(), 86400 * 20, "now").select("context_id", F.coalesce("refusal", F.lit("ok")).alias("refusal")),
+    "context_lifecycle": lambda s, d: records.usable(_contexts(s, d), _now(), 86400 * 20, "now", "ann").select("context_id", F.coalesce("refusal", F.lit("ok")).alias("refusal")),
     "refine_static": lambda s, d: _refine(s, d, "search_static_text"),
     "refine_hybrid": lambda s, d: _refine(s, d, "hybrid_search_text"),
     "refine_rerank": lambda s, d: _refine(s, d, "rerank_current_candidates"),
@@ -131,7 +131,7 @@ ORACLE_SQL = {
     "exported_videos": f"WITH {SCOPED} SELECT DISTINCT video_id FROM scoped",
     "failure_details": "SELECT * FROM (SELECT o_orderkey AS unit_id, o_custkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'skipped' ELSE 'succeeded' END AS status, CASE WHEN o_orderkey % 13 = 0 THEN 'E13' ELSE '' END AS error_code FROM orders) WHERE status IN ('failed', 'skipped') OR error_code <> ''",
     "context_sweep": f"WITH {CONTEXTS_SQL} SELECT context_id, CASE WHEN status = 'active' AND expires_at < TIMESTAMP '{NOW}' THEN 'expired' ELSE status END AS status FROM cx",
-    "context_lifecycle": f"WITH {CONTEXTS_SQL} SELECT context_id, CASE WHEN scope_hash <> 'now' THEN 'scope_changed' WHEN status <> 'active' THEN 'not_active' WHEN expires_at < TIMESTAMP '{NOW}' THEN 'expired' WHEN epoch(TIMESTAMP '{NOW}') - epoch(last_accessed_at) > {86400 * 20} THEN 'idle' WHEN revisions >= 8 THEN 'too_many_revisions' ELSE 'ok' END AS refusal FROM cx",
+    "context_lifecycle": f"WITH {CONTEXTS_SQL} SELECT context_id, CASE WHEN principal_id IS DISTINCT FROM 'ann' THEN 'not_found' WHEN scope_hash <> 'now' THEN 'scope_changed' WHEN status <> 'active' THEN 'not_active' WHEN expires_at < TIMESTAMP '{NOW}' THEN 'expired' WHEN epoch(TIMESTAMP '{NOW}') - epoch(last_accessed_at) > {86400 * 20} THEN 'idle' WHEN revisions >= 8 THEN 'too_many_revisions' ELSE 'ok' END AS refusal FROM cx",
     "refine_static": f"WITH {REVISION}, {_again} {STATIC2}",
     "refine_hybrid": f"WITH {REVISION}, {_again} {HYBRID2}",
     "refine_rerank": f"""WITH {REVISION}, {_again}, {VECTORS}, sv AS (SELECT record_id, max(s) AS s FROM sim WHERE s > 0 AND record_id IN (SELECT record_id FROM pool) GROUP BY 1), rv AS (SELECT record_id, row_number() OVER (ORDER BY s DESC, record_id) AS r FROM sv),

@@ -10,7 +10,7 @@ from obspark.operators import evaluate, scope, search
 from obspark.sources import views
 
 CAMERAS = tuple(f"src{i}" for i in range(15))
-SCOPE = scope.Scope("tenant_default", CAMERAS, ("en", "fr", "de"), ("pol_a", "pol_b"), "confidential")
+SCOPE = scope.Scope("tenant_default", CAMERAS, ("en", "fr", "de"), ("pol_a", "pol_b"), "confidential", principal="ann")
 FILTERS = search.Filters(scales=("default_segment", "high_freq_event"), time_start="2024-01-01 00:00:10", time_end="2024-01-01 04:00:00", tags=("SRC1",))
 QUERY, TERMS = "onre mit edre", ("onre", "mit", "edre")
 

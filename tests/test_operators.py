@@ -1,5 +1,7 @@
 """Expected values of the operators, worked out by hand."""
 
+import hashlib
+import json
 import math
 
 import pytest
@@ -37,9 +39,9 @@ def test_scope_fails_closed(spark):
     assert rows(scope.authorized(df, ALL), "record_id") == [("a",)]
     for part in ("cameras", "locations", "policies"):
         assert scope.authorized(df, scope.Scope(**{**ALL.__dict__, part: ()})).count() == 0
-    assert len(ALL.digest()) == 32
+    assert len(ALL.digest()) == 38 and ALL.digest() != scope.Scope(**{**ALL.__dict__, "principal": "ann"}).digest()
     with pytest.raises(PermissionError):
-        scope.Scope("t", capabilities=()).require("observation_search")
+        scope.Scope("t", capabilities=()).require("observation.search")
 
 
 def test_static_dynamic_hybrid(spark):
@@ -272,14 +274,24 @@ def test_state_changes(spark):
     assert rows(pipeline.transitioned(states, changes)) == [(1, "running", 9, None, False), (2, "failed", 5, 9, False), (3, "succeeded", 1, 2, True), (4, "running", 1, None, False)]
 
 
-def test_gate_with_several_rules(spark):
-    rules = spark.createDataFrame([("r1", "det", "person", 0.5, 0.5, "call_vlm"), ("r2", "det", "car", 0.5, 0.25, "call_vlm"), ("r3", "other", "x", 0.1, 0.1, "call_vlm"), ("r4", "det", "person", 0.1, 0.1, "log")], "rule_id string, signal_type string, label string, min_confidence double, min_ratio double, action string")
-    d = lambda *x: [[{"label": a, "confidence": c} for a, c in f] for f in x]
-    signals = [("a", "det", 4, False, d([("person", 0.9), ("person", 0.8)], [("person", 0.6)], [("car", 0.9)])), ("b", "det", 4, False, d([("person", 0.4)])), ("c", "det", 1, True, d([("person", 0.9)])), ("e", "det", 0, False, d([("person", 0.9)]))]
-    s = spark.createDataFrame(signals, "unit_id string, signal_type string, frame_count int, failed boolean, frames array<array<struct<label:string,confidence:double>>>")
-    units = spark.createDataFrame([("a", ""), ("b", "motion"), ("c", None), ("d", "manual"), ("e", "")], "unit_id string, trigger_reason string")
-    assert rows(pipeline.gate_rules(units, s, rules, ["manual"])) == [("a", True, "call_vlm", ["r1", "r2"]), ("b", False, "suppress_vlm", []), ("c", False, "suppress_vlm", []), ("d", True, "force_vlm", []), ("e", False, "suppress_vlm", [])]
-    assert {r["action"] for r in pipeline.gate_rules(units, s, rules, [], enabled=False).collect()} == {"gate_disabled"}
+def test_gate_rules(spark):
+    """Ratios over all signals of a type, failed ones too; forced units; no signals; the profile off."""
+    kind = "unit_id string, signal_id int, signal_type string, frame_count int, frames array<struct<detections: array<struct<label: string, confidence: double>>>>"
+    person, car, none = ([{"label": "person", "confidence": 0.9}],), ([{"label": "car", "confidence": 0.4}, {"label": "person", "confidence": 0.2}],), ([],)
+    s = spark.createDataFrame([("a", 1, "object_detection", 2, [person, none]), ("a", 0, "object_detection", 2, [car]), ("b", 0, "object_detection", 4, [person, none, none]), ("c", 0, "motion", 1, [person])], kind)
+    units = spark.createDataFrame([("a", ""), ("b", None), ("c", "manual"), ("d", "other")], "unit_id string, trigger_reason string")
+    rules = [pipeline.Rule("person", "r1", min_positive_frame_ratio=0.25), pipeline.Rule("car", min_positive_frame_ratio=0.25, min_confidence=0.4), pipeline.Rule("car", "r3", min_positive_frame_ratio=0.0, min_confidence=0.99, action="suppress_vlm")]
+    got = {r.unit_id: r for r in pipeline.gate_rules(units, s, rules, ["manual"]).collect()}
+    assert [(k, got[k].triggered, got[k].action, got[k].matched_rules, got[k].ratios, got[k].reason) for k in "abcd"] == [
+        ("a", True, "call_vlm", ["r1.positive_frame_ratio>=0.25", "car.positive_frame_ratio>=0.25"], {"person": 0.25, "car": 0.0}, "matched gate rules"),
+        ("b", True, "call_vlm", ["r1.positive_frame_ratio>=0.25"], {"person": 0.25, "car": 0.0}, "matched gate rules"),
+        ("c", True, "force_vlm", [], {"person": 0.0, "car": 0.0}, "force_vlm_on_trigger_reason:manual"),
+        ("d", False, "suppress_vlm", [], {"person": 0.0, "car": 0.0}, "no gate rule matched"),
+    ]
+    dumped = lambda v: "sha256:" + hashlib.sha256(json.dumps(v, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert got["a"].evidence_hash == dumped([{"detections": x[0]} for x in (car, person, none)]) and got["d"].evidence_hash == dumped([])
+    (off,) = {tuple(r)[1:3] for r in pipeline.gate_rules(units, s, rules, [], enabled=False).collect()}
+    assert off == (True, "disabled")
 
 
 def test_frame_features(spark):
@@ -312,7 +324,7 @@ def test_provisioning_and_appends(spark):
     none = "job_id int, created array<string>, updated array<string>, archived array<string>"
     jobs, new = spark.createDataFrame([(1, ["a"], [], None), (2, [], [], [])], none), spark.createDataFrame([(1, ["a"], ["b"], ["c"])], none)
     assert rows(pipeline.append_summary(jobs, new)) == [(1, ["a", "a"], ["b"], ["c"]), (2, [], [], [])]
-    assert scope.Scope("t").capabilities == ("observation_search",)
+    assert scope.Scope("t").capabilities == ("observation.search",)
     kinds = spark.createDataFrame([("admin",), ("service_account",), ("user",)], "t string").select("t", F.size(scope.capabilities(F.col("t"))).alias("n"))
     assert rows(kinds) == [("admin", 12), ("service_account", 6), ("user", 4)]
 
