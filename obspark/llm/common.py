@@ -93,7 +93,7 @@ class WordHashes(dict):
     """Word to 64-bit hash, forgotten as a whole when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

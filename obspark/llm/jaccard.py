@@ -199,7 +199,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
                 if h in told:
                     continue
                 told.add(h)
-                if len(told) > 100_000:
+                if len(told) > 30_000:
                     told.clear()
                 s = token_set(t, words)
                 if not len(s):
@@ -241,7 +241,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
             new = [(a, b) for a, b in zip(node[i[fits]].tolist(), node[j[fits]].tolist(), strict=True) if (a, b) not in seen]
             if new:
                 seen.update(new)
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 ab = np.array(new, np.int64)
                 out.append((np.zeros(len(ab), np.int64), ab[:, 0], np.ones(len(ab), np.int64), np.zeros(len(ab), np.int64), ab[:, 1]))
