@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,13 @@ def text_statistics(corpus: DataFrame, columns: Sequence[str], terms: Sequence[s
     return arrays.agg(*sums).select(F.struct("*").alias("s")).scalar()
 
 
+class TextStatistics(Protocol):
+    """What a text index tells about its corpus."""
+
+    def statistics(self, columns: Sequence[str], terms: Sequence[str]) -> Column:
+        """A struct as ``text_statistics`` gives it."""
+
+
 def inverse_frequency(n: Column, d: Column) -> Column:
     """weight of a term that d of n rows have."""
     return F.greatest(F.lit(LEAST_IDF), F.log((n - d + 0.5) / (d + 0.5)))
@@ -148,12 +156,12 @@ class Request:
     text: str = "bm25"
 
 
-def rank(pool: DataFrame, request: Request, corpus: DataFrame | None = None, vectors: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+def rank(pool: DataFrame, request: Request, corpus: DataFrame | None = None, vectors: DataFrame | None = None, vector: Sequence[float] | None = None, index: TextStatistics | None = None) -> DataFrame:
     """Q6: ranks a pool: channels, fallback, boosts, fusion, order. Adds rank, final_score and the channel ranks.
 
     A text channel that matches nothing falls back to counting substrings.
     Rows that no channel matches go, unless none matches any. Without a query,
-    the order is by time and id.
+    the order is by time and id. Corpus statistics come from a kept ``index``, or are counted over the corpus.
     """
     if not query_terms(request.query):
         w = Window.orderBy("observed_start", "record_id")
@@ -161,7 +169,8 @@ def rank(pool: DataFrame, request: Request, corpus: DataFrame | None = None, vec
         out = out.withColumns({"tag_boost": F.lit(0.0), "scale_boost": F.lit(0.0), "final_score": F.lit(1.0) / (F.col("rank_static") + RANK_K)})
         return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), "record_id")))
     channels = {"static_attribute": ("static",), "dynamic_event": ("dynamic",)}.get(request.mode, ("static", "dynamic"))
-    statistics = text_statistics(pool if corpus is None else corpus, [f"{c}_text" for c in channels], query_terms(request.query)) if request.text == "bm25" else None
+    columns, terms = [f"{c}_text" for c in channels], query_terms(request.query)
+    statistics = None if request.text != "bm25" else index.statistics(columns, terms) if index is not None else text_statistics(pool if corpus is None else corpus, columns, terms)
     out = pool
     for c in ("static", "dynamic"):
         if c not in channels:
@@ -211,10 +220,10 @@ def detailed(ranked_: DataFrame, top_k: int) -> DataFrame:
     return ranked_.filter(F.col("rank") <= checked(top_k)).select("rank", "record_id", F.round("final_score", 6).alias("score"), detail.alias("detail"), F.substring("static_text", 1, 200).alias("preview"), "analysis_scale", "observed_start", "observed_end")
 
 
-def search(df: DataFrame, scope: Scope, request: Request, vectors: DataFrame | None = None, vector: Sequence[float] | None = None) -> DataFrame:
+def search(df: DataFrame, scope: Scope, request: Request, vectors: DataFrame | None = None, vector: Sequence[float] | None = None, index: TextStatistics | None = None) -> DataFrame:
     """Q1: scope, pool, ranking and top-k; corpus statistics are of all rows, as a text index has them."""
     scope.require("observation.search")
-    return results(rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector), request.top_k)
+    return results(rank(candidate_pool(df, scope, request.filters), request, df, vectors, vector, index), request.top_k)
 
 
 @dataclass(frozen=True)

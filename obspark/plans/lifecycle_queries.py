@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obspark.functions import numeric, text, udfs
-from obspark.operators import capacity, pipeline, records, search, temporal, text_index
+from obspark.operators import capacity, pipeline, records, search, temporal, text_store
 from obspark.operators import scope as scopes
 from obspark.plans import operations_queries as operations
-from obspark.plans.search_queries import BOTH, FUSED, HIT, JOINED, POOL, QUERY, SCOPE, SCOPED, VECTOR, bm25_sql
-from obspark.sources import views
+from obspark.plans.search_queries import BOTH, FUSED, HIT, JOINED, POOL, QUERY, SCOPE, SCOPED, VECTOR, bm25_sql, kept_index
+from obspark.sources import places, views
 
 CHANNELS = ("static_text", "dynamic_text")
 READER = scopes.Scope(**{**SCOPE.__dict__, "capabilities": ("observation.search", "observation.read_locator", "video.playback")})
@@ -52,14 +53,13 @@ def _changed(s, d):
     return _obs(s, d).filter("doc_id % 7 = 0").select("record_id", F.col("dynamic_text").alias("static_text"), F.col("static_text").alias("dynamic_text"))
 
 
-def _index(s, d):
-    return text_index.build(_obs(s, d), CHANNELS)
-
-
 def _index_terms(s, d):
-    first = text_index.without(_index(s, d), _obs(s, d).filter("doc_id % 5 = 0"))
-    again = text_index.upserted(first, _changed(s, d), CHANNELS)
-    return again.postings.groupBy("channel", "term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).filter("documents >= 20")
+    """An index that is built, from which records are deleted, and into which some come again: its terms by the stored counts, and by its postings."""
+    store = text_store.create(_obs(s, d), f"{places.shared_dir(s)}/text-{uuid.uuid4().hex}", CHANNELS)
+    store.delete(_obs(s, d).filter("doc_id % 5 = 0"))
+    store.upsert(_changed(s, d))
+    occurrences = store.every_posting().groupBy("channel", "term").agg(F.sum(F.size("positions")).alias("occurrences"))
+    return store.frequencies().filter("documents >= 20").join(occurrences, ["channel", "term"]).select("channel", "term", "documents", "occurrences")
 
 
 _TOK = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
@@ -292,7 +292,7 @@ QUERIES = {
     "list_by_video_page": lambda s, d: search.of_video(_obs(s, d), SCOPE, "vid_7", 5, (27000, "doc_00000157")).select("record_id", "segment_start_ms"),
     "mentioning": lambda s, d: search.mentioning(_obs(s, d), SCOPE, "onre, src3").select("record_id"),
     "overlap_ranked": lambda s, d: search.overlap_results(_obs(s, d), SCOPE, "doc_00000063", 30000).select("rank", "record_id", "score", "analysis_scale"),
-    "index_relevance": lambda s, d: text_index.relevance(_index(s, d), "static_text", QUERY + " mit", search.candidate_pool(_obs(s, d), SCOPE)).select("record_id", F.round("bm25", 6).alias("bm25")),
+    "index_relevance": lambda s, d: kept_index(s, d).relevance("static_text", QUERY + " mit", search.candidate_pool(_obs(s, d), SCOPE)).select("record_id", F.round("bm25", 6).alias("bm25")),
     "index_upsert": _index_terms,
     "record_locators": _located,
     "playback_verify": lambda s, d: records.verified_playback(_tokens(s, d), _obs(s, d), READER, "ann", SECRET, AT_S),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from obspark.functions.numeric import level_rank, vector_fault
 from obspark.functions.text import keyword_score
-from obspark.operators import evaluate, scope, search
-from obspark.sources import views
+from obspark.operators import evaluate, scope, search, text_store
+from obspark.sources import places, views
 
 CAMERAS = tuple(f"src{i}" for i in range(15))
 SCOPE = scope.Scope("tenant_default", CAMERAS, ("en", "fr", "de"), ("pol_a", "pol_b"), "confidential", principal="ann")
@@ -64,8 +66,19 @@ def _request(**k):
     return search.Request(query=QUERY, top_k=k.pop("top_k", 20), **k)
 
 
+_KEPT: dict[tuple[str, str], text_store.TextStore] = {}
+
+
+def kept_index(spark, sf) -> text_store.TextStore:
+    """The text index of a folder's observations: built once for an application, as the ingestion would, then read by its searches."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        _KEPT[key] = text_store.create(_obs(spark, sf), f"{places.shared_dir(spark)}/text-{uuid.uuid4().hex}", ("static_text", "dynamic_text"))
+    return _KEPT[key]
+
+
 def _search(spark, sf, **k):
-    return search.search(_obs(spark, sf), SCOPE, _request(**k))
+    return search.search(_obs(spark, sf), SCOPE, _request(**k), index=kept_index(spark, sf))
 
 
 def _round(df, *columns, digits=6):
@@ -160,7 +173,7 @@ QUERIES = {
     "no_query_rank": lambda s, d: search.search(_obs(s, d), SCOPE, search.Request(top_k=30)),
     "bm25_rank": lambda s, d: _round(search.bm25(_obs(s, d), "static_text", QUERY).filter("bm25 IS NOT NULL").select("record_id", "bm25"), "bm25"),
     "vector_cosine_topk": _cosine_topk,
-    "vector_hybrid_rrf": lambda s, d: search.search(_obs(s, d), SCOPE, _request(), views.vectors(s, d), VECTOR),
+    "vector_hybrid_rrf": lambda s, d: search.search(_obs(s, d), SCOPE, _request(), views.vectors(s, d), VECTOR, kept_index(s, d)),
     "tag_scale_boost_rank": lambda s, d: _search(s, d, tags=("SRC3", "long", "long"), preferred_scales=("high_freq_event",)),
     "narrow_by_tags": lambda s, d: search.results(search.rank(search.narrow_by_tags(_pool(s, d), ["en", "medium"]), search.Request()), 40),
     "filter_by_scale": _refine_scale,
