@@ -8,7 +8,7 @@ from obspark.functions import numeric, text, udfs
 from obspark.operators import capacity, evaluate, pipeline, temporal, timeline
 from obspark.plans.timeline_queries import lerp_sql
 from obspark.sources import views
-from obspark.streaming import streams
+from obspark.streaming import motion, spans, streams, upserts
 
 NOW = "2000-01-01 00:00:00"
 HOUR, THRESHOLD = 3_600_000, 0.15
@@ -332,6 +332,10 @@ QUERIES = {
     "streaming_hopping": streams.hopping_counts,
     "streaming_dedup": streams.distinct_events,
     "streaming_sessions": lambda s, d: streams.sessions(s, d, 6 * HOUR),
+    "streaming_motion": lambda s, d: motion.motion_triggers(s, d, motion.Rules(THRESHOLD, HOUR, 6 * HOUR)),
+    "streaming_spans": lambda s, d: spans.spans(s, d, 3 * HOUR),
+    "streaming_upserts": lambda s, d: upserts.keyed_events(s, d)[0],
+    "streaming_conflicts": lambda s, d: upserts.keyed_events(s, d)[1],
     "streaming_expiry": lambda s, d: streams.sessions(s, d, 12 * HOUR, 20 * HOUR),
 }
 
@@ -410,6 +414,12 @@ ORACLE_SQL = {
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in views.TABLES),
     "streaming_event_rate": "SELECT epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1",
     "streaming_hopping": "WITH w AS (SELECT (epoch_us(ts) // 1000000 // 32400 - i) * 32400 AS start_s, epoch_us(ts) AS t FROM events, (SELECT unnest([0, 1]) AS i)) SELECT start_s, count(*) AS n FROM w WHERE t < (start_s + 43200) * 1000000 GROUP BY 1",
+    "streaming_motion": f"WITH {TRIGGERS_SQL} SELECT * FROM trig",
+    "streaming_spans": f"""WITH {views.TIMELINE_SQL}, p AS (SELECT s.unit_id AS unit, s.event_id AS start_id, s.at_ms AS a, e.event_id AS end_id, e.at_ms AS z FROM tl s JOIN tl e ON e.unit_id = s.unit_id AND e.event_phase IN ('finish', 'fail') AND (e.at_ms, e.event_id) > (s.at_ms, s.event_id) AND e.at_ms - s.at_ms <= {3 * HOUR} WHERE s.event_phase = 'start'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY end_id ORDER BY a DESC, start_id DESC) AS n FROM p)
+ SELECT unit, start_id, end_id, z - a AS duration_ms FROM r WHERE n = 1 UNION ALL SELECT unit_id, event_id, NULL, NULL FROM tl WHERE event_phase = 'start' AND event_id NOT IN (SELECT start_id FROM p)""",
+    "streaming_upserts": "SELECT event_id, event_type, value, 0 AS delivery FROM events",
+    "streaming_conflicts": "SELECT event_id, event_type, value + 1 AS value, 1 AS delivery FROM events WHERE event_id % 10 = 0",
     "streaming_dedup": "SELECT event_id, event_type FROM events",
     "streaming_expiry": f"""WITH RECURSIVE {views.TIMELINE_SQL}, o AS (SELECT unit_id, at_ms, row_number() OVER (PARTITION BY unit_id ORDER BY at_ms, event_id) AS r FROM tl),
  x(unit_id, r, at_ms, start_ms) AS (SELECT unit_id, r, at_ms, at_ms FROM o WHERE r = 1 UNION ALL SELECT o.unit_id, o.r, o.at_ms, CASE WHEN o.at_ms - x.at_ms <= {12 * HOUR} AND o.at_ms - x.start_ms <= {20 * HOUR} THEN x.start_ms ELSE o.at_ms END FROM x JOIN o ON o.unit_id = x.unit_id AND o.r = x.r + 1)

@@ -7,6 +7,7 @@ the last update of a key counts. State is bounded by watermarks.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -30,8 +31,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "false").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
-    """Runs a stream over all that is there; the last update of each key."""
+@contextlib.contextmanager
+def _configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a stream starts; it keeps them from then on."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def drained(stream: DataFrame, mode: str, key: list[str], conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there, under the settings ``conf``; the last update of each key."""
     spark = stream.sparkSession
     at = work_dir(spark)
 
@@ -39,8 +53,9 @@ def drained(stream: DataFrame, mode: str, key: list[str]) -> DataFrame:
         # a batch that is delivered again overwrites its own folder
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/number={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{at}/out")
+    with _configured(spark, conf or {}):
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch int, number int").parquet(f"{at}/out")
     rest = [c for c in out.columns if c not in (*key, "batch", "number")]
     return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*key, "_last.*")
 
