@@ -465,6 +465,62 @@ def test_sharding_nearly_all_copies(spark, members, linked):
     assert sum(len(g) > 1 for g in groups.values()) <= (0 if linked < 1 or n // 24 % members == 0 else 23)
 
 
+def test_propagation_falls_round_by_round(spark):
+    """On a given table the cut falls in every round but the last, by at least two rounds of moves."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    rows = docs.select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("node"), sharding.line_hubs(F.col("text")).alias("hubs"))
+    links = rows.select("node", F.explode("hubs").alias("hub")).distinct()
+    total = rows.count()
+    labels, pieces, large, room, found = sharding.placed(rows.drop("hubs"), links, [total // 24 + (s < total % 24) for s in range(24)])
+    assert len(found.cuts) > 2 and all(x > y for x, y in zip(found.cuts, found.cuts[1:], strict=False))
+    assert min(room) >= 0 and labels.agg(F.sum("n")).first()[0] + sum(p[2] - p[1] for p in pieces + large) + sum(room) == total
+
+
+def plain_propagation(links, labels, room):
+    """One node after the other, round after round, to the shard where most of its neighbours are, while there is room."""
+    of, labels, room = collections.defaultdict(list), dict(labels), list(room)
+    for node, hub in links:
+        of[hub].append(node)
+    hubs_of = collections.defaultdict(list)
+    for node, hub in links:
+        hubs_of[node].append(hub)
+
+    def cut():
+        return sum(len(m) - sum(c * c for c in collections.Counter(labels[x] for x in m).values()) / len(m) for m in of.values())
+
+    least = cut()
+    while True:
+        for node in sorted(labels):
+            votes = collections.Counter()
+            for hub in hubs_of[node]:
+                for x in of[hub]:
+                    votes[labels[x]] += 1 / len(of[hub])
+            to = max((s for s in range(len(room)) if s == labels[node] or room[s]), key=lambda s: (votes[s], s == labels[node]))
+            room[labels[node]] += 1
+            room[to] -= 1
+            labels[node] = to
+        if cut() >= least - 1e-9:
+            return least
+        least = cut()
+
+
+@pytest.mark.parametrize("seed, spare", [(1, 4), (2, 0), (3, 10)])
+def test_propagation_against_a_plain_one(spark, seed, spare):
+    """Four families of linked nodes in four shards, with and without rows that could fill up: the cut is at most a plain propagation's."""
+    rng = random.Random(seed)
+    links = [(f"n{f}.{i}", f * 100 + h) for f in range(4) for i in range(20) for h in rng.sample(range(6), 3)]
+    target = [20 + spare] * 4
+    nodes = sorted({x for x, _ in links})
+    labels, _ = sharding.started(spark.createDataFrame([(x, 1) for x in nodes], "node string, n long"), room := list(target))
+    labels = labels.cache()
+    start = {r["node"]: r["shard"] for r in labels.collect()}
+    plain = plain_propagation(links, start, list(room))
+    found = sharding.propagate(spark.createDataFrame(links, "node string, hub long"), labels, room)
+    assert found.cuts[-1] <= plain + 1e-6 and len(found.cuts) > 2
+    sizes = collections.Counter(r["shard"] for r in found.labels.collect())
+    assert all(sizes[s] <= target[s] and sizes[s] + room[s] == target[s] for s in range(4))
+
+
 def test_sharding_empty_texts_stay_together(spark, tmp_path):
     rows = [(i, ("", None, f"text {i}", f"other {i}")[i % 4]) for i in range(400)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
