@@ -511,7 +511,7 @@ def test_propagation_against_a_plain_one(spark, seed, spare):
     links = [(f"n{f}.{i}", f * 100 + h) for f in range(4) for i in range(20) for h in rng.sample(range(6), 3)]
     target = [20 + spare] * 4
     nodes = sorted({x for x, _ in links})
-    labels, _ = sharding.started(spark.createDataFrame([(x, 1) for x in nodes], "node string, n long"), room := list(target))
+    labels, _ = sharding.started(spark.createDataFrame([(x, 1, i) for i, x in enumerate(nodes)], "node string, n long, seed long"), room := list(target))
     labels = labels.cache()
     start = {r["node"]: r["shard"] for r in labels.collect()}
     plain = plain_propagation(links, start, list(room))
