@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a group's values; positions are counted by range first.
-RANGES = 4096
+#: Ranges of a group's values; positions are counted by range first. Near the least value they are finer, by up to this factor.
+RANGES, FINER = 4096, float(1 << 40)
 #: Time of a bucket of running totals, in ms.
 BUCKET_MS = 3_600_000
 
@@ -27,14 +28,15 @@ def at_positions(df: DataFrame, by: Sequence[str], value: str, positions: Mappin
 
     The counts of ranges of values, aggregated where the rows are, tell in which
     range a position lies; only the rows of those ranges are shuffled, counted
-    by distinct value, and numbered.
+    by distinct value, and numbered. Ranges widen with the distance from the least value, in proportion to it, so
+    a value far beyond the others doesn't put them all into one.
     """
     by = list(by) or ["_all"]
     rows = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
     values = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     groups = values.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     share = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double"))
-    ranged = values.join(groups, by).withColumn("_r", F.least(F.lit(RANGES - 1), F.floor(F.coalesce(share, F.lit(0.0)) * RANGES)))
+    ranged = values.join(groups, by).withColumn("_r", F.least(F.lit(RANGES - 1), F.floor(F.log1p(F.coalesce(share, F.lit(0.0)) * FINER) / math.log1p(FINER) * RANGES)))
     sums = ranged.groupBy(*by, "_r").agg(F.count("*").alias("_s"), F.first("n").alias("n"))
     after = F.sum("_s").over(Window.partitionBy(*by).orderBy("_r"))
     wanted = F.inline(F.array(*[F.struct(F.lit(k).alias("_name"), p.cast("bigint").alias("_p")) for k, p in positions.items()]))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Accented letters of the supported languages and what they fold to.
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy"
@@ -91,6 +92,33 @@ def recorded_fields(c: Column) -> Column:
     return F.transform_values(c, lambda k, v: F.when(plain(k).rlike("|".join(RECORDED_HIDDEN)), "<redacted>").otherwise(recorded(v)))
 
 
+#: Elements of a list that the event recorder keeps.
+MOST_LISTED = 100
+
+
+def recorded_json(c: Column, kind: T.DataType) -> Column:
+    """F16: a nested value (strings, numbers, truth values, and structs, string-keyed maps and lists of them) as the event recorder keeps it, as JSON.
+
+    Values of hidden keys are replaced at every depth, strings are cleaned, lists are cut. Null is ``null``.
+    """
+    quoted = lambda s: F.substring(F.to_json(F.struct(s.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(s.alias("v")))) - 6)
+    hides = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").rlike("|".join(RECORDED_HIDDEN))
+    pair = lambda k, v: F.concat(quoted(k), F.lit(":"), F.when(hides(k), F.lit('"<redacted>"')).otherwise(v))
+    if isinstance(kind, T.StringType):
+        out = quoted(recorded(c))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(F.slice(c, 1, MOST_LISTED), lambda x: recorded_json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        entries = F.transform(F.array_sort(F.map_keys(c)), lambda k: pair(k, recorded_json(F.try_element_at(c, k), kind.valueType)))
+        out = F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        parts = [pair(F.lit(f.name), recorded_json(c[f.name], f.dataType)) for f in kind.fields]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    else:
+        out = c.cast("string")
+    return F.when(c.isNull(), "null").otherwise(out)
+
+
 def model_json(c: Column) -> Column:
     """the outermost object of a model's answer, code fences and prose around it left out (null if there is none)."""
     return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))

@@ -82,8 +82,12 @@ class Plan:
     memory_gb: float | None = None
 
 
+# What a report says where inputs are missing.
+NOTES = ("video_hours unavailable; cannot compute requests_per_camera_hour", "measured_req_s unavailable; provide --effective-req-s or wall-time input", "effective_req_s unavailable; cannot compute processing_time_hours")
+
+
 def estimate(metrics: DataFrame, plan: Plan) -> DataFrame:
-    """the twelve derived metrics of one-row metrics (requests, hours, wall_seconds); what lacks an input, or divides by none, is null."""
+    """The twelve derived metrics and notes on what is missing for them, of one-row metrics (requests, hours, wall_seconds); what lacks an input, or divides by none, is null."""
     known = lambda v: F.lit(v).cast("double")
     positive = lambda c: F.when(c > 0, c)
     hourly = F.try_divide(F.col("requests").cast("double"), positive(F.col("hours")))
@@ -108,7 +112,13 @@ def estimate(metrics: DataFrame, plan: Plan) -> DataFrame:
         "group_memory_gb": memory,
         "needed_memory_gb": groups * memory,
     }
-    return metrics.select("*", *[F.round(c, 6).alias(k) for k, c in derived.items()])
+    said = lambda when, note: F.when(when, F.lit(note))
+    # a rate that is told is enough; without one, requests and time must give it
+    notes = [
+        said(hourly.isNull(), NOTES[0]), said(F.lit(plan.measured_rate is None) & F.coalesce(F.col("wall_seconds") <= 0, F.lit(True)), NOTES[1]),
+        said(production.isNotNull() & F.coalesce(effective <= 0, F.lit(True)), NOTES[2]),
+    ]
+    return metrics.select("*", *[F.round(c, 6).alias(k) for k, c in derived.items()], F.array_compact(F.array(*notes)).alias("notes"))
 
 
 def report(calls: DataFrame, jobs: DataFrame, videos: DataFrame, plan: Plan) -> DataFrame:

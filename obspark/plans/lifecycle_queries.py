@@ -262,6 +262,19 @@ def _recorded(s, d):
     return _t(s, d, "part").select("p_partkey", text.recorded_fields(fields).alias("m")).select("p_partkey", F.col("m")["note"].alias("note"), F.col("m")["X-Api-Key"].alias("key"))
 
 
+def _recorded_nested(s, d):
+    """Details of parts as the recorder keeps them: a hidden key below a list, a path inside a string, and a list that is too long."""
+    k = F.col("p_partkey")
+    deep = F.array(F.struct(F.concat(F.lit("at /srv/in/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" now")).alias("note"), F.col("p_brand").alias("apiToken"), F.create_map(F.lit("source_path"), F.col("p_type"), F.lit("kind"), F.col("p_type")).alias("more")))
+    numbers = F.sequence(F.lit(1), F.when(k % 3 == 0, 130).otherwise(2))
+    value = F.struct(k.alias("id"), deep.alias("items"), numbers.alias("frames"), (k % 2 == 0).alias("ok"), F.when(k % 5 != 0, F.col("p_name")).alias("title"))
+    rows = _t(s, d, "part").select("p_partkey", value.alias("v"))
+    return rows.select("p_partkey", text.recorded_json(F.col("v"), rows.schema["v"].dataType).alias("details"))
+
+
+RECORDED_SQL = """SELECT p_partkey, '{"id":' || p_partkey || ',"items":[{"note":"at <path:' || replace(p_name, ' ', '_') || '> now","apiToken":"<redacted>","more":{"kind":"' || p_type || '","source_path":"<redacted>"}}],"frames":[' || array_to_string(range(1, CASE WHEN p_partkey % 3 = 0 THEN 101 ELSE 3 END), ',') || '],"ok":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"title":' || CASE WHEN p_partkey % 5 <> 0 THEN '"' || p_name || '"' ELSE 'null' END || '}' AS details FROM part"""
+
+
 def _redacted_json(s, d):
     k = F.col("p_partkey")
     inner = F.struct(F.col("p_name").alias("note"), F.concat(F.lit("/srv/"), "p_name").alias("place"), F.col("p_brand").alias("api_key"), F.array(F.lit("data:x"), F.col("p_brand")).alias("list"))
@@ -316,6 +329,7 @@ QUERIES = {
     "state_changes": _states,
     "media_manifest": _media,
     "input_manifest": _inputs,
+    "recorded_details": _recorded_nested,
     "principal_capabilities": lambda s, d: _t(s, d, "region").select("r_regionkey", F.array_join(scopes.capabilities(F.get(F.array(F.lit("admin"), F.lit("service_account"), F.lit("user"), F.lit("other")), F.col("r_regionkey").cast("int"))), ",").alias("capabilities")),
     "record_redaction": _recorded,
     "redact_json": _redacted_json,
@@ -368,6 +382,7 @@ ORACLE_SQL = {
     "state_changes": STATES_SQL,
     "media_manifest": MEDIA_SQL,
     "input_manifest": INPUTS_SQL,
+    "recorded_details": RECORDED_SQL,
     "principal_capabilities": f"SELECT r_regionkey, ['{','.join(scopes.ADMIN_CAPABILITIES)}', '{','.join(scopes.USER_CAPABILITIES + scopes.SERVICE_CAPABILITIES)}', '{','.join(scopes.USER_CAPABILITIES)}'][CAST(least(r_regionkey, 2) AS INT) + 1] AS capabilities FROM region",
     "record_redaction": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'saved <path:' || replace(p_name, ' ', '_') || '> done' WHEN 1 THEN 'img <redacted-data-url> end' WHEN 2 THEN substr(repeat('ab ', 200), 1, 500) || '...<truncated>' ELSE p_name END AS note, '<redacted>' AS key FROM part",
     "redact_json": """SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN '{"id":' || p_partkey || ',"inner":{"note":"' || p_name || '","place":"[redacted]","api_key":"[redacted]","list":["[redacted]","' || p_brand || '"]},"long":"' || CASE WHEN p_partkey % 3 = 0 THEN '[redacted-long-string]' ELSE 'yyy' END || '"}' END AS shown FROM part""",

@@ -168,7 +168,7 @@ PLAN = capacity.Plan(cameras=16, window_hours=2.0, accelerators=8, memory_gb=80.
 def _capacity(s, d):
     calls = views.model_calls(s, d).withColumn("status", F.when(F.col("status") == "O", "succeeded").otherwise("failed"))
     jobs = views.jobs(s, d).select(F.col("created_at").alias("started_at"), F.col("created_at").alias("finished_at"))
-    return capacity.report(calls, jobs, views.videos(s, d), PLAN)
+    return capacity.report(calls, jobs, views.videos(s, d), PLAN).withColumn("notes", F.array_join("notes", "; "))
 
 
 def _capacity_unknown(s, d):
@@ -177,7 +177,7 @@ def _capacity_unknown(s, d):
     given = s.createDataFrame([(0, 1200, 8.0, 3600), (1, 1200, None, 3600), (2, 1200, 8.0, None), (3, 0, 8.0, 0)], "case_id int, requests long, hours double, wall_seconds long")
     out = None
     for i, plan in enumerate(plans):
-        one = capacity.estimate(given, plan).withColumn("plan_id", F.lit(i))
+        one = capacity.estimate(given, plan).withColumn("plan_id", F.lit(i)).withColumn("notes", F.array_join("notes", "; "))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -186,7 +186,9 @@ CAPACITY_DERIVED = """d0 AS (SELECT *, CASE WHEN hours > 0 THEN CAST(requests AS
  d1 AS (SELECT *, hourly * cameras / 3600 AS realtime, coalesce(p_effective, measured * 0.7) AS effective, accelerators * memory AS group_memory FROM d0),
  d2 AS (SELECT *, CASE WHEN headroom > 0 THEN realtime / headroom END AS needed FROM d1), d3 AS (SELECT *, CASE WHEN effective > 0 THEN needed / effective END AS groups FROM d2)"""
 CAPACITY_COLUMNS = """round(hourly, 6) AS requests_per_camera_hour, round(hourly * cameras, 6) AS production_requests_per_hour, round(hourly * cameras * window_hours, 6) AS production_requests, round(realtime, 6) AS required_realtime_rate, round(needed, 6) AS required_rate_with_headroom,
- round(measured, 6) AS measured_rate, round(effective, 6) AS effective_rate, round(CASE WHEN effective > 0 THEN hourly * cameras * window_hours / effective / 3600 END, 6) AS processing_hours, round(groups, 6) AS needed_groups, round(groups * accelerators, 6) AS needed_accelerators, round(group_memory, 6) AS group_memory_gb, round(groups * group_memory, 6) AS needed_memory_gb"""
+ round(measured, 6) AS measured_rate, round(effective, 6) AS effective_rate, round(CASE WHEN effective > 0 THEN hourly * cameras * window_hours / effective / 3600 END, 6) AS processing_hours, round(groups, 6) AS needed_groups, round(groups * accelerators, 6) AS needed_accelerators, round(group_memory, 6) AS group_memory_gb, round(groups * group_memory, 6) AS needed_memory_gb,
+ concat_ws('; ', CASE WHEN hourly IS NULL THEN 'video_hours unavailable; cannot compute requests_per_camera_hour' END, CASE WHEN p_measured IS NULL AND coalesce(wall_seconds, 0) <= 0 THEN 'measured_req_s unavailable; provide --effective-req-s or wall-time input' END,
+  CASE WHEN hourly IS NOT NULL AND coalesce(effective, 0) <= 0 THEN 'effective_req_s unavailable; cannot compute processing_time_hours' END) AS notes"""
 _plan_sql = lambda c, w, h, me, ef, a, g: f"{c} AS cameras, CAST({w} AS DOUBLE) AS window_hours, CAST({h} AS DOUBLE) AS headroom, CAST({me} AS DOUBLE) AS p_measured, CAST({ef} AS DOUBLE) AS p_effective, CAST({a} AS DOUBLE) AS accelerators, CAST({g} AS DOUBLE) AS memory"
 CAPACITY_SQL = f"""{views.CALLS_SQL}, m AS (SELECT (SELECT count(*) FROM calls) AS requests, (SELECT count(*) FROM calls WHERE status = 'O') AS succeeded, (SELECT count(*) FROM calls WHERE status <> 'O') AS failed, (SELECT quantile_disc(duration_ms, 0.5) / 1000 FROM calls) AS p50_s, (SELECT quantile_disc(duration_ms, 0.95) / 1000 FROM calls) AS p95_s,
  (SELECT round(sum(CAST(trunc(c_acctbal * 1000) AS BIGINT)) FILTER (WHERE CAST(trunc(c_acctbal * 1000) AS BIGINT) > 0) / 3.6e6, 6) FROM customer) AS hours,

@@ -359,3 +359,15 @@ def test_shared_folder(spark):
     from obspark.sources import places
 
     assert places.shared_dir(spark).startswith("file:")
+
+
+def test_positions_beside_an_outlier(spark):
+    """One value far beyond the others doesn't gather them in a range."""
+    from obspark.functions import ranks
+
+    df = spark.range(1, 2001).select(F.lit("a").alias("g"), F.when(F.col("id") == 2000, F.lit(10**13)).otherwise(F.col("id") * 10).alias("v"))
+    got = ranks.at_positions(df, ["g"], "v", {"a": F.lit(0), "m": F.floor(F.col("n") / 2), "z": F.col("n") - 1}).first()
+    assert (got.a, got.m, got.z, got.n) == (10, 10010, 10**13, 2000)
+    share = (F.col("v") - 10).cast("double") / float(10**13 - 10)
+    most = df.groupBy(F.floor(F.log1p(share * ranks.FINER) / math.log1p(ranks.FINER) * ranks.RANGES).alias("r")).count().agg(F.max("count")).first()[0]
+    assert most < 40
