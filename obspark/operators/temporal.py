@@ -53,12 +53,18 @@ def motion_triggers(samples: DataFrame, threshold: float, min_ms: int, merge_gap
     A run of samples that reach the threshold lasts until the next sample of
     the series; runs with gaps up to ``merge_gap_ms`` merge; then short ones
     are extended, and clamped to ``duration_ms``. Series are independent: one
-    shuffle, by series.
+    shuffle of the samples, by series. Where a series ends within a run, its median step follows; that comes from
+    the counts of its distances, which meet the runs.
     """
     w = Window.partitionBy("series").orderBy("ts_ms", "event_id")
-    s = samples.join(median_step(samples), "series").withColumn("end_ms", F.coalesce(F.lead("ts_ms").over(w), F.col("ts_ms") + F.col("step_ms"))).withColumn("hot", F.col("score") >= threshold)
-    s = s.withColumn("run", F.sum((F.col("hot") & ~F.coalesce(F.lag("hot").over(w), F.lit(False))).cast("int")).over(w))
-    runs = s.filter("hot").groupBy("series", "run").agg(F.min("ts_ms").alias("a"), F.max("end_ms").alias("z"), F.max("score").alias("peak"))
+    s = samples.select("series", "ts_ms", "event_id", "score", (F.col("score") >= threshold).alias("hot")).withColumns({"next_ms": F.lead("ts_ms").over(w), "was": F.lag("hot").over(w)})
+    s = s.withColumn("run", F.sum((F.col("hot") & ~F.coalesce("was", F.lit(False))).cast("int")).over(w))
+    runs = s.filter("hot").groupBy("series", "run").agg(F.min("ts_ms").alias("a"), F.max("next_ms").alias("z"), F.max(F.when(F.col("next_ms").isNull(), F.col("ts_ms"))).alias("last_ms"), F.max("score").alias("peak"))
+    counts = s.filter("next_ms IS NOT NULL").groupBy("series", (F.col("next_ms") - F.col("ts_ms")).alias("gap")).agg(F.count("*").alias("c"))
+    by_gap = Window.partitionBy("series").orderBy("gap")
+    ranked = counts.withColumns({"upto": F.sum("c").over(by_gap), "n": F.sum("c").over(Window.partitionBy("series"))})
+    steps = ranked.filter("upto > floor(n / 2)").groupBy("series").agg(F.greatest(F.lit(1), F.min("gap")).alias("step_ms"))
+    runs = runs.join(steps, "series", "left").withColumn("z", F.when(F.col("last_ms").isNotNull(), F.col("last_ms") + F.coalesce("step_ms", F.lit(1))).otherwise(F.col("z")))
     v = Window.partitionBy("series").orderBy("run")
     runs = runs.withColumn("island", F.sum(F.coalesce((F.col("a") - F.lag("z").over(v) > merge_gap_ms).cast("int"), F.lit(0))).over(v))
     out = runs.groupBy("series", "island").agg(F.min("a").alias("trigger_start_ms"), F.max("z").alias("z"), F.round(F.max("peak"), 6).alias("peak"))
