@@ -16,12 +16,16 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex
+from tokenizers.normalizers import Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from obspark.llm import common
 from obspark.llm.packing import enumerate_bytes
@@ -32,6 +36,23 @@ CONTROL = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\p{White_Space}+")
 
 
+@functools.lru_cache(1)
+def recent() -> list[str]:
+    """Letters and numbers that the regular expressions know and Python's character data don't."""
+    return regex.findall(r"[\p{L}\p{N}]", "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"))
+
+
+def unlettered(splitter, split: regex.Pattern) -> re.Pattern | None:
+    """Characters that the regular expressions take for letters or numbers, and the library's splitter doesn't: it knows another version of Unicode.
+
+    Only characters that Python's data don't know either can differ; the library is asked about each of them, once for a process.
+    """
+    found = [ord(c) for c in recent() if len(splitter.pre_tokenize_str(f"a{c}b")) != len(split.findall(f"a{c}b")) or len(splitter.pre_tokenize_str(f"1{c}2")) != len(split.findall(f"1{c}2"))]
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i + 1 == len(found) or found[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in zip(starts, ends, strict=True)) + "]") if found else None
+
+
 class Codec:
     """Encoder and decoder of a vocabulary file with word ends."""
 
@@ -50,6 +71,11 @@ class Codec:
         self.strings |= {i: s for s, i in self.special.items()}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        splits = [Split(Regex(p["pattern"]["Regex"]), p["behavior"].lower(), p["invert"]) for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.marks = unlettered(splits[0], self.split)
+        #: capitals that only the library knows
+        self.small = {c: x for c in recent() if (x := Lowercase().normalize_str(c)) != c}
+        self.capitals = re.compile("[" + "".join(self.small) + "]") if self.small else None
         self.letters = enumerate_bytes()
         self.kept: dict[str, tuple[str, str, int]] = {}
 
@@ -82,7 +108,9 @@ class Codec:
         return [s for s in sym if s >= 0]
 
     def pieces(self, text: str) -> list[str]:
-        return self.split.findall(text)
+        if text.isascii() or self.marks is None or not self.marks.search(text):
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(self.marks.sub("\u2020", text))]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -90,7 +118,8 @@ class Codec:
         if CONTROL.search(text):
             text = "".join(SPACE.sub(" ", text))
         # the library lower-cases letter by letter, so a final sigma is no case of its own
-        return text.replace("Σ", "σ").lower()
+        text = text.replace("Σ", "σ").lower()
+        return self.capitals.sub(lambda m: self.small[m[0]], text) if self.capitals and not text.isascii() else text
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; the special tokens' strings give their ids."""

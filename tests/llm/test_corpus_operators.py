@@ -408,6 +408,18 @@ def test_bpe_edge_cases(edge, nothing):
     assert bpe.encode_decode(nothing, WORD).count() == 0
 
 
+def test_bpe_over_all_code_points():
+    """Between letters and between digits, every code point splits as the library does it."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(WORD), bpe.codec(WORD)
+    texts = [f"a{chr(c)}b 1{chr(c)}2" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 100_000):
+        part = texts[at : at + 100_000]
+        for text, e in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert own.encode(text) == e.ids
+
+
 # 7
 
 
