@@ -48,6 +48,8 @@ UNWANTED = frozenset("nav navigation menu header footer sidebar notice notices c
 COMMENTS = frozenset("comment comments replies".split())
 ARTICLE = frozenset(("article", "main"))
 ARTICLE_MARKS = frozenset(("articlebody", "main"))
+#: Pages (hashes of their lines) that are looked up on their whole hosts at once.
+OPEN = 2000
 #: Kinds of lines: plain, of a marked article, in an unwanted element.
 PLAIN, MARKED, OUT = 0, 1, 2
 
@@ -307,9 +309,11 @@ def gone_lines(pages: DataFrame) -> DataFrame:
     contents = common.stash(contents, "contents")
     settled = common.stash(settle(contents), "settled")
     gone = settled.filter(F.size("gone") > 0).select("host", "content", "gone")
-    rest = settled.filter("gone IS NULL").collect()
-    if rest:
-        gone = gone.unionByName(spark.createDataFrame([r for r in settle_rest(contents, rest) if r[2]], gone.schema))
+    rest = settled.filter("gone IS NULL")
+    blocks = -(-rest.count() // OPEN)
+    for k in range(blocks):  # a block is bounded, whatever the number of hosts and ranges
+        block = rest.filter(F.pmod(F.xxhash64("host", "content"), F.lit(blocks)) == k).collect()
+        gone = gone.unionByName(spark.createDataFrame([r for r in settle_rest(contents, block) if r[2]], gone.schema))
     out = common.stash(parsed.join(gone, ["host", "content"]).select("digest", "gone").dropDuplicates(["digest"]), "gone")
     common.discard(parsed, contents, settled)
     return out
