@@ -108,7 +108,12 @@ class Codec:
         return [s for s in sym if s >= 0]
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii() or self.marks is None or not self.marks.search(text):
+        """Pieces of a normalised text; what only the library knows of characters comes in here, so that it is asked once for each word."""
+        if text.isascii():
+            return self.split.findall(text)
+        if self.capitals:
+            text = self.capitals.sub(lambda m: self.small[m[0]], text)
+        if self.marks is None or not self.marks.search(text):
             return self.split.findall(text)
         return [text[m.start() : m.end()] for m in self.split.finditer(self.marks.sub("\u2020", text))]
 
@@ -118,8 +123,7 @@ class Codec:
         if CONTROL.search(text):
             text = "".join(SPACE.sub(" ", text))
         # the library lower-cases letter by letter, so a final sigma is no case of its own
-        text = text.replace("Σ", "σ").lower()
-        return self.capitals.sub(lambda m: self.small[m[0]], text) if self.capitals and not text.isascii() else text
+        return text.replace("Σ", "σ").lower()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; the special tokens' strings give their ids."""
