@@ -35,6 +35,8 @@ from obspark.llm import common
 GROUPS = 256
 LEAF, FAN, CHAIN = 8, 32, 64
 SPLIT = 4096
+#: Rows of a token's list that a task looks at together.
+TOGETHER = 1 << 16
 #: Counters of the sketch, and of one of its rows.
 SKETCH, SKETCH_ROW = 1 << 18, 1 << 12
 CEILING = 255
@@ -137,6 +139,33 @@ def _runs(frames: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list
         yield joined()
 
 
+def _pieces(frames: Iterator[pa.RecordBatch], columns: list[str], most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Runs as ``_runs`` gives them, but those of more than ``most`` rows in pieces: the number of the piece in its run, and its arrays."""
+    held: list[list[np.ndarray]] = []
+    number, size = 0, 0
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    for b in frames:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        edges = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), b.num_rows]
+        last = held[-1][0][-1] if held else None
+        for a, z in zip(edges, edges[1:], strict=False):
+            if held and cols[0][a] != last:
+                yield number, joined()
+                held, number, size = [], 0, 0
+            elif held and size >= most:
+                yield number, joined()
+                held, number, size = [], number + 1, 0
+            held.append([c[a:z] for c in cols])
+            size, last = size + z - a, cols[0][a]
+    if held:
+        yield number, joined()
+
+
 def _emit(rows: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
     cols = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
@@ -149,7 +178,7 @@ def row_hash(key: str = "doc_id"):
 
 def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id") -> DataFrame:
     """doc_id, row (see ``row_hash``), n, component (a long that names it; null without words) of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, together = docs.sparkSession, TOGETHER
     texts = docs.select(F.col(key).alias("doc_id"), "text", row_hash(key).alias("row"))
 
     # 1. sizes, ids and points of the sets, and the sketch of token counts
@@ -181,9 +210,10 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
                 total[p] = total[p] + x if p in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["part", "data"])
 
-    # each part is summed in its own task: the driver gets SKETCH counters, whatever the input
+    # each part is summed in its own task, after sums of groups of tasks: the driver gets SKETCH counters, whatever the input
     counted = np.zeros(SKETCH, np.int64)
-    for r in described.filter("part is not null").select("part", "data").repartition("part").mapInArrow(add, "part int, data binary").collect():
+    grouped = described.filter("part is not null").select("part", "data", (F.spark_partition_id() % 64).alias("of")).repartition("part", "of").mapInArrow(add, "part int, data binary")
+    for r in grouped.repartition("part").mapInArrow(add, "part int, data binary").collect():
         counted[r["part"] * SKETCH_ROW : (r["part"] + 1) * SKETCH_ROW] = np.frombuffer(zlib.decompress(r["data"]), "<i8")
     #: classes of frequency, relative to the mean counter, come before the hash in the order of tokens
     rank = np.clip(np.log2(np.maximum(counted, 1) / max(1.0, counted.mean())) * 2, 0, 63).astype(np.uint64)
@@ -216,26 +246,44 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
     copies = texts.select(F.xxhash64("text", F.length("text")).alias("row"), "text")
     listed = copies.mapInArrow(prefixes, "key long, node long, n int")
     w = Window.partitionBy("key")
-    lists = listed.withColumn("least", F.min("node").over(w)).withColumn("most", F.max("node").over(w)).filter("least <> most").select("key", "node", "n")
+    lists = listed.withColumn("least", F.min("node").over(w)).withColumn("most", F.max("node").over(w)).filter("least <> most").select("key", "node", "n").sortWithinPartitions("key", "node")
 
     # 3. candidates: all pairs of short lists, a star and a chain of long ones; the rows of long lists are kept (b null)
     def candidates(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # of this task; another task's repeats fall to distinct()
         out: list[tuple] = []
         n_out = 0
-        for key_, node, n in _runs(frames, ["key", "node", "n"]):
+        listed_row = lambda key, node, n: (np.full(len(node), key), node, np.full(len(node), -1), n, np.zeros(len(node), np.int64))
+        centres = few = none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for number, (key_, node, n) in _pieces(frames, ["key", "node", "n"], together):
             node, first = np.unique(node, return_index=True)
             n = n[first].astype(np.int64)
+            if number:  # nodes come in order, so the centres of a very long list are its first ones
+                new = ~np.isin(node, np.concatenate((centres[0], few[0])))
+                for part in (few, (node[new], n[new])):
+                    out.append(listed_row(key_[0], *part))
+                    n_out += len(part[0])
+                node, n = (np.concatenate((c, x[new])) for c, x in zip(centres, (node, n), strict=True))
+                few = none
+            elif len(node) <= LEAF:
+                few = (node, n)  # listed once it shows that more follow
+            else:
+                few = none
+            if not number or len(centres[0]) < 2:
+                centres = (node[:2], n[:2])
             m = len(node)
             if m < 2:
                 continue
-            if m <= LEAF:
+            if m <= LEAF and not number:
                 i, j = np.triu_indices(m, 1)
+            elif number:
+                rest = np.arange(1, m)
+                i, j = np.concatenate((np.zeros(m - 1, np.int64), np.ones(m - 2, np.int64))), np.concatenate((rest, rest[1:]))
             else:
                 rest = np.arange(1, m)
                 # in long lists the two least points are the centres, in shorter ones each point also meets the next
                 i, j = np.concatenate((np.zeros(m - 1, np.int64), rest[:-1] if m <= CHAIN else np.ones(m - 2, np.int64))), np.concatenate((rest, rest[1:]))
-                out.append((np.full(m, key_[0]), node, np.full(m, -1), n, np.zeros(m, np.int64)))
+                out.append(listed_row(key_[0], node, n))
                 n_out += m
             fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             new = [(a, b) for a, b in zip(node[i[fits]].tolist(), node[j[fits]].tolist(), strict=True) if (a, b) not in seen]

@@ -156,6 +156,28 @@ def test_jaccard_large_group(spark, monkeypatch, split):
     assert got == brute_components(pairs, 2, 85)
 
 
+@pytest.mark.parametrize("rows, together", [(7, 10), (3, 1), (50, 60)])
+def test_jaccard_lists_in_pieces(spark, monkeypatch, rows, together):
+    """Lists that no task looks at as a whole, of copies and near copies, give the same components."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    rng = random.Random(6)
+    base = [f"t{i}" for i in range(40)]
+    pairs = []
+    for i in range(90):
+        w = list(base) if i % 3 else [f"s{k}" for k in range(40)]
+        for _ in range(rng.choice([0, 0, 1, 2, 7])):
+            w[rng.randrange(40)] = f"n{rng.randrange(10_000)}"
+        pairs.append((i, " ".join(w)))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        table = spark.createDataFrame(pairs, "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(table, 2, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute_components(pairs, 2, 85)
+
+
 def test_jaccard_edge_cases(edge, nothing):
     got = [tuple(r) for r in jaccard.jaccard_components(edge).collect()]
     assert len(got) == len(EDGE)
