@@ -24,6 +24,11 @@ def capabilities(principal_type: Column) -> Column:
     return F.when(principal_type == "admin", listed(ADMIN_CAPABILITIES)).when(principal_type == "service_account", listed(USER_CAPABILITIES + SERVICE_CAPABILITIES)).otherwise(listed(USER_CAPABILITIES))
 
 
+def may(principal_type: Column, capability: Column) -> Column:
+    """Whether a principal of the type has the capability; nobody has an unknown one."""
+    return F.array_contains(capabilities(principal_type), capability)
+
+
 @dataclass(frozen=True)
 class Scope:
     """What a principal may see; an empty list allows nothing."""
