@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from obspark.operators import reindex, search, sessions, validation
+from obspark.operators import publication, reindex, search, sessions, validation
 from obspark.operators.scope import Scope
 from obspark.plans.lifecycle_queries import STARTED
 from obspark.plans.search_queries import QUERY, SCOPE, SCOPED, kept_index
@@ -107,5 +108,31 @@ def _reindexed(s, d):
 _MEASURE = "CAST(length({0}) AS DOUBLE) AS length, CAST(length({0}) - length(replace({0}, 'e', '')) AS DOUBLE) AS es, 'measure-1' AS model_id"
 REINDEX_SQL = f"""WITH {SCOPED} SELECT record_id, 'static' AS vector_type, {_MEASURE.format("coalesce(static_text, '')")} FROM scoped UNION ALL SELECT record_id, 'dynamic', {_MEASURE.format("coalesce(dynamic_text, '')")} FROM scoped"""
 
-QUERIES = {"search_session": _session, "revision_lineage": _lineage, "output_validation": _validated, "reindex_ranges": _reindexed}
-ORACLE_SQL = {"search_session": SESSION_SQL, "revision_lineage": LINEAGE_SQL, "output_validation": VALIDATION_SQL, "reindex_ranges": REINDEX_SQL}
+PUBLISHED = "record_id string, video_id string, segment_start_ms long, analysis_scale string, static_text string"
+
+
+def _published(s, d):
+    """Three publications of observations under their natural keys, the last of which repeats the second: what is active, archived, audited and told of the jobs."""
+    obs = views.observations(s, d)
+    kept = publication.Publications(s, _new(s, "published"), PUBLISHED, ["video_id", "segment_start_ms", "analysis_scale"])
+    rows = lambda mark, where: obs.filter(where).select(F.concat("record_id", F.lit(mark)).alias("record_id"), "video_id", "segment_start_ms", "analysis_scale", "static_text", F.col("doc_id").alias("seq"))
+    kept.publish("first", "job_a", "ann", rows("", "doc_id % 3 <> 0"))
+    for _ in range(2):
+        kept.publish("second", "job_b", "ann", rows("_b", "doc_id % 2 = 0"))
+    audit = kept.audit().select(F.concat(F.lit("audit "), "publication_id").alias("kind"), "created", "updated", "archived")
+    told = kept.summaries().select(F.concat(F.lit("summary "), "job_id").alias("kind"), *[F.size(k).cast("long").alias(k) for k in ("created", "updated", "archived")])
+    active = kept.active().select(F.lit("active").alias("kind"), F.endswith("record_id", F.lit("_b")).alias("b")).groupBy("kind").agg(F.count(F.when(~F.col("b"), 1)).alias("created"), F.count(F.when(F.col("b"), 1)).alias("updated"), F.lit(0).cast("long").alias("archived"))
+    history = kept.history().groupBy(F.concat(F.lit("history "), "archived_by").alias("kind")).agg(F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"), F.count("*").alias("archived"))
+    return functools.reduce(lambda x, y: x.unionByName(y), [audit, told, active, history])
+
+
+#: Natural keys are unique in the observations but for what one publication repeats: of those each archives the one before it.
+PUBLISHED_SQL = f"""WITH {views.OBSERVATIONS_SQL}, o AS (SELECT *, video_id || '/' || segment_start_ms || '/' || analysis_scale AS k FROM obs),
+ a AS (SELECT k, count(*) AS n FROM o WHERE doc_id % 3 <> 0 GROUP BY k), b AS (SELECT k, count(*) AS n FROM o WHERE doc_id % 2 = 0 GROUP BY k),
+ t AS (SELECT (SELECT count(*) FROM a) AS ca, (SELECT sum(n - 1) FROM a) AS ra, (SELECT count(*) FROM b WHERE k NOT IN (SELECT k FROM a)) AS cb, (SELECT count(*) FROM b WHERE k IN (SELECT k FROM a)) AS ub, (SELECT sum(n - 1) FROM b) AS rb),
+ r AS (SELECT 'audit first' AS kind, ca AS created, ra AS updated, ra AS archived FROM t UNION ALL SELECT 'summary job_a', ca, ra, ra FROM t UNION ALL SELECT 'audit second', cb, ub + rb, ub + rb FROM t UNION ALL SELECT 'summary job_b', cb, ub + rb, ub + rb FROM t
+  UNION ALL SELECT 'active', ca - ub, cb + ub, 0 FROM t UNION ALL SELECT 'history first', 0, 0, ra FROM t WHERE ra > 0 UNION ALL SELECT 'history second', 0, 0, ub + rb FROM t)
+ SELECT kind, CAST(created AS BIGINT) AS created, CAST(updated AS BIGINT) AS updated, CAST(archived AS BIGINT) AS archived FROM r"""
+
+QUERIES = {"publish_atomic": _published, "search_session": _session, "revision_lineage": _lineage, "output_validation": _validated, "reindex_ranges": _reindexed}
+ORACLE_SQL = {"publish_atomic": PUBLISHED_SQL, "search_session": SESSION_SQL, "revision_lineage": LINEAGE_SQL, "output_validation": VALIDATION_SQL, "reindex_ranges": REINDEX_SQL}
