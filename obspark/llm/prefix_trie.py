@@ -99,7 +99,6 @@ def sort_keys(blocks: DataFrame, convs: DataFrame) -> DataFrame:
     begun = bands.select("c", "band", F.bit_xor("x").over(up).alias("px"), F.bit_xor("y").over(up).alias("py")).join(long, "c")
     shared = begun.groupBy("band", "px", "py").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).filter("lo <> hi").select("band", "px", "py")
     shared = begun.join(shared, ["band", "px", "py"]).groupBy("c").agg((F.max("band") + 1).alias("bands"))
-    # a short conversation may be all that a long one begins with: then the first block alone doesn't tell them apart, but their lengths do
     used = F.when(F.col("last") == 0, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.coalesce("bands", F.lit(0)))).cast("long")
     named = whole.join(shared, "c", "left").withColumn("used", used)
     parts = blocks.join(named.select("c", "used"), "c").filter("block < used").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("block", "symbols", "sizes"))).alias("b"))
@@ -162,7 +161,7 @@ def _rows(frames: Iterator[pa.RecordBatch]) -> Iterator[Row]:
 
 
 def sorted_rows(keys: DataFrame, ranges: int) -> DataFrame:
-    """Conversations by ranges of (key, c): range, idx, c, length, and how each compares with the row before it in its range.
+    """Conversations by ranges of (key, length, c): range, idx, c, length, and how each compares with the row before it in its range.
 
     The first row of a range has no such values; first and last rows keep their keys.
     """
@@ -183,7 +182,8 @@ def sorted_rows(keys: DataFrame, ranges: int) -> DataFrame:
 
         yield from _emitted(told(), _SORTED_KINDS, _SORTED)
 
-    return keys.repartitionByRange(ranges, "key", "c").sortWithinPartitions("key", "c").mapInArrow(task, _SORTED)
+    # a conversation of one block may be all that a longer one's key holds: the shorter one comes first
+    return keys.repartitionByRange(ranges, "key", "length", "c").sortWithinPartitions("key", "length", "c").mapInArrow(task, _SORTED)
 
 
 def edge_rows(rows: DataFrame) -> DataFrame:

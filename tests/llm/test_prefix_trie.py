@@ -82,6 +82,13 @@ def test_long_conversations(spark):
     assert got(prefix_trie.prefix_trie(df, 3)) == plain_trie({c: t for c, t in convs.items() if t})
 
 
+def test_one_block_that_a_longer_one_begins_with(spark):
+    a = [("user", f"t{i}") for i in range(90)]
+    convs = {0: a, 5: a[:64], 10: a[:64], 15: a, 20: [("user", "x")]}
+    rows = [(c, i, *t) for c, ts in convs.items() for i, t in enumerate(ts)]
+    assert got(prefix_trie.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(3), 1)) == plain_trie(convs)
+
+
 def test_lists_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "IDS", 3)
     rows = [(c, i, "user", "same") for c in range(0, 400, 5) for i in range(2)] + [(1000, 0, "user", "same")]
