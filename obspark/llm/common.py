@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import uuid
 from collections.abc import Iterator
@@ -70,6 +71,12 @@ def listed(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_sem
     return rest if how == "left_anti" else rest.unionByName(rows.join(F.broadcast(hot), on, "inner" if how == "left" else how))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that have ended, now instead of whenever the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stashed tables that nothing reads any more."""
     for df in tables:

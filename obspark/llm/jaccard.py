@@ -300,6 +300,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
         yield _emit(out, ["key", "a", "kind", "n", "b"])
 
     found = common.stash(lists.mapInArrow(candidates, "key long, a long, kind long, n long, b long"), "candidates")
+    common.release(spark)  # the lists are the largest shuffle
     points = described.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("data").alias("point"))
     points = common.stash(points, "points")
 
@@ -382,6 +383,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, key: str = "doc_id")
             a, b = node[i[ok]], node[j[ok]]
             yield _emit([(np.minimum(a, b), np.maximum(a, b))], ["a", "b"])
 
+    common.release(spark)
     cross = common.stash(spread.repartition("cell").sortWithinPartitions("cell").select("cell", "node", "n", "component", "lower", "upper", "point", "lesser").mapInArrow(search, "a long, b long").distinct(), "cross")
     if cross.limit(1).count():
         second = verified(near(cross.join(pairs, ["a", "b"], "left_anti"), "second"), "second")
