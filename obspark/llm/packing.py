@@ -220,10 +220,11 @@ def pack_turns(conversations: DataFrame, tokenizer_path: str, length: int = LENG
     """Instruction data: packs the turns of ``conversations`` (conv_id, turn, role, text), of which those of the assistant bear loss.
 
     As ``pack``, with the columns conv_id, turn and bears for doc_id. A null
-    role bears none.
+    role bears none. Repeated rows of a turn are examples of their own, each with
+    the loss of its own role; other columns are ignored, and an empty table gives no rows.
     """
-    key = F.xxhash64("conv_id", "turn")
-    turns = conversations.select(key.alias("doc_id"), "conv_id", "turn", "text", F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))
+    bears = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    turns = conversations.select(F.xxhash64("conv_id", "turn", bears).alias("doc_id"), "conv_id", "turn", "text", bears.alias("bears"))
     names = turns.select("doc_id", "conv_id", "turn", "bears").dropDuplicates(["doc_id"])
     return pack(turns, tokenizer_path, length, segments, loss, bears="bears").join(names, "doc_id").drop("doc_id")
 

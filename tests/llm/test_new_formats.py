@@ -99,6 +99,24 @@ def test_chat_of_nothing(spark):
     assert (only.conv_id, only.n_turns, only.loss_chars, only.loss_sha256) == (-1, 2, 21, sha("</s>[INST] ok [/INST]"))
 
 
+# 4
+
+
+def test_packing_of_repeated_turns(spark):
+    """Rows of one turn with different roles keep their own loss; extra columns and an empty table do no harm."""
+    import public_tokenizers
+
+    from obspark.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, 0, "user", "one two three", 5), (1, 0, "assistant", "one two three", 6), (1, 0, "user", "one two three", 7), (None, None, None, None, 8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, doc_id int")
+    got = packing.pack_turns(df, path).collect()
+    assert collections.Counter((r.conv_id, r.bears) for r in got) == {(1, False): 2, (1, True): 1, (None, False): 1}
+    assert all((r.loss_tokens > 0) == r.bears for r in got if r.length > 1)
+    assert packing.pack_turns(df.limit(0), path).collect() == []
+
+
 # 13
 
 
