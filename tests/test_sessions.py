@@ -105,3 +105,17 @@ def test_reindex_that_breaks_off(spark, tmp_path):
     assert run(embedder(tmp_path / "again"), "third", force=True) == reindex.Result(40, 40, 0, 80)
     with pytest.raises(PermissionError):
         reindex.reindex(table, df, other(capabilities=()), channels, embedder(tmp_path), "m1", "x")
+
+
+def test_lineage_of_more_rows_than_a_recursion_may_have(spark):
+    """Spark stops a recursive query at a number of rows; chains end at eight, and cycles, strangers' and missing parents are reached by none."""
+    rows = [(f"{c}-{k}", c, f"{c}-{k - 1}" if k else None, f"o{k}") for c in "abcdefgh" for k in range(11)]
+    rows += [("x", "a", "y", "p"), ("y", "a", "x", "p"), ("z", "b", "a-0", "p"), ("w", "b", "none", "p")]
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 20)
+    try:
+        got = sessions.lineage(spark.createDataFrame(rows, "revision_id string, context_id string, parent_revision_id string, op string")).collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    want = [(f"{c}-{k}", c, f"{c}-0", k, "/".join(f"o{i}" for i in range(k + 1))) for c in "abcdefgh" for k in range(8)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
