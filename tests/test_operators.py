@@ -4,11 +4,14 @@ import hashlib
 import json
 import math
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from obspark.functions import numeric, text, udfs
 from obspark.operators import capacity, evaluate, pipeline, records, scope, search, temporal, timeline
+from obspark.plans import lifecycle_queries
 
 
 def rows(df, *columns):
@@ -371,3 +374,12 @@ def test_positions_beside_an_outlier(spark):
     share = (F.col("v") - 10).cast("double") / float(10**13 - 10)
     most = df.groupBy(F.floor(F.log1p(share * ranks.FINER) / math.log1p(ranks.FINER) * ranks.RANGES).alias("r")).count().agg(F.max("count")).first()[0]
     assert most < 40
+
+def test_media_of_repeated_lines(spark, tmp_path):
+    """Of several rows of an order's line the table's first counts, though Spark reads the longer file first."""
+    (folder := tmp_path / "lineitem.parquet").mkdir()
+    for name, first, n in (("a", 0, 1), ("b", 1, 60)):
+        rows = [(o, v * 100 + o, 1, "N") for v in range(first, first + n) for o in range(25)]
+        pq.write_table(pa.table(list(zip(*rows, strict=True)), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"]), folder / f"{name}.parquet")
+    media = lifecycle_queries._media_rows(spark, str(tmp_path)).collect()
+    assert {r.unit_id: bytes(r.content).decode() for r in media} == {o: f"{o}/N" for o in range(25)}
