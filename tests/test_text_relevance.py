@@ -79,3 +79,18 @@ def test_similar_texts(spark, least):
 def test_similarity_of_equal_texts(spark):
     df = spark.range(1).select(cd._shared(cd.word_trigrams(cd.text_words(F.lit("Big Gear"))), cd.word_trigrams(cd.text_words(F.lit("big gear")))).alias("s"))
     assert df.first().s == 1.0
+
+
+def test_similar_texts_of_several_blocks(spark, monkeypatch):
+    """Many texts of one trigram set, letters beyond 16 bits, equal and null ids: no row is sent for a pair before it is found alike."""
+    monkeypatch.setattr(cd, "BLOCK", 50)
+    monkeypatch.setattr(cd, "TALL", 7)
+    monkeypatch.setattr(cd, "WIDE", 5)
+    words = ["steel", "brass", "\U00020000\U00020001x", "\u00e9t\u00e9", "gear"]
+    rows = [(i if i % 9 else None, f"{words[i % 5]} {words[i // 5 % 5]}") for i in range(260)]
+    asked = [(f"q{i}", f"{words[i % 5]} {words[(i + i // 5) % 5]} ring") for i in range(110)]
+    df = cd.similar_texts(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(asked, "query_id string, query string"))
+    want = [(q, i, alike(grams(t), grams(x))) for (i, t), (q, x) in itertools.product(rows, asked) if alike(grams(t), grams(x)) >= 0.3]
+    key = lambda r: (r[0], r[1] is None, r[1] or 0, r[2])
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key) and len(want) > 1000
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
