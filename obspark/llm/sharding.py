@@ -1,7 +1,7 @@
 """Operator 7: balanced label propagation of linked documents into shards.
 
 Documents of equal texts are one weighted node; nodes are linked by hubs, values
-that several of them share (here the least hashes of their lines, so near copies
+that several of them share (here the hashes of all their lines, so near copies
 share most of theirs). Labels start from a hash of a node's least hub, as far as shards have room. Each round
 every hub counts the rows of its nodes in each shard by their present labels, every
 node sums the shares of its hubs, and wishes for the shard where
@@ -34,8 +34,6 @@ SHARDS = 24
 BUCKET = 10_000
 #: Groups of more than this part of a shard are placed before the rounds, by size.
 LARGE = 8
-#: Hubs of a document: so many of the least hashes of its lines.
-HUBS = 8
 #: Rounds of propagation at most, and the share by which the cut must fall for another round of either half.
 ROUNDS, LEAST_FALL = 20, 0.01
 
@@ -61,10 +59,10 @@ def numbered(rows: DataFrame, group: list[str], total: int, name: str) -> DataFr
     )
 
 
-def line_hubs(text: Column, hubs: int = HUBS) -> Column:
-    """The least hashes of a text's different lines, blank ones left out: what near copies share."""
+def line_hubs(text: Column) -> Column:
+    """The hashes of all different lines of a text, blank ones left out: what near copies share."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.slice(F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))), 1, hubs)
+    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
 def lay(hub, n: int, wish: int, room: list[int]) -> list[tuple]:
@@ -157,8 +155,8 @@ def cut_of(shares: DataFrame) -> float:
     return float(shares.agg(F.coalesce(F.sum(F.round(F.col("m") - inside / F.col("m"), 6)), F.lit(0.0))).first()[0])
 
 
-def propagate(links: DataFrame, labels: DataFrame, room: list[int], fixed: DataFrame | None = None, rounds: int = ROUNDS) -> Propagated:
-    """Label propagation over ``links`` (node, hub) of ``labels`` (node, n, shard) under the room of each shard, which it keeps up to date.
+def propagate(links: DataFrame, labels: DataFrame, room: list[int], fixed: DataFrame | None = None, rounds: int = ROUNDS, hot: DataFrame | None = None) -> Propagated:
+    """Label propagation over ``links`` (node, hub) of ``labels`` (node, n, shard) under the room of each shard, which it keeps up to date; with ``hot``, the hubs of several nodes (hub, n), ``links`` have no others.
 
     Each round counts votes from the present labels, so a move changes what the next round sees. It ends when in two rounds, one
     for either half of the nodes, the cut has fallen by less than LEAST_FALL; labels of a round in which it rose are not kept. Nodes of
@@ -166,9 +164,9 @@ def propagate(links: DataFrame, labels: DataFrame, room: list[int], fixed: DataF
     """
     shards = len(room)
     all_of = lambda df: df if fixed is None else df.unionByName(fixed)
-    frequent = links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1")
-    links = common.stash(common.listed(links, common.stash(frequent, "hubs"), ["hub"]), "links")
-    hot = common.stash(frequent, "frequent")
+    if hot is None:
+        hot = common.stash(links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1"), "hubs")
+        links = common.stash(common.listed(links, hot, ["hub"]), "links")
     out, number, idle = Propagated(labels), 0, 0
     shares = common.stash(hub_shares(links, all_of(labels)), "shares")
     out.cuts.append(cut_of(shares))
@@ -191,6 +189,7 @@ def propagate(links: DataFrame, labels: DataFrame, room: list[int], fixed: DataF
                 out.cuts.append(cut)
             common.discard(fresh, after)
         common.discard(wishes, moved)
+        common.release(links.sparkSession)
     common.discard(shares)
     return out
 
@@ -246,8 +245,9 @@ def placed(rows: DataFrame, links: DataFrame, target: list[int]) -> tuple[DataFr
     shards, room = len(target), list(target)
     bound = sum(target) // shards // LARGE
     sizes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n"))
-    frequent = links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1")
-    linked = common.listed(links, common.stash(frequent, "shared"), ["hub"]).groupBy("node").agg(F.min("hub").alias("seed"))
+    hot = common.stash(links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1"), "hubs")
+    links = common.stash(common.listed(links, hot, ["hub"]), "links")
+    linked = links.groupBy("node").agg(F.min("hub").alias("seed"))
     nodes = common.stash(sizes.join(linked, "node", "left").filter("n > 1 OR seed IS NOT NULL").select("node", "n", F.coalesce("seed", F.xxhash64("node")).alias("seed")), "nodes")
     # fewer than LARGE for each shard
     heavy = nodes.filter(F.col("n") > max(1, bound)).orderBy(F.desc("n"), "node").collect()
@@ -256,7 +256,7 @@ def placed(rows: DataFrame, links: DataFrame, target: list[int]) -> tuple[DataFr
     labels = common.stash(labels, "labels")
     first = [(node, past - at, s) for node, at, past, s in large + pieces if at == 0]
     fixed = rows.sparkSession.createDataFrame(first, f"node {rows.schema['node'].dataType.simpleString()}, n long, shard int")
-    found = propagate(links, labels, room, fixed)
+    found = propagate(links, labels, room, fixed, hot=hot)
     return found.labels, pieces, large, room, found
 
 

@@ -759,3 +759,11 @@ def test_longest_common_subsequence():
                 t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
         got = html.matches(a, b)
         assert len(got) == t[-1][-1] and all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_shards_link_by_every_line(spark):
+    """A line links texts wherever its hash stands among those of their other lines."""
+    shared = [f"shared {k}" for k in range(30)]
+    texts = [(k, "\n".join([shared[k // 2], *(f"own {k} {i}" for i in range(40))])) for k in range(60)]
+    hubs = {r.id: set(r.hubs) for r in spark.createDataFrame(texts, "id long, text string").select("id", sharding.line_hubs(F.col("text")).alias("hubs")).collect()}
+    assert all(len(hubs[k]) == 41 and len(hubs[k] & hubs[k + 1]) == 1 for k in range(0, 60, 2))
