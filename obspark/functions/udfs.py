@@ -8,9 +8,12 @@ import hmac
 import json
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
@@ -96,33 +99,58 @@ def redacted_json(payloads: pd.Series) -> pd.Series:
     return payloads.map(one)
 
 
-def frame_statistics(frame: bytes, width: int) -> tuple[float, float, list[float]]:
-    """Brightness, sharpness (variance of the Laplacian) and histogram (32 bins, shares) of a gray frame."""
-    x = np.frombuffer(frame, np.uint8).reshape(-1, width).astype(np.float64)
-    p = np.pad(x, 1, mode="reflect") if min(x.shape) > 1 else np.pad(x, 1, mode="edge")
-    laplacian = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x
-    return float(x.mean()), float(laplacian.var()), (np.bincount(x.astype(int).ravel() // 8, minlength=32) / x.size).tolist()
+#: Bytes of frames that are looked at together.
+FRAMES = 1 << 22
+
+
+def frames_by_size(frames: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Frames (binary) of equal size, some megabytes at a time: their places and a row of bytes for each; null and empty ones are left out."""
+    sizes = pc.fill_null(pc.binary_length(frames), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes > 0]):
+        of = np.flatnonzero(sizes == n)
+        step = max(1, FRAMES // int(n))
+        for at in (of[i : i + step] for i in range(0, len(of), step)):
+            yield at, np.frombuffer(b"".join(frames.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), n)
+
+
+def frame_statistics(frames: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Brightness, sharpness (variance of the Laplacian) and histogram (32 bins, shares) of gray frames, a row of bytes for each."""
+    x = frames.reshape(len(frames), -1, width).astype(np.float64)
+    p = np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="reflect" if min(x.shape[1:]) > 1 else "edge")
+    laplacian = p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:] - 4 * x
+    bins = np.arange(len(frames))[:, None] * 32 + frames // 8
+    return x.mean(axis=(1, 2)), laplacian.var(axis=(1, 2)), np.bincount(bins.ravel(), minlength=32 * len(frames)).reshape(-1, 32) / frames.shape[1]
+
+
+def listed(like: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """Values in lists as long as those of ``like``, null where it is."""
+    ends = np.cumsum(pc.fill_null(like.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values, mask=like.is_null())
+
+
+def followers(lists: pa.ListArray) -> np.ndarray:
+    """Places, in the flat values, that are not the first of their list."""
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    later = np.ones(int(sizes.sum()), bool)
+    later[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    return np.flatnonzero(later)
 
 
 def frame_features(width: int):
     """Brightness, sharpness and the change of scene (1 less the correlation of histograms with the frame before) of each frame of a list."""
 
-    @F.pandas_udf("array<struct<brightness:double,sharpness:double,scene:double>>")
-    def features(frames: pd.Series) -> pd.Series:
-        def one(fs):
-            if fs is None:
-                return None
-            out, before = [], None
-            for f in fs:
-                light, sharp, bins = frame_statistics(bytes(f), width)
-                a = np.array(bins) - np.mean(bins)
-                norm = float(np.sqrt((a * a).sum() * (before * before).sum())) if before is not None else 0.0
-                scene = 0.0 if before is None else 1.0 - (float((a * before).sum()) / norm if norm else 1.0)
-                out.append({"brightness": light, "sharpness": sharp, "scene": max(0.0, scene)})
-                before = a
-            return out
-
-        return frames.map(one)
+    @F.arrow_udf("array<struct<brightness:double,sharpness:double,scene:double>>")
+    def features(frames: pa.Array) -> pa.Array:
+        flat, after = frames.flatten(), followers(frames)
+        light, sharp, bins = np.full(len(flat), np.nan), np.full(len(flat), np.nan), np.full((len(flat), 32), np.nan)
+        for at, rows in frames_by_size(flat):
+            light[at], sharp[at], bins[at] = frame_statistics(rows, width)
+        a = bins - bins.mean(axis=1, keepdims=True)
+        squares, scene = (a * a).sum(axis=1), np.zeros(len(flat))
+        norm = np.sqrt(squares[after] * squares[after - 1])
+        alike = np.divide((a[after] * a[after - 1]).sum(axis=1), norm, out=np.ones(len(after)), where=norm != 0)
+        scene[after] = np.fmax(0.0, 1.0 - alike)
+        return listed(frames, pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (light, sharp, scene)], names=["brightness", "sharpness", "scene"]))
 
     return features
 
@@ -133,6 +161,19 @@ def motion_scores(frames: list[bytes]) -> list[float]:
     return [0.0, *[float(np.abs(b - a).mean() / 255) for a, b in zip(arrays, arrays[1:], strict=False)]] if arrays else []
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def frame_motion(frames: pd.Series) -> pd.Series:
-    return frames.map(lambda fs: motion_scores([bytes(f) for f in fs]) if fs is not None else None)
+@F.arrow_udf(ArrayType(DoubleType()))
+def frame_motion(frames: pa.Array) -> pa.Array:
+    """``motion_scores`` of each list of frames; frames of one size meet in one array, others one by one."""
+    flat, after = frames.flatten(), followers(frames)
+    sizes = pc.fill_null(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(flat))
+    if (sizes[after] != sizes[after - 1]).any():
+        values = [x for fs in frames.to_pylist() for x in motion_scores(fs or [])]
+        return listed(frames, pa.array(values, pa.float64()))
+    for n in np.unique(sizes[after]):
+        of = after[sizes[after] == n]
+        step = max(1, FRAMES // max(1, int(n)))
+        for at in (of[i : i + step] for i in range(0, len(of), step)):
+            now, was = (np.frombuffer(b"".join(flat.take(pa.array(x)).to_pylist()), np.uint8).reshape(len(at), n).astype(np.int16) for x in (at, at - 1))
+            out[at] = np.abs(now - was).mean(axis=1) / 255
+    return listed(frames, pa.array(out))

@@ -68,7 +68,8 @@ GATED_SQL = f"""WITH p AS (SELECT c_custkey AS principal, CASE WHEN c_custkey %
 def _frames(s, d):
     """Brightness, sharpness, change of scene and motion of three gray frames of four by four points for each part."""
     frames = F.array(*[F.unhex(F.md5(F.concat(c, F.col("p_partkey").cast("string")))) for c in ("p_name", "p_type", "p_brand")])
-    told = views.table(s, d, "part").select("p_partkey", frames.alias("frames")).select("p_partkey", udfs.frame_features(4)("frames").alias("f"), udfs.frame_motion("frames").alias("m"))
+    # the table's few small files are few tasks, and the work is in the rows
+    told = views.table(s, d, "part").repartition("p_partkey").select("p_partkey", frames.alias("frames")).select("p_partkey", udfs.frame_features(4)("frames").alias("f"), udfs.frame_motion("frames").alias("m"))
     each = told.select("p_partkey", F.posexplode(F.arrays_zip("f", "m")).alias("frame", "x"))
     return each.select("p_partkey", F.col("frame").cast("long").alias("frame"), *[F.round(F.col(f"x.f.{c}"), 6).alias(c) for c in ("brightness", "sharpness", "scene")], F.round("x.m", 6).alias("motion"))
 

@@ -309,6 +309,27 @@ def test_frame_features(spark):
     assert (flat["brightness"], flat["sharpness"]) == (0.0, 0.0)
 
 
+def test_frames_of_many_lists_meet(spark, monkeypatch):
+    """Lists of unequal lengths and frames of unequal sizes, a few frames at a time: as each list alone, in no more passes than there are sizes and pieces."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    lists = [[rng.integers(0, 256, 4 * h, np.uint8).tobytes() for h in hs] for hs in ([4, 4, 4], [], [1, 4], [2], [4, 4])]
+    lists.insert(2, None)
+    passes, real = [], udfs.frame_statistics
+    monkeypatch.setattr(udfs, "frame_statistics", lambda x, w: passes.append(len(x)) or real(x, w))
+    features = udfs.frame_features(4).func
+    same = [0, 1, 2, 5]  # lists of one size of frames
+    together = features(pa.array(lists, pa.list_(pa.binary()))).to_pylist()
+    assert sorted(passes) == [1, 1, 6]
+    assert together == [features(pa.array([x], pa.list_(pa.binary()))).to_pylist()[0] for x in lists] and together[2] is None
+    monkeypatch.setattr(udfs, "FRAMES", 32)
+    assert features(pa.array(lists, pa.list_(pa.binary())).slice(1)).to_pylist() == together[1:]
+    whole = pa.array([lists[i] for i in same], pa.list_(pa.binary()))
+    assert udfs.frame_motion.func(whole).to_pylist() == [None if lists[i] is None else pytest.approx(udfs.motion_scores(lists[i])) for i in same]
+
+
 def test_records_of_model_outputs(spark):
     import datetime
 
