@@ -81,3 +81,15 @@ def test_empty_index(spark, tmp_path):
     store = text_store.create(spark.createDataFrame([], SCHEMA), str(tmp_path), CHANNELS)
     assert store.documents().count() == 0 and store.relevance("static_text", "a", spark.createDataFrame([("a",)], "record_id string")).count() == 0
     assert statistics(store, spark)["n"] == 0
+
+
+def test_postings_are_kept_in_blocks(spark, tmp_path):
+    """A term that many records have is a few rows, also after a compaction; each record keeps its own places."""
+    frame = lambda ids: spark.createDataFrame([(f"r{i}", "a " * (i % 3 + 1) + "b", "a") for i in ids], SCHEMA).coalesce(2)
+    store = text_store.create(frame(range(300)), str(tmp_path), CHANNELS)
+    stored = lambda: spark.read.parquet(f"{tmp_path}/{store.deltas()[1][0]}/postings")
+    want = {f"r{i}": list(range(1, i % 3 + 2)) for i in range(300)}
+    for _ in range(2):
+        assert stored().count() <= 6 and stored().agg(F.sum("n")).first()[0] == 900
+        assert {r.record_id: r.positions for r in store.postings(["a"], "static_text").collect()} == want
+        store.compact()
