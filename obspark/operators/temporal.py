@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from obspark.functions import ranks
 
+#: Samples of a task, about.
+TASK_ROWS = 50_000
+
 
 def default_segments(df: DataFrame, width_ms: int, overlap_ms: int) -> DataFrame:
     """G1: windows of each row's ``duration_ms``: starts a step apart, the last one clamped and none after it; window_index from 0."""
@@ -47,6 +50,11 @@ def median_step(samples: DataFrame) -> DataFrame:
     return every.select("series", F.greatest(F.lit(1), F.coalesce("middle", F.lit(1))).alias("step_ms"))
 
 
+def dealt_by_series(samples: DataFrame) -> DataFrame:
+    """Samples by series in tasks whose size doesn't follow the table's: what follows sorts and groups them, and the windows that come of them, several times in one stage."""
+    return samples.repartition(max(1, -(-samples.count() // TASK_ROWS)), "series")
+
+
 def motion_triggers(samples: DataFrame, threshold: float, min_ms: int, merge_gap_ms: int, duration_ms: int | None = None) -> DataFrame:
     """Triggers of each series (series, ts_ms, score, event_id).
 
@@ -57,7 +65,7 @@ def motion_triggers(samples: DataFrame, threshold: float, min_ms: int, merge_gap
     the counts of its distances, which meet the runs.
     """
     w = Window.partitionBy("series").orderBy("ts_ms", "event_id")
-    s = samples.select("series", "ts_ms", "event_id", "score", (F.col("score") >= threshold).alias("hot")).withColumns({"next_ms": F.lead("ts_ms").over(w), "was": F.lag("hot").over(w)})
+    s = dealt_by_series(samples.select("series", "ts_ms", "event_id", "score")).select("*", (F.col("score") >= threshold).alias("hot")).withColumns({"next_ms": F.lead("ts_ms").over(w), "was": F.lag("hot").over(w)})
     s = s.withColumn("run", F.sum((F.col("hot") & ~F.coalesce("was", F.lit(False))).cast("int")).over(w))
     runs = s.filter("hot").groupBy("series", "run").agg(F.min("ts_ms").alias("a"), F.max("next_ms").alias("z"), F.max(F.when(F.col("next_ms").isNull(), F.col("ts_ms"))).alias("last_ms"), F.max("score").alias("peak"))
     counts = s.filter("next_ms IS NOT NULL").groupBy("series", (F.col("next_ms") - F.col("ts_ms")).alias("gap")).agg(F.count("*").alias("c"))
@@ -84,7 +92,9 @@ def trigger_windows(triggers: DataFrame, window_ms: int, overlap_ratio: float, m
     """High-frequency units of triggers, numbered trigger * 1000 + window; a window planned twice counts once."""
     t = triggers.withColumn("trigger_index", F.row_number().over(Window.partitionBy("series").orderBy("trigger_start_ms")) - 1)
     w = high_freq_windows(t.withColumns({"start_ms": F.col("trigger_start_ms"), "end_ms": F.col("trigger_end_ms")}), window_ms, overlap_ratio, min_ms)
-    n = F.row_number().over(Window.partitionBy("series", "trigger_index").orderBy("window_start_ms")) - 1
+    # the windows that were left out are a trigger's last ones, so the number follows from the start
+    step = max(1, int(window_ms * (1 - overlap_ratio)))
+    n = ((F.col("window_start_ms") - F.col("start_ms")) / step).cast("int")
     w = w.withColumn("window_index", F.col("trigger_index") * 1000 + n)
     return w.groupBy("series", "window_start_ms", "window_end_ms").agg(F.min("window_index").alias("window_index"))
 

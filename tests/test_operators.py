@@ -114,6 +114,19 @@ def test_motion_triggers(spark, samples, args, expected):
     assert rows(temporal.motion_triggers(df, *args), "trigger_start_ms", "trigger_end_ms", "peak") == expected
 
 
+def test_trigger_windows_are_many_small_tasks(spark, monkeypatch):
+    """Tasks follow the samples; a trigger's windows are numbered without sorting them, and lose only their last ones."""
+    samples = spark.createDataFrame([(k, t * 100, 1.0 if t % 20 < 7 + k % 5 else 0.0, t) for k in range(12) for t in range(60)], "series int, ts_ms long, score double, event_id int")
+    plan = lambda: temporal.trigger_windows(temporal.motion_triggers(samples, 0.5, 300, 200), 250, 0.5, 100)
+    want = rows(plan())
+    monkeypatch.setattr(temporal, "TASK_ROWS", 90)
+    assert rows(plan()) == want and plan().rdd.getNumPartitions() == 8
+    numbered = {}
+    for series, begin, _, index in want:
+        numbered.setdefault((series, index // 1000), []).append((begin, index % 1000))
+    assert all([i for _, i in sorted(x)] == list(range(len(x))) for x in numbered.values()) and max(map(len, numbered.values())) > 3
+
+
 def test_dispatch(spark):
     df = spark.createDataFrame([(1, h, i) for h in (True, False) for i in range(5)], "job_id int, is_high boolean, ordinal int")
     out = temporal.dispatch_order(df, 2).orderBy("position").collect()
