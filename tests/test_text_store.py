@@ -93,3 +93,21 @@ def test_postings_are_kept_in_blocks(spark, tmp_path):
         assert stored().count() <= 6 and stored().agg(F.sum("n")).first()[0] == 900
         assert {r.record_id: r.positions for r in store.postings(["a"], "static_text").collect()} == want
         store.compact()
+
+
+def test_blocks_are_strings(spark, tmp_path):
+    """Ids and places of a block are a string each, whatever the ids hold; ASCII and other texts give the tokens of the corpus."""
+    from obspark.functions.text import tokens
+
+    rows = [("a\n1", "Straße straße ÉTÉ été x1_y2", "٣ abc-abc"), ("b%0A", None, ""), ("%", "b b", "..A..a"), ("c%25", "b" * 70000 + " b", "日本語 日本 x")]
+    records = spark.createDataFrame(rows, SCHEMA)
+    store = text_store.create(records.coalesce(1), str(tmp_path / "a"), CHANNELS)
+    types = dict(store._blocks(store.deltas()[1][0], 0).dtypes)
+    assert types["record_ids"] == types["places"] == "string"
+    want = []
+    for c in CHANNELS:
+        for r in records.select("record_id", tokens(c).alias("t")).collect():
+            want += [(c, w, r.record_id, tuple(i + 1 for i, x in enumerate(r.t) if x == w)) for w in set(r.t or [])]
+    for _ in range(2):
+        assert sorted((r.channel, r.term, r.record_id, tuple(r.positions)) for r in store.every_posting().collect()) == sorted(want)
+        store.compact()
