@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obspark.llm import common
@@ -26,6 +26,8 @@ from obspark.llm import common
 PERMUTATIONS, WORDS, BANDS = 128, 5, 32
 #: Members of a band that meet in one cell, about.
 BLOCK = 500
+#: Pairs that a task verifies, about, and tasks that the pairs of one text are dealt to.
+PAIRS, SHARES = 1000, 16
 _RNG = np.random.default_rng(20)
 A = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 B = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64)
@@ -33,15 +35,27 @@ B = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64)
 NONE = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
 
 
+#: Shingles that are hashed at a time, in a table that is kept: fresh memory would take longer than the hashing.
+PIECE = 256
+_TABLE = np.empty((PIECE, PERMUTATIONS), np.uint64)
+
+
 def signature(text: str | None) -> np.ndarray:
     """16 bits for each permutation; a text without words has all bits set."""
-    x = common.shingles(text, WORDS)
+    return hashed(common.shingles(text, WORDS))
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """The signature of a text of these shingles."""
     if not len(x):
         return NONE
     low = None
-    for i in range(0, len(x), 1024):  # in pieces, so that memory stays small for long texts
-        part = (A[:, None] * x[None, i : i + 1024] + B[:, None]).min(axis=1)
-        low = part if low is None else np.minimum(low, part)
+    for i in range(0, len(x), PIECE):
+        part = x[i : i + PIECE, None]
+        table = _TABLE[: len(part)]
+        np.multiply(part, A, out=table)
+        np.add(table, B, out=table)
+        low = np.minimum.reduce(table, axis=0) if low is None else np.minimum(low, np.minimum.reduce(table, axis=0))
     return (common.mix(low) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -131,18 +145,36 @@ def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, copies
 
 
+def band_keys(x: np.ndarray, bands: int) -> list[int]:
+    """The band keys of a text of these shingles, none if it has no words."""
+    s, per = hashed(x), PERMUTATIONS // bands
+    return [] if s is NONE else [xxhash.xxh64_intdigest(s[k * per : (k + 1) * per].tobytes(), k) - (1 << 63) for k in range(bands)]
+
+
 def banded(reps: DataFrame, bands: int) -> DataFrame:
     """The band keys of each text with words: rows (doc_id, band)."""
 
     def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = PERMUTATIONS // bands
         for ids, texts in common.batches(frames, "doc_id", "text"):
-            keys = [[xxhash.xxh64_intdigest(s[k * per : (k + 1) * per].tobytes(), k) - (1 << 63) for k in range(bands)] if s is not NONE else [] for s in map(signature, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([band_keys(common.shingles(t, WORDS), bands) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "bands"])
 
     return reps.mapInArrow(task, "doc_id long, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
 
 
+def marked(docs: DataFrame, bands: int) -> DataFrame:
+    """One pass over the texts: doc_id, row (a short hash of the text), sha (a long one; null text: null), size (different shingles) and bands (empty: no words) of each row."""
+    schema = "doc_id long, row long, sha binary, size long, bands array<long>"
+
+    def task(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, rows, texts in common.batches(frames, "doc_id", "row", "text"):
+            shas = [None if t is None else hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+            sizes, keys = zip(*((len(np.unique(x)), band_keys(x, bands)) for x in (common.shingles(t, WORDS) for t in texts)), strict=True)
+            cols = [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in schema.split(", ")])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(task, schema)
+
+
 def in_cells(keyed: DataFrame, *columns: str) -> DataFrame:
     """Members of a band (doc_id, band, and ``columns``) beside each other: a and b with their columns; a block of a large band meets every other in a cell of its own."""
     sizes = keyed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -155,19 +187,46 @@ def in_cells(keyed: DataFrame, *columns: str) -> DataFrame:
     return left.join(right, ["band", "_lo", "_hi"])
 
 
+def may_be_near(threshold: float) -> Column:
+    """Whether sets of size_a and size_b can be as alike: no two are more so than their sizes."""
+    return F.least("size_a", "size_b") >= F.lit(threshold - 1e-9) * F.greatest("size_a", "size_b")
+
+
+def dealt_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) dealt to tasks by their number, as they are few bytes but much work; those of one text in a task follow each other."""
+    n = pairs.count() // PAIRS + 1
+    return pairs.repartition(min(n, 1 << 14), "a", F.pmod(F.xxhash64("b"), F.lit(SHARES))).sortWithinPartitions("a")
+
+
+class Sets(dict):
+    """Text to its shingle set, forgotten as a whole when texts and sets get large: pairs of one text are often near each other."""
+
+    most, size = 1 << 25, 0
+
+    def __missing__(self, text: str) -> np.ndarray:
+        x = np.unique(common.shingles(text, WORDS))
+        self.size += len(text) + x.nbytes
+        if self.size > self.most:
+            self.clear()
+            self.size = len(text) + x.nbytes
+        self[text] = x
+        return x
+
+
 def verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) of texts those whose shingle sets are as alike: a, b, jaccard."""
 
     def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sets()
         for a, b, x, y in common.batches(frames, "a", "b", "x", "y"):
             out = []
             for s, t in zip(x, y, strict=True):
-                s, t = (np.unique(common.shingles(z, WORDS)) for z in (s, t))
+                s, t = held[s], held[t]
                 both = len(np.intersect1d(s, t, True))
                 out.append(both / max(1, len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
-    full = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    full = pairs.join(reps.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").join(reps.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, jaccard double").filter(F.col("jaccard") >= threshold)
 
 
@@ -177,31 +236,46 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS) ->
     Links are those of ``near_duplicates``, but a family of near copies costs
     about as many pairs as it has members: first each text meets the least one
     of each of its bands; components of what verifies follow, and only texts of
-    different components that share a band are paired after that. Copies of a
+    different components that share a band are paired after that. Pairs whose
+    sizes alone refute them are not read. Copies of a
     text share its class and count one link to it each. Rows with a null id or
     text, or without words, are classes of their own. Equal ids with different
     texts share a class. An empty table gives no rows.
     """
-    reps, copies = representatives(docs)
-    reps = common.stash(reps.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")), "texts")
-    keyed = common.stash(banded(reps, bands), "bands")
+    rows = common.stash(marked(docs, bands), "marked")
+    texts = rows.filter("sha is not null and doc_id is not null")
+    least = common.stash(texts.groupBy("sha").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")), "least")
+    copies = common.listed(texts.select("sha", F.col("doc_id").alias("b")), least.filter("n > 1"), ["sha"], "inner").filter("a < b").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()
+    reps = common.listed(texts, least, ["sha"], "inner").filter("doc_id = a and size(bands) > 0").select("doc_id", "row", "sha", "size", "bands")
+    reps = common.stash(reps, "reps")
+    again = reps.groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0  # rows that are repeated with their id
+    keyed = (reps.dropDuplicates(["sha"]) if again else reps).select("doc_id", "size", F.explode("bands").alias("band"))
     heads = keyed.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    star = common.listed(keyed, common.stash(heads, "heads"), ["band"], "inner").filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    shared = common.stash(common.listed(keyed, common.stash(heads, "heads"), ["band"], "inner").select("doc_id", "size", "band", "a"), "shared")
+    met = common.stash(shared.select("doc_id").distinct(), "met")
+    met = F.broadcast(met) if met.count() <= common.FEW else met
+    chosen = reps.select("doc_id", "row").join(met, "doc_id", "left_semi").distinct()
+    chosen = F.broadcast(chosen) if chosen.count() <= common.FEW else chosen
+    near = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text")).join(chosen, ["doc_id", "row"], "left_semi")
+    near = common.stash((near.dropDuplicates(["doc_id", "row"]) if again else near).select("doc_id", "text"), "texts")
+    star = shared.filter("doc_id > a").select("a", F.col("doc_id").alias("b"), F.col("size").alias("size_b")).distinct()
+    star = star.join(reps.select(F.col("doc_id").alias("a"), F.col("size").alias("size_a")), "a").filter(may_be_near(threshold)).select("a", "b").distinct()
     star = common.stash(star, "star")
-    first = common.stash(verified(star, reps, threshold), "first-links")
+    first = common.stash(verified(dealt_pairs(star), near, threshold), "first-links")
     label = common.components(first.select("a", "b"), "first")
-    named = common.stash(keyed.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "named")
+    named = common.stash(shared.select("doc_id", "size", "band").join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "named")
     mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("band", "n")
     open_ = common.listed(named, common.stash(mixed, "mixed"), ["band"])
-    rest = in_cells(open_, "component").filter("a < b and component_a <> component_b").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    second = common.stash(verified(rest, reps, threshold), "second-links")
+    rest = in_cells(open_, "component", "size").filter("a < b and component_a <> component_b").filter(may_be_near(threshold)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    rest = common.stash(rest, "rest")
+    second = common.stash(verified(dealt_pairs(rest), near, threshold), "second-links")
     links = first.unionByName(second)
     label = common.components(links.select("a", "b"), "classes")
     own = copies.select(F.col("b").alias("doc_id"), F.col("a").alias("first"))
     counted = links.unionByName(copies).select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
     least = label.groupBy("component").agg(F.min("id").alias("class_id"))
     of = label.join(least, "component").select(F.col("id").alias("first"), "class_id")
-    out = docs.select("doc_id", "text").withColumn("words", F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("text").join(own, "doc_id", "left")
+    out = rows.select("doc_id", (F.size("bands") > 0).alias("words")).join(own, "doc_id", "left")
     out = out.withColumn("first", F.when(F.col("words"), F.coalesce("first", "doc_id"))).join(of, "first", "left").join(counted, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "first", "doc_id").alias("class_id"), F.when(F.col("words"), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("links"))
 

@@ -767,3 +767,20 @@ def test_shards_link_by_every_line(spark):
     texts = [(k, "\n".join([shared[k // 2], *(f"own {k} {i}" for i in range(40))])) for k in range(60)]
     hubs = {r.id: set(r.hubs) for r in spark.createDataFrame(texts, "id long, text string").select("id", sharding.line_hubs(F.col("text")).alias("hubs")).collect()}
     assert all(len(hubs[k]) == 41 and len(hubs[k] & hubs[k + 1]) == 1 for k in range(0, 60, 2))
+
+
+def test_band_classes_read_each_text_once(spark, monkeypatch):
+    """Signatures come from one pass in which no text is shuffled, repeated rows and ids that several texts share included; the pairs of one text are several tasks."""
+    monkeypatch.setattr(fingerprints, "PAIRS", 4)
+    base = [f"t{i}" for i in range(100)]
+    near = [" ".join(base[:-1] + [f"n{k}"]) for k in range(40)]
+    rows = list(enumerate(near)) + [(3, near[3]), (3, near[3]), (50, near[7]), (51, "other words of its own"), (51, near[9]), (60, " \n"), (61, None), (None, near[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.near_classes(docs).collect()
+    assert len(got) == len(rows)
+    assert {r["class_id"] for r in got if r["doc_id"] is not None and r["doc_id"] <= 50} == {0}
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in got if r["doc_id"] in (60, 61)} == {60: (60, 0), 61: (61, 0)}
+    marks = fingerprints.marked(docs, 32)
+    assert "Exchange" not in marks._jdf.queryExecution().executedPlan().toString() and marks.count() == len(rows)
+    dealt = fingerprints.dealt_pairs(spark.createDataFrame([(0, k) for k in range(1, 40)], "a long, b long"))
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 2
