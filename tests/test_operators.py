@@ -417,3 +417,37 @@ def test_media_of_repeated_lines(spark, tmp_path):
         pq.write_table(pa.table(list(zip(*rows, strict=True)), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"]), folder / f"{name}.parquet")
     media = lifecycle_queries._media_rows(spark, str(tmp_path)).collect()
     assert {r.unit_id: bytes(r.content).decode() for r in media} == {o: f"{o}/N" for o in range(25)}
+
+
+def test_a_pool_is_cut_before_texts_meet_labels(spark, sf):
+    """Rows after the pool's last place go below the join with the labels; repeated ids, equal and missing times are as in a plain sort."""
+    from obspark.plans.search_queries import SCOPE
+    from obspark.sources import views
+
+    pool = search.candidate_pool(views.observations(spark, sf).hint("merge"), SCOPE, limit=7)
+    plan = pool._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan[plan.index("LeftOuter") :].splitlines()[1]
+    rows = [(f"r{i % 5}", None if i % 9 == 0 else f"2024-01-01 00:00:0{i % 3}", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "record_id string, at string, n int").select("record_id", F.col("at").cast("timestamp_ntz").alias("observed_start"), "n")
+    who = scope.Scope("t", ("c",), ("l",), ("p",), "public")
+    df = df.select("*", F.lit("t").alias("tenant_id"), F.lit("c").alias("camera_id"), F.lit("l").alias("location_id"), F.lit("p").alias("access_policy_id"), F.lit("public").alias("security_level"))
+    for limit in (1, 6, 39, 50):
+        got = [(r.observed_start, r.record_id) for r in search.candidate_pool(df, who, limit=limit).collect()]
+        assert got == [(r.observed_start, r.record_id) for r in df.orderBy("observed_start", "record_id").limit(limit).collect()]
+    assert search.candidate_pool(df.limit(0), who).count() == 0
+
+
+def test_texts_are_those_of_the_observations(spark, tmp_path):
+    """No join with labels is needed for texts, unless a document has several labels."""
+    from obspark.sources import views
+
+    docs = [(1, "a\nb c\nd", "en", "src1", 7), (2, None, "en", "src1", 0), (3, "one", "fr", "src2", 3), (None, "x\ny", "de", "src2", 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, labels in (("once", [(1, 1, 0), (None, 0, 0), (None, 1, 1)]), ("several", [(1, 1, 0), (3, 0, 0), (3, 0, 1), (9, 1, 1), (9, 1, 1)])):
+        at = tmp_path / name
+        at.mkdir()
+        (at / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        got, columns = views.texts(spark, str(at)), ("record_id", "static_text", "dynamic_text")
+        assert sorted(map(str, got.collect())) == sorted(map(str, views.observations(spark, str(at)).select(*columns).collect()))
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (name == "several")
