@@ -119,3 +119,20 @@ def test_lineage_of_more_rows_than_a_recursion_may_have(spark):
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
     want = [(f"{c}-{k}", c, f"{c}-0", k, "/".join(f"o{i}" for i in range(k + 1))) for c in "abcdefgh" for k in range(8)]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_refinements_read_statistics_of_an_index(spark, obs, tmp_path):
+    """With an index no corpus is read: one without texts gives the same ranks."""
+    from obspark.operators import records, text_store
+
+    index = text_store.create(obs, str(tmp_path / "index"), ("static_text", "dynamic_text"))
+    revision = obs.filter("doc_id % 3 = 0").select("record_id")
+    ranks = lambda df: {r.record_id: (r["rank"], round(r.final_score, 9)) for r in df.collect()}
+    for operation in ("filter_by_analysis_scale", "rerank_current_candidates", "hybrid_search_text"):
+        request = search.Request(query="the of", preferred_scales=("default_segment",))
+        got = records.refine(obs, revision, operation, request, spark.range(1), index=index)
+        assert ranks(got) == ranks(records.refine(obs, revision, operation, request, obs)) != {}
+    kept = sessions.Sessions(spark, str(tmp_path / "sessions"))
+    first = kept.start(obs, WHO, search.Request(query="the", top_k=9), NOW, index=index)
+    (last,) = kept.refine_batch(first["context_id"], [(first["revision_id"], "rerank_current_candidates", search.Request(query="the", top_k=3))], obs, WHO, later(1), index=index)
+    assert last["candidate_count"] == min(3, first["candidate_count"])
