@@ -21,7 +21,7 @@ def _relevance(s, d):
 def _names(s, d):
     parts = views.table(s, d, "part")
     queries = parts.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
-    return cover_density.similar_texts(parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string")).alias("text")), queries).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return cover_density.similar_texts(parts.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string")).alias("text")), queries, digits=6)
 
 
 def _grams(words: str) -> str:

@@ -94,3 +94,22 @@ def test_similar_texts_of_several_blocks(spark, monkeypatch):
     key = lambda r: (r[0], r[1] is None, r[1] or 0, r[2])
     assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key) and len(want) > 1000
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ids", [1 << 20, 40])
+def test_similar_texts_of_copied_queries(spark, monkeypatch, ids):
+    """Copies of a query are sent and compared once, and all of their ids, null ones too, come out; no text is sent again for them."""
+    monkeypatch.setattr(cd, "BLOCK", 50)
+    monkeypatch.setattr(cd, "IDS", ids)
+    monkeypatch.setattr(cd, "HANDED", 30)
+    words = ["steel", "brass", "gear", "ring"]
+    rows = [(i, None if i == 7 else f"{words[i % 4]} {words[i // 4 % 4]} {i}") for i in range(200)]
+    asked = [(i if i % 9 else None, ["steel ring", "Ring, steel", "gear", "brass gear", "!"][i % 5]) for i in range(300)]
+    texts, queries = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(asked, "query_id long, query string")
+    sent = cd._dealt(texts, queries)
+    if ids > 300:
+        assert sent.filter("query_ids IS NULL").count() == 199 and sent.filter("query_ids IS NOT NULL").count() == 3 * 4
+    assert sent.selectExpr("sum(size(query_ids))").first()[0] == 240 * 4
+    want = [(q, i, round(alike(grams(t or ""), grams(x)), 3)) for (i, t), (q, x) in itertools.product(rows, asked) if alike(grams(t or ""), grams(x)) >= 0.3]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(map(tuple, cd.similar_texts(texts, queries, digits=3).collect()), key=key) == sorted(want, key=key) and len(want) > 1000
